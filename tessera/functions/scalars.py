@@ -39,7 +39,7 @@ def list_join(arr, sep: str) -> Column:
 
 def split_trim(s, sep: str = ",") -> Column:
     """Split on a literal separator and trim every part."""
-    return F.transform(F.split(F.trim(_c(s)), re.escape(sep)), F.trim)
+    return F.transform(F.split(F.trim(_c(s)), re.escape(sep)), lambda x: F.trim(x))
 
 
 def split_first(s, sep: str = ":") -> Column:

@@ -57,9 +57,13 @@ def cross_entropy(z, label) -> Column:
     return log_sum_exp(z) - F.element_at(z, _c(label).cast("int") + 1)
 
 
-def flat_to_image_index(i, width: int, channels: int):
+def _div(a: Column, n: int) -> Column:
+    return F.floor(a / F.lit(n)).cast("int")
+
+
+def flat_to_image_index(i: Column, width: int, channels: int):
     """(row, col, channel) of flat index ``i`` in a row-major HxWxC image."""
-    return (i // (width * channels), (i // channels) % width, i % channels)
+    return (_div(i, width * channels), _div(i, channels) % width, i % channels)
 
 
 def max_pool2x2(x, height: int, width: int, channels: int = 1) -> Column:
@@ -68,8 +72,8 @@ def max_pool2x2(x, height: int, width: int, channels: int = 1) -> Column:
     h2, w2, c = height // 2, width // 2, channels
 
     def cell(i):
-        pr = i // (w2 * c)
-        pc = (i // c) % w2
+        pr = _div(i, w2 * c)
+        pc = _div(i, c) % w2
         ch = i % c
         base = ((pr * 2) * width + pc * 2) * c + ch + 1  # element_at is 1-based
         return F.greatest(

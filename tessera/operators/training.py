@@ -1,10 +1,10 @@
 """Data-parallel training in gang stages, full-batch gradients and evaluation.
 
-``train`` runs mini-batch SGD with momentum on ``world`` ranks.  Each barrier
-stage is one pass over the data: every rank streams its rows through a
-bounded shuffle buffer, draws batches of ``batch`` rows, computes its
-gradient sum, and the ranks all-gather and average them (weighted by rows)
-before the same momentum update everywhere.  After each stage rank 0 yields
+``train`` runs mini-batch SGD with momentum on ``world`` ranks in a barrier
+stage: every rank streams its rows through a bounded shuffle buffer, draws
+batches of ``batch`` rows and takes a momentum step; every ``sync_every``
+steps the ranks all-gather and average parameters and momentum, so all
+ranks continue from the same state.  After each stage rank 0 yields
 the parameters, the momentum and the loss history, which the driver writes
 to the shared folder; the next stage starts from that table, so a lost
 executor costs one stage, not the run.
@@ -12,7 +12,6 @@ executor costs one stage, not the run.
 
 from __future__ import annotations
 
-import math
 from dataclasses import dataclass
 
 import numpy as np
@@ -119,18 +118,26 @@ def _read_state(spark: SparkSession, path: str):
 def train(df: DataFrame, model: Model, world: int, steps: int, features: str = "features",
           label: str = "label", batch: int = 100, lr: float = 0.001, momentum: float = 0.9,
           seed: int = 0, log_every: int = 500, buffer_rows: int = 1000,
-          steps_per_stage: int | None = None, path: str | None = None) -> TrainResult:
+          sync_every: int = 1, checkpoint_every: int = 1000,
+          path: str | None = None) -> TrainResult:
     """Train ``model`` (it must offer ``grad_sums``) for ``steps // world``
     synchronous steps at learning rate ``lr * world``, like the reference's
-    scaling; returns the saved model path, the model and the loss history."""
+    scaling; returns the saved model path, the model and the loss history.
+
+    ``sync_every=1`` averages after every step, which equals synchronous
+    gradient averaging.  Larger values run that many local steps between
+    averages (local SGD): each all-gather is a driver round trip (about a
+    second in barrier mode), so this is the knob for long runs.  Losses are
+    logged at synchronisation steps that are multiples of ``log_every``.
+
+    Every ``checkpoint_every`` steps the state is written to the shared
+    folder and a new gang stage continues from it (and re-reads the data)."""
     spark = df.sparkSession
     per_worker = steps // world
     if per_worker < 1:
         raise ValueError(f"steps // world is {per_worker}; need at least one step")
     data = df.select(_c(features).alias("features"), _c(label).cast("double").alias("label"))
-    if steps_per_stage is None:
-        rows_per_rank = data.count() / world
-        steps_per_stage = max(1, math.ceil(rows_per_rank / batch))
+    steps_per_stage = max(1, checkpoint_every)
     width = int(np.prod(model.shape)) if hasattr(model, "shape") else model.dim
     path = path or shared_dir(spark, "train")
     velocity = {k: np.zeros_like(v) for k, v in model.params.items()}
@@ -151,27 +158,36 @@ def train(df: DataFrame, model: Model, world: int, steps: int, features: str = "
                                 np.random.default_rng([stage_seed, rank]))
             names = sorted(m.params)
             hist = []
+            loss_acc, n_acc = 0.0, 0
             for i in range(n_steps):
                 X, y = buf.draw(batch)
                 if len(y):
                     g, loss_sum = m.grad_sums(X, y)
-                else:
-                    g, loss_sum = {k: np.zeros_like(m.params[k]) for k in names}, 0.0
-                flat = np.concatenate([g[k].ravel() for k in names] + [[loss_sum, len(y)]])
-                tot = all_reduce_sum(ctx, flat)
-                n = tot[-1]
-                if n == 0:
-                    continue
-                off = 0
-                for k in names:
-                    size = m.params[k].size
-                    grad = tot[off:off + size].reshape(m.params[k].shape) / n
-                    off += size
-                    vel[k] = momentum * vel[k] + grad
-                    m.params[k] = m.params[k] - lr_eff * vel[k]
+                    for k in names:
+                        vel[k] = momentum * vel[k] + g[k] / len(y)
+                        m.params[k] = m.params[k] - lr_eff * vel[k]
+                    loss_acc += loss_sum
+                    n_acc += len(y)
                 step = first_step + i
-                if step % log_every == 0 or step == per_worker - 1:
-                    hist.append((step, tot[-2] / n))
+                last = step == per_worker - 1
+                if step % sync_every and not last and i != n_steps - 1:
+                    continue
+                # Average parameters and momentum over the ranks that had rows.
+                w = 1.0 if n_acc else 0.0
+                flat = np.concatenate([m.params[k].ravel() * w for k in names]
+                                      + [vel[k].ravel() * w for k in names]
+                                      + [[w, loss_acc, n_acc]])
+                tot = all_reduce_sum(ctx, flat)
+                if tot[-3] > 0:
+                    off = 0
+                    for store in (m.params, vel):
+                        for k in names:
+                            size = m.params[k].size
+                            store[k] = tot[off:off + size].reshape(m.params[k].shape) / tot[-3]
+                            off += size
+                if (step % log_every == 0 or last) and tot[-1] > 0:
+                    hist.append((step, tot[-2] / tot[-1]))
+                loss_acc, n_acc = 0.0, 0
             if rank == 0:
                 yield _state_rows(m, vel, hist)
 

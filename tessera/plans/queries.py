@@ -415,11 +415,17 @@ def q_score_map_in_pandas(spark, sf):
         .select("vec_id", "label", "prediction")
 
 
-TRAIN_ARGS = dict(world=2, steps=400, batch=100, lr=0.05, momentum=0.9, seed=5, log_every=50)
+TRAIN_ARGS = dict(world=2, steps=400, batch=100, lr=0.05, momentum=0.9, seed=5,
+                  log_every=50, sync_every=25)
+_TRAINED: dict = {}
 
 
 def _train(spark, sf):
-    return TR.train(_emb(spark, sf), SoftmaxRegression(DIM, CLASSES), **TRAIN_ARGS)
+    """One training run per (session, table folder), shared by both queries."""
+    key = (id(spark), sf)
+    if key not in _TRAINED:
+        _TRAINED[key] = TR.train(_emb(spark, sf), SoftmaxRegression(DIM, CLASSES), **TRAIN_ARGS)
+    return _TRAINED[key]
 
 
 def q_train_model(spark, sf):
