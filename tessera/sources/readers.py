@@ -149,7 +149,8 @@ def read_whole_text(spark: SparkSession, path: str) -> DataFrame:
 
 def read_binary(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
     """``path, modificationTime, length, content`` per file.  Content is only
-    read when that column is selected."""
+    read when that column is selected.  Spark's file scan skips zero-length
+    files, so an empty file has no row (the byte-array helper gave ``[]``)."""
     r = spark.read.format("binaryFile")
     if glob:
         r = r.option("pathGlobFilter", glob)
