@@ -158,9 +158,15 @@ def read_binary(spark: SparkSession, path: str, glob: str | None = None) -> Data
 
 
 def synth_vectors(keys: DataFrame, dim: int = 784, seed: int = 42,
-                  key: str = "id") -> DataFrame:
+                  key: str = "id", spread: int | None = None) -> DataFrame:
     """Uniform random ``features array<double>`` of width ``dim`` and a uniform
-    ``label`` for every row of ``keys`` (generated in the JVM, per partition)."""
+    ``label`` for every row of ``keys`` (generated in the JVM, per partition).
+
+    Each key grows to ``8 * dim`` bytes, so ``spread=n`` deals the narrow keys
+    over ``n`` partitions first (a cheap shuffle) rather than widening them
+    in however few partitions the key table was read in."""
+    if spread:
+        keys = keys.repartition(spread)
     return keys.select(
         key,
         F.transform(F.sequence(F.lit(1), F.lit(dim)), lambda i: F.rand(seed)).alias("features"),
