@@ -52,14 +52,14 @@ def all_reduce_sum(ctx, a: np.ndarray) -> np.ndarray:
 
 
 def gang_sum(df: DataFrame, col: str, world: int, key=None) -> DataFrame:
-    """Each rank sums its rows, the ranks meet at a barrier, the partials are
-    all-gathered, and rank 0 alone yields ``(world, total)``."""
+    """Each rank sums its rows, the partials are all-gathered (which is itself
+    a barrier: it returns once every rank has sent), and rank 0 alone yields
+    ``(world, total)``."""
 
     def fn(ctx, batches):
         local = 0
         for pdf in batches:
             local += int(pdf[col].astype("int64").sum())
-        ctx.barrier()
         total = sum(int(p) for p in ctx.allGather(str(local)))
         if ctx.partitionId() == 0:
             yield pd.DataFrame({"world": [len(ctx.getTaskInfos())], "total": [total]})

@@ -60,6 +60,39 @@ def conv2d_same(x: np.ndarray, kernel: np.ndarray, bias: np.ndarray | None = Non
     return out + bias if bias is not None else out
 
 
+def conv2d_kernel_grad(x: np.ndarray, g: np.ndarray, ksize: tuple[int, int]) -> np.ndarray:
+    """Gradient of a "same" convolution w.r.t. its kernel: ``(kh, kw, c, f)``."""
+    kh, kw = ksize
+    ph, pw = (kh - 1) // 2, (kw - 1) // 2
+    xp = np.pad(x, ((0, 0), (ph, kh - 1 - ph), (pw, kw - 1 - pw), (0, 0)))
+    win = np.lib.stride_tricks.sliding_window_view(xp, (kh, kw), axis=(1, 2))
+    return np.einsum("bhwcij,bhwf->ijcf", win, g, optimize=True)
+
+
+def conv2d_input_grad(g: np.ndarray, kernel: np.ndarray) -> np.ndarray:
+    """Gradient of a "same" convolution w.r.t. its input: correlate the
+    output gradient with the spatially flipped, channel-swapped kernel."""
+    kh, kw = kernel.shape[:2]
+    ph, pw = (kh - 1) // 2, (kw - 1) // 2
+    gp = np.pad(g, ((0, 0), (kh - 1 - ph, ph), (kw - 1 - pw, pw), (0, 0)))
+    win = np.lib.stride_tricks.sliding_window_view(gp, (kh, kw), axis=(1, 2))
+    flipped = kernel[::-1, ::-1].transpose(0, 1, 3, 2)          # (kh, kw, f, c)
+    return np.einsum("bhwfij,ijfc->bhwc", win, flipped, optimize=True)
+
+
+def max_pool2x2_grad(x: np.ndarray, g: np.ndarray) -> np.ndarray:
+    """Route each pooled gradient to the first maximum of its 2x2 window."""
+    b, h, w, c = x.shape
+    h2, w2 = h // 2, w // 2
+    win = x[:, : 2 * h2, : 2 * w2, :].reshape(b, h2, 2, w2, 2, c) \
+        .transpose(0, 1, 3, 5, 2, 4).reshape(b, h2, w2, c, 4)
+    hot = np.eye(4)[win.argmax(axis=-1)] * g[..., None]          # (b, h2, w2, c, 4)
+    out = np.zeros_like(x)
+    out[:, : 2 * h2, : 2 * w2, :] = hot.reshape(b, h2, w2, c, 2, 2) \
+        .transpose(0, 1, 4, 2, 5, 3).reshape(b, 2 * h2, 2 * w2, c)
+    return out
+
+
 def max_pool2x2(x: np.ndarray) -> np.ndarray:
     """2x2 max pooling with stride 2 over ``(batch, h, w, c)``."""
     b, h, w, c = x.shape

@@ -92,7 +92,7 @@ class SoftmaxRegression(Model):
     def forward(self, x: np.ndarray) -> np.ndarray:
         return x @ self.params["W"].T + self.params["b"]
 
-    def grad_sums(self, x: np.ndarray, y: np.ndarray) -> tuple[dict[str, np.ndarray], float]:
+    def grad_sums(self, x: np.ndarray, y: np.ndarray, rng=None) -> tuple[dict[str, np.ndarray], float]:
         """Sum (not mean) over the rows of the cross-entropy gradient, and of the loss."""
         z = self.forward(x)
         p = L.softmax(z)
@@ -161,3 +161,40 @@ class ConvNet(Model):
         if rng is not None:
             a = L.dropout(a, self.dropout_rate, rng)
         return L.dense(a, p["logits/kernel"], p["logits/bias"])
+
+    def grad_sums(self, x: np.ndarray, y: np.ndarray, rng=None) -> tuple[dict[str, np.ndarray], float]:
+        """Backpropagation through the whole network; dropout is applied when
+        ``rng`` is given (training), as in the forward pass."""
+        p = self.params
+        k = (self.ksize, self.ksize)
+        a0 = x.reshape(-1, *self.shape)
+        z1 = L.conv2d_same(a0, p["conv1/kernel"], p["conv1/bias"])
+        a1 = L.relu(z1)
+        p1 = L.max_pool2x2(a1)
+        z2 = L.conv2d_same(p1, p["conv2/kernel"], p["conv2/bias"])
+        a2 = L.relu(z2)
+        p2 = L.max_pool2x2(a2)
+        flat = p2.reshape(len(p2), -1)
+        z3 = L.dense(flat, p["dense/kernel"], p["dense/bias"])
+        a3 = L.relu(z3)
+        keep = np.ones_like(a3)
+        if rng is not None:
+            keep = (rng.random(a3.shape) < 1.0 - self.dropout_rate) / (1.0 - self.dropout_rate)
+        d3 = a3 * keep
+        z4 = L.dense(d3, p["logits/kernel"], p["logits/bias"])
+        idx = np.arange(len(y)), y.astype(int)
+        loss_sum = float(-L.log_softmax(z4)[idx].sum())
+        g4 = L.softmax(z4)
+        g4[idx] -= 1.0
+        g = {"logits/kernel": d3.T @ g4, "logits/bias": g4.sum(0)}
+        gz3 = (g4 @ p["logits/kernel"].T) * keep * (z3 > 0)
+        g["dense/kernel"], g["dense/bias"] = flat.T @ gz3, gz3.sum(0)
+        gp2 = (gz3 @ p["dense/kernel"].T).reshape(p2.shape)
+        gz2 = L.max_pool2x2_grad(a2, gp2) * (z2 > 0)
+        g["conv2/kernel"] = L.conv2d_kernel_grad(p1, gz2, k)
+        g["conv2/bias"] = gz2.sum((0, 1, 2))
+        gp1 = L.conv2d_input_grad(gz2, p["conv2/kernel"])
+        gz1 = L.max_pool2x2_grad(a1, gp1) * (z1 > 0)
+        g["conv1/kernel"] = L.conv2d_kernel_grad(a0, gz1, k)
+        g["conv1/bias"] = gz1.sum((0, 1, 2))
+        return g, loss_sum

@@ -156,13 +156,14 @@ def train(df: DataFrame, model: Model, world: int, steps: int, features: str = "
             rank = ctx.partitionId()
             buf = ShuffleBuffer(batches, "features", "label", width, buffer_rows,
                                 np.random.default_rng([stage_seed, rank]))
+            drop_rng = np.random.default_rng([stage_seed, rank, 1])   # dropout masks
             names = sorted(m.params)
             hist = []
             loss_acc, n_acc = 0.0, 0
             for i in range(n_steps):
                 X, y = buf.draw(batch)
                 if len(y):
-                    g, loss_sum = m.grad_sums(X, y)
+                    g, loss_sum = m.grad_sums(X, y, rng=drop_rng)
                     for k in names:
                         vel[k] = momentum * vel[k] + g[k] / len(y)
                         m.params[k] = m.params[k] - lr_eff * vel[k]
@@ -217,7 +218,7 @@ def gradient_step(df: DataFrame, model: Model, features: str = "features",
         for pdf in batches:
             if len(pdf):
                 g, _ = m.grad_sums(L.stack_column(pdf[features], width),
-                                   pdf[label].to_numpy(np.float64))
+                                   pdf[label].to_numpy(np.float64))   # no dropout
                 for k in acc:
                     acc[k] += g[k]
                 n += len(pdf)

@@ -53,17 +53,53 @@ def pandas_passthrough(df: DataFrame) -> DataFrame:
 SUM_PROGRAM = "awk 'BEGIN {s = 0} {for (i = 1; i <= NF; i++) s += $i} END {print s}'"
 
 
+def pipe_partitions(df: DataFrame, col, program: str) -> DataFrame:
+    """Each partition's values, one per line, go to the stdin of one run of an
+    external program; every stdout line becomes a row ``line string``.  The
+    values stream from Arrow batches (no per-row pickling); stdout is read
+    by a thread while stdin is written, so chatty programs cannot deadlock.
+    A non-zero exit fails the task with the program's stderr."""
+    src = df.select(_c(col).cast("string").alias("value"))
+
+    def run(batches):
+        import subprocess
+        import threading
+
+        import pyarrow as pa
+        proc = subprocess.Popen(program, shell=True, stdin=subprocess.PIPE,
+                                stdout=subprocess.PIPE, stderr=subprocess.PIPE)
+        out: list[bytes] = []
+        err: list[bytes] = []
+        readers = [threading.Thread(target=lambda: out.append(proc.stdout.read())),
+                   threading.Thread(target=lambda: err.append(proc.stderr.read()))]
+        for t in readers:
+            t.start()
+        try:
+            for b in batches:
+                vals = ["" if v is None else v for v in b.column("value").to_pylist()]
+                if vals:
+                    proc.stdin.write(("\n".join(vals) + "\n").encode("utf-8"))
+        finally:
+            proc.stdin.close()
+        for t in readers:
+            t.join()
+        code = proc.wait()
+        if code != 0:
+            raise RuntimeError(f"{program!r} exited with {code}: "
+                               f"{b''.join(err).decode('utf-8', 'replace')[-2000:]}")
+        lines = b"".join(out).decode("utf-8").splitlines()
+        yield pa.RecordBatch.from_pydict({"line": pa.array(lines, pa.string())})
+
+    return src.mapInArrow(run, "line string")
+
+
 def pipe_sum(df: DataFrame, col, program: str = SUM_PROGRAM) -> DataFrame:
-    """Each partition's values, one per line, go to an external program's
-    stdin; its stdout (one integer) is that partition's partial.  A failing
-    program fails the task (``checkCode``).  Partials are summed by Spark."""
-    spark = df.sparkSession
-    lines = df.select(_c(col).cast("string")).rdd.map(lambda r: r[0] if r[0] is not None else "")
-    partials = lines.pipe(program, checkCode=True).map(lambda s: (int(s.strip()),))
-    return spark.createDataFrame(partials, "partial bigint").agg(
-        F.count(F.lit(1)).alias("n_partials"),
-        F.sum("partial").alias("total"))
+    """Per-partition partial sums by an external program, added up by Spark."""
+    partials = pipe_partitions(df, col, program).select(
+        F.trim("line").cast("bigint").alias("partial"))
+    return partials.agg(F.count(F.lit(1)).alias("n_partials"),
+                        F.sum("partial").alias("total"))
 
 
 __all__ = ["udf_two_columns", "rank0_label", "map_partitions", "arrow_passthrough",
-           "pandas_passthrough", "pipe_sum", "SUM_PROGRAM", "pd"]
+           "pandas_passthrough", "pipe_partitions", "pipe_sum", "SUM_PROGRAM", "pd"]

@@ -49,6 +49,7 @@ ORACLE_SQL: dict[str, str] = {
                         "FROM documents GROUP BY lang"),
     "read_binary": ("SELECT page_id, CAST(octet_length(encode(html)) AS BIGINT) AS n_bytes, "
                     "sha256(html) AS digest FROM pages"),
+    "write_binary": "SELECT page_id, CAST(octet_length(encode(html)) AS BIGINT) AS n_bytes FROM pages",
     "synth_vectors": ("SELECT vec_id, 784 AS dim, true AS all_in_unit, true AS label_in_unit "
                       "FROM embeddings"),
     "model_roundtrip": f"{LOGITS}, {PRED} SELECT vec_id, prediction FROM pred",
@@ -145,6 +146,7 @@ ORACLE_SQL: dict[str, str] = {
     "score_table_pandas": SCORES,
     "score_map_in_pandas": SCORES,
     "train_model": "SELECT 650 AS n_params, true AS beats_majority",
+    "train_convnet": "SELECT 2298 AS n_params, true AS beats_majority",
     "train_history": "SELECT CAST(unnest([0, 50, 100, 150, 199]) AS INTEGER) AS step, true AS loss_finite",
     # partitioning, gang, UDF forms
     "repartition_counts": "SELECT count(*) AS n_rows, CAST(5 AS BIGINT) AS n_parts, true AS balanced FROM lineitem",

@@ -21,7 +21,7 @@ from tessera.operators import partitions as P
 from tessera.operators import scoring as SC
 from tessera.operators import training as TR
 from tessera.operators import udfs as U
-from tessera.operators.model import SoftmaxRegression, fixture_matrix
+from tessera.operators.model import ConvNet, SoftmaxRegression, fixture_matrix
 from tessera.session import shared_dir
 from tessera.sources import readers as R
 from tessera.sources import writers as W
@@ -167,6 +167,16 @@ def q_read_binary(spark, sf):
         F.col("length").alias("n_bytes"), F.sha2("content", 256).alias("digest"))
 
 
+def q_write_binary(spark, sf):
+    """One file per page with its HTML bytes; the writer's per-file report."""
+    written = W.write_binary_files(
+        table(spark, sf, "pages"),
+        F.concat(F.lit("page-"), F.col("page_id").cast("string"), F.lit(".html")),
+        F.col("html").cast("binary"), shared_dir(spark, "binary-out"))
+    return written.select(
+        F.regexp_extract("name", r"page-(\d+)\.html$", 1).cast("bigint").alias("page_id"), "n_bytes")
+
+
 def q_synth_vectors(spark, sf):
     keys = table(spark, sf, "embeddings").select("vec_id")
     v = R.synth_vectors(keys, dim=784, seed=42, key="vec_id")
@@ -383,9 +393,16 @@ def conv_kernel(filters=CONV_FILTERS, ksize=KSIZE, channels=1) -> np.ndarray:
 
 def q_conv2d(spark, sf):
     out = L.conv2d_layer(_emb(spark, sf), "features", IMAGE, conv_kernel(), None, "relu", "conv")
-    cells = out.select("vec_id", F.posexplode("conv").alias("pos", "v"))
-    return cells.groupBy("vec_id", (F.col("pos") % CONV_FILTERS).cast("int").alias("filter")).agg(
-        _r(F.sum("v"), 6).alias("act_sum"), _r(F.max("v"), 6).alias("act_max"))
+    # Per filter, sum and max over the row's own output array: no explode, no shuffle.
+    per_filter = F.transform(
+        F.sequence(F.lit(0), F.lit(CONV_FILTERS - 1)),
+        lambda f: F.struct(
+            f.alias("filter"),
+            F.aggregate(F.filter("conv", lambda x, i: i % CONV_FILTERS == f),
+                        F.lit(0.0), lambda a, x: a + x).alias("act_sum"),
+            F.array_max(F.filter("conv", lambda x, i: i % CONV_FILTERS == f)).alias("act_max")))
+    return out.select("vec_id", F.inline(per_filter)).select(
+        "vec_id", "filter", _r("act_sum", 6).alias("act_sum"), _r("act_max", 6).alias("act_max"))
 
 
 def q_max_pool(spark, sf):
@@ -416,7 +433,7 @@ def q_score_map_in_pandas(spark, sf):
 
 
 TRAIN_ARGS = dict(world=2, steps=400, batch=100, lr=0.05, momentum=0.9, seed=5,
-                  log_every=50, sync_every=25)
+                  log_every=50, sync_every=50)
 _TRAINED: dict = {}
 
 
@@ -430,12 +447,25 @@ def _train(spark, sf):
 
 def q_train_model(spark, sf):
     res = _train(spark, sf)
-    scored = SC.score_table(_emb(spark, sf), res.model)
+    return _beats_majority(SC.score_table(_emb(spark, sf), res.model), res.model)
+
+
+CONVNET = dict(height=8, width=8, channels=1, f1=4, f2=8, hidden=32, classes=CLASSES, ksize=5)
+
+
+def q_train_convnet(spark, sf):
+    """The two-convolution network, trained data-parallel with dropout."""
+    emb = _emb(spark, sf)
+    res = TR.train(emb, ConvNet(**CONVNET), **{**TRAIN_ARGS, "seed": 3})
+    return _beats_majority(SC.score_table(emb, res.model), res.model)
+
+
+def _beats_majority(scored, model):
     per_class = scored.groupBy("label").agg(
         F.count(F.lit(1)).alias("rows"),
         F.sum((F.col("prediction") == F.col("label")).cast("bigint")).alias("hits"))
     return per_class.agg(
-        F.lit(res.model.n_params()).alias("n_params"),
+        F.lit(model.n_params()).alias("n_params"),
         (F.sum("hits") / F.sum("rows") > F.max("rows") / F.sum("rows")).alias("beats_majority"))
 
 
@@ -516,6 +546,7 @@ QUERIES = {
     "scan_arrow": q_scan_arrow,
     "read_whole_text": q_read_whole_text,
     "read_binary": q_read_binary,
+    "write_binary": q_write_binary,
     "synth_vectors": q_synth_vectors,
     "model_roundtrip": q_model_roundtrip,
     "top_predictions": q_top_predictions,
@@ -558,6 +589,7 @@ QUERIES = {
     "score_map_in_pandas": q_score_map_in_pandas,
     "train_model": q_train_model,
     "train_history": q_train_history,
+    "train_convnet": q_train_convnet,
     # partitioning, gang, UDF forms
     "repartition_counts": q_repartition_counts,
     "strided_partials": q_strided_partials,

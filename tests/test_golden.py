@@ -27,8 +27,7 @@ def test_inclusive_range_1_to_3(spark):
 
 def test_pipe_partials_3_12_30(spark):
     rng = R.int_range(spark, 0, 10, 3)
-    lines = rng.select(F.col("id").cast("string")).rdd.map(lambda r: r[0])
-    partials = lines.pipe(U.SUM_PROGRAM, checkCode=True).map(int).collect()
+    partials = [int(r.line) for r in U.pipe_partitions(rng, "id", U.SUM_PROGRAM).collect()]
     assert sorted(partials) == [3, 12, 30]
     assert U.pipe_sum(rng, "id").first().total == 45
 

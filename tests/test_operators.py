@@ -105,6 +105,18 @@ def test_all_reduce_sum(spark):
     assert all(r.a == 3.0 and r.b == 3.0 for r in rows)
 
 
+def test_failing_program_fails_the_task(spark):
+    from tessera.operators import udfs as U
+    with pytest.raises(Exception, match="boom"):
+        U.pipe_partitions(spark.range(5), "id", "cat >/dev/null; echo boom >&2; exit 3").collect()
+
+
+def test_pipe_streams_many_lines(spark):
+    from tessera.operators import udfs as U
+    out = U.pipe_partitions(spark.range(0, 200_000, 1, 2), "id", "cat")
+    assert out.count() == 200_000
+
+
 def test_ship_file_to_workers(spark, tmp_path):
     from pyspark import SparkFiles
     p = tmp_path / "prog.txt"
@@ -290,3 +302,29 @@ def test_model_rows_roundtrip():
     m = SoftmaxRegression.fixture(4, 3)
     m2 = Model.from_rows(m.to_rows())
     assert np.array_equal(m2.params["W"], m.params["W"])
+
+
+def test_convnet_gradient_matches_numeric():
+    rng = np.random.default_rng(0)
+    m = ConvNet(4, 4, 2, f1=2, f2=3, hidden=5, classes=3, ksize=3)
+    for k in m.params:
+        m.params[k] = m.params[k] + rng.normal(scale=0.3, size=m.params[k].shape)
+    x, y = rng.normal(size=(6, 32)), rng.integers(0, 3, 6).astype(float)
+    g, _ = m.grad_sums(x, y)
+    eps = 1e-6
+    for name in m.params:
+        num = np.zeros_like(m.params[name])
+        for idx in np.ndindex(num.shape):
+            m.params[name][idx] += eps
+            up = m.loss(x, y) * len(y)
+            m.params[name][idx] -= 2 * eps
+            down = m.loss(x, y) * len(y)
+            m.params[name][idx] += eps
+            num[idx] = (up - down) / (2 * eps)
+        assert np.allclose(g[name], num, atol=1e-6), name
+
+
+def test_pool_grad_routes_to_first_max():
+    x = np.array([[1.0, 5.0], [5.0, 0.0]]).reshape(1, 2, 2, 1)
+    g = L.max_pool2x2_grad(x, np.ones((1, 1, 1, 1)))
+    assert g.ravel().tolist() == [0.0, 1.0, 0.0, 0.0]
