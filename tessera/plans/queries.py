@@ -57,16 +57,22 @@ def _vector_summary(df, label="label", features="features") -> DataFrame:
                      F.size(features).alias("dim"), _micro(F.col(features)).alias("micro"))
 
 
+def _stored(spark, sf):
+    """Embeddings as stored (float32): the model widens them in NumPy, so the
+    JVM sends Python half the bytes of a double array."""
+    return table(spark, sf, "embeddings").select("vec_id", "label", F.col("embedding").alias("features"))
+
+
 def _fixture_model() -> SoftmaxRegression:
     return SoftmaxRegression.fixture(DIM, CLASSES)
 
 
 def _scored(spark, sf):
-    return SC.score_table(_emb(spark, sf), _fixture_model())
+    return SC.score_table(_stored(spark, sf), _fixture_model())
 
 
 def _with_logits(spark, sf):
-    emb = _emb(spark, sf)
+    emb = _stored(spark, sf)
     return emb.withColumn("z", SC.logits_column(spark, _fixture_model(), "features"))
 
 
@@ -188,12 +194,14 @@ def q_synth_vectors(spark, sf):
 def q_model_roundtrip(spark, sf):
     path = SC.save_model(spark, _fixture_model())
     model = SC.load_model(spark, path)
-    return SC.score_table(_emb(spark, sf), model).select("vec_id", "prediction")
+    return SC.score_table(_stored(spark, sf), model).select("vec_id", "prediction")
 
 
 def q_top_predictions(spark, sf):
-    return _scored(spark, sf).select("vec_id", "label", "prediction") \
-        .orderBy("vec_id").limit(10)
+    # The order does not depend on the prediction: take the 10 rows first
+    # (top-k per partition, then merged), then score only those.
+    first = _stored(spark, sf).orderBy("vec_id").limit(10)
+    return SC.score_table(first, _fixture_model()).select("vec_id", "label", "prediction")
 
 
 # ----------------------------------------------------------------- projections / filters
@@ -424,11 +432,11 @@ def q_score_table(spark, sf):
 
 
 def q_score_table_pandas(spark, sf):
-    return SC.score_pandas(_emb(spark, sf), _fixture_model()).select("vec_id", "label", "prediction")
+    return SC.score_pandas(_stored(spark, sf), _fixture_model()).select("vec_id", "label", "prediction")
 
 
 def q_score_map_in_pandas(spark, sf):
-    return SC.score_map_in_pandas(_emb(spark, sf), _fixture_model()) \
+    return SC.score_map_in_pandas(_stored(spark, sf), _fixture_model()) \
         .select("vec_id", "label", "prediction")
 
 
