@@ -9,6 +9,6 @@ Sub-packages:
   streaming  scoring over a file stream with Structured Streaming
 """
 
-from tessera.session import local_session, shared_dir
+from tessera.session import local_session, ship_package, shared_dir
 
-__all__ = ["local_session", "shared_dir"]
+__all__ = ["local_session", "ship_package", "shared_dir"]

@@ -32,6 +32,7 @@ def local_session(cores: int = 8, shuffle_partitions: int = 8,
     )
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
+    ship_package(spark)
     return spark
 
 
@@ -57,3 +58,34 @@ def checkpoint_root(spark: SparkSession) -> str:
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A new, unique folder path under the shared checkpoint folder."""
     return f"{checkpoint_root(spark).rstrip('/')}/tessera/{name}-{uuid.uuid4().hex}"
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``tessera`` importable in every Python worker: zip the package
+    into the shared folder once per application and ``addPyFile`` it (what
+    ``--py-files`` does at submit time)."""
+    import io
+    import os
+    import zipfile
+
+    sc = spark.sparkContext
+    if sc.applicationId in _SHIPPED:
+        return
+    root = os.path.dirname(os.path.abspath(__file__))
+    buf = io.BytesIO()
+    with zipfile.ZipFile(buf, "w", zipfile.ZIP_DEFLATED) as z:
+        for d, _, files in os.walk(root):
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(d, f)
+                    z.write(full, os.path.relpath(full, os.path.dirname(root)))
+    from tessera.sources import fs
+    target = f"{shared_dir(spark, 'pyfiles')}/tessera.zip"
+    fs.ensure_dir(target.rsplit("/", 1)[0])
+    with fs.atomic_output(target) as out:
+        out.write(buf.getvalue())
+    sc.addPyFile(target)
+    _SHIPPED.add(sc.applicationId)
