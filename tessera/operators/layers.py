@@ -22,6 +22,14 @@ from tessera.functions import tensor
 # Weights larger than this are not broadcast: a model this size belongs in a
 # file every worker reads itself.
 MAX_BROADCAST_BYTES = 512 * 1024 * 1024
+# Convolutions work on sliding windows of (rows, h, w, c, kh, kw); a batch is
+# cut into chunks so that this intermediate stays under about this many bytes.
+CONV_CHUNK_BYTES = 64 * 1024 * 1024
+
+
+def _chunks(n_rows: int, per_row_elems: int):
+    step = max(1, CONV_CHUNK_BYTES // max(1, per_row_elems * 8))
+    return [slice(i, min(n_rows, i + step)) for i in range(0, n_rows, step)] or [slice(0, 0)]
 
 
 # ---------------------------------------------------------------- kernels
@@ -55,8 +63,10 @@ def conv2d_same(x: np.ndarray, kernel: np.ndarray, bias: np.ndarray | None = Non
     ph, pw = (kh - 1) // 2, (kw - 1) // 2
     xp = np.pad(x, ((0, 0), (ph, kh - 1 - ph), (pw, kw - 1 - pw), (0, 0)))
     win = np.lib.stride_tricks.sliding_window_view(xp, (kh, kw), axis=(1, 2))
-    # win: (batch, h, w, c, kh, kw)
-    out = np.einsum("bhwcij,ijcf->bhwf", win, kernel, optimize=True)
+    # win: (batch, h, w, c, kh, kw), a view; einsum copies it, so chunk the batch
+    out = np.empty(x.shape[:3] + (kernel.shape[3],))
+    for sl in _chunks(len(x), int(np.prod(x.shape[1:])) * kh * kw):
+        out[sl] = np.einsum("bhwcij,ijcf->bhwf", win[sl], kernel, optimize=True)
     return out + bias if bias is not None else out
 
 
@@ -66,7 +76,10 @@ def conv2d_kernel_grad(x: np.ndarray, g: np.ndarray, ksize: tuple[int, int]) ->
     ph, pw = (kh - 1) // 2, (kw - 1) // 2
     xp = np.pad(x, ((0, 0), (ph, kh - 1 - ph), (pw, kw - 1 - pw), (0, 0)))
     win = np.lib.stride_tricks.sliding_window_view(xp, (kh, kw), axis=(1, 2))
-    return np.einsum("bhwcij,bhwf->ijcf", win, g, optimize=True)
+    out = np.zeros((kh, kw, x.shape[3], g.shape[3]))
+    for sl in _chunks(len(x), int(np.prod(x.shape[1:])) * kh * kw):
+        out += np.einsum("bhwcij,bhwf->ijcf", win[sl], g[sl], optimize=True)
+    return out
 
 
 def conv2d_input_grad(g: np.ndarray, kernel: np.ndarray) -> np.ndarray:
@@ -77,7 +90,10 @@ def conv2d_input_grad(g: np.ndarray, kernel: np.ndarray) -> np.ndarray:
     gp = np.pad(g, ((0, 0), (kh - 1 - ph, ph), (kw - 1 - pw, pw), (0, 0)))
     win = np.lib.stride_tricks.sliding_window_view(gp, (kh, kw), axis=(1, 2))
     flipped = kernel[::-1, ::-1].transpose(0, 1, 3, 2)          # (kh, kw, f, c)
-    return np.einsum("bhwfij,ijfc->bhwc", win, flipped, optimize=True)
+    out = np.empty(g.shape[:3] + (kernel.shape[2],))
+    for sl in _chunks(len(g), int(np.prod(g.shape[1:])) * kh * kw):
+        out[sl] = np.einsum("bhwfij,ijfc->bhwc", win[sl], flipped, optimize=True)
+    return out
 
 
 def max_pool2x2_grad(x: np.ndarray, g: np.ndarray) -> np.ndarray:

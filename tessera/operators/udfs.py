@@ -53,12 +53,14 @@ def pandas_passthrough(df: DataFrame) -> DataFrame:
 SUM_PROGRAM = "awk 'BEGIN {s = 0} {for (i = 1; i <= NF; i++) s += $i} END {print s}'"
 
 
-def pipe_partitions(df: DataFrame, col, program: str) -> DataFrame:
+def pipe_partitions(df: DataFrame, col, program: str, lines_per_batch: int = 10_000) -> DataFrame:
     """Each partition's values, one per line, go to the stdin of one run of an
-    external program; every stdout line becomes a row ``line string``.  The
-    values stream from Arrow batches (no per-row pickling); stdout is read
-    by a thread while stdin is written, so chatty programs cannot deadlock.
-    A non-zero exit fails the task with the program's stderr."""
+    external program; every stdout line becomes a row ``line string``.
+
+    A writer thread streams the Arrow batches into stdin while the task
+    yields stdout in batches of ``lines_per_batch`` lines, so neither side is
+    held in memory and a chatty program cannot deadlock.  A non-zero exit
+    fails the task with the end of the program's stderr."""
     src = df.select(_c(col).cast("string").alias("value"))
 
     def run(batches):
@@ -68,27 +70,45 @@ def pipe_partitions(df: DataFrame, col, program: str) -> DataFrame:
         import pyarrow as pa
         proc = subprocess.Popen(program, shell=True, stdin=subprocess.PIPE,
                                 stdout=subprocess.PIPE, stderr=subprocess.PIPE)
-        out: list[bytes] = []
+        failure: list[BaseException] = []
         err: list[bytes] = []
-        readers = [threading.Thread(target=lambda: out.append(proc.stdout.read())),
-                   threading.Thread(target=lambda: err.append(proc.stderr.read()))]
-        for t in readers:
+
+        def feed():
+            try:
+                for b in batches:
+                    vals = ["" if v is None else v for v in b.column("value").to_pylist()]
+                    if vals:
+                        proc.stdin.write(("\n".join(vals) + "\n").encode("utf-8"))
+            except BrokenPipeError:
+                pass                              # the program stopped reading
+            except BaseException as e:            # surfaced in the task below
+                failure.append(e)
+            finally:
+                try:
+                    proc.stdin.close()
+                except BrokenPipeError:
+                    pass
+
+        threads = [threading.Thread(target=feed, daemon=True),
+                   threading.Thread(target=lambda: err.append(proc.stderr.read()), daemon=True)]
+        for t in threads:
             t.start()
-        try:
-            for b in batches:
-                vals = ["" if v is None else v for v in b.column("value").to_pylist()]
-                if vals:
-                    proc.stdin.write(("\n".join(vals) + "\n").encode("utf-8"))
-        finally:
-            proc.stdin.close()
-        for t in readers:
+        chunk: list[str] = []
+        for raw in proc.stdout:
+            chunk.append(raw.decode("utf-8").rstrip("\n"))
+            if len(chunk) == lines_per_batch:
+                yield pa.RecordBatch.from_pydict({"line": pa.array(chunk, pa.string())})
+                chunk = []
+        for t in threads:
             t.join()
         code = proc.wait()
+        if failure:
+            raise failure[0]
         if code != 0:
             raise RuntimeError(f"{program!r} exited with {code}: "
                                f"{b''.join(err).decode('utf-8', 'replace')[-2000:]}")
-        lines = b"".join(out).decode("utf-8").splitlines()
-        yield pa.RecordBatch.from_pydict({"line": pa.array(lines, pa.string())})
+        if chunk:
+            yield pa.RecordBatch.from_pydict({"line": pa.array(chunk, pa.string())})
 
     return src.mapInArrow(run, "line string")
 

@@ -328,3 +328,23 @@ def test_pool_grad_routes_to_first_max():
     x = np.array([[1.0, 5.0], [5.0, 0.0]]).reshape(1, 2, 2, 1)
     g = L.max_pool2x2_grad(x, np.ones((1, 1, 1, 1)))
     assert g.ravel().tolist() == [0.0, 1.0, 0.0, 0.0]
+
+
+def test_chunked_conv_matches_unchunked(monkeypatch):
+    rng = np.random.default_rng(2)
+    x, k = rng.normal(size=(9, 6, 6, 3)), rng.normal(size=(5, 5, 3, 4))
+    whole = L.conv2d_same(x, k)
+    g = rng.normal(size=(9, 6, 6, 4))
+    kg, ig = L.conv2d_kernel_grad(x, g, (5, 5)), L.conv2d_input_grad(g, k)
+    monkeypatch.setattr(L, "CONV_CHUNK_BYTES", 1)          # one row per chunk
+    assert np.allclose(L.conv2d_same(x, k), whole)
+    assert np.allclose(L.conv2d_kernel_grad(x, g, (5, 5)), kg)
+    assert np.allclose(L.conv2d_input_grad(g, k), ig)
+
+
+def test_full_size_convnet_scores_784_wide_rows(spark):
+    from tessera.sources.readers import synth_vectors
+    m = ConvNet(28, 28)                      # 32 and 64 filters, 1024 hidden
+    vec = synth_vectors(table(spark, SF01, "embeddings").select("vec_id"), 784, key="vec_id")
+    out = SC.score_table(vec.limit(16), m, batch_size=8).collect()
+    assert len(out) == 16 and all(0 <= r.prediction < 10 for r in out)
