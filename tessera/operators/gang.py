@@ -81,3 +81,25 @@ def gang_members(df: DataFrame, world: int, key=None) -> DataFrame:
     cols = [key] if isinstance(key, str) else []
     src = df.select(*cols) if cols else df
     return gang(src, world, fn, "rank int, world int, n_rows bigint, peers_known boolean", key)
+
+
+def gang_count_report(df: DataFrame, predicate_fn, world: int, key=None,
+                      label: str = "PI", scale: float = 4.0) -> DataFrame:
+    """The parallel-estimate pattern: every rank counts the rows of its share
+    that pass ``predicate_fn(pandas batch) -> bool array``, the counts are
+    all-gathered, and rank 0 alone yields ``n, hits`` and the report line
+    ``np=%2d;    <label>=%0.4f`` of ``scale * hits / n`` (timing left out)."""
+
+    def fn(ctx, batches):
+        n = hits = 0
+        for pdf in batches:
+            n += len(pdf)
+            hits += int(np.count_nonzero(predicate_fn(pdf)))
+        parts = [p.split(",") for p in ctx.allGather(f"{n},{hits}")]
+        tn, th = sum(int(a) for a, _ in parts), sum(int(b) for _, b in parts)
+        if ctx.partitionId() == 0:
+            size = len(ctx.getTaskInfos())
+            yield pd.DataFrame({"n": [tn], "hits": [th], "report": [
+                "np=%2d;    %s=%0.4f" % (size, label, scale * th / tn if tn else float("nan"))]})
+
+    return gang(df, world, fn, "n bigint, hits bigint, report string", key)

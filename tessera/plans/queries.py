@@ -505,6 +505,20 @@ def q_gang_sum(spark, sf):
     return G.gang_sum(li, "l_linenumber", WORLD, key="l_orderkey")
 
 
+def _lattice_hits(pdf):
+    """NumPy form of the lattice point test used by ``pi_lattice``."""
+    k = pdf["l_orderkey"].to_numpy(np.int64)
+    ln = pdf["l_linenumber"].to_numpy(np.int64)
+    x = (((k * 7919 + ln * 104729) % 1000) + 0.5) / 1000.0
+    y = (((k * 104729 + ln * 7919) % 1000) + 0.5) / 1000.0
+    return x * x + y * y < 1.0
+
+
+def q_gang_pi(spark, sf):
+    li = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber")
+    return G.gang_count_report(li, _lattice_hits, WORLD, key="l_orderkey")
+
+
 def q_gang_members(spark, sf):
     li = table(spark, sf, "lineitem").select("l_orderkey")
     return G.gang_members(li, WORLD, key="l_orderkey")
@@ -605,6 +619,7 @@ QUERIES = {
     "strided_partials": q_strided_partials,
     "gang_sum": q_gang_sum,
     "gang_members": q_gang_members,
+    "gang_pi": q_gang_pi,
     "udf_two_columns": q_udf_two_columns,
     "map_partitions": q_map_partitions,
     "arrow_passthrough": q_arrow_passthrough,

@@ -348,3 +348,19 @@ def test_full_size_convnet_scores_784_wide_rows(spark):
     vec = synth_vectors(table(spark, SF01, "embeddings").select("vec_id"), 784, key="vec_id")
     out = SC.score_table(vec.limit(16), m, batch_size=8).collect()
     assert len(out) == 16 and all(0 <= r.prediction < 10 for r in out)
+
+
+def test_mllib_logistic_regression_comparison(spark):
+    """Our gang-trained softmax regression and MLlib's multinomial logistic
+    regression both learn the labels (independent check of the training)."""
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.functions import array_to_vector
+    emb = _emb(spark, SF01)
+    mllib = LogisticRegression(maxIter=100, regParam=0.0, family="multinomial").fit(
+        emb.select(array_to_vector("features").alias("features"), F.col("label").cast("double")))
+    ml_acc = mllib.summary.accuracy
+    res = TR.train(emb, SoftmaxRegression(64), world=2, steps=800, lr=0.05, sync_every=50)
+    ours = SC.score_table(emb, res.model).agg(
+        F.avg((F.col("prediction") == F.col("label")).cast("double"))).first()[0]
+    assert ml_acc > 0.118 and ours > 0.118
+    assert ours > 0.5 * ml_acc
