@@ -136,7 +136,13 @@ def train(df: DataFrame, model: Model, world: int, steps: int, features: str = "
     per_worker = steps // world
     if per_worker < 1:
         raise ValueError(f"steps // world is {per_worker}; need at least one step")
-    data = df.select(_c(features).alias("features"), _c(label).cast("double").alias("label"))
+    # Deal the rows to the ranks once and keep that split in the shared
+    # folder: every stage reads its rank's partition from there, so the
+    # training data is shuffled once per run, not once per stage.
+    from tessera.session import checkpoint_root
+    checkpoint_root(spark)
+    data = df.select(_c(features).alias("features"), _c(label).cast("double").alias("label")) \
+        .repartition(world).checkpoint(eager=True)
     steps_per_stage = max(1, checkpoint_every)
     width = int(np.prod(model.shape)) if hasattr(model, "shape") else model.dim
     path = path or shared_dir(spark, "train")
@@ -193,7 +199,8 @@ def train(df: DataFrame, model: Model, world: int, steps: int, features: str = "
                 yield _state_rows(m, vel, hist)
 
         state_path = f"{path}/stage-{stage:05d}"
-        gang(data, world, fn, STATE_SCHEMA).write.mode("errorifexists").parquet(state_path)
+        gang(data, world, fn, STATE_SCHEMA, prepartitioned=True) \
+            .write.mode("errorifexists").parquet(state_path)
         model, velocity = _read_state(spark, state_path)
         done += n_steps
         stage += 1
