@@ -4,7 +4,6 @@ per-partition counts, a global row index and seeded mini-batches."""
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
@@ -75,4 +74,4 @@ def minibatch_sizes(batched: DataFrame) -> DataFrame:
 
 
 __all__ = ["repartition_n", "strided", "partition_zero", "partition_counts",
-           "global_index", "minibatches", "minibatch_sizes", "pd"]
+           "global_index", "minibatches", "minibatch_sizes"]

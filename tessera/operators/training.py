@@ -131,7 +131,8 @@ def train(df: DataFrame, model: Model, world: int, steps: int, features: str = "
     logged at synchronisation steps that are multiples of ``log_every``.
 
     Every ``checkpoint_every`` steps the state is written to the shared
-    folder and a new gang stage continues from it (and re-reads the data)."""
+    folder and a new gang stage continues from it over the same
+    checkpointed split of the rows."""
     spark = df.sparkSession
     per_worker = steps // world
     if per_worker < 1:

@@ -3,7 +3,6 @@ pandas and Arrow batches, and an external program per partition."""
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -122,4 +121,4 @@ def pipe_sum(df: DataFrame, col, program: str = SUM_PROGRAM) -> DataFrame:
 
 
 __all__ = ["udf_two_columns", "rank0_label", "map_partitions", "arrow_passthrough",
-           "pandas_passthrough", "pipe_partitions", "pipe_sum", "SUM_PROGRAM", "pd"]
+           "pandas_passthrough", "pipe_partitions", "pipe_sum", "SUM_PROGRAM"]

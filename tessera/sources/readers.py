@@ -8,7 +8,6 @@ from __future__ import annotations
 import io
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.ipc as ipc
 from pyspark.errors import AnalysisException
@@ -72,11 +71,12 @@ def scan_feature_files(manifest: DataFrame, spread: int | None = None) -> DataFr
     files = manifest.select("featureArrayFile", "labelsFile").repartition(n)
 
     def read_pairs(batches):
-        for pdf in batches:
-            for feat_uri, lab_uri in zip(pdf["featureArrayFile"], pdf["labelsFile"]):
+        for b in batches:
+            for feat_uri, lab_uri in zip(b.column("featureArrayFile").to_pylist(),
+                                         b.column("labelsFile").to_pylist()):
                 yield from _read_pair(feat_uri, lab_uri)
 
-    return files.mapInPandas(read_pairs, FEATURE_ROW)
+    return files.mapInArrow(read_pairs, FEATURE_ROW)
 
 
 def _read_pair(feat_uri: str, lab_uri: str, chunk: int = 4096):
@@ -84,17 +84,56 @@ def _read_pair(feat_uri: str, lab_uri: str, chunk: int = 4096):
     with fs.open_input_stream(feat_uri) as ff, fs.open_input_stream(lab_uri) as lf:
         ft = io.TextIOWrapper(io.BufferedReader(ff), encoding="utf-8")
         lt = io.TextIOWrapper(io.BufferedReader(lf), encoding="utf-8")
-        rows, labels, line = [], [], 0
+        lines, labels, line = [], [], 0
         for fline, lline in _zip_strict(ft, lt):
-            fline = fline.rstrip("\n")
-            rows.append([float(v) for v in fline.split(",")] if fline else [])
+            lines.append(fline.rstrip("\n"))
             labels.append(float(lline))
-            if len(rows) == chunk:
-                yield _pair_frame(file_id, line, rows, labels)
-                line += len(rows)
-                rows, labels = [], []
-        if rows:
-            yield _pair_frame(file_id, line, rows, labels)
+            if len(lines) == chunk:
+                yield _pair_batch(file_id, line, lines, labels)
+                line += len(lines)
+                lines, labels = [], []
+        if lines:
+            yield _pair_batch(file_id, line, lines, labels)
+
+
+def _parse_vectors(lines: list[str]) -> pa.ListArray:
+    """Comma-separated numbers per line into an Arrow list column built from
+    offsets, with no per-row objects; an empty line is an empty vector.
+
+    Rows of one width go through Arrow's CSV parser, ragged chunks through
+    one NumPy call; both parse correctly rounded, like ``float``."""
+    widths = np.array([line.count(",") + 1 if line else 0 for line in lines], dtype=np.int32)
+    if len(widths) and widths[0] > 0 and np.all(widths == widths[0]):
+        flat = _parse_rectangular(lines, int(widths[0]))
+    else:
+        text = ",".join(line for line in lines if line)
+        flat = np.fromstring(text, dtype=np.float64, sep=",") if text else np.zeros(0)
+    if len(flat) != widths.sum():
+        raise ValueError("feature file has a value that is not a number")
+    offsets = np.concatenate([[0], np.cumsum(widths)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))
+
+
+def _parse_rectangular(lines: list[str], width: int) -> np.ndarray:
+    import pyarrow.csv as pcsv
+    names = [f"c{i}" for i in range(width)]
+    tbl = pcsv.read_csv(
+        io.BytesIO(("\n".join(lines) + "\n").encode("utf-8")),
+        read_options=pcsv.ReadOptions(column_names=names, use_threads=False),
+        parse_options=pcsv.ParseOptions(newlines_in_values=False),
+        convert_options=pcsv.ConvertOptions(column_types={n: pa.float64() for n in names}))
+    if tbl.num_rows != len(lines):
+        raise ValueError("feature file chunk did not parse row for row")
+    return np.column_stack([c.to_numpy() for c in tbl.columns]).ravel()
+
+
+def _pair_batch(file_id, start, lines, labels) -> pa.RecordBatch:
+    n = len(lines)
+    return pa.RecordBatch.from_arrays(
+        [pa.array([file_id] * n, pa.string()),
+         pa.array(np.arange(start, start + n, dtype=np.int64)),
+         _parse_vectors(lines), pa.array(labels, pa.float64())],
+        names=["file_id", "line", "features", "label"])
 
 
 def _zip_strict(a, b):
@@ -104,12 +143,6 @@ def _zip_strict(a, b):
         raise ValueError("feature and label files have different line counts")
 
 
-def _pair_frame(file_id, start, rows, labels) -> pd.DataFrame:
-    return pd.DataFrame({"file_id": file_id,
-                         "line": np.arange(start, start + len(rows), dtype=np.int64),
-                         "features": rows, "label": labels})
-
-
 def arrow_schema_of(uri: str) -> pa.Schema:
     """The schema in one Arrow IPC file's footer (read on the driver, no rows)."""
     with fs.open_input(uri) as f:
