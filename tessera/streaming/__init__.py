@@ -19,7 +19,7 @@ def score_stream(spark: SparkSession, source_dir: str, table: str, model: Model,
                  sink: str | None = None, files_per_trigger: int = 8) -> DataFrame:
     """Score every ``<table>*.parquet`` file in ``source_dir`` as a stream
     (run until all present files are done) and return the sink as a table."""
-    schema = spark.read.parquet(f"{source_dir.rstrip('/')}/{table}.parquet").schema
+    schema = spark.read.option("pathGlobFilter", f"{table}*.parquet").parquet(source_dir).schema
     stream = (spark.readStream.schema(schema)
               .option("pathGlobFilter", f"{table}*.parquet")
               .option("maxFilesPerTrigger", files_per_trigger)
