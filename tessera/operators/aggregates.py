@@ -11,6 +11,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera import constants as K
 from tessera.functions import tensor
 
 
@@ -92,8 +93,8 @@ def vector_mean(df: DataFrame, col, by: list[str] | None = None,
                     lambda s: s["mean"]).alias("mean"))
 
 
-def report_row(df: DataFrame, np_col, value_col, label: str = "sum",
-               fmt: str = "%d") -> DataFrame:
-    """The reference's report line without the timing: ``np= 3;    sum=45``."""
-    return df.select(F.format_string(f"np=%2d;    {label}={fmt}", _c(np_col),
-                                     _c(value_col)).alias("report"))
+def report_row(df: DataFrame, np_col, value_col, fmt: str = K.REPORT_SUM_FORMAT) -> DataFrame:
+    """The report line without the timing: ``np= 3;    sum=45``.  (Java's
+    formatter wants ``%.4f`` where C accepts ``%0.4f``; the output is the same.)"""
+    fmt = fmt.replace("%0.", "%.")
+    return df.select(F.format_string(fmt, _c(np_col), _c(value_col)).alias("report"))

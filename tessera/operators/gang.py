@@ -18,6 +18,7 @@ from pyspark import BarrierTaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera import constants as K
 from tessera.operators.partitions import strided
 
 
@@ -93,11 +94,11 @@ def gang_members(df: DataFrame, world: int, key=None) -> DataFrame:
 
 
 def gang_count_report(df: DataFrame, predicate_fn, world: int, key=None,
-                      label: str = "PI", scale: float = 4.0) -> DataFrame:
+                      fmt: str = K.REPORT_PI_FORMAT, scale: float = 4.0) -> DataFrame:
     """The parallel-estimate pattern: every rank counts the rows of its share
     that pass ``predicate_fn(pandas batch) -> bool array``, the counts are
     all-gathered, and rank 0 alone yields ``n, hits`` and the report line
-    ``np=%2d;    <label>=%0.4f`` of ``scale * hits / n`` (timing left out)."""
+    (``fmt`` of the gang size and ``scale * hits / n``; timing left out)."""
 
     def fn(ctx, batches):
         n = hits = 0
@@ -109,6 +110,6 @@ def gang_count_report(df: DataFrame, predicate_fn, world: int, key=None,
         if ctx.partitionId() == 0:
             size = len(ctx.getTaskInfos())
             yield pd.DataFrame({"n": [tn], "hits": [th], "report": [
-                "np=%2d;    %s=%0.4f" % (size, label, scale * th / tn if tn else float("nan"))]})
+                fmt % (size, scale * th / tn if tn else float("nan"))]})
 
     return gang(df, world, fn, "n bigint, hits bigint, report string", key)

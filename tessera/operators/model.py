@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import numpy as np
 
+from tessera import constants as K
 from tessera.operators import layers as L
 
 
@@ -74,7 +75,7 @@ class SoftmaxRegression(Model):
 
     kind = "softmax"
 
-    def __init__(self, dim: int, classes: int = 10, params=None):
+    def __init__(self, dim: int, classes: int = K.CLASSES, params=None):
         self.dim, self.classes = dim, classes
         super().__init__(params or {"W": np.zeros((classes, dim)), "b": np.zeros(classes)})
 
@@ -86,7 +87,7 @@ class SoftmaxRegression(Model):
         return cls(config[0], config[1], params)
 
     @classmethod
-    def fixture(cls, dim: int, classes: int = 10) -> "SoftmaxRegression":
+    def fixture(cls, dim: int, classes: int = K.CLASSES) -> "SoftmaxRegression":
         return cls(dim, classes, {"W": fixture_matrix(classes, dim), "b": np.zeros(classes)})
 
     def forward(self, x: np.ndarray) -> np.ndarray:
@@ -108,8 +109,10 @@ class ConvNet(Model):
 
     kind = "convnet"
 
-    def __init__(self, height, width, channels=1, f1=32, f2=64, hidden=1024,
-                 classes=10, ksize=5, params=None, dropout_rate=0.4):
+    def __init__(self, height=K.IMAGE_SHAPE[0], width=K.IMAGE_SHAPE[1],
+                 channels=K.IMAGE_SHAPE[2], f1=K.CONV_FILTERS[0], f2=K.CONV_FILTERS[1],
+                 hidden=K.DENSE_UNITS, classes=K.CLASSES, ksize=K.KERNEL_SIZE, params=None,
+                 dropout_rate=K.DROPOUT_RATE):
         self.shape = (height, width, channels)
         self.f1, self.f2, self.hidden, self.classes, self.ksize = f1, f2, hidden, classes, ksize
         self.dropout_rate = dropout_rate
@@ -137,7 +140,8 @@ class ConvNet(Model):
         return cls(h, w, c, f1, f2, hidden, classes, k, params)
 
     @classmethod
-    def fixture(cls, height, width, channels=1, f1=4, f2=8, hidden=16, classes=10, ksize=5):
+    def fixture(cls, height, width, channels=1, f1=4, f2=8, hidden=16, classes=K.CLASSES,
+                ksize=K.KERNEL_SIZE):
         """Closed-form weights: the fixture rule over (filter, flat offset)."""
         flat = (height // 4) * (width // 4) * f2
 

@@ -61,6 +61,18 @@ def global_index(df: DataFrame, name: str = "row_index") -> DataFrame:
     return fixed.mapInPandas(number, schema)
 
 
+def top_k(df: DataFrame, k: int, *order) -> DataFrame:
+    """The first ``k`` rows by ``order``, as their own small table.
+
+    Planned alone, ``orderBy().limit(k)`` is a top-k per partition and a merge
+    of those (``TakeOrderedAndProject``); with a Python UDF stacked on top,
+    Catalyst instead range-shuffles and sorts every row.  So the top-k is
+    written out first (reliable checkpoint, k rows) and later operators start
+    from it."""
+    checkpoint_root(df.sparkSession)
+    return df.orderBy(*order).limit(k).checkpoint(eager=True)
+
+
 def minibatches(df: DataFrame, batch_size: int = 100, seed: int = 0) -> DataFrame:
     """Seeded random shuffle (a distributed sort on ``rand``), then consecutive
     batches of ``batch_size``: ``batch_id = position div batch_size``."""
@@ -74,4 +86,4 @@ def minibatch_sizes(batched: DataFrame) -> DataFrame:
 
 
 __all__ = ["repartition_n", "strided", "partition_zero", "partition_counts",
-           "global_index", "minibatches", "minibatch_sizes"]
+           "global_index", "top_k", "minibatches", "minibatch_sizes"]

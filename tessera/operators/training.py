@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import (ArrayType, DoubleType, IntegerType, StringType,
                                StructField, StructType)
 
+from tessera import constants as K
 from tessera.operators import layers as L
 from tessera.operators.gang import all_reduce_sum, gang
 from tessera.operators.model import Model
@@ -116,8 +117,9 @@ def _read_state(spark: SparkSession, path: str):
 
 
 def train(df: DataFrame, model: Model, world: int, steps: int, features: str = "features",
-          label: str = "label", batch: int = 100, lr: float = 0.001, momentum: float = 0.9,
-          seed: int = 0, log_every: int = 500, buffer_rows: int = 1000,
+          label: str = "label", batch: int = K.BATCH_SIZE, lr: float = K.LEARNING_RATE,
+          momentum: float = K.MOMENTUM, seed: int = 0, log_every: int = K.LOG_EVERY_STEPS,
+          buffer_rows: int = K.SHUFFLE_QUEUE_ROWS,
           sync_every: int = 1, checkpoint_every: int = 1000,
           path: str | None = None) -> TrainResult:
     """Train ``model`` (it must offer ``grad_sums``) for ``steps // world``

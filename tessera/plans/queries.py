@@ -12,6 +12,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera import constants as K
 from tessera.functions import scalars as S
 from tessera.functions import tensor as T
 from tessera.operators import aggregates as A
@@ -200,10 +201,8 @@ def q_model_roundtrip(spark, sf):
 
 
 def q_top_predictions(spark, sf):
-    # The order does not depend on the prediction: take the 10 rows first
-    # (top-k per partition, then merged), then score only those.
-    first = _stored(spark, sf).orderBy("vec_id").limit(10)
-    return SC.score_table(first, _fixture_model()).select("vec_id", "label", "prediction")
+    return SC.score_table(P.top_k(_stored(spark, sf), 10, "vec_id"), _fixture_model()) \
+        .select("vec_id", "label", "prediction")
 
 
 # ----------------------------------------------------------------- projections / filters
@@ -442,7 +441,7 @@ def q_score_map_in_pandas(spark, sf):
         .select("vec_id", "label", "prediction")
 
 
-TRAIN_ARGS = dict(world=2, steps=400, batch=100, lr=0.05, momentum=0.9, seed=5,
+TRAIN_ARGS = dict(world=2, steps=400, batch=K.BATCH_SIZE, lr=0.05, momentum=K.MOMENTUM, seed=5,
                   log_every=50, sync_every=50)
 _TRAINED: dict = {}
 

@@ -64,7 +64,7 @@ def test_report_row_format(spark):
     df = spark.createDataFrame([(3, 45)], "np int, total bigint")
     assert A.report_row(df, "np", "total").first().report == "np= 3;    sum=45"
     pi = spark.createDataFrame([(3, math.pi)], "np int, pi double")
-    assert A.report_row(pi, "np", "pi", label="PI", fmt="%.4f").first().report == "np= 3;    PI=3.1416"
+    assert A.report_row(pi, "np", "pi", fmt="np=%2d;    PI=%0.4f").first().report == "np= 3;    PI=3.1416"
 
 
 def test_fixture_matrix_rule():
