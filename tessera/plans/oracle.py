@@ -25,8 +25,6 @@ PARTIALS = ("SELECT CAST(l_orderkey % 4 AS INTEGER) AS rank, count(*) AS n, "
 CE = ("ce AS (SELECT z.vec_id, z.label, ln(sum(exp(z.z - zm.m))) + zm.m "
       "- max(CASE WHEN z.k = z.label THEN z.z END) AS ce FROM z JOIN zm ON z.vec_id = zm.vec_id "
       "GROUP BY z.vec_id, z.label, zm.m)")
-KERN = ("kern AS (SELECT i // 4 AS o, i % 4 AS f, ((7 * (i % 4) + 3 * (i // 4)) % 11 - 5) / 10.0 AS w "
-        "FROM (SELECT unnest(range(100)) AS i))")
 
 ORACLE_SQL: dict[str, str] = {
     # sources and sinks
@@ -122,25 +120,30 @@ ORACLE_SQL: dict[str, str] = {
         "SELECT px.vec_id, CAST(dw.u AS INTEGER) AS unit, round(greatest(sum(px.x * dw.w), 0.0), 6) + 0.0 AS value "
         "FROM px JOIN dw ON px.j = dw.j GROUP BY 1, 2"),
     "conv2d": (
-        f"WITH {EMB}, {PX}, {KERN}, "
-        "contrib AS (SELECT px.vec_id, kern.f, px.j // 8 - kern.o // 5 + 2 AS r, "
-        "px.j % 8 - kern.o % 5 + 2 AS c, px.x * kern.w AS v FROM px JOIN kern ON true), "
-        "out AS (SELECT vec_id, f, r, c, greatest(sum(v), 0.0) AS a FROM contrib "
-        "WHERE r BETWEEN 0 AND 7 AND c BETWEEN 0 AND 7 GROUP BY 1, 2, 3, 4) "
-        "SELECT vec_id, CAST(f AS INTEGER) AS filter, round(sum(a), 6) + 0.0 AS act_sum, "
-        "round(max(a), 6) + 0.0 AS act_max FROM out GROUP BY 1, 2"),
+        # Per row: output cell q = (r * 8 + c) * 4 + filter, summing the 5x5
+        # offsets o = dy * 5 + dx whose input pixel lies inside the image.
+        f"WITH {EMB}, conv AS (SELECT vec_id, list_transform(range(256), lambda q: greatest(list_sum("
+        "list_transform(range(25), lambda o: CASE WHEN (q // 32) + (o // 5) - 2 BETWEEN 0 AND 7 "
+        "AND ((q // 4) % 8) + (o % 5) - 2 BETWEEN 0 AND 7 "
+        "THEN f[((q // 32) + (o // 5) - 2) * 8 + ((q // 4) % 8) + (o % 5) - 2 + 1] "
+        "* (((7 * (q % 4) + 3 * o) % 11 - 5) / 10.0) ELSE 0.0 END)), 0.0)) AS a FROM emb), "
+        "cells AS (SELECT vec_id, unnest(a) AS v, generate_subscripts(a, 1) - 1 AS q FROM conv) "
+        "SELECT vec_id, CAST(q % 4 AS INTEGER) AS filter, round(sum(v), 6) + 0.0 AS act_sum, "
+        "round(max(v), 6) + 0.0 AS act_max FROM cells GROUP BY 1, 2"),
     "max_pool": (f"WITH {EMB}, {PX} SELECT vec_id, CAST(((j // 8) // 2) * 4 + (j % 8) // 2 AS INTEGER) AS cell, "
                  "max(x) AS value FROM px GROUP BY 1, 2"),
     "gradient_step": (
-        f"WITH {EMB}, {PX}, cls AS (SELECT unnest(range(10)) AS k), "
-        "n AS (SELECT count(*) AS cnt FROM emb) "
-        "SELECT 'W' AS param, CAST(cls.k AS INTEGER) AS k, CAST(px.j AS INTEGER) AS j, "
-        "round(sum((0.1 - CASE WHEN px.label = cls.k THEN 1 ELSE 0 END) * px.x) / any_value(n.cnt), 9) + 0.0 AS grad "
-        "FROM px JOIN cls ON true JOIN n ON true GROUP BY cls.k, px.j "
+        # From zero weights every class has probability 0.1, so the mean
+        # gradient is (0.1 * sum(x_j) - sum of x_j over rows of class k) / n.
+        f"WITH {EMB}, {PX}, n AS (SELECT count(*) AS cnt FROM emb), "
+        "s AS (SELECT j, sum(x) AS sx FROM px GROUP BY j), "
+        "t AS (SELECT label AS k, j, sum(x) AS tx FROM px GROUP BY label, j), "
+        "c AS (SELECT label AS k, count(*) AS ck FROM emb GROUP BY label) "
+        "SELECT 'W' AS param, CAST(t.k AS INTEGER) AS k, CAST(t.j AS INTEGER) AS j, "
+        "round((0.1 * s.sx - t.tx) / (SELECT cnt FROM n), 9) + 0.0 AS grad FROM t JOIN s ON t.j = s.j "
         "UNION ALL "
-        "SELECT 'b' AS param, CAST(cls.k AS INTEGER) AS k, 0 AS j, "
-        "round(avg(0.1 - CASE WHEN emb.label = cls.k THEN 1 ELSE 0 END), 9) + 0.0 AS grad "
-        "FROM emb JOIN cls ON true GROUP BY cls.k"),
+        "SELECT 'b' AS param, CAST(k AS INTEGER) AS k, 0 AS j, "
+        "round((0.1 * (SELECT cnt FROM n) - ck) / (SELECT cnt FROM n), 9) + 0.0 AS grad FROM c"),
     # training and scoring
     "score_table": SCORES,
     "score_table_pandas": SCORES,
