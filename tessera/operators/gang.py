@@ -32,6 +32,9 @@ def gang(df: DataFrame, world: int, fn, schema, key=None,
     with ``key mod world == r``; otherwise rows are dealt round-robin.
     ``prepartitioned`` takes ``df`` as it is (it must have ``world``
     partitions, e.g. a checkpointed frame reused by several gang stages)."""
+    slots = df.sparkSession.sparkContext.defaultParallelism
+    if world > slots:
+        raise ValueError(f"a gang of {world} needs {world} free task slots; the cluster has {slots}")
     if prepartitioned:
         n = df.rdd.getNumPartitions()
         if n != world:

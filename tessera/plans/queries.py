@@ -388,7 +388,9 @@ DENSE_UNITS = 16
 def q_dense_layer(spark, sf):
     kernel = fixture_matrix(DENSE_UNITS, DIM).T          # (inputs, units)
     out = L.dense_layer(_emb(spark, sf), "features", kernel, None, "relu", "dense")
-    return out.select("vec_id", F.posexplode("dense").alias("unit", "value")) \
+    # The layer always yields DENSE_UNITS values; the _outer form keeps Catalyst
+    # from inferring a size filter that would run the Python layer twice.
+    return out.select("vec_id", F.posexplode_outer("dense").alias("unit", "value")) \
         .select("vec_id", F.col("unit").cast("int").alias("unit"), _r("value", 6).alias("value"))
 
 
@@ -416,7 +418,7 @@ def q_conv2d(spark, sf):
 
 def q_max_pool(spark, sf):
     out = L.max_pool_layer(_emb(spark, sf), "features", IMAGE, "pooled")
-    return out.select("vec_id", F.posexplode("pooled").alias("cell", "value")) \
+    return out.select("vec_id", F.posexplode_outer("pooled").alias("cell", "value")) \
         .select("vec_id", F.col("cell").cast("int").alias("cell"), "value")
 
 

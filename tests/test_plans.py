@@ -13,7 +13,8 @@ from tessera.plans.queries import QUERIES, table
 
 def plan(df) -> str:
     df.collect()                      # final adaptive plan
-    return re.sub(r"#\d+L?", "", df._jdf.queryExecution().executedPlan().toString())
+    text = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    return re.sub(r"#\d+L?", "", text)
 
 
 def test_scan_reads_only_projected_columns(spark):
@@ -66,3 +67,8 @@ def test_gang_on_checkpointed_split_has_no_exchange(spark):
     assert sum(r.n for r in out.collect()) == 60000
     with pytest.raises(ValueError):
         G.gang(data, 3, fn, "n long", prepartitioned=True)
+
+
+@pytest.mark.parametrize("name", ["dense_layer", "conv2d", "score_softmax", "accuracy"])
+def test_python_layer_runs_once(spark, name):
+    assert plan(QUERIES[name](spark, SF01)).count("ArrowEvalPython") == 1
