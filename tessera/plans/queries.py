@@ -265,7 +265,7 @@ def q_mean_cross_entropy(spark, sf):
 
 
 def q_vector_mean(spark, sf):
-    m = A.vector_mean(_emb(spark, sf), "features", by=["label"])
+    m = A.vector_mean(_stored(spark, sf), "features", by=["label"])   # cast per element
     return m.select("label", F.col("pos").cast("int").alias("pos"),
                     _r("mean", 6).alias("mean"))
 
@@ -387,7 +387,7 @@ DENSE_UNITS = 16
 
 def q_dense_layer(spark, sf):
     kernel = fixture_matrix(DENSE_UNITS, DIM).T          # (inputs, units)
-    out = L.dense_layer(_emb(spark, sf), "features", kernel, None, "relu", "dense")
+    out = L.dense_layer(_stored(spark, sf), "features", kernel, None, "relu", "dense")
     # The layer always yields DENSE_UNITS values; the _outer form keeps Catalyst
     # from inferring a size filter that would run the Python layer twice.
     return out.select("vec_id", F.posexplode_outer("dense").alias("unit", "value")) \
@@ -403,7 +403,7 @@ def conv_kernel(filters=CONV_FILTERS, ksize=KSIZE, channels=1) -> np.ndarray:
 
 
 def q_conv2d(spark, sf):
-    out = L.conv2d_layer(_emb(spark, sf), "features", IMAGE, conv_kernel(), None, "relu", "conv")
+    out = L.conv2d_layer(_stored(spark, sf), "features", IMAGE, conv_kernel(), None, "relu", "conv")
     # Per filter, sum and max over the row's own output array: no explode, no shuffle.
     per_filter = F.transform(
         F.sequence(F.lit(0), F.lit(CONV_FILTERS - 1)),
@@ -424,7 +424,7 @@ def q_max_pool(spark, sf):
 
 def q_gradient_step(spark, sf):
     zero = SoftmaxRegression(DIM, CLASSES)
-    g = TR.gradient_step(_emb(spark, sf), zero)
+    g = TR.gradient_step(_stored(spark, sf), zero)
     return g.select("param", "k", "j", _r("grad", 9).alias("grad"))
 
 
@@ -452,13 +452,13 @@ def _train(spark, sf):
     """One training run per (session, table folder), shared by both queries."""
     key = (id(spark), sf)
     if key not in _TRAINED:
-        _TRAINED[key] = TR.train(_emb(spark, sf), SoftmaxRegression(DIM, CLASSES), **TRAIN_ARGS)
+        _TRAINED[key] = TR.train(_stored(spark, sf), SoftmaxRegression(DIM, CLASSES), **TRAIN_ARGS)
     return _TRAINED[key]
 
 
 def q_train_model(spark, sf):
     res = _train(spark, sf)
-    return _beats_majority(SC.score_table(_emb(spark, sf), res.model), res.model)
+    return _beats_majority(SC.score_table(_stored(spark, sf), res.model), res.model)
 
 
 CONVNET = dict(height=8, width=8, channels=1, f1=4, f2=8, hidden=32, classes=CLASSES, ksize=5)
@@ -466,7 +466,7 @@ CONVNET = dict(height=8, width=8, channels=1, f1=4, f2=8, hidden=32, classes=CLA
 
 def q_train_convnet(spark, sf):
     """The two-convolution network, trained data-parallel with dropout."""
-    emb = _emb(spark, sf)
+    emb = _stored(spark, sf)
     res = TR.train(emb, ConvNet(**CONVNET), **{**TRAIN_ARGS, "seed": 3})
     return _beats_majority(SC.score_table(emb, res.model), res.model)
 
