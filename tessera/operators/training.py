@@ -139,14 +139,17 @@ def train(df: DataFrame, model: Model, world: int, steps: int, features: str = "
     per_worker = steps // world
     if per_worker < 1:
         raise ValueError(f"steps // world is {per_worker}; need at least one step")
-    # Deal the rows to the ranks once and keep that split in the shared
-    # folder: every stage reads its rank's partition from there, so the
-    # training data is shuffled once per run, not once per stage.
-    from tessera.session import checkpoint_root
-    checkpoint_root(spark)
-    data = df.select(_c(features).alias("features"), _c(label).cast("double").alias("label")) \
-        .repartition(world).checkpoint(eager=True)
     steps_per_stage = max(1, checkpoint_every)
+    # Deal the rows to the ranks once.  When the run spans several stages the
+    # split is kept in the shared folder (reliable checkpoint) and every stage
+    # reads its rank's partition from there: one shuffle per run, not per
+    # stage.  A single stage reads the shuffle directly (no extra copy).
+    data = df.select(_c(features).alias("features"), _c(label).cast("double").alias("label")) \
+        .repartition(world)
+    if per_worker > steps_per_stage:
+        from tessera.session import checkpoint_root
+        checkpoint_root(spark)
+        data = data.checkpoint(eager=True)
     width = int(np.prod(model.shape)) if hasattr(model, "shape") else model.dim
     path = path or shared_dir(spark, "train")
     velocity = {k: np.zeros_like(v) for k, v in model.params.items()}
