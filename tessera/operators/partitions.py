@@ -20,12 +20,26 @@ def repartition_n(df: DataFrame, n: int) -> DataFrame:
     return df.repartition(n)
 
 
-def strided(df: DataFrame, n: int, id_col) -> DataFrame:
-    """Row with id ``i`` goes to partition ``i mod n`` (the ``i += size`` loop)."""
-    return df.repartitionById(n, F.pmod(_c(id_col), F.lit(n)).cast("int"))
+def strided(df: DataFrame, n: int, id_col, spread: int = 1) -> DataFrame:
+    """Row with id ``i`` goes to rank ``i mod n`` (the ``i += size`` loop).
 
+    With ``spread = k`` there are ``n * k`` partitions and partition ``p``
+    holds the ids with ``i mod (n * k) == p``, so rank ``r`` owns partitions
+    ``r, r + n, r + 2n, ...`` (``rank_of_partition``): the split stays exact
+    while no single task has to hold a whole rank's rows."""
+    parts = n * max(1, spread)
+    return df.repartitionById(parts, F.pmod(_c(id_col), F.lit(parts)).cast("int"))
 
-def partition_zero(df: DataFrame) -> DataFrame:
+
+def rank_of_partition(n: int):
+    """The rank (0..n-1) of the current partition of a ``strided`` frame."""
+    return (F.spark_partition_id() % F.lit(n)).cast("int")
+
+
+def partition_zero(df: DataFrame, n: int = 0) -> DataFrame:
+    """Rows of partition 0 only, or of rank 0 of an ``n``-rank strided frame."""
+    if n:
+        return df.filter(rank_of_partition(n) == 0)
     return df.filter(F.spark_partition_id() == 0)
 
 
@@ -85,5 +99,5 @@ def minibatch_sizes(batched: DataFrame) -> DataFrame:
     return batched.groupBy("batch_id").agg(F.count(F.lit(1)).alias("rows"))
 
 
-__all__ = ["repartition_n", "strided", "partition_zero", "partition_counts",
+__all__ = ["repartition_n", "strided", "rank_of_partition", "partition_zero", "partition_counts",
            "global_index", "top_k", "minibatches", "minibatch_sizes"]

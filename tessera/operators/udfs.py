@@ -13,19 +13,27 @@ def _c(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
-def _rank0_label(a, b):
-    """``a:b`` on partition 0, null elsewhere (only rank 0 reports)."""
-    if TaskContext.get().partitionId() != 0 or a is None or b is None:
-        return None
-    return f"{a}:{b}"
+def rank0_label_udf(ranks: int = 0):
+    """Arrow-batched Python UDF ``(a, b) -> "a:b"`` on rank 0, null elsewhere
+    (only rank 0 reports).  ``ranks`` > 0: the frame is ``strided`` over that
+    many ranks and rank = partition id mod ranks; 0: rank = partition id."""
 
+    def label(a, b):
+        pid = TaskContext.get().partitionId()
+        rank = pid % ranks if ranks else pid
+        if rank != 0 or a is None or b is None:
+            return None
+        return f"{a}:{b}"
 
-# Arrow-batched Python UDF: still Python per value, but no per-row pickling.
-rank0_label = F.udf(_rank0_label, StringType(), useArrow=True)
+    # Still Python per value, but no per-row pickling: values move as Arrow.
+    return F.udf(label, StringType(), useArrow=True)
 
 
-def udf_two_columns(df: DataFrame, a, b, name: str = "result") -> DataFrame:
-    return df.select(rank0_label(_c(a), _c(b)).alias(name))
+rank0_label = rank0_label_udf()
+
+
+def udf_two_columns(df: DataFrame, a, b, name: str = "result", ranks: int = 0) -> DataFrame:
+    return df.select(rank0_label_udf(ranks)(_c(a), _c(b)).alias(name))
 
 
 def map_partitions(df: DataFrame, fn, schema) -> DataFrame:
@@ -120,5 +128,5 @@ def pipe_sum(df: DataFrame, col, program: str = SUM_PROGRAM) -> DataFrame:
                         F.sum("partial").alias("total"))
 
 
-__all__ = ["udf_two_columns", "rank0_label", "map_partitions", "arrow_passthrough",
+__all__ = ["udf_two_columns", "rank0_label", "rank0_label_udf", "map_partitions", "arrow_passthrough",
            "pandas_passthrough", "pipe_partitions", "pipe_sum", "SUM_PROGRAM"]

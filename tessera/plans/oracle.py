@@ -31,9 +31,9 @@ ORACLE_SQL: dict[str, str] = {
     "scan_parquet": "SELECT l_orderkey, l_linenumber, l_quantity, l_extendedprice, l_returnflag FROM lineitem",
     "scan_libsvm": VEC_SUMMARY,
     "int_range": (
-        "WITH c AS (SELECT count(*) AS cnt FROM lineitem), "
-        "r AS (SELECT unnest(range(cnt)) AS id, cnt FROM c) "
-        "SELECT CAST(((id + 1) * 4 - 1) // cnt AS INTEGER) AS slice, min(id) AS lo, max(id) AS hi, "
+        "WITH c AS (SELECT count(*) AS cnt, greatest(4, CAST(ceil(count(*) / 5000000.0) AS BIGINT)) AS s "
+        "FROM lineitem), r AS (SELECT unnest(range(cnt)) AS id, cnt, s FROM c) "
+        "SELECT CAST(((id + 1) * s - 1) // cnt AS INTEGER) AS slice, min(id) AS lo, max(id) AS hi, "
         "count(*) AS n, CAST(sum(id) AS BIGINT) AS total FROM r GROUP BY 1"),
     "scan_int_text": ("SELECT count(*) AS n_values, CAST(0 AS BIGINT) AS n_bad, "
                       "CAST(sum(l_linenumber) AS BIGINT) AS total FROM lineitem"),

@@ -29,8 +29,21 @@ from tessera.sources import writers as W
 
 DIM, CLASSES = 64, 10          # embeddings: 64 wide (8x8x1), labels 0..9
 IMAGE = (8, 8, 1)
-WORLD = 3                      # gang size used by the gang queries
+WORLD = 3                      # default gang size of the gang queries
 RANKS = 4                      # ranks of the partial-sum queries
+ROWS_PER_SLICE = 5_000_000     # int_range: more slices as the table grows
+
+
+def _world(spark) -> int:
+    """Gang size: on a cluster set ``tessera.gang.world`` to the task slots;
+    the default 3 is what the oracle SQL names."""
+    return int(spark.conf.get("tessera.gang.world", str(WORLD)))
+
+
+def _spread(spark, ranks: int) -> int:
+    """Partitions per rank for strided frames: enough to keep every task
+    slot busy, so a rank is never one giant task."""
+    return max(1, spark.sparkContext.defaultParallelism // ranks)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -94,7 +107,8 @@ def q_scan_libsvm(spark, sf):
 
 def q_int_range(spark, sf):
     n = table(spark, sf, "lineitem").count()
-    rng = R.int_range(spark, 0, n, RANKS)
+    slices = max(RANKS, -(-n // ROWS_PER_SLICE))       # bounded rows per slice
+    rng = R.int_range(spark, 0, n, slices)
     return rng.groupBy(F.spark_partition_id().alias("slice")).agg(
         F.min("id").alias("lo"), F.max("id").alias("hi"),
         F.count(F.lit(1)).alias("n"), F.sum("id").alias("total"))
@@ -209,7 +223,7 @@ def q_top_predictions(spark, sf):
 
 def q_partition_zero(spark, sf):
     li = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber")
-    zero = P.partition_zero(P.strided(li, RANKS, "l_orderkey"))
+    zero = P.partition_zero(P.strided(li, RANKS, "l_orderkey", _spread(spark, RANKS)), RANKS)
     return zero.agg(F.count(F.lit(1)).alias("n"),
                     F.sum(F.col("l_linenumber").cast("bigint")).alias("total"))
 
@@ -496,14 +510,15 @@ def q_repartition_counts(spark, sf):
 
 
 def q_strided_partials(spark, sf):
-    ev = P.strided(table(spark, sf, "events").select("event_id", "value"), WORLD, "event_id")
-    return ev.groupBy(F.spark_partition_id().alias("rank")).agg(
+    ev = P.strided(table(spark, sf, "events").select("event_id", "value"), WORLD, "event_id",
+                   _spread(spark, WORLD))
+    return ev.groupBy(P.rank_of_partition(WORLD).alias("rank")).agg(
         F.count(F.lit(1)).alias("n"), _r(F.sum("value"), 4).alias("total"))
 
 
 def q_gang_sum(spark, sf):
     li = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber")
-    return G.gang_sum(li, "l_linenumber", WORLD, key="l_orderkey")
+    return G.gang_sum(li, "l_linenumber", _world(spark), key="l_orderkey")
 
 
 def _lattice_hits(pdf):
@@ -517,18 +532,18 @@ def _lattice_hits(pdf):
 
 def q_gang_pi(spark, sf):
     li = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber")
-    return G.gang_count_report(li, _lattice_hits, WORLD, key="l_orderkey")
+    return G.gang_count_report(li, _lattice_hits, _world(spark), key="l_orderkey")
 
 
 def q_gang_members(spark, sf):
     li = table(spark, sf, "lineitem").select("l_orderkey")
-    return G.gang_members(li, WORLD, key="l_orderkey")
+    return G.gang_members(li, _world(spark), key="l_orderkey")
 
 
 def q_udf_two_columns(spark, sf):
     ev = P.strided(table(spark, sf, "events").select("event_id", "event_type", "user_id"),
-                   WORLD, "event_id")
-    return ev.select("event_id", U.rank0_label("event_type", "user_id").alias("result"))
+                   WORLD, "event_id", _spread(spark, WORLD))
+    return ev.select("event_id", U.rank0_label_udf(WORLD)("event_type", "user_id").alias("result"))
 
 
 def _purchases(pdf):

@@ -364,3 +364,20 @@ def test_mllib_logistic_regression_comparison(spark):
         F.avg((F.col("prediction") == F.col("label")).cast("double"))).first()[0]
     assert ml_acc > 0.118 and ours > 0.118
     assert ours > 0.5 * ml_acc
+
+
+@pytest.mark.parametrize("n,slices", [(60000, 9), (10, 3), (1000, 7)])
+def test_range_slice_formula(spark, n, slices):
+    """int_range's slice of element i is ((i + 1) * slices - 1) div n, the
+    formula its oracle SQL uses for any slice count."""
+    got = R.int_range(spark, 0, n, slices).select("id", F.spark_partition_id().alias("p"))
+    bad = got.filter(F.col("p") != F.floor(((F.col("id") + 1) * slices - 1) / n)).count()
+    assert bad == 0
+
+
+def test_strided_spread_keeps_rank(spark):
+    df = P.strided(spark.range(1000), 3, "id", spread=4)
+    assert df.rdd.getNumPartitions() == 12
+    rows = df.select("id", P.rank_of_partition(3).alias("r")).collect()
+    assert all(r.r == r.id % 3 for r in rows)
+    assert P.partition_zero(df, 3).count() == len([i for i in range(1000) if i % 3 == 0])
