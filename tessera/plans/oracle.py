@@ -152,7 +152,8 @@ ORACLE_SQL: dict[str, str] = {
     "train_convnet": "SELECT 2298 AS n_params, true AS beats_majority",
     "train_history": "SELECT CAST(unnest([0, 50, 100, 150, 199]) AS INTEGER) AS step, true AS loss_finite",
     # partitioning, gang, UDF forms
-    "repartition_counts": "SELECT count(*) AS n_rows, CAST(5 AS BIGINT) AS n_parts, true AS balanced FROM lineitem",
+    "repartition_counts": ("SELECT count(*) AS n_rows, greatest(5, CAST(ceil(count(*) / 5000000.0) AS BIGINT)) "
+                           "AS n_parts, true AS balanced FROM lineitem"),
     "strided_partials": ("SELECT CAST(event_id % 3 AS INTEGER) AS rank, count(*) AS n, "
                          "round(sum(value), 4) + 0.0 AS total FROM events GROUP BY 1"),
     "gang_sum": "SELECT 3 AS world, CAST(sum(l_linenumber) AS BIGINT) AS total FROM lineitem",

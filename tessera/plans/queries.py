@@ -504,7 +504,8 @@ def q_train_history(spark, sf):
 def q_repartition_counts(spark, sf):
     li = table(spark, sf, "lineitem").select("l_orderkey")
     n_in = li.rdd.getNumPartitions()
-    counts = P.partition_counts(P.repartition_n(li, 5))
+    n = max(5, -(-li.count() // ROWS_PER_SLICE))          # partitions grow with the table
+    counts = P.partition_counts(P.repartition_n(li, n))
     return counts.agg(F.sum("n_rows").alias("n_rows"), F.count(F.lit(1)).alias("n_parts"),
                       ((F.max("n_rows") - F.min("n_rows")) <= n_in).alias("balanced"))
 
