@@ -464,7 +464,7 @@ _TRAINED: dict = {}
 
 def _train(spark, sf):
     """One training run per (session, table folder), shared by both queries."""
-    key = (id(spark), sf)
+    key = (spark.sparkContext.applicationId, sf)
     if key not in _TRAINED:
         _TRAINED[key] = TR.train(_stored(spark, sf), SoftmaxRegression(DIM, CLASSES), **TRAIN_ARGS)
     return _TRAINED[key]
