@@ -26,6 +26,43 @@ CE = ("ce AS (SELECT z.vec_id, z.label, ln(sum(exp(z.z - zm.m))) + zm.m "
       "- max(CASE WHEN z.k = z.label THEN z.z END) AS ce FROM z JOIN zm ON z.vec_id = zm.vec_id "
       "GROUP BY z.vec_id, z.label, zm.m)")
 
+# The fixture two-convolution network, one row at a time with list lambdas.
+# Flat index layouts are row-major, channel last: (r * W + c) * C + ch.
+_FIX = "(((7 * ({k}) + 3 * ({j})) % 11 - 5) / 10.0)"           # w[k][j]
+CONVNET = (
+    f"WITH {EMB}, "
+    # conv1: 8x8x1 -> 8x8x4, ReLU; q = (r * 8 + c) * 4 + f, o = dy * 5 + dx
+    "c1 AS (SELECT vec_id, label, list_transform(range(256), lambda q: greatest(list_sum("
+    "list_transform(range(25), lambda o: CASE WHEN (q // 32) + (o // 5) - 2 BETWEEN 0 AND 7 "
+    "AND ((q // 4) % 8) + (o % 5) - 2 BETWEEN 0 AND 7 "
+    "THEN f[((q // 32) + (o // 5) - 2) * 8 + ((q // 4) % 8) + (o % 5) - 2 + 1] * "
+    + _FIX.format(k="q % 4", j="o") + " ELSE 0.0 END)), 0.0)) AS a FROM emb), "
+    # pool1: 8x8x4 -> 4x4x4; q = (r * 4 + c) * 4 + ch
+    "p1 AS (SELECT vec_id, label, list_transform(range(64), lambda q: greatest("
+    "a[((2 * (q // 16)) * 8 + 2 * ((q // 4) % 4)) * 4 + q % 4 + 1], "
+    "a[((2 * (q // 16)) * 8 + 2 * ((q // 4) % 4) + 1) * 4 + q % 4 + 1], "
+    "a[((2 * (q // 16) + 1) * 8 + 2 * ((q // 4) % 4)) * 4 + q % 4 + 1], "
+    "a[((2 * (q // 16) + 1) * 8 + 2 * ((q // 4) % 4) + 1) * 4 + q % 4 + 1])) AS a FROM c1), "
+    # conv2: 4x4x4 -> 4x4x8, ReLU; q = (r * 4 + c) * 8 + f, t = (dy * 5 + dx) * 4 + ci
+    "c2 AS (SELECT vec_id, label, list_transform(range(128), lambda q: greatest(list_sum("
+    "list_transform(range(100), lambda t: CASE WHEN (q // 32) + ((t // 4) // 5) - 2 BETWEEN 0 AND 3 "
+    "AND ((q // 8) % 4) + ((t // 4) % 5) - 2 BETWEEN 0 AND 3 "
+    "THEN a[(((q // 32) + ((t // 4) // 5) - 2) * 4 + ((q // 8) % 4) + ((t // 4) % 5) - 2) * 4 + t % 4 + 1] * "
+    + _FIX.format(k="q % 8", j="t") + " ELSE 0.0 END)), 0.0)) AS a FROM p1), "
+    # pool2: 4x4x8 -> 2x2x8 = 32 features; q = (r * 2 + c) * 8 + ch
+    "p2 AS (SELECT vec_id, label, list_transform(range(32), lambda q: greatest("
+    "a[((2 * (q // 16)) * 4 + 2 * ((q // 8) % 2)) * 8 + q % 8 + 1], "
+    "a[((2 * (q // 16)) * 4 + 2 * ((q // 8) % 2) + 1) * 8 + q % 8 + 1], "
+    "a[((2 * (q // 16) + 1) * 4 + 2 * ((q // 8) % 2)) * 8 + q % 8 + 1], "
+    "a[((2 * (q // 16) + 1) * 4 + 2 * ((q // 8) % 2) + 1) * 8 + q % 8 + 1])) AS a FROM c2), "
+    # dense 32 -> 16, ReLU; then logits 16 -> 10
+    "h AS (SELECT vec_id, label, list_transform(range(16), lambda u: greatest(list_sum("
+    "list_transform(range(32), lambda i: a[i + 1] * " + _FIX.format(k="u", j="i") + ")), 0.0)) AS a FROM p2), "
+    "z AS (SELECT vec_id, label, list_transform(range(10), lambda k: list_sum("
+    "list_transform(range(16), lambda u: a[u + 1] * " + _FIX.format(k="k", j="u") + "))) AS z FROM h) "
+    "SELECT vec_id, label, CAST(list_position(z, list_max(z)) - 1 AS DOUBLE) AS prediction FROM z"
+)
+
 ORACLE_SQL: dict[str, str] = {
     # sources and sinks
     "scan_parquet": "SELECT l_orderkey, l_linenumber, l_quantity, l_extendedprice, l_returnflag FROM lineitem",
@@ -146,6 +183,7 @@ ORACLE_SQL: dict[str, str] = {
         "round((0.1 * (SELECT cnt FROM n) - ck) / (SELECT cnt FROM n), 9) + 0.0 AS grad FROM c"),
     # training and scoring
     "score_table": SCORES,
+    "score_convnet": CONVNET,
     "score_table_pandas": SCORES,
     "score_map_in_pandas": SCORES,
     "train_model": "SELECT 650 AS n_params, true AS beats_majority",

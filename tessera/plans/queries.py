@@ -448,6 +448,13 @@ def q_score_table(spark, sf):
     return _scored(spark, sf).select("vec_id", "label", "prediction")
 
 
+def q_score_convnet(spark, sf):
+    """The two-convolution network (closed-form fixture weights) scoring the
+    whole table: conv 5x5 x4 -> pool -> conv 5x5 x8 -> pool -> dense 16 -> 10."""
+    return SC.score_table(_stored(spark, sf), ConvNet.fixture(*IMAGE)) \
+        .select("vec_id", "label", "prediction")
+
+
 def q_score_table_pandas(spark, sf):
     return SC.score_pandas(_stored(spark, sf), _fixture_model()).select("vec_id", "label", "prediction")
 
@@ -626,6 +633,7 @@ QUERIES = {
     "gradient_step": q_gradient_step,
     # training and scoring
     "score_table": q_score_table,
+    "score_convnet": q_score_convnet,
     "score_table_pandas": q_score_table_pandas,
     "score_map_in_pandas": q_score_map_in_pandas,
     "train_model": q_train_model,
