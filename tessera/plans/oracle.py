@@ -181,6 +181,17 @@ ORACLE_SQL: dict[str, str] = {
         "UNION ALL "
         "SELECT 'b' AS param, CAST(k AS INTEGER) AS k, 0 AS j, "
         "round((0.1 * (SELECT cnt FROM n) - ck) / (SELECT cnt FROM n), 9) + 0.0 AS grad FROM c"),
+    "gradient_step_fixture": (
+        f"{LOGITS}, p AS (SELECT z.vec_id, z.label, z.k, exp(z.z - zm.m) / "
+        "sum(exp(z.z - zm.m)) OVER (PARTITION BY z.vec_id) AS p FROM z JOIN zm ON z.vec_id = zm.vec_id), "
+        "r AS (SELECT vec_id, k, p - CASE WHEN k = label THEN 1 ELSE 0 END AS r FROM p), "
+        "n AS (SELECT count(*) AS cnt FROM emb) "
+        "SELECT 'W' AS param, CAST(r.k AS INTEGER) AS k, CAST(px.j AS INTEGER) AS j, "
+        "round(sum(r.r * px.x) / (SELECT cnt FROM n), 9) + 0.0 AS grad "
+        "FROM r JOIN px ON r.vec_id = px.vec_id GROUP BY r.k, px.j "
+        "UNION ALL "
+        "SELECT 'b' AS param, CAST(k AS INTEGER) AS k, 0 AS j, "
+        "round(sum(r) / (SELECT cnt FROM n), 9) + 0.0 AS grad FROM r GROUP BY k"),
     # training and scoring
     "score_table": SCORES,
     "score_convnet": CONVNET,

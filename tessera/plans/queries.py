@@ -442,6 +442,12 @@ def q_gradient_step(spark, sf):
     return g.select("param", "k", "j", _r("grad", 9).alias("grad"))
 
 
+def q_gradient_step_fixture(spark, sf):
+    """The same full-batch gradient at the closed-form (non-zero) weights."""
+    g = TR.gradient_step(_stored(spark, sf), _fixture_model())
+    return g.select("param", "k", "j", _r("grad", 9).alias("grad"))
+
+
 # ----------------------------------------------------------------- training / scoring
 
 def q_score_table(spark, sf):
@@ -631,6 +637,7 @@ QUERIES = {
     "conv2d": q_conv2d,
     "max_pool": q_max_pool,
     "gradient_step": q_gradient_step,
+    "gradient_step_fixture": q_gradient_step_fixture,
     # training and scoring
     "score_table": q_score_table,
     "score_convnet": q_score_convnet,
