@@ -160,26 +160,62 @@ def _c(c) -> Column:
 
 # ---------------------------------------------------------------- operators
 
-def dense_layer(df: DataFrame, col, kernel: np.ndarray, bias: np.ndarray | None = None,
+def list_matrix(arr, width: int) -> np.ndarray:
+    """An Arrow list column of equal-width rows as a ``(rows, width)`` float64
+    matrix, read from the values buffer (no per-row objects)."""
+    import pyarrow as pa
+    if isinstance(arr, pa.ChunkedArray):
+        arr = arr.combine_chunks()
+    if arr.null_count:
+        raise ValueError("null vector in a layer input")
+    values = arr.flatten().to_numpy(zero_copy_only=False)
+    if len(values) != len(arr) * width:
+        raise ValueError(f"expected vectors of width {width}")
+    return values.astype(np.float64, copy=False).reshape(len(arr), width)
+
+
+def matrix_list(m: np.ndarray):
+    """A ``(rows, width)`` matrix as an Arrow ``list<double>`` column built
+    from offsets over the flat values."""
+    import pyarrow as pa
+    rows, width = m.shape
+    offsets = pa.array(np.arange(0, (rows + 1) * width, width, dtype=np.int32))
+    return pa.ListArray.from_arrays(offsets, pa.array(np.ascontiguousarray(m, np.float64).ravel()))
+
+
+def map_vectors(df: DataFrame, col: str, width: int, fn, out_col: str) -> DataFrame:
+    """Append ``fn(matrix) -> matrix`` of a vector column as ``array<double>``,
+    one Arrow batch at a time; the other columns pass through untouched."""
+    from pyspark.sql.types import StructField, StructType
+    schema = StructType([f for f in df.schema.fields if f.name != out_col]
+                        + [StructField(out_col, ArrayType(DoubleType()))])
+
+    def run(batches):
+        for b in batches:
+            if out_col in b.schema.names:
+                b = b.drop_columns([out_col])
+            out = fn(list_matrix(b.column(col), width)) if b.num_rows else np.zeros((0, 1))
+            yield b.append_column(out_col, matrix_list(out.reshape(b.num_rows, -1)))
+
+    return df.mapInArrow(run, schema)
+
+
+def dense_layer(df: DataFrame, col: str, kernel: np.ndarray, bias: np.ndarray | None = None,
                 activation: str | None = None, out_col: str = "dense") -> DataFrame:
     """Append ``activation(x @ kernel + bias)`` as ``array<double>``."""
     bc = broadcast_arrays(df.sparkSession, {"k": np.asarray(kernel, np.float64),
                                             "b": np.zeros(kernel.shape[1]) if bias is None
                                             else np.asarray(bias, np.float64)})
-    width = kernel.shape[0]
 
-    @F.pandas_udf(ArrayType(DoubleType()))
-    def _dense(s: pd.Series) -> pd.Series:
+    def fn(x):
         w = unpack_arrays(bc.value)
-        out = dense(stack_column(s, width), w["k"], w["b"])
-        if activation == "relu":
-            out = relu(out)
-        return pd.Series(list(out))
+        out = dense(x, w["k"], w["b"])
+        return relu(out) if activation == "relu" else out
 
-    return df.withColumn(out_col, _dense(_c(col)))
+    return map_vectors(df, col, kernel.shape[0], fn, out_col)
 
 
-def conv2d_layer(df: DataFrame, col, shape: tuple[int, int, int], kernel: np.ndarray,
+def conv2d_layer(df: DataFrame, col: str, shape: tuple[int, int, int], kernel: np.ndarray,
                  bias: np.ndarray | None = None, activation: str | None = None,
                  out_col: str = "conv") -> DataFrame:
     """Append a "same" 2-D convolution of a flat HxWxC image as flat HxWxF."""
@@ -188,16 +224,12 @@ def conv2d_layer(df: DataFrame, col, shape: tuple[int, int, int], kernel: np.nda
                                             "b": np.zeros(kernel.shape[3]) if bias is None
                                             else np.asarray(bias, np.float64)})
 
-    @F.pandas_udf(ArrayType(DoubleType()))
-    def _conv(s: pd.Series) -> pd.Series:
+    def fn(x):
         wts = unpack_arrays(bc.value)
-        x = stack_column(s, h * w * c).reshape(-1, h, w, c)
-        out = conv2d_same(x, wts["k"], wts["b"])
-        if activation == "relu":
-            out = relu(out)
-        return pd.Series(list(out.reshape(len(s), -1)))
+        out = conv2d_same(x.reshape(-1, h, w, c), wts["k"], wts["b"])
+        return (relu(out) if activation == "relu" else out).reshape(len(x), -1)
 
-    return df.withColumn(out_col, _conv(_c(col)))
+    return map_vectors(df, col, h * w * c, fn, out_col)
 
 
 def max_pool_layer(df: DataFrame, col, shape: tuple[int, int, int],
