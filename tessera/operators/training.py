@@ -226,24 +226,27 @@ def gradient_step(df: DataFrame, model: Model, features: str = "features",
     width = int(np.prod(model.shape)) if hasattr(model, "shape") else model.dim
 
     def partial(batches):
+        import pyarrow as pa
         m = Model.from_arrays(L.unpack_arrays(bc.value))
         acc, n = {k: np.zeros_like(v) for k, v in m.params.items()}, 0
-        for pdf in batches:
-            if len(pdf):
-                g, _ = m.grad_sums(L.stack_column(pdf[features], width),
-                                   pdf[label].to_numpy(np.float64))   # no dropout
+        for b in batches:
+            if b.num_rows:
+                g, _ = m.grad_sums(L.list_matrix(b.column(features), width),
+                                   b.column(label).to_numpy(zero_copy_only=False).astype(np.float64))
                 for k in acc:
                     acc[k] += g[k]
-                n += len(pdf)
+                n += b.num_rows
         if n == 0:
             return
         for name, g in acc.items():
             g2 = g.reshape(g.shape[0], -1)
             k, j = np.meshgrid(np.arange(g2.shape[0]), np.arange(g2.shape[1]), indexing="ij")
-            yield pd.DataFrame({"param": name, "k": k.ravel().astype(np.int32),
-                                "j": j.ravel().astype(np.int32), "s": g2.ravel(), "n": n})
+            yield pa.RecordBatch.from_pydict({
+                "param": pa.array([name] * g2.size, pa.string()),
+                "k": pa.array(k.ravel().astype(np.int32)), "j": pa.array(j.ravel().astype(np.int32)),
+                "s": pa.array(g2.ravel()), "n": pa.array(np.full(g2.size, n, np.int64))})
 
-    parts = df.select(features, label).mapInPandas(
+    parts = df.select(features, F.col(label).cast("double").alias(label)).mapInArrow(
         partial, "param string, k int, j int, s double, n bigint")
     return parts.groupBy("param", "k", "j").agg(
         (F.sum("s") / F.sum("n")).alias("grad"))
