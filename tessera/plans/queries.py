@@ -171,7 +171,7 @@ def q_read_whole_text(spark, sf):
     path = shared_dir(spark, "whole-text")
     # Capped rows per file keep each whole-text row bounded, whatever the skew of ``lang``.
     table(spark, sf, "documents").select("text", "lang").write \
-        .option("maxRecordsPerFile", 2000).partitionBy("lang").text(path)
+        .option("maxRecordsPerFile", 500).partitionBy("lang").text(path)
     files = spark.read.text(path, wholetext=True)
     return files.groupBy(F.col("lang").cast("string").alias("lang")).agg(
         F.sum(F.octet_length("value")).cast("bigint").alias("n_bytes"))
