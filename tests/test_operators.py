@@ -381,3 +381,14 @@ def test_strided_spread_keeps_rank(spark):
     rows = df.select("id", P.rank_of_partition(3).alias("r")).collect()
     assert all(r.r == r.id % 3 for r in rows)
     assert P.partition_zero(df, 3).count() == len([i for i in range(1000) if i % 3 == 0])
+
+
+def test_arrow_export_with_empty_partitions(spark):
+    df = _emb(spark, SF01).filter("vec_id < 5").repartition(8)      # most partitions empty
+    path = shared_dir(spark, "test-arrow-empty")
+    mpath = shared_dir(spark, "test-arrow-empty-manifest")
+    W.export_arrow(df, path).write.parquet(mpath)
+    man = spark.read.parquet(mpath)
+    assert man.count() == 8 and man.agg(F.sum("n_rows")).first()[0] == 5
+    back = R.scan_arrow(spark, man, df.schema)
+    assert sorted(r.vec_id for r in back.collect()) == [0, 1, 2, 3, 4]
