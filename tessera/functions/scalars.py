@@ -11,7 +11,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 __all__ = [
-    "base64_encode", "base64_decode", "list_join", "split_trim", "split_first",
+    "base64_encode", "base64_decode", "list_join", "jvm_trim", "split_trim", "split_first",
     "array_index_of", "map_first", "map_join", "random_name", "double_to_string",
     "vector_to_csv", "csv_to_vector", "to_float_array", "check_width",
 ]
@@ -37,9 +37,24 @@ def list_join(arr, sep: str) -> Column:
     return F.array_join(_c(arr), sep, "null")
 
 
+# Characters a JVM String.trim() removes: every code point up to U+0020.
+_JVM_SPACE = r"[\x00-\x20]"
+
+
+def jvm_trim(s) -> Column:
+    """Trim as the JVM's ``String.trim``: control characters and spaces."""
+    return F.regexp_replace(_c(s), f"^{_JVM_SPACE}+|{_JVM_SPACE}+$", "")
+
+
 def split_trim(s, sep: str = ",") -> Column:
-    """Split on a literal separator and trim every part."""
-    return F.transform(F.split(F.trim(_c(s)), re.escape(sep)), lambda x: F.trim(x))
+    """Trim, split on a literal separator and trim every part, as the JVM's
+    ``s.trim().split(sep).map(_.trim())``: trailing empty parts are dropped
+    (``"a,b,,"`` gives ``[a, b]``, ``",,"`` gives ``[]``, ``""`` gives ``[""]``)."""
+    t = jvm_trim(s)
+    stripped = F.regexp_replace(t, f"(?:{re.escape(sep)})+$", "")
+    parts = F.when((stripped == "") & (t != ""), F.array().cast("array<string>")) \
+        .otherwise(F.split(stripped, re.escape(sep)))
+    return F.transform(parts, jvm_trim)
 
 
 def split_first(s, sep: str = ":") -> Column:

@@ -122,10 +122,15 @@ ORACLE_SQL: dict[str, str] = {
     "list_join": ("SELECT event_id, event_type || ',' || coalesce(CASE WHEN value >= 50 "
                   "THEN CAST(user_id AS VARCHAR) END, 'null') || ',' || props AS joined FROM events"),
     "split_trim": (
-        "SELECT doc_id, array_to_string(list_transform(string_split(trim(concat_ws(' , ', lang, source)), ','), "
-        "lambda x: trim(x)), '|') AS parts, "
-        "CAST(len(string_split(trim(concat_ws(' , ', lang, source)), ',')) AS INTEGER) AS n_parts "
-        "FROM documents"),
+        # JVM semantics: trim chars <= U+0020, drop trailing empty parts, trim parts
+        "WITH t AS (SELECT doc_id, regexp_replace(concat_ws(' , ', lang, source), "
+        "'^[\\x00-\\x20]+|[\\x00-\\x20]+$', '', 'g') AS t FROM documents), "
+        "s AS (SELECT doc_id, t, regexp_replace(t, '(?:,)+$', '') AS st FROM t), "
+        "p AS (SELECT doc_id, CASE WHEN st = '' AND t <> '' THEN []::VARCHAR[] ELSE string_split(st, ',') END "
+        "AS parts FROM s) "
+        "SELECT doc_id, array_to_string(list_transform(parts, lambda x: regexp_replace(x, "
+        "'^[\\x00-\\x20]+|[\\x00-\\x20]+$', '', 'g')), '|') AS parts, "
+        "CAST(len(parts) AS INTEGER) AS n_parts FROM p"),
     "split_first": ("SELECT page_id, split_part(split_part(split_part(url, '://', 2), '/', 1) "
                     "|| ':8080', ':', 1) AS host FROM pages"),
     "array_index_of": ("SELECT doc_id, CAST(coalesce(list_position(string_split(text, ' '), 'the'), 0) - 1 "

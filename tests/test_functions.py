@@ -18,6 +18,19 @@ def test_list_join_prints_null(spark):
     assert one(spark, S.list_join(F.array(F.lit("a"), F.lit(None).cast("string"), F.lit("b")), ",")) == "a,null,b"
 
 
+@pytest.mark.parametrize("text,sep,want", [
+    (" a , b,c ", ",", ["a", "b", "c"]),
+    ("a,b,,", ",", ["a", "b"]),            # trailing empty parts dropped
+    ("a, ,", ",", ["a", ""]),              # dropped before the parts are trimmed
+    (",,", ",", []),
+    ("", ",", [""]),
+    ("\thadoop0,\nhadoop1 ,hadoop2\r\n", ",", ["hadoop0", "hadoop1", "hadoop2"]),
+    ("x::y::", "::", ["x", "y"]),
+])
+def test_split_trim_jvm_semantics(spark, text, sep, want):
+    assert one(spark, S.split_trim(F.lit(text), sep)) == want
+
+
 def test_split_trim_and_first(spark):
     assert one(spark, S.split_trim(F.lit(" a , b,c "), ",")) == ["a", "b", "c"]
     assert one(spark, S.split_trim(F.lit("x.y"), ".")) == ["x", "y"]      # literal, not regex
