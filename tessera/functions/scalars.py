@@ -27,9 +27,16 @@ def base64_encode(b) -> Column:
 
 
 def base64_decode(s, strict: bool = True) -> Column:
-    """Decode base64 text. ``strict`` raises on bad input; otherwise null."""
-    fn = F.to_binary if strict else F.try_to_binary
-    return fn(_c(s), F.lit("base64"))
+    """Decode standard base64 text, padding optional, as the JVM's basic
+    decoder: any character outside the alphabet (spaces and line breaks
+    included, which Spark's decoder would skip) is an error.  ``strict``
+    raises on bad input; otherwise the result is null."""
+    col = _c(s)
+    well_formed = col.rlike(r"\A[A-Za-z0-9+/]*={0,2}\z")    # \z: no final line break
+    if strict:
+        return F.when(well_formed | col.isNull(), F.to_binary(col, F.lit("base64"))).otherwise(
+            F.raise_error(F.concat(F.lit("illegal base64 input: "), F.substring(col, 1, 40))))
+    return F.when(well_formed, F.try_to_binary(col, F.lit("base64")))
 
 
 def list_join(arr, sep: str) -> Column:

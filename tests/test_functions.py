@@ -55,6 +55,18 @@ def test_map_first_and_join(spark):
     assert one(spark, S.map_join(m, "absent", "/")) is None
 
 
+@pytest.mark.parametrize("bad", ["a!b@", "YW I=", "YWJj\n", "Y", "YQ=x"])
+def test_base64_decode_rejects_what_the_jvm_decoder_rejects(spark, bad):
+    with pytest.raises(Exception):
+        one(spark, S.base64_decode(F.lit(bad)))
+    assert one(spark, S.base64_decode(F.lit(bad), strict=False)) is None
+
+
+def test_base64_decode_padding_optional(spark):
+    assert bytes(one(spark, S.base64_decode(F.lit("YWI")))) == b"ab"
+    assert bytes(one(spark, S.base64_decode(F.lit("YWI=")))) == b"ab"
+
+
 def test_strict_base64_decode_raises_tolerant_gives_null(spark):
     with pytest.raises(Exception):
         one(spark, S.base64_decode(F.lit("a!b@")))
