@@ -22,7 +22,17 @@ def fixture_matrix(rows: int, cols: int) -> np.ndarray:
 
 
 class Model:
+    """Base of the pluggable models: a subclass sets ``kind``, ``config()``,
+    ``from_config``, ``forward`` and (to train) ``grad_sums``; defining it
+    registers it, so its parameter tables and broadcasts rebuild it by kind
+    (ship its module to the workers like any UDF code)."""
+
     kind = "model"
+    registry: dict[str, type] = {}
+
+    def __init_subclass__(cls, **kw):
+        super().__init_subclass__(**kw)
+        Model.registry[cls.kind] = cls
 
     def __init__(self, params: dict[str, np.ndarray]):
         self.params = {k: np.asarray(v, np.float64) for k, v in params.items()}
@@ -55,8 +65,7 @@ class Model:
         kind = "".join(chr(int(c)) for c in arrays["__kind__"])
         config = [int(v) for v in arrays["__config__"]]
         params = {k: v for k, v in arrays.items() if not k.startswith("__")}
-        cls = {c.kind: c for c in (SoftmaxRegression, ConvNet)}[kind]
-        return cls.from_config(config, params)
+        return Model.registry[kind].from_config(config, params)
 
     def n_params(self) -> int:
         return int(sum(v.size for v in self.params.values()))

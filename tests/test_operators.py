@@ -392,3 +392,14 @@ def test_arrow_export_with_empty_partitions(spark):
     assert man.count() == 8 and man.agg(F.sum("n_rows")).first()[0] == 5
     back = R.scan_arrow(spark, man, df.schema)
     assert sorted(r.vec_id for r in back.collect()) == [0, 1, 2, 3, 4]
+
+
+
+def test_models_are_pluggable():
+    class Linear2(SoftmaxRegression):
+        kind = "linear2-test"
+
+    assert Model.registry["linear2-test"] is Linear2
+    m = Linear2(3, 2)
+    assert type(Model.from_arrays(m.to_arrays())) is Linear2
+    assert type(Model.from_rows(m.to_rows())) is Linear2
