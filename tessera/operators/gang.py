@@ -47,7 +47,10 @@ def gang(df: DataFrame, world: int, fn, schema, key=None,
         ctx = BarrierTaskContext.get()
         yield from fn(ctx, batches)
 
-    return parts.mapInPandas(run, schema, barrier=True)
+    # Spark reruns a failed barrier stage only when it is a shuffle-map stage
+    # (a failed barrier result stage aborts the job), so the gang's output
+    # always goes through an exchange; gangs emit partials, so it is small.
+    return parts.mapInPandas(run, schema, barrier=True).repartition(world)
 
 
 def encode_array(a: np.ndarray) -> str:

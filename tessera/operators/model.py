@@ -32,7 +32,15 @@ class Model:
 
     def __init_subclass__(cls, **kw):
         super().__init_subclass__(**kw)
-        Model.registry[cls.kind] = cls
+        # Only a class that names its own kind registers; a class rebuilt by
+        # value on a worker gets its attributes after creation, so it would
+        # otherwise claim its parent's kind.
+        if "kind" in cls.__dict__:
+            Model.registry[cls.kind] = cls
+
+    @classmethod
+    def _for_kind(cls, kind: str) -> type:
+        return cls if getattr(cls, "kind", None) == kind else Model.registry[kind]
 
     def __init__(self, params: dict[str, np.ndarray]):
         self.params = {k: np.asarray(v, np.float64) for k, v in params.items()}
@@ -45,13 +53,13 @@ class Model:
             rows.append((name, list(v.shape), v.ravel().tolist()))
         return rows
 
-    @staticmethod
-    def from_rows(rows) -> "Model":
+    @classmethod
+    def from_rows(cls, rows) -> "Model":
         d = {r[0]: (tuple(int(s) for s in r[1]), np.asarray(r[2], np.float64)) for r in rows}
         kind = "".join(chr(int(c)) for c in d.pop("__kind__")[1])
         config = [int(v) for v in d.pop("__config__")[1]]
         params = {k: v.reshape(shape) for k, (shape, v) in d.items()}
-        return Model.registry[kind].from_config(config, params)
+        return cls._for_kind(kind).from_config(config, params)
 
     def to_arrays(self) -> dict[str, np.ndarray]:
         out = dict(self.params)
@@ -59,12 +67,12 @@ class Model:
         out["__config__"] = np.array(self.config())
         return out
 
-    @staticmethod
-    def from_arrays(arrays: dict[str, np.ndarray]) -> "Model":
+    @classmethod
+    def from_arrays(cls, arrays: dict[str, np.ndarray]) -> "Model":
         kind = "".join(chr(int(c)) for c in arrays["__kind__"])
         config = [int(v) for v in arrays["__config__"]]
         params = {k: v for k, v in arrays.items() if not k.startswith("__")}
-        return Model.registry[kind].from_config(config, params)
+        return cls._for_kind(kind).from_config(config, params)
 
     def n_params(self) -> int:
         return int(sum(v.size for v in self.params.values()))

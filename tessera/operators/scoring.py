@@ -65,9 +65,10 @@ def prediction_udf(spark: SparkSession, model: Model, batch_size: int = 4096,
     """A ``predict_batch_udf`` giving the class (double) or the score vector."""
     bc = _broadcast_model(spark, model)
     width = _width(model)
+    model_cls = type(model)          # referenced so the worker imports the model's module
 
     def make_predict_fn():
-        m = Model.from_arrays(L.unpack_arrays(bc.value))
+        m = model_cls.from_arrays(L.unpack_arrays(bc.value))
 
         def predict(x: np.ndarray) -> np.ndarray:
             x = x.astype(np.float64, copy=False).reshape(len(x), width)
@@ -105,13 +106,14 @@ def score_pandas(df: DataFrame, model: Model, features="features",
     """Scalar pandas UDF ``array -> double``; the model is built once per worker."""
     bc = _broadcast_model(df.sparkSession, model)
     width = _width(model)
+    model_cls = type(model)
     cache: dict = {}
 
     @F.pandas_udf("double")
     def infer(s: pd.Series) -> pd.Series:
         m = cache.get("m")
         if m is None:
-            m = cache["m"] = Model.from_arrays(L.unpack_arrays(bc.value))
+            m = cache["m"] = model_cls.from_arrays(L.unpack_arrays(bc.value))
         return pd.Series(m.predict(L.stack_column(s, width)).astype(np.float64))
 
     return df.withColumn(out_col, infer(_c(features)))
@@ -123,9 +125,10 @@ def score_map_in_pandas(df: DataFrame, model: Model, features: str = "features",
     bc = _broadcast_model(df.sparkSession, model)
     width = _width(model)
     schema = StructType(df.schema.fields + [StructField(out_col, DoubleType())])
+    model_cls = type(model)
 
     def infer(batches):
-        m = Model.from_arrays(L.unpack_arrays(bc.value))
+        m = model_cls.from_arrays(L.unpack_arrays(bc.value))
         for pdf in batches:
             pred = m.predict(L.stack_column(pdf[features], width)) if len(pdf) else []
             yield pdf.assign(**{out_col: np.asarray(pred, np.float64)})

@@ -155,6 +155,7 @@ def train(df: DataFrame, model: Model, world: int, steps: int, features: str = "
     velocity = {k: np.zeros_like(v) for k, v in model.params.items()}
     done, stage, state_path = 0, 0, None
     lr_eff = lr * world
+    model_cls = type(model)          # referenced so the worker imports the model's module
     while done < per_worker:
         n_steps = min(steps_per_stage, per_worker - done)
         bc = L.broadcast_arrays(spark, {**{"p:" + k: v for k, v in model.to_arrays().items()},
@@ -163,7 +164,7 @@ def train(df: DataFrame, model: Model, world: int, steps: int, features: str = "
 
         def fn(ctx, batches, bc=bc, n_steps=n_steps, first_step=first_step, stage_seed=stage_seed):
             arrays = L.unpack_arrays(bc.value)
-            m = Model.from_arrays({k[2:]: v for k, v in arrays.items() if k.startswith("p:")})
+            m = model_cls.from_arrays({k[2:]: v for k, v in arrays.items() if k.startswith("p:")})
             vel = {k[2:]: v.copy() for k, v in arrays.items() if k.startswith("v:")}
             rank = ctx.partitionId()
             buf = ShuffleBuffer(batches, "features", "label", width, buffer_rows,
@@ -210,8 +211,8 @@ def train(df: DataFrame, model: Model, world: int, steps: int, features: str = "
         model, velocity = _read_state(spark, state_path)
         done += n_steps
         stage += 1
-    history = spark.read.parquet(f"{path}/stage-*").filter("kind = 'history'") \
-        .select("step", "loss")
+    history = spark.read.parquet(*[f"{path}/stage-{i:05d}" for i in range(stage)]) \
+        .filter("kind = 'history'").select("step", "loss")
     from tessera.operators.scoring import save_model
     model_path = save_model(spark, model, f"{path}/model")
     return TrainResult(model_path, model, history)
@@ -224,10 +225,11 @@ def gradient_step(df: DataFrame, model: Model, features: str = "features",
     NumPy and emits one partial per element; Spark adds the partials."""
     bc = L.broadcast_arrays(df.sparkSession, model.to_arrays())
     width = int(np.prod(model.shape)) if hasattr(model, "shape") else model.dim
+    model_cls = type(model)
 
     def partial(batches):
         import pyarrow as pa
-        m = Model.from_arrays(L.unpack_arrays(bc.value))
+        m = model_cls.from_arrays(L.unpack_arrays(bc.value))
         acc, n = {k: np.zeros_like(v) for k, v in m.params.items()}, 0
         for b in batches:
             if b.num_rows:
