@@ -475,11 +475,17 @@ TRAIN_ARGS = dict(world=2, steps=400, batch=K.BATCH_SIZE, lr=0.05, momentum=K.MO
 _TRAINED: dict = {}
 
 
+def _train_args(spark) -> dict:
+    """TRAIN_ARGS with the gang no larger than the task slots."""
+    return {**TRAIN_ARGS, "world": min(TRAIN_ARGS["world"], spark.sparkContext.defaultParallelism)}
+
+
 def _train(spark, sf):
     """One training run per (session, table folder), shared by both queries."""
     key = (spark.sparkContext.applicationId, sf)
     if key not in _TRAINED:
-        _TRAINED[key] = TR.train(_stored(spark, sf), SoftmaxRegression(DIM, CLASSES), **TRAIN_ARGS)
+        _TRAINED[key] = TR.train(_stored(spark, sf), SoftmaxRegression(DIM, CLASSES),
+                                 **_train_args(spark))
     return _TRAINED[key]
 
 
@@ -494,7 +500,7 @@ CONVNET = dict(height=8, width=8, channels=1, f1=4, f2=8, hidden=32, classes=CLA
 def q_train_convnet(spark, sf):
     """The two-convolution network, trained data-parallel with dropout."""
     emb = _stored(spark, sf)
-    res = TR.train(emb, ConvNet(**CONVNET), **{**TRAIN_ARGS, "seed": 3})
+    res = TR.train(emb, ConvNet(**CONVNET), **{**_train_args(spark), "seed": 3})
     return _beats_majority(SC.score_table(emb, res.model), res.model)
 
 
