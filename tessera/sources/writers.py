@@ -71,6 +71,8 @@ def export_feature_files(df: DataFrame, path: str, features="features",
         with fs.atomic_output(feat_uri) as ff, fs.atomic_output(lab_uri) as lf:
             for pdf in batches:
                 if len(pdf):
+                    if pdf["f"].isna().any() or pdf["l"].isna().any():
+                        raise ValueError("export_feature_files: null features or label")
                     ff.write(("\n".join(pdf["f"]) + "\n").encode("utf-8"))
                     lf.write(("\n".join(pdf["l"]) + "\n").encode("utf-8"))
                     n += len(pdf)

@@ -403,3 +403,10 @@ def test_models_are_pluggable():
     m = Linear2(3, 2)
     assert type(Model.from_arrays(m.to_arrays())) is Linear2
     assert type(Model.from_rows(m.to_rows())) is Linear2
+
+
+
+def test_feature_export_rejects_null_vectors(spark):
+    df = spark.createDataFrame([([1.0, 2.0], 1.0), (None, 0.0)], "features array<double>, label double")
+    with pytest.raises(Exception, match="null features or label"):
+        W.export_feature_files(df, shared_dir(spark, "test-null-export")).collect()
