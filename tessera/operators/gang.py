@@ -119,3 +119,24 @@ def gang_count_report(df: DataFrame, predicate_fn, world: int, key=None,
                 fmt % (size, scale * th / tn if tn else float("nan"))]})
 
     return gang(df, world, fn, "n bigint, hits bigint, report string", key)
+
+
+def gang_vector_mean(df: DataFrame, col: str, width: int, world: int, key=None) -> DataFrame:
+    """Element-wise mean of a vector column by all-reduce: each rank sums its
+    vectors in NumPy, the sums and row counts are all-gathered (model-sized
+    messages), and rank 0 yields ``(pos, mean)`` (the averaging a
+    data-parallel optimizer does with gradients)."""
+    from tessera.operators.layers import stack_column
+
+    def fn(ctx, batches):
+        total, n = np.zeros(width), 0
+        for pdf in batches:
+            if len(pdf):
+                total += stack_column(pdf[col], width).sum(axis=0)
+                n += len(pdf)
+        red = all_reduce_sum(ctx, np.concatenate([total, [n]]))
+        if ctx.partitionId() == 0 and red[-1] > 0:
+            yield pd.DataFrame({"pos": np.arange(width, dtype=np.int32), "mean": red[:-1] / red[-1]})
+
+    cols = [col] + ([key] if isinstance(key, str) and key != col else [])
+    return gang(df.select(*cols), world, fn, "pos int, mean double", key)

@@ -213,6 +213,8 @@ ORACLE_SQL: dict[str, str] = {
     "gang_sum": "SELECT 3 AS world, CAST(sum(l_linenumber) AS BIGINT) AS total FROM lineitem",
     "gang_pi": (f"WITH {LATTICE}, c AS (SELECT count(*) AS n, count(*) FILTER (WHERE x * x + y * y < 1.0) AS hits FROM pts) "
                 "SELECT n, hits, printf('np=%2d;    PI=%.4f', 3, 4.0::DOUBLE * hits / n) AS report FROM c"),
+    "gang_vector_mean": (f"WITH {EMB}, {PX} SELECT CAST(j AS INTEGER) AS pos, "
+                         "round(avg(x), 6) + 0.0 AS mean FROM px GROUP BY 1"),
     "gang_members": ("SELECT CAST(l_orderkey % 3 AS INTEGER) AS rank, 3 AS world, count(*) AS n_rows, "
                      "true AS peers_known FROM lineitem GROUP BY 1"),
     "udf_two_columns": ("SELECT event_id, CASE WHEN event_id % 3 = 0 THEN event_type || ':' || "

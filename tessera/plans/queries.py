@@ -555,6 +555,12 @@ def q_gang_pi(spark, sf):
     return G.gang_count_report(li, _lattice_hits, _world(spark), key="l_orderkey")
 
 
+def q_gang_vector_mean(spark, sf):
+    emb = table(spark, sf, "embeddings").select("vec_id", F.col("embedding").alias("features"))
+    out = G.gang_vector_mean(emb, "features", DIM, _world(spark), key="vec_id")
+    return out.select("pos", _r("mean", 6).alias("mean"))
+
+
 def q_gang_members(spark, sf):
     li = table(spark, sf, "lineitem").select("l_orderkey")
     return G.gang_members(li, _world(spark), key="l_orderkey")
@@ -658,6 +664,7 @@ QUERIES = {
     "gang_sum": q_gang_sum,
     "gang_members": q_gang_members,
     "gang_pi": q_gang_pi,
+    "gang_vector_mean": q_gang_vector_mean,
     "udf_two_columns": q_udf_two_columns,
     "map_partitions": q_map_partitions,
     "arrow_passthrough": q_arrow_passthrough,
