@@ -10,6 +10,7 @@ built once per Python worker:
 from __future__ import annotations
 
 import time
+import uuid
 
 import numpy as np
 import pandas as pd
@@ -56,6 +57,21 @@ def _broadcast_model(spark: SparkSession, model: Model):
     return L.broadcast_arrays(spark, model.to_arrays())
 
 
+# Models rebuilt on this Python worker, by a key made when the model was
+# broadcast: workers are reused across tasks, so a model is unpacked once per
+# worker, not once per task.
+_WORKER_MODELS: dict[str, Model] = {}
+
+
+def worker_model(bc, key: str, model_cls=Model) -> Model:
+    m = _WORKER_MODELS.get(key)
+    if m is None:
+        if len(_WORKER_MODELS) >= 4:
+            _WORKER_MODELS.clear()
+        m = _WORKER_MODELS[key] = model_cls.from_arrays(L.unpack_arrays(bc.value))
+    return m
+
+
 def _width(model: Model) -> int:
     return int(np.prod(model.shape)) if hasattr(model, "shape") else model.dim
 
@@ -107,13 +123,11 @@ def score_pandas(df: DataFrame, model: Model, features="features",
     bc = _broadcast_model(df.sparkSession, model)
     width = _width(model)
     model_cls = type(model)
-    cache: dict = {}
+    key = uuid.uuid4().hex
 
     @F.pandas_udf("double")
     def infer(s: pd.Series) -> pd.Series:
-        m = cache.get("m")
-        if m is None:
-            m = cache["m"] = model_cls.from_arrays(L.unpack_arrays(bc.value))
+        m = worker_model(bc, key, model_cls)
         return pd.Series(m.predict(L.stack_column(s, width)).astype(np.float64))
 
     return df.withColumn(out_col, infer(_c(features)))
@@ -126,9 +140,10 @@ def score_map_in_pandas(df: DataFrame, model: Model, features: str = "features",
     width = _width(model)
     schema = StructType(df.schema.fields + [StructField(out_col, DoubleType())])
     model_cls = type(model)
+    key = uuid.uuid4().hex
 
     def infer(batches):
-        m = model_cls.from_arrays(L.unpack_arrays(bc.value))
+        m = worker_model(bc, key, model_cls)
         for pdf in batches:
             pred = m.predict(L.stack_column(pdf[features], width)) if len(pdf) else []
             yield pdf.assign(**{out_col: np.asarray(pred, np.float64)})

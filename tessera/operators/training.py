@@ -12,6 +12,7 @@ executor costs one stage, not the run.
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
 import numpy as np
@@ -226,10 +227,13 @@ def gradient_step(df: DataFrame, model: Model, features: str = "features",
     bc = L.broadcast_arrays(df.sparkSession, model.to_arrays())
     width = int(np.prod(model.shape)) if hasattr(model, "shape") else model.dim
     model_cls = type(model)
+    key = uuid.uuid4().hex
 
     def partial(batches):
         import pyarrow as pa
-        m = model_cls.from_arrays(L.unpack_arrays(bc.value))
+
+        from tessera.operators.scoring import worker_model
+        m = worker_model(bc, key, model_cls)
         acc, n = {k: np.zeros_like(v) for k, v in m.params.items()}, 0
         for b in batches:
             if b.num_rows:
