@@ -168,7 +168,7 @@ def train(df: DataFrame, model: Model, world: int, steps: int, features: str = "
             m = model_cls.from_arrays({k[2:]: v for k, v in arrays.items() if k.startswith("p:")})
             vel = {k[2:]: v.copy() for k, v in arrays.items() if k.startswith("v:")}
             rank = ctx.partitionId()
-            buf = ShuffleBuffer(batches, "features", "label", width, buffer_rows,
+            buf = ShuffleBuffer(batches, "features", "label", width, max(buffer_rows, batch),
                                 np.random.default_rng([stage_seed, rank]))
             drop_rng = np.random.default_rng([stage_seed, rank, 1])   # dropout masks
             names = sorted(m.params)

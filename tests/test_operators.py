@@ -410,3 +410,18 @@ def test_feature_export_rejects_null_vectors(spark):
     df = spark.createDataFrame([([1.0, 2.0], 1.0), (None, 0.0)], "features array<double>, label double")
     with pytest.raises(Exception, match="null features or label"):
         W.export_feature_files(df, shared_dir(spark, "test-null-export")).collect()
+
+
+
+def test_shuffle_buffer_streams_and_repeats():
+    rng = np.random.default_rng(0)
+    frames = (pd.DataFrame({"f": [np.full(2, float(i)) for i in range(k, k + 10)],
+                            "y": np.arange(k, k + 10, dtype=float)}) for k in range(0, 50, 10))
+    buf = TR.ShuffleBuffer(frames, "f", "y", 2, capacity=20, rng=rng)
+    assert len(buf.y) == 20                      # bounded: only the first 20 rows held
+    seen = set()
+    for _ in range(30):
+        x, y = buf.draw(7)
+        assert len(y) == 7 and np.array_equal(x[:, 0], y)      # rows stay paired
+        seen.update(y.tolist())
+    assert seen == set(range(50)) and len(buf.y) == 20   # every row used; input repeats from the buffer
