@@ -145,13 +145,43 @@ def unpack_arrays(blob: bytes) -> dict[str, np.ndarray]:
         return {k: z[k] for k in z.files}
 
 
+class SharedBlob:
+    """A payload too large to broadcast, kept as one file in the shared
+    folder; each Python worker reads it once (``.value``, like a Broadcast)."""
+
+    _cache: dict[str, bytes] = {}
+
+    def __init__(self, uri: str, size: int):
+        self.uri, self.size = uri, size
+
+    @property
+    def value(self) -> bytes:
+        blob = SharedBlob._cache.get(self.uri)
+        if blob is None:
+            from tessera.sources import fs
+            with fs.open_input_stream(self.uri) as f:
+                blob = f.read()
+            if len(blob) != self.size:
+                raise OSError(f"{self.uri}: read {len(blob)} of {self.size} bytes")
+            SharedBlob._cache.clear()          # keep one large payload per worker
+            SharedBlob._cache[self.uri] = blob
+        return blob
+
+
 def broadcast_arrays(spark, arrays: dict[str, np.ndarray]):
-    """Broadcast a dict of arrays after checking its size."""
+    """Ship a dict of arrays to the tasks: a broadcast when its measured size
+    is within ``MAX_BROADCAST_BYTES``, otherwise a file in the shared folder
+    that each worker reads itself (``SharedBlob``).  Either has ``.value``."""
     blob = pack_arrays(arrays)
-    if len(blob) > MAX_BROADCAST_BYTES:
-        raise ValueError(f"weights of {len(blob)} bytes exceed the broadcast "
-                         f"limit of {MAX_BROADCAST_BYTES}")
-    return spark.sparkContext.broadcast(blob)
+    if len(blob) <= MAX_BROADCAST_BYTES:
+        return spark.sparkContext.broadcast(blob)
+    from tessera.session import shared_dir
+    from tessera.sources import fs
+    uri = shared_dir(spark, "arrays") + "/arrays.npz"
+    fs.ensure_dir(uri.rsplit("/", 1)[0])
+    with fs.atomic_output(uri) as out:
+        out.write(blob)
+    return SharedBlob(uri, len(blob))
 
 
 def _c(c) -> Column:

@@ -425,3 +425,18 @@ def test_shuffle_buffer_streams_and_repeats():
         assert len(y) == 7 and np.array_equal(x[:, 0], y)      # rows stay paired
         seen.update(y.tolist())
     assert seen == set(range(50)) and len(buf.y) == 20   # every row used; input repeats from the buffer
+
+
+
+def test_weights_over_the_broadcast_limit_go_through_the_shared_folder(spark, monkeypatch):
+    from tessera.operators.model import fixture_matrix
+    kernel = fixture_matrix(16, 64).T
+    emb = _emb(spark, SF01)
+    want = {r.vec_id: r.dense for r in L.dense_layer(emb, "features", kernel).collect()}
+    monkeypatch.setattr(L, "MAX_BROADCAST_BYTES", 100)
+    handle = L.broadcast_arrays(spark, {"k": kernel})
+    assert isinstance(handle, L.SharedBlob)
+    got = {r.vec_id: r.dense for r in L.dense_layer(emb, "features", kernel).collect()}
+    assert got == want
+    scored = SC.score_table(emb, SoftmaxRegression.fixture(64)).count()
+    assert scored == 500
