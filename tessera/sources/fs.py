@@ -43,10 +43,18 @@ class atomic_output:
 
     def __exit__(self, exc_type, exc, tb):
         self.stream.close()
-        if exc_type is None:
-            self.fs.move(self.tmp, self.path)
-        else:
+        if exc_type is not None:
             self.fs.delete_file(self.tmp)
+            return False
+        try:
+            self.fs.move(self.tmp, self.path)
+        except OSError:
+            # Some stores (HDFS) refuse to rename over an existing file, which
+            # a retried task with a fixed file name meets: replace it.
+            if self.fs.get_file_info(self.path).type == pafs.FileType.NotFound:
+                raise
+            self.fs.delete_file(self.path)
+            self.fs.move(self.tmp, self.path)
         return False
 
 

@@ -440,3 +440,18 @@ def test_weights_over_the_broadcast_limit_go_through_the_shared_folder(spark, mo
     assert got == want
     scored = SC.score_table(emb, SoftmaxRegression.fixture(64)).count()
     assert scored == 500
+
+
+
+def test_atomic_output_replaces_and_cleans_up(tmp_path):
+    from tessera.sources import fs
+    target = str(tmp_path / "f.bin")
+    for payload in (b"first", b"second"):                 # a retried writer, same name
+        with fs.atomic_output(target) as out:
+            out.write(payload)
+    assert open(target, "rb").read() == b"second"
+    with pytest.raises(RuntimeError):
+        with fs.atomic_output(str(tmp_path / "g.bin")) as out:
+            out.write(b"partial")
+            raise RuntimeError("task died mid-write")
+    assert sorted(p.name for p in tmp_path.iterdir()) == ["f.bin"]   # no temp left, no g.bin
