@@ -57,7 +57,9 @@ def pandas_passthrough(df: DataFrame) -> DataFrame:
     return df.mapInPandas(lambda batches: batches, df.schema)
 
 
-SUM_PROGRAM = "awk 'BEGIN {s = 0} {for (i = 1; i <= NF; i++) s += $i} END {print s}'"
+# awk keeps numbers as doubles: "%.0f" prints a partial sum exactly up to 2^53
+# (plain print and "%d" would give 3e+09 or cap at 2^31 - 1 in some awks).
+SUM_PROGRAM = "awk 'BEGIN {s = 0} {for (i = 1; i <= NF; i++) s += $i} END {printf \"%.0f\\n\", s}'"
 
 
 def pipe_partitions(df: DataFrame, col, program: str, lines_per_batch: int = 10_000) -> DataFrame:

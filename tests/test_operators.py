@@ -455,3 +455,10 @@ def test_atomic_output_replaces_and_cleans_up(tmp_path):
             out.write(b"partial")
             raise RuntimeError("task died mid-write")
     assert sorted(p.name for p in tmp_path.iterdir()) == ["f.bin"]   # no temp left, no g.bin
+
+
+
+def test_pipe_sum_past_32_bits(spark):
+    from tessera.operators import udfs as U
+    df = spark.range(0, 4, 1, 2).select((F.col("id") + 1_500_000_000).alias("v"))
+    assert U.pipe_sum(df, "v").first().total == 6_000_000_006
