@@ -67,50 +67,82 @@ def all_reduce_sum(ctx, a: np.ndarray) -> np.ndarray:
     return np.sum([decode_array(p) for p in parts], axis=0).reshape(np.shape(a))
 
 
+def rank_partials(df: DataFrame, world: int, key, *aggs: Column) -> DataFrame:
+    """Pre-aggregate what each rank would reduce: with ``key`` the rank of a
+    row is ``key mod world`` (the strided split) and the result has one row
+    per rank; without, one row per input partition (dealt round-robin to the
+    ranks later).  Spark combines map-side, so only these partials shuffle."""
+    if key is not None:
+        return df.groupBy(F.pmod(_c(key), F.lit(world)).cast("int").alias("_rank")).agg(*aggs)
+    return df.groupBy(F.spark_partition_id().alias("_part")).agg(*aggs)
+
+
+def _partial_key(key):
+    return "_rank" if key is not None else None
+
+
 def gang_sum(df: DataFrame, col: str, world: int, key=None) -> DataFrame:
-    """Each rank sums its rows, the partials are all-gathered (which is itself
-    a barrier: it returns once every rank has sent), and rank 0 alone yields
+    """Each rank's partial sum (pre-aggregated by Spark over the rows of that
+    rank), reduced in the gang: the partials are all-gathered (itself a
+    barrier: it returns once every rank has sent) and rank 0 alone yields
     ``(world, total)``."""
+    partials = rank_partials(df, world, key, F.sum(_c(col).cast("bigint")).alias("s"))
 
     def fn(ctx, batches):
         local = 0
         for pdf in batches:
-            local += int(pdf[col].astype("int64").sum())
+            local += int(pdf["s"].fillna(0).astype("int64").sum())
         total = sum(int(p) for p in ctx.allGather(str(local)))
         if ctx.partitionId() == 0:
             yield pd.DataFrame({"world": [len(ctx.getTaskInfos())], "total": [total]})
 
-    return gang(df.select(col), world, fn, "world int, total bigint", key)
+    return gang(partials, world, fn, "world int, total bigint", _partial_key(key))
 
 
 def gang_members(df: DataFrame, world: int, key=None) -> DataFrame:
-    """One row per rank: its rows, the gang size and whether every peer
-    reported an address."""
+    """One row per rank: its row count (pre-aggregated), the gang size and
+    whether every peer reported an address."""
+    partials = rank_partials(df, world, key, F.count(F.lit(1)).alias("n"))
 
     def fn(ctx, batches):
-        n = sum(len(pdf) for pdf in batches)
+        n = sum(int(pdf["n"].sum()) for pdf in batches)
         peers = [t.address for t in ctx.getTaskInfos()]
         ctx.barrier()
         yield pd.DataFrame({"rank": [ctx.partitionId()], "world": [len(peers)],
                             "n_rows": [n], "peers_known": [all(bool(a) for a in peers)]})
 
-    cols = [key] if isinstance(key, str) else []
-    src = df.select(*cols) if cols else df
-    return gang(src, world, fn, "rank int, world int, n_rows bigint, peers_known boolean", key)
+    return gang(partials, world, fn, "rank int, world int, n_rows bigint, peers_known boolean",
+                _partial_key(key))
 
 
-def gang_count_report(df: DataFrame, predicate_fn, world: int, key=None,
+def gang_count_report(df: DataFrame, predicate, world: int, key=None,
                       fmt: str = K.REPORT_PI_FORMAT, scale: float = 4.0) -> DataFrame:
     """The parallel-estimate pattern: every rank counts the rows of its share
-    that pass ``predicate_fn(pandas batch) -> bool array``, the counts are
-    all-gathered, and rank 0 alone yields ``n, hits`` and the report line
-    (``fmt`` of the gang size and ``scale * hits / n``; timing left out)."""
+    that pass ``predicate``, the counts are all-gathered, and rank 0 alone
+    yields ``n, hits`` and the report line (``fmt`` of the gang size and
+    ``scale * hits / n``; timing left out).
+
+    A Column predicate is counted by Spark before the gang (only per-rank
+    counts move); a Python ``predicate(pandas batch) -> bool array`` runs in
+    the ranks over their rows."""
+    if isinstance(predicate, Column):
+        src = rank_partials(df, world, key, F.count(F.lit(1)).alias("n"),
+                            F.count_if(predicate).cast("bigint").alias("hits"))
+        gang_key = _partial_key(key)
+
+        def count(pdf):
+            return int(pdf["n"].sum()), int(pdf["hits"].sum())
+    else:
+        src, gang_key = df, key
+
+        def count(pdf):
+            return len(pdf), int(np.count_nonzero(predicate(pdf)))
 
     def fn(ctx, batches):
         n = hits = 0
         for pdf in batches:
-            n += len(pdf)
-            hits += int(np.count_nonzero(predicate_fn(pdf)))
+            a, b = count(pdf)
+            n, hits = n + a, hits + b
         parts = [p.split(",") for p in ctx.allGather(f"{n},{hits}")]
         tn, th = sum(int(a) for a, _ in parts), sum(int(b) for _, b in parts)
         if ctx.partitionId() == 0:
@@ -118,25 +150,39 @@ def gang_count_report(df: DataFrame, predicate_fn, world: int, key=None,
             yield pd.DataFrame({"n": [tn], "hits": [th], "report": [
                 fmt % (size, scale * th / tn if tn else float("nan"))]})
 
-    return gang(df, world, fn, "n bigint, hits bigint, report string", key)
+    return gang(src, world, fn, "n bigint, hits bigint, report string", gang_key)
+
 
+def gang_vector_mean(df: DataFrame, col: str, width: int, world: int) -> DataFrame:
+    """Element-wise mean of a vector column by all-reduce: each input
+    partition's vector sum and row count are computed in NumPy (one partial
+    per partition), the ranks add their partials, all-gather the sums
+    (model-sized messages) and rank 0 yields ``(pos, mean)``: the averaging
+    a data-parallel optimizer does with gradients."""
+    from tessera.operators.layers import list_matrix
+
+    def partial(batches):
+        import pyarrow as pa
+        total, n = np.zeros(width), 0
+        for b in batches:
+            if b.num_rows:
+                total += list_matrix(b.column(col), width).sum(axis=0)
+                n += b.num_rows
+        if n:
+            yield pa.RecordBatch.from_pydict({"s": pa.array([total.tolist()], pa.list_(pa.float64())),
+                                              "n": pa.array([n], pa.int64())})
 
-def gang_vector_mean(df: DataFrame, col: str, width: int, world: int, key=None) -> DataFrame:
-    """Element-wise mean of a vector column by all-reduce: each rank sums its
-    vectors in NumPy, the sums and row counts are all-gathered (model-sized
-    messages), and rank 0 yields ``(pos, mean)`` (the averaging a
-    data-parallel optimizer does with gradients)."""
-    from tessera.operators.layers import stack_column
+    partials = df.select(col).mapInArrow(partial, "s array<double>, n bigint")
 
     def fn(ctx, batches):
+        from tessera.operators.layers import stack_column
         total, n = np.zeros(width), 0
         for pdf in batches:
             if len(pdf):
-                total += stack_column(pdf[col], width).sum(axis=0)
-                n += len(pdf)
+                total += stack_column(pdf["s"], width).sum(axis=0)
+                n += int(pdf["n"].sum())
         red = all_reduce_sum(ctx, np.concatenate([total, [n]]))
         if ctx.partitionId() == 0 and red[-1] > 0:
             yield pd.DataFrame({"pos": np.arange(width, dtype=np.int32), "mean": red[:-1] / red[-1]})
 
-    cols = [col] + ([key] if isinstance(key, str) and key != col else [])
-    return gang(df.select(*cols), world, fn, "pos int, mean double", key)
+    return gang(partials, world, fn, "pos int, mean double")

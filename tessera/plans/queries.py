@@ -228,11 +228,17 @@ def q_partition_zero(spark, sf):
                     F.sum(F.col("l_linenumber").cast("bigint")).alias("total"))
 
 
-def _lattice_points(spark, sf):
-    li = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber")
+def _lattice_xy():
+    """A point of the 1000 x 1000 lattice per lineitem row, from its keys."""
     a = F.pmod(F.col("l_orderkey") * 7919 + F.col("l_linenumber") * 104729, F.lit(1000))
     b = F.pmod(F.col("l_orderkey") * 104729 + F.col("l_linenumber") * 7919, F.lit(1000))
-    return li.select(((a + 0.5) / 1000.0).alias("x"), ((b + 0.5) / 1000.0).alias("y"))
+    return (a + 0.5) / 1000.0, (b + 0.5) / 1000.0
+
+
+def _lattice_points(spark, sf):
+    li = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber")
+    x, y = _lattice_xy()
+    return li.select(x.alias("x"), y.alias("y"))
 
 
 def q_pi_lattice(spark, sf):
@@ -541,23 +547,16 @@ def q_gang_sum(spark, sf):
     return G.gang_sum(li, "l_linenumber", _world(spark), key="l_orderkey")
 
 
-def _lattice_hits(pdf):
-    """NumPy form of the lattice point test used by ``pi_lattice``."""
-    k = pdf["l_orderkey"].to_numpy(np.int64)
-    ln = pdf["l_linenumber"].to_numpy(np.int64)
-    x = (((k * 7919 + ln * 104729) % 1000) + 0.5) / 1000.0
-    y = (((k * 104729 + ln * 7919) % 1000) + 0.5) / 1000.0
-    return x * x + y * y < 1.0
-
-
 def q_gang_pi(spark, sf):
     li = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber")
-    return G.gang_count_report(li, _lattice_hits, _world(spark), key="l_orderkey")
+    pts = li.select("l_orderkey", *[c.alias(n) for c, n in zip(_lattice_xy(), ("x", "y"))])
+    inside = A.inside_unit_circle(F.col("x"), F.col("y"))
+    return G.gang_count_report(pts, inside, _world(spark), key="l_orderkey")
 
 
 def q_gang_vector_mean(spark, sf):
     emb = table(spark, sf, "embeddings").select("vec_id", F.col("embedding").alias("features"))
-    out = G.gang_vector_mean(emb, "features", DIM, _world(spark), key="vec_id")
+    out = G.gang_vector_mean(emb, "features", DIM, _world(spark))
     return out.select("pos", _r("mean", 6).alias("mean"))
 
 

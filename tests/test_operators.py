@@ -462,3 +462,19 @@ def test_pipe_sum_past_32_bits(spark):
     from tessera.operators import udfs as U
     df = spark.range(0, 4, 1, 2).select((F.col("id") + 1_500_000_000).alias("v"))
     assert U.pipe_sum(df, "v").first().total == 6_000_000_006
+
+
+def test_gang_count_report_python_and_column_predicates_agree(spark):
+    li = table(spark, SF01, "lineitem").select("l_orderkey", "l_linenumber")
+
+    def hits(pdf):
+        k = pdf["l_orderkey"].to_numpy(np.int64)
+        ln = pdf["l_linenumber"].to_numpy(np.int64)
+        x = (((k * 7919 + ln * 104729) % 1000) + 0.5) / 1000.0
+        y = (((k * 104729 + ln * 7919) % 1000) + 0.5) / 1000.0
+        return x * x + y * y < 1.0
+
+    from tessera.plans.queries import q_gang_pi
+    py = G.gang_count_report(li, hits, 3, key="l_orderkey").first()
+    col = q_gang_pi(spark, SF01).first()
+    assert (py.n, py.hits, py.report) == (col.n, col.hits, col.report)

@@ -76,3 +76,10 @@ def test_gang_on_checkpointed_split_has_no_exchange(spark):
 def test_python_layer_runs_once(spark, name):
     p = plan(QUERIES[name](spark, SF01))
     assert sum(p.count(k) for k in ("ArrowEvalPython", "MapInArrow", "MapInPandas")) == 1
+
+
+@pytest.mark.parametrize("name", ["gang_sum", "gang_members", "gang_pi"])
+def test_gang_input_is_pre_aggregated(spark, name):
+    p = plan(QUERIES[name](spark, SF01))
+    first_exchange = p.index("Exchange", p.index("MapInPandas"))
+    assert "partial_" in p[first_exchange:]     # per-rank partials combine map-side
