@@ -7,7 +7,6 @@ from __future__ import annotations
 
 import uuid
 
-import pandas as pd
 import pyarrow as pa
 import pyarrow.ipc as ipc
 from pyspark import TaskContext
@@ -53,13 +52,22 @@ MANIFEST_SCHEMA = StructType([
 ])
 
 
+def _joined_lines(arr) -> bytes:
+    """A string column as newline-terminated lines, joined in Arrow (C++)."""
+    import pyarrow.compute as pc
+    if isinstance(arr, pa.ChunkedArray):
+        arr = arr.combine_chunks()
+    one_list = pa.ListArray.from_arrays(pa.array([0, len(arr)], pa.int32()), arr)
+    return pc.binary_join(one_list, "\n")[0].as_buffer().to_pybytes() + b"\n"
+
+
 def export_feature_files(df: DataFrame, path: str, features="features",
                          label="label") -> DataFrame:
     """Per partition, a features CSV (one vector per line) and a labels file
     (one label per line); yields the manifest row of that file pair.
 
-    The text is formatted in the JVM (``vector_to_csv``) so Python only
-    streams lines to the files."""
+    The text is formatted in the JVM (``vector_to_csv``) and joined into
+    lines by Arrow, so Python only moves buffers to the files."""
     lines = df.select(vector_to_csv(_c(features)).alias("f"),
                       _c(label).cast("double").cast("string").alias("l"))
 
@@ -69,18 +77,20 @@ def export_feature_files(df: DataFrame, path: str, features="features",
         fs.ensure_dir(path)
         n = 0
         with fs.atomic_output(feat_uri) as ff, fs.atomic_output(lab_uri) as lf:
-            for pdf in batches:
-                if len(pdf):
-                    if pdf["f"].isna().any() or pdf["l"].isna().any():
+            for b in batches:
+                if b.num_rows:
+                    f, lab = b.column("f"), b.column("l")
+                    if f.null_count or lab.null_count:
                         raise ValueError("export_feature_files: null features or label")
-                    ff.write(("\n".join(pdf["f"]) + "\n").encode("utf-8"))
-                    lf.write(("\n".join(pdf["l"]) + "\n").encode("utf-8"))
-                    n += len(pdf)
-        yield pd.DataFrame({"featureArrayFile": [feat_uri], "labelsFile": [lab_uri],
-                            "partition_id": [TaskContext.get().partitionId()],
-                            "n_rows": [n]})
-
-    return lines.mapInPandas(write, MANIFEST_SCHEMA)
+                    ff.write(_joined_lines(f))
+                    lf.write(_joined_lines(lab))
+                    n += b.num_rows
+        yield pa.RecordBatch.from_pydict({
+            "featureArrayFile": [feat_uri], "labelsFile": [lab_uri],
+            "partition_id": pa.array([TaskContext.get().partitionId()], pa.int32()),
+            "n_rows": pa.array([n], pa.int64())})
+
+    return lines.mapInArrow(write, MANIFEST_SCHEMA)
 
 
 ARROW_MANIFEST = "path string, partition_id int, n_rows bigint, n_batches int"
