@@ -65,14 +65,15 @@ def global_index(df: DataFrame, name: str = "row_index") -> DataFrame:
     bc = df.sparkSession.sparkContext.broadcast(offsets)
 
     def number(batches):
+        import pyarrow as pa
         from pyspark import TaskContext
         pid = TaskContext.get().partitionId()
         start = bc.value.get(pid, 0)
-        for pdf in batches:
-            yield pdf.assign(**{name: np.arange(start, start + len(pdf), dtype=np.int64)})
-            start += len(pdf)
+        for b in batches:          # other columns pass through as Arrow, untouched
+            yield b.append_column(name, pa.array(np.arange(start, start + b.num_rows, dtype=np.int64)))
+            start += b.num_rows
 
-    return fixed.mapInPandas(number, schema)
+    return fixed.mapInArrow(number, schema)
 
 
 def top_k(df: DataFrame, k: int, *order) -> DataFrame:
