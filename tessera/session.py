@@ -25,6 +25,10 @@ def local_session(cores: int = 8, shuffle_partitions: int = 8,
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        # Cap Arrow batches by bytes: wide vectors (784 doubles = 6 KB a row)
+        # then stream in ~2,600-row batches that keep JVM and Python busy at
+        # once; narrow rows still stop at the 10,000-record cap.
+        .config("spark.sql.execution.arrow.maxBytesPerBatch", str(16 * 1024 * 1024))
         .config("spark.driver.memory", "16g")
         # A gang that cannot get its slots should fail fast, not retry 40x15s.
         .config("spark.scheduler.barrier.maxConcurrentTasksCheck.maxFailures", "1")
