@@ -478,3 +478,19 @@ def test_gang_count_report_python_and_column_predicates_agree(spark):
     py = G.gang_count_report(li, hits, 3, key="l_orderkey").first()
     col = q_gang_pi(spark, SF01).first()
     assert (py.n, py.hits, py.report) == (col.n, col.hits, col.report)
+
+
+from hypothesis import given, settings  # noqa: E402
+from hypothesis import strategies as st  # noqa: E402
+
+
+@settings(max_examples=6, deadline=None)
+@given(n=st.integers(0, 300), parts=st.integers(1, 9), k=st.integers(1, 12))
+def test_index_topk_strided_properties(spark, n, parts, k):
+    df = spark.range(0, n, 1, parts).select((F.col("id") * 7 % 101).alias("v"), "id")
+    idx = sorted(r.row_index for r in P.global_index(df).collect())
+    assert idx == list(range(n))                                   # dense, unique
+    top = [r.v for r in P.top_k(df, k, "v", "id").collect()]
+    assert top == sorted(r.v for r in df.collect())[:k]
+    ranks = P.strided(df, 3, "id", spread=2).select("id", P.rank_of_partition(3).alias("r")).collect()
+    assert all(r.r == r.id % 3 for r in ranks)
