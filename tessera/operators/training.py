@@ -81,13 +81,12 @@ class ShuffleBuffer:
         if len(self.y) == 0:
             return self.X[:0], self.y[:0]
         idx = self.rng.choice(len(self.y), size=min(n, len(self.y)), replace=False)
-        X, y = self.X[idx], self.y[idx]
+        X, y = self.X[idx], self.y[idx]          # copies (fancy indexing)
         nX, ny = self._pull(len(idx))
-        if len(ny):
-            keep = np.ones(len(self.y), bool)
-            keep[idx[: len(ny)]] = False
-            self.X = np.vstack([self.X[keep], nX])
-            self.y = np.concatenate([self.y[keep], ny])
+        if len(ny):                              # new rows take the drawn rows' slots
+            slots = idx[: len(ny)]
+            self.X[slots] = nX
+            self.y[slots] = ny
         return X, y
 
 
