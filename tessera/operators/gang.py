@@ -27,11 +27,13 @@ def _c(c) -> Column:
 
 
 def gang(df: DataFrame, world: int, fn, schema, key=None,
-         prepartitioned: bool = False) -> DataFrame:
+         prepartitioned: bool = False, arrow: bool = False) -> DataFrame:
     """Run ``fn`` on ``world`` ranks at once. With ``key``, rank r gets the rows
     with ``key mod world == r``; otherwise rows are dealt round-robin.
     ``prepartitioned`` takes ``df`` as it is (it must have ``world``
-    partitions, e.g. a checkpointed frame reused by several gang stages)."""
+    partitions, e.g. a checkpointed frame reused by several gang stages).
+    ``arrow`` hands ``fn`` Arrow record batches (and takes batches back)
+    instead of pandas frames: no per-row objects for vector columns."""
     slots = df.sparkSession.sparkContext.defaultParallelism
     if world > slots:
         raise ValueError(f"a gang of {world} needs {world} free task slots; the cluster has {slots}")
@@ -50,7 +52,8 @@ def gang(df: DataFrame, world: int, fn, schema, key=None,
     # Spark reruns a failed barrier stage only when it is a shuffle-map stage
     # (a failed barrier result stage aborts the job), so the gang's output
     # always goes through an exchange; gangs emit partials, so it is small.
-    return parts.mapInPandas(run, schema, barrier=True).repartition(world)
+    mapper = parts.mapInArrow if arrow else parts.mapInPandas
+    return mapper(run, schema, barrier=True).repartition(world)
 
 
 def encode_array(a: np.ndarray) -> str:

@@ -65,9 +65,16 @@ class ShuffleBuffer:
             except StopIteration:
                 self.exhausted = True
                 break
-            if len(pdf):
-                self.pending_X = np.vstack([self.pending_X, L.stack_column(pdf[self.features], self.width)])
-                self.pending_y = np.concatenate([self.pending_y, pdf[self.label].to_numpy(np.float64)])
+            if len(pdf) == 0:
+                continue
+            if isinstance(pdf, pd.DataFrame):
+                X = L.stack_column(pdf[self.features], self.width)
+                y = pdf[self.label].to_numpy(np.float64)
+            else:                                   # an Arrow record batch
+                X = L.list_matrix(pdf.column(self.features), self.width)
+                y = pdf.column(self.label).to_numpy(zero_copy_only=False).astype(np.float64)
+            self.pending_X = np.vstack([self.pending_X, X])
+            self.pending_y = np.concatenate([self.pending_y, y])
         k = min(need, len(self.pending_y))
         X, y = self.pending_X[:k], self.pending_y[:k]
         self.pending_X, self.pending_y = self.pending_X[k:], self.pending_y[k:]
@@ -156,6 +163,8 @@ def train(df: DataFrame, model: Model, world: int, steps: int, features: str = "
     done, stage, state_path = 0, 0, None
     lr_eff = lr * world
     model_cls = type(model)          # referenced so the worker imports the model's module
+    from pyspark.sql.pandas.types import to_arrow_schema
+    arrow_schema = to_arrow_schema(STATE_SCHEMA)
     while done < per_worker:
         n_steps = min(steps_per_stage, per_worker - done)
         bc = L.broadcast_arrays(spark, {**{"p:" + k: v for k, v in model.to_arrays().items()},
@@ -203,10 +212,12 @@ def train(df: DataFrame, model: Model, world: int, steps: int, features: str = "
                     hist.append((step, tot[-2] / tot[-1]))
                 loss_acc, n_acc = 0.0, 0
             if rank == 0:
-                yield _state_rows(m, vel, hist)
+                import pyarrow as pa
+                yield pa.RecordBatch.from_pandas(_state_rows(m, vel, hist), schema=arrow_schema,
+                                                 preserve_index=False)
 
         state_path = f"{path}/stage-{stage:05d}"
-        gang(data, world, fn, STATE_SCHEMA, prepartitioned=True) \
+        gang(data, world, fn, STATE_SCHEMA, prepartitioned=True, arrow=True) \
             .write.mode("errorifexists").parquet(state_path)
         model, velocity = _read_state(spark, state_path)
         done += n_steps
