@@ -134,11 +134,15 @@ def score_pandas(df: DataFrame, model: Model, features="features",
 
 
 def score_map_in_pandas(df: DataFrame, model: Model, features: str = "features",
-                        out_col: str = "prediction") -> DataFrame:
-    """Partition map: each Arrow batch gets a prediction column appended."""
+                        out_col: str = "prediction", keep: list[str] | None = None) -> DataFrame:
+    """Partition map: each pandas batch gets a prediction column appended.
+    ``keep`` limits the columns handed back (all by default): returning a
+    wide vector column costs a pandas -> Arrow conversion per row."""
     bc = _broadcast_model(df.sparkSession, model)
     width = _width(model)
-    schema = StructType(df.schema.fields + [StructField(out_col, DoubleType())])
+    kept = [f for f in df.schema.fields if keep is None or f.name in keep]
+    schema = StructType(kept + [StructField(out_col, DoubleType())])
+    names = [f.name for f in kept]
     model_cls = type(model)
     key = uuid.uuid4().hex
 
@@ -146,6 +150,6 @@ def score_map_in_pandas(df: DataFrame, model: Model, features: str = "features",
         m = worker_model(bc, key, model_cls)
         for pdf in batches:
             pred = m.predict(L.stack_column(pdf[features], width)) if len(pdf) else []
-            yield pdf.assign(**{out_col: np.asarray(pred, np.float64)})
+            yield pdf[names].assign(**{out_col: np.asarray(pred, np.float64)})
 
     return df.mapInPandas(infer, schema)

@@ -472,7 +472,7 @@ def q_score_table_pandas(spark, sf):
 
 
 def q_score_map_in_pandas(spark, sf):
-    return SC.score_map_in_pandas(_stored(spark, sf), _fixture_model()) \
+    return SC.score_map_in_pandas(_stored(spark, sf), _fixture_model(), keep=["vec_id", "label"]) \
         .select("vec_id", "label", "prediction")
 
 
