@@ -129,3 +129,9 @@ def test_max_pool_expression_matches_numpy(spark):
     got = one(spark, T.max_pool2x2(F.array(*[F.lit(v) for v in x]), 4, 6, 2))
     want = max_pool2x2(np.array(x).reshape(1, 4, 6, 2)).ravel().tolist()
     assert got == want
+
+
+def test_jvm_trim(spark):
+    assert one(spark, S.jvm_trim(F.lit("\t\n a b \r\x00"))) == "a b"
+    assert one(spark, S.jvm_trim(F.lit("   "))) == ""
+    assert one(spark, S.jvm_trim(F.lit("\u00a0x\u00a0"))) == "\u00a0x\u00a0"   # U+00A0 is kept: only chars <= U+0020 go

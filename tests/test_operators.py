@@ -494,3 +494,20 @@ def test_index_topk_strided_properties(spark, n, parts, k):
     assert top == sorted(r.v for r in df.collect())[:k]
     ranks = P.strided(df, 3, "id", spread=2).select("id", P.rank_of_partition(3).alias("r")).collect()
     assert all(r.r == r.id % 3 for r in ranks)
+
+
+def test_int_text_roundtrip_64_bit_and_negative(spark):
+    vals = spark.range(0, 6, 1, 3).select(((F.col("id") - 2) * 3_000_000_000).alias("v"))
+    path = shared_dir(spark, "test-int-text")
+    W.write_text(vals, "v", path)
+    back = R.scan_int_text(spark, path)
+    assert sorted(r.value for r in back.collect()) == [(i - 2) * 3_000_000_000 for i in range(6)]
+
+
+def test_synth_vectors_spread(spark):
+    keys = table(spark, SF01, "embeddings").select("vec_id")
+    v = R.synth_vectors(keys, dim=16, key="vec_id", spread=6)
+    assert v.rdd.getNumPartitions() == 6
+    rows = v.collect()
+    assert len(rows) == 500 and all(len(r.features) == 16 for r in rows)
+    assert len({r.vec_id for r in rows}) == 500
