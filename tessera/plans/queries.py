@@ -36,8 +36,10 @@ ROWS_PER_SLICE = 5_000_000     # int_range: more slices as the table grows
 
 def _world(spark) -> int:
     """Gang size: on a cluster set ``tessera.gang.world`` to the task slots;
-    the default 3 is what the oracle SQL names."""
-    return int(spark.conf.get("tessera.gang.world", str(WORLD)))
+    the default 3 is what the oracle SQL names.  Never more ranks than the
+    task slots, which a barrier stage needs all at once."""
+    asked = int(spark.conf.get("tessera.gang.world", str(WORLD)))
+    return max(1, min(asked, spark.sparkContext.defaultParallelism))
 
 
 def _spread(spark, ranks: int) -> int:
