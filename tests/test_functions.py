@@ -135,3 +135,10 @@ def test_jvm_trim(spark):
     assert one(spark, S.jvm_trim(F.lit("\t\n a b \r\x00"))) == "a b"
     assert one(spark, S.jvm_trim(F.lit("   "))) == ""
     assert one(spark, S.jvm_trim(F.lit("\u00a0x\u00a0"))) == "\u00a0x\u00a0"   # U+00A0 is kept: only chars <= U+0020 go
+
+
+def test_to_float_array_and_label_cast(spark):
+    df = spark.createDataFrame([([0.1, 2.5, -1.0], 3.0)], "x array<double>, label double")
+    row = df.select(S.to_float_array("x").alias("f"), T.one_hot("label", 5).alias("h")).first()
+    assert df.select(S.to_float_array("x")).schema.fields[0].dataType.simpleString() == "array<float>"
+    assert [round(v, 6) for v in row.f] == [0.1, 2.5, -1.0] and row.h == [0, 0, 0, 1, 0]
