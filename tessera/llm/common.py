@@ -3,6 +3,8 @@ NumPy arrays, Arrow iteration, cutting lineage, connected components."""
 
 from __future__ import annotations
 
+import gc
+import hashlib
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -114,12 +116,31 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+_WRITTEN: dict[int, tuple] = {}
+
+
 def settle(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` into the cluster's shared folder and read it back: later
-    jobs start from the files, also when executors are lost."""
-    path = shared_dir(df.sparkSession, name)
+    jobs start from the files, also when executors are lost.  The JVM is asked
+    to collect garbage, so that Spark's cleaner frees the shuffle files of
+    jobs that are over."""
+    spark = df.sparkSession
+    path = shared_dir(spark, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _WRITTEN[id(out)] = (out, path)
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+    return out
+
+
+def release(*frames: DataFrame) -> None:
+    """Delete the files of settled frames that no later step reads."""
+    for df in frames:
+        _, path = _WRITTEN.pop(id(df))
+        jvm = df.sparkSession.sparkContext._jvm
+        p = jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
@@ -151,3 +172,81 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         raise RuntimeError(f"components did not settle in {rounds} rounds")
     return (e.select(F.col("a").alias("id"), F.col("b").alias("component"))
             .unionByName(e.select(F.col("b").alias("id"), F.col("b").alias("component")).distinct()))
+
+
+def runs(batches: Iterable[pa.RecordBatch], *keys: str) -> Iterator[pa.Table]:
+    """Groups of equal ``keys`` from batches sorted by them.  Holds one batch
+    and the group that crosses its end, so groups must be bounded."""
+    held: list[pa.RecordBatch] = []
+
+    def key(b, i):
+        return tuple(b.column(b.schema.get_field_index(k))[i].as_py() for k in keys)
+
+    for b in batches:
+        if not b.num_rows:
+            continue
+        change = np.zeros(b.num_rows - 1, bool)
+        for k in keys:
+            v = b.column(b.schema.get_field_index(k)).to_numpy(zero_copy_only=False)
+            change |= v[1:] != v[:-1]
+        cuts = [0, *(np.flatnonzero(change) + 1).tolist(), b.num_rows]
+        if held and key(held[-1], held[-1].num_rows - 1) != key(b, 0):
+            yield pa.Table.from_batches(held)
+            held = []
+        for s, e in zip(cuts[:-2], cuts[1:-1]):
+            yield pa.Table.from_batches([*held, b.slice(s, e - s)])
+            held = []
+        held.append(b.slice(cuts[-2]))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def ragged(col: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """Values and row offsets of a list column."""
+    a = col.combine_chunks() if isinstance(col, pa.ChunkedArray) else col
+    off = a.offsets.to_numpy()
+    return a.values.to_numpy()[off[0]:off[-1]], off - off[0]
+
+
+def ordered_texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(doc, tag, doc_id, text): (doc, tag) orders the documents, by id with
+    nulls last; the tag, a hash of the text, tells rows that share an id apart."""
+    return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(2**63 - 1)).alias("doc"),
+                       F.xxhash64(text_col).alias("tag"),
+                       F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+
+
+def cut(data: bytes, ranges) -> tuple[int, int, bytes]:
+    """(bytes removed, maximal removed runs, bytes left)."""
+    removed = runs = at = 0
+    left = []
+    last = -1
+    for s, e in sorted(ranges):
+        if s > last:
+            runs += 1
+            left.append(data[at:s])
+            removed += e - s
+        elif e > last:
+            removed += e - last
+        last = max(last, e)
+        at = max(at, last)
+    left.append(data[at:])
+    return removed, runs, b"".join(left)
+
+
+def cut_out(texts: DataFrame, ranges: DataFrame, keep_bytes: bool = False) -> DataFrame:
+    """``ordered_texts`` without the byte ranges (doc, tag, ranges: array of
+    start, end) -> (doc_id, n_bytes, n_removed, n_spans, kept_sha256[, kept])."""
+    rows = texts.join(ranges, ["doc", "tag"], "left").select("doc_id", "text", "ranges")
+    schema = [("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()),
+              ("n_spans", pa.int64()), ("kept_sha256", pa.string())]
+    out = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
+
+    def row(r):
+        data = (r[1] or "").encode("utf-8", "replace")
+        removed, n, kept = cut(data, [(x["start"], x["end"]) for x in r[2] or ()])
+        res = (r[0], len(data), removed, n, hashlib.sha256(kept).hexdigest())
+        return (*res, kept) if keep_bytes else res
+    if keep_bytes:
+        schema, out = [*schema, ("kept", pa.binary())], out + ", kept binary"
+    return rows.mapInArrow(per_row(row, ["doc_id", "text", "ranges"], pa.schema(schema)), out)

@@ -4,16 +4,50 @@ tables, and DuckDB SQL where SQL can express them."""
 from __future__ import annotations
 
 from tessera.llm import common as C
-from tessera.llm import mixing, quality
+from tessera.llm import chat, chunks, mixing, near, pages, pieces, private, quality, substrings, vectors
+
+
+def op1_private_data(spark, sf_dir):
+    return private.find_private(C.table(spark, sf_dir, "documents"))
+
+
+def op2_suffix_array(spark, sf_dir):
+    return substrings.dedup_substrings(C.table(spark, sf_dir, "documents"))
+
+
+def op3_sentencepiece(spark, sf_dir):
+    return pieces.encode(C.table(spark, sf_dir, "documents"))
+
+
+def op4_chunking(spark, sf_dir):
+    return chunks.dedup_chunks(C.table(spark, sf_dir, "documents"))
+
+
+def op5_html(spark, sf_dir):
+    return pages.extract(C.table(spark, sf_dir, "pages"))
+
+
+def op6_minhash(spark, sf_dir):
+    return near.near_duplicates(C.table(spark, sf_dir, "documents"), n=2)
 
 
 def op7_quality_rules(spark, sf_dir):
     return quality.quality(C.table(spark, sf_dir, "documents"))
 
 
+def op8_chat(spark, sf_dir):
+    return chat.format_chats(C.table(spark, sf_dir, "conversations"))
+
+
 def op9_mixing(spark, sf_dir):
     return mixing.mix(C.table(spark, sf_dir, "documents")).drop("source")
 
 
-QUERIES = {f.__name__: f for f in (op7_quality_rules, op9_mixing)}
+def op10_cover_tree(spark, sf_dir):
+    return vectors.near_vectors(C.table(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {f.__name__: f for f in (
+    op1_private_data, op2_suffix_array, op3_sentencepiece, op4_chunking, op5_html, op6_minhash, op7_quality_rules,
+    op8_chat, op9_mixing, op10_cover_tree)}
 SQL = {"op9_mixing": mixing.SQL}
