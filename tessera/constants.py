@@ -12,7 +12,6 @@ REPORT_PI_FORMAT = "np=%2d;    PI=%0.4f"
 LEARNING_RATE = 0.001
 MOMENTUM = 0.9
 BATCH_SIZE = 100
-SHUFFLE_QUEUE_ROWS = 1000      # rows held for shuffling, as the input queue did
 LOG_EVERY_STEPS = 500
 TRAIN_STEPS = (20000, 5)       # the two step counts used, divided by the workers
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 __all__ = [
     "base64_encode", "base64_decode", "list_join", "jvm_trim", "split_trim", "split_first",
-    "array_index_of", "map_first", "map_join", "random_name", "double_to_string",
+    "array_index_of", "map_first", "map_join", "random_name", "uniform", "double_to_string",
     "vector_to_csv", "csv_to_vector", "to_float_array", "check_width",
 ]
 
@@ -50,7 +50,7 @@ _JVM_SPACE = r"[\x00-\x20]"
 
 def jvm_trim(s) -> Column:
     """Trim as the JVM's ``String.trim``: control characters and spaces."""
-    return F.regexp_replace(_c(s), f"^{_JVM_SPACE}+|{_JVM_SPACE}+$", "")
+    return F.regexp_replace(_c(s), rf"\A{_JVM_SPACE}+|{_JVM_SPACE}+\z", "")
 
 
 def split_trim(s, sep: str = ",") -> Column:
@@ -58,7 +58,7 @@ def split_trim(s, sep: str = ",") -> Column:
     ``s.trim().split(sep).map(_.trim())``: trailing empty parts are dropped
     (``"a,b,,"`` gives ``[a, b]``, ``",,"`` gives ``[]``, ``""`` gives ``[""]``)."""
     t = jvm_trim(s)
-    stripped = F.regexp_replace(t, f"(?:{re.escape(sep)})+$", "")
+    stripped = F.regexp_replace(t, rf"(?:{re.escape(sep)})+\z", "")
     parts = F.when((stripped == "") & (t != ""), F.array().cast("array<string>")) \
         .otherwise(F.split(stripped, re.escape(sep)))
     return F.transform(parts, jvm_trim)
@@ -96,6 +96,15 @@ def random_name(prefix: str) -> Column:
     return F.concat(F.lit(prefix), F.xxhash64(F.expr("uuid()")).cast("string"))
 
 
+def uniform(*parts) -> Column:
+    """A number in [0, 1) fixed by the parts (keys, positions, seeds): the
+    first 48 bits of the md5 of their texts joined by colons.  Unlike a seeded
+    generator it does not depend on how rows are partitioned, and streams with
+    different parts are independent."""
+    text = F.concat_ws(":", *[_c(p).cast("string") for p in parts])
+    return F.conv(F.substring(F.md5(text), 1, 12), 16, 10).cast("double") / float(1 << 48)
+
+
 def double_to_string(c) -> Column:
     """Shortest text that reads back to the same double (``1.0``, ``1.0E-8``)."""
     return _c(c).cast("double").cast("string")
@@ -103,18 +112,18 @@ def double_to_string(c) -> Column:
 
 def vector_to_csv(arr) -> Column:
     """One CSV line per vector: elements as doubles joined by commas."""
-    return F.array_join(F.transform(_c(arr), double_to_string), ",")
+    return F.array_join(_c(arr).cast("array<double>").cast("array<string>"), ",")
 
 
 def csv_to_vector(line) -> Column:
     """Parse a CSV line of numbers into ``array<double>`` (empty line -> [])."""
     parts = F.split(_c(line), ",")
     return F.when(F.length(_c(line)) == 0, F.array().cast("array<double>")) \
-        .otherwise(F.transform(parts, lambda x: x.cast("double")))
+        .otherwise(parts.cast("array<double>"))
 
 
 def to_float_array(arr) -> Column:
-    return F.transform(_c(arr), lambda x: x.cast("float"))
+    return _c(arr).cast("array<float>")
 
 
 def check_width(arr, width: int) -> Column:

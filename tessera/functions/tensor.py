@@ -1,4 +1,4 @@
-"""Model operators on array columns as Column expressions (whole-stage codegen).
+"""Model operators on array columns as Column expressions (no Python).
 
 Arrays are flat and row-major, channel last, like the NumPy kernels in
 ``tessera.operators.layers``.
@@ -9,9 +9,11 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tessera.functions.scalars import uniform
+
 __all__ = [
     "softmax", "one_hot", "argmax", "relu", "cross_entropy", "log_sum_exp",
-    "max_pool2x2", "flat_to_image_index",
+    "max_pool2x2", "dropout",
 ]
 
 
@@ -19,20 +21,26 @@ def _c(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def _bind(value: Column, fn) -> Column:
+    """``fn(value)`` with the value computed once: a lambda variable is bound,
+    where a Column used inside another lambda would be computed per element."""
+    return F.get(F.transform(F.array(value), fn), 0)
+
+
+def _shifted_exp(z: Column) -> Column:
+    """(e, s, m): exponentials of the scores less their maximum m, and their sum."""
+    return _bind(F.struct(z.alias("z"), F.array_max(z).alias("m")), lambda v: _bind(
+        F.transform(v["z"], lambda x: F.exp(x - v["m"])), lambda e: F.struct(
+            e.alias("e"), F.aggregate(e, F.lit(0.0), lambda acc, x: acc + x).alias("s"), v["m"].alias("m"))))
+
+
 def log_sum_exp(z) -> Column:
-    z = _c(z)
-    m = F.array_max(z)
-    return F.log(F.aggregate(F.transform(z, lambda x: F.exp(x - m)),
-                             F.lit(0.0), lambda acc, x: acc + x)) + m
+    return _bind(_shifted_exp(_c(z)), lambda v: F.log(v["s"]) + v["m"])
 
 
 def softmax(z) -> Column:
-    """Numerically stable softmax of a score vector."""
-    z = _c(z)
-    m = F.array_max(z)
-    e = F.transform(z, lambda x: F.exp(x - m))
-    s = F.aggregate(e, F.lit(0.0), lambda acc, x: acc + x)
-    return F.transform(e, lambda x: x / s)
+    """Numerically stable softmax of a score vector, linear in its length."""
+    return _bind(_shifted_exp(_c(z)), lambda v: F.transform(v["e"], lambda x: x / v["s"]))
 
 
 def one_hot(label, depth: int) -> Column:
@@ -61,9 +69,12 @@ def _div(a: Column, n: int) -> Column:
     return F.floor(a / F.lit(n)).cast("int")
 
 
-def flat_to_image_index(i: Column, width: int, channels: int):
-    """(row, col, channel) of flat index ``i`` in a row-major HxWxC image."""
-    return (_div(i, width * channels), _div(i, channels) % width, i % channels)
+def dropout(x, rate: float, key, seed: int = 0) -> Column:
+    """Training-time dropout: each element is kept with probability
+    ``1 - rate`` and scaled up by its inverse.  The choice depends on the
+    row's key, the position and the seed alone."""
+    keep = 1.0 - rate
+    return F.transform(_c(x), lambda v, i: F.when(uniform(key, i, F.lit(seed)) < keep, v / keep).otherwise(F.lit(0.0)))
 
 
 def max_pool2x2(x, height: int, width: int, channels: int = 1) -> Column:

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from tessera import constants as K
 from tessera.functions import tensor
+from tessera.functions.scalars import uniform
 
 
 def _c(c) -> Column:
@@ -46,15 +47,17 @@ def pi_estimate(points: DataFrame, x: str = "x", y: str = "y") -> DataFrame:
         .withColumn("pi", F.lit(4.0) * F.col("hits") / F.col("n"))
 
 
-def random_points(df: DataFrame, seed: int = 7) -> DataFrame:
-    """One uniform point in [0,1)^2 per input row (seeded per partition by Spark)."""
-    return df.select(F.rand(seed).alias("x"), F.rand(seed + 1).alias("y"))
+def random_points(df: DataFrame, *keys, seed: int = 7) -> DataFrame:
+    """One uniform point in [0,1)^2 per input row, fixed by its keys and the
+    seed; the two axes and all rows have streams of their own."""
+    return df.select(uniform(*keys, F.lit(seed), F.lit("x")).alias("x"),
+                     uniform(*keys, F.lit(seed), F.lit("y")).alias("y"))
 
 
-def pi_monte_carlo(df: DataFrame, seed: int = 7) -> DataFrame:
+def pi_monte_carlo(df: DataFrame, *keys, seed: int = 7) -> DataFrame:
     """Monte Carlo pi with one random point per row of ``df``, plus a check
     that the estimate lies within 4 standard deviations of pi."""
-    est = pi_estimate(random_points(df, seed))
+    est = pi_estimate(random_points(df, *keys, seed=seed))
     sd = F.lit(4.0 * math.sqrt((math.pi / 4) * (1 - math.pi / 4))) / F.sqrt(F.col("n"))
     return est.select("n", "hits", "pi",
                       (F.abs(F.col("pi") - F.lit(math.pi)) < F.lit(4.0) * sd).alias("within_4sd"))

@@ -26,24 +26,15 @@ def _c(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
-def gang(df: DataFrame, world: int, fn, schema, key=None,
-         prepartitioned: bool = False, arrow: bool = False) -> DataFrame:
+def gang(df: DataFrame, world: int, fn, schema, key=None, arrow: bool = False) -> DataFrame:
     """Run ``fn`` on ``world`` ranks at once. With ``key``, rank r gets the rows
     with ``key mod world == r``; otherwise rows are dealt round-robin.
-    ``prepartitioned`` takes ``df`` as it is (it must have ``world``
-    partitions, e.g. a checkpointed frame reused by several gang stages).
     ``arrow`` hands ``fn`` Arrow record batches (and takes batches back)
     instead of pandas frames: no per-row objects for vector columns."""
     slots = df.sparkSession.sparkContext.defaultParallelism
     if world > slots:
         raise ValueError(f"a gang of {world} needs {world} free task slots; the cluster has {slots}")
-    if prepartitioned:
-        n = df.rdd.getNumPartitions()
-        if n != world:
-            raise ValueError(f"prepartitioned frame has {n} partitions, not {world}")
-        parts = df
-    else:
-        parts = strided(df, world, key) if key is not None else df.repartition(world)
+    parts = strided(df, world, key) if key is not None else df.repartition(world)
 
     def run(batches):
         ctx = BarrierTaskContext.get()

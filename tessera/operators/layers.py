@@ -10,6 +10,7 @@ Python cost is per batch, never per row.
 from __future__ import annotations
 
 import io
+import uuid
 
 import numpy as np
 import pandas as pd
@@ -21,9 +22,10 @@ from tessera.functions import tensor
 
 # Weights larger than this are not broadcast: a model this size belongs in a
 # file every worker reads itself.
-MAX_BROADCAST_BYTES = 512 * 1024 * 1024
+MAX_BROADCAST_BYTES = 64 * 1024 * 1024
 # Convolutions work on sliding windows of (rows, h, w, c, kh, kw); a batch is
-# cut into chunks so that this intermediate stays under about this many bytes.
+# cut into chunks so that this intermediate stays under about this many bytes, as
+# do the outputs of a layer over a batch.
 CONV_CHUNK_BYTES = 64 * 1024 * 1024
 
 
@@ -145,6 +147,21 @@ def unpack_arrays(blob: bytes) -> dict[str, np.ndarray]:
         return {k: z[k] for k in z.files}
 
 
+# Arrays unpacked on this Python worker, by a key made when they were shipped.
+_WORKER_ARRAYS: dict[str, dict[str, np.ndarray]] = {}
+KEPT_PAYLOADS = 4              # payloads kept per worker; an older one is unpacked again
+
+
+def worker_arrays(bc, key: str) -> dict[str, np.ndarray]:
+    """The arrays of a payload, unpacked once per worker."""
+    got = _WORKER_ARRAYS.get(key)
+    if got is None:
+        while len(_WORKER_ARRAYS) >= KEPT_PAYLOADS:
+            _WORKER_ARRAYS.pop(next(iter(_WORKER_ARRAYS)))
+        got = _WORKER_ARRAYS[key] = unpack_arrays(bc.value)
+    return got
+
+
 class SharedBlob:
     """A payload too large to broadcast, kept as one file in the shared
     folder; each Python worker reads it once (``.value``, like a Broadcast)."""
@@ -213,9 +230,10 @@ def matrix_list(m: np.ndarray):
     return pa.ListArray.from_arrays(offsets, pa.array(np.ascontiguousarray(m, np.float64).ravel()))
 
 
-def map_vectors(df: DataFrame, col: str, width: int, fn, out_col: str) -> DataFrame:
+def map_vectors(df: DataFrame, col: str, width: int, fn, out_col: str, out_width: int = 0) -> DataFrame:
     """Append ``fn(matrix) -> matrix`` of a vector column as ``array<double>``,
-    one Arrow batch at a time; the other columns pass through untouched."""
+    at most ``CONV_CHUNK_BYTES`` of output at a time; the other columns pass
+    through untouched."""
     from pyspark.sql.types import StructField, StructType
     schema = StructType([f for f in df.schema.fields if f.name != out_col]
                         + [StructField(out_col, ArrayType(DoubleType()))])
@@ -224,8 +242,10 @@ def map_vectors(df: DataFrame, col: str, width: int, fn, out_col: str) -> DataFr
         for b in batches:
             if out_col in b.schema.names:
                 b = b.drop_columns([out_col])
-            out = fn(list_matrix(b.column(col), width)) if b.num_rows else np.zeros((0, 1))
-            yield b.append_column(out_col, matrix_list(out.reshape(b.num_rows, -1)))
+            for sl in _chunks(b.num_rows, max(width, out_width)):
+                part = b.slice(sl.start, sl.stop - sl.start)
+                out = fn(list_matrix(part.column(col), width)) if part.num_rows else np.zeros((0, 1))
+                yield part.append_column(out_col, matrix_list(out.reshape(part.num_rows, -1)))
 
     return df.mapInArrow(run, schema)
 
@@ -237,12 +257,14 @@ def dense_layer(df: DataFrame, col: str, kernel: np.ndarray, bias: np.ndarray |
                                             "b": np.zeros(kernel.shape[1]) if bias is None
                                             else np.asarray(bias, np.float64)})
 
+    key = uuid.uuid4().hex
+
     def fn(x):
-        w = unpack_arrays(bc.value)
+        w = worker_arrays(bc, key)
         out = dense(x, w["k"], w["b"])
         return relu(out) if activation == "relu" else out
 
-    return map_vectors(df, col, kernel.shape[0], fn, out_col)
+    return map_vectors(df, col, kernel.shape[0], fn, out_col, kernel.shape[1])
 
 
 def conv2d_layer(df: DataFrame, col: str, shape: tuple[int, int, int], kernel: np.ndarray,
@@ -254,12 +276,14 @@ def conv2d_layer(df: DataFrame, col: str, shape: tuple[int, int, int], kernel: n
                                             "b": np.zeros(kernel.shape[3]) if bias is None
                                             else np.asarray(bias, np.float64)})
 
+    key = uuid.uuid4().hex
+
     def fn(x):
-        wts = unpack_arrays(bc.value)
+        wts = worker_arrays(bc, key)
         out = conv2d_same(x.reshape(-1, h, w, c), wts["k"], wts["b"])
         return (relu(out) if activation == "relu" else out).reshape(len(x), -1)
 
-    return map_vectors(df, col, h * w * c, fn, out_col)
+    return map_vectors(df, col, h * w * c, fn, out_col, h * w * kernel.shape[3])
 
 
 def max_pool_layer(df: DataFrame, col, shape: tuple[int, int, int],
@@ -268,6 +292,3 @@ def max_pool_layer(df: DataFrame, col, shape: tuple[int, int, int],
     h, w, c = shape
     return df.withColumn(out_col, tensor.max_pool2x2(_c(col), h, w, c))
 
-
-def relu_layer(df: DataFrame, col, out_col: str = "relu") -> DataFrame:
-    return df.withColumn(out_col, tensor.relu(_c(col)))

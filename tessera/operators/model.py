@@ -57,7 +57,7 @@ class Model:
     def from_rows(cls, rows) -> "Model":
         d = {r[0]: (tuple(int(s) for s in r[1]), np.asarray(r[2], np.float64)) for r in rows}
         kind = "".join(chr(int(c)) for c in d.pop("__kind__")[1])
-        config = [int(v) for v in d.pop("__config__")[1]]
+        config = d.pop("__config__")[1].tolist()
         params = {k: v.reshape(shape) for k, (shape, v) in d.items()}
         return cls._for_kind(kind).from_config(config, params)
 
@@ -70,7 +70,7 @@ class Model:
     @classmethod
     def from_arrays(cls, arrays: dict[str, np.ndarray]) -> "Model":
         kind = "".join(chr(int(c)) for c in arrays["__kind__"])
-        config = [int(v) for v in arrays["__config__"]]
+        config = np.asarray(arrays["__config__"], np.float64).tolist()
         params = {k: v for k, v in arrays.items() if not k.startswith("__")}
         return cls._for_kind(kind).from_config(config, params)
 
@@ -100,7 +100,7 @@ class SoftmaxRegression(Model):
 
     @classmethod
     def from_config(cls, config, params):
-        return cls(config[0], config[1], params)
+        return cls(int(config[0]), int(config[1]), params)
 
     @classmethod
     def fixture(cls, dim: int, classes: int = K.CLASSES) -> "SoftmaxRegression":
@@ -148,12 +148,12 @@ class ConvNet(Model):
         super().__init__(params)
 
     def config(self):
-        return [*self.shape, self.f1, self.f2, self.hidden, self.classes, self.ksize]
+        return [*self.shape, self.f1, self.f2, self.hidden, self.classes, self.ksize, self.dropout_rate]
 
     @classmethod
     def from_config(cls, config, params):
-        h, w, c, f1, f2, hidden, classes, k = config
-        return cls(h, w, c, f1, f2, hidden, classes, k, params)
+        *sizes, rate = config
+        return cls(*map(int, sizes), params=params, dropout_rate=rate)
 
     @classmethod
     def fixture(cls, height, width, channels=1, f1=4, f2=8, hidden=16, classes=K.CLASSES,

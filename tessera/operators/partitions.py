@@ -36,10 +36,19 @@ def rank_of_partition(n: int):
     return (F.spark_partition_id() % F.lit(n)).cast("int")
 
 
-def partition_zero(df: DataFrame, n: int = 0) -> DataFrame:
-    """Rows of partition 0 only, or of rank 0 of an ``n``-rank strided frame."""
-    if n:
-        return df.filter(rank_of_partition(n) == 0)
+def rank_of(id_col, n: int) -> Column:
+    """The rank (0..n-1) of a row in the strided split, from its id: what a
+    rank would hold can be filtered or grouped without moving rows."""
+    return F.pmod(_c(id_col), F.lit(n)).cast("int")
+
+
+def rank_rows(df: DataFrame, n: int, id_col, rank: int) -> DataFrame:
+    """The rows of one rank of the strided split, filtered at the scan."""
+    return df.filter(rank_of(id_col, n) == rank)
+
+
+def partition_zero(df: DataFrame) -> DataFrame:
+    """Rows of partition 0 only."""
     return df.filter(F.spark_partition_id() == 0)
 
 
@@ -100,5 +109,5 @@ def minibatch_sizes(batched: DataFrame) -> DataFrame:
     return batched.groupBy("batch_id").agg(F.count(F.lit(1)).alias("rows"))
 
 
-__all__ = ["repartition_n", "strided", "rank_of_partition", "partition_zero", "partition_counts",
+__all__ = ["repartition_n", "strided", "rank_of_partition", "rank_of", "rank_rows", "partition_zero", "partition_counts",
            "global_index", "top_k", "minibatches", "minibatch_sizes"]

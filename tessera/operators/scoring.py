@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.ml.functions import predict_batch_udf
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import (ArrayType, DoubleType, IntegerType, StringType,
+from pyspark.sql.types import (ArrayType, DoubleType, IntegerType, LongType, StringType,
                                StructField, StructType)
 
 from tessera.operators import layers as L
@@ -43,10 +43,6 @@ def save_model(spark: SparkSession, model: Model, path: str | None = None) -> st
     return path
 
 
-def model_path_frame(spark: SparkSession, path: str) -> DataFrame:
-    return spark.createDataFrame([(path,)], "model_path string")
-
-
 def load_model(spark: SparkSession, path: str) -> Model:
     """Read a parameter table (model-sized, so it comes to the driver once)."""
     rows = spark.read.parquet(path).select("layer", "shape", "values").collect()
@@ -76,9 +72,17 @@ def _width(model: Model) -> int:
     return int(np.prod(model.shape)) if hasattr(model, "shape") else model.dim
 
 
-def prediction_udf(spark: SparkSession, model: Model, batch_size: int = 4096,
+def batch_rows(model: Model) -> int:
+    """Rows scored at once, so that a layer's output stays near 64 MB."""
+    per_row = 8 * max([_width(model), *(int(np.prod(model.shape[:2])) * v.shape[-1]
+                                        for v in model.params.values() if v.ndim == 4)])
+    return max(16, min(4096, L.CONV_CHUNK_BYTES // per_row))
+
+
+def prediction_udf(spark: SparkSession, model: Model, batch_size: int | None = None,
                    output: str = "class"):
-    """A ``predict_batch_udf`` giving the class (double) or the score vector."""
+    """A ``predict_batch_udf`` giving the class (double), the score vector
+    (``logits``) or the ``record``: classes and probabilities from one pass."""
     bc = _broadcast_model(spark, model)
     width = _width(model)
     model_cls = type(model)          # referenced so the worker imports the model's module
@@ -86,35 +90,40 @@ def prediction_udf(spark: SparkSession, model: Model, batch_size: int = 4096,
     def make_predict_fn():
         m = model_cls.from_arrays(L.unpack_arrays(bc.value))
 
-        def predict(x: np.ndarray) -> np.ndarray:
+        def predict(x: np.ndarray):
             x = x.astype(np.float64, copy=False).reshape(len(x), width)
             if output == "class":
                 return m.predict(x).astype(np.float64)
-            if output == "probabilities":
-                return L.softmax(m.forward(x))
-            return m.forward(x)
+            z = m.forward(x)
+            if output == "record":
+                return {"classes": z.argmax(axis=1), "probabilities": L.softmax(z)}
+            return z
         return predict
 
-    rtype = DoubleType() if output == "class" else ArrayType(DoubleType())
-    return predict_batch_udf(make_predict_fn, return_type=rtype, batch_size=batch_size,
+    rtype = {"class": DoubleType(), "logits": ArrayType(DoubleType()),
+             "record": StructType([StructField("classes", LongType()),
+                                   StructField("probabilities", ArrayType(DoubleType()))])}[output]
+    return predict_batch_udf(make_predict_fn, return_type=rtype, batch_size=batch_size or batch_rows(model),
                              input_tensor_shapes=[[width]])
 
 
 def score_table(df: DataFrame, model: Model, features="features",
-                out_col: str = "prediction", batch_size: int = 4096) -> DataFrame:
+                out_col: str = "prediction", batch_size: int | None = None) -> DataFrame:
     """Append the predicted class as ``double`` (dropout off, as in scoring)."""
     udf = prediction_udf(df.sparkSession, model, batch_size, "class")
     return df.withColumn(out_col, udf(_c(features)))
 
 
-def logits_column(spark: SparkSession, model: Model, features="features",
-                  batch_size: int = 4096) -> Column:
-    return prediction_udf(spark, model, batch_size, "logits")(_c(features))
+def score_record(df: DataFrame, model: Model, features="features", out_col: str = "record",
+                 batch_size: int | None = None) -> DataFrame:
+    """Append the prediction record, a struct of classes and probabilities."""
+    udf = prediction_udf(df.sparkSession, model, batch_size, "record")
+    return df.withColumn(out_col, udf(_c(features)))
 
 
-def probabilities_column(spark: SparkSession, model: Model, features="features",
-                         batch_size: int = 4096) -> Column:
-    return prediction_udf(spark, model, batch_size, "probabilities")(_c(features))
+def logits_column(spark: SparkSession, model: Model, features="features",
+                  batch_size: int | None = None) -> Column:
+    return prediction_udf(spark, model, batch_size, "logits")(_c(features))
 
 
 def score_pandas(df: DataFrame, model: Model, features="features",

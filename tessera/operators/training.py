@@ -1,232 +1,246 @@
-"""Data-parallel training in gang stages, full-batch gradients and evaluation.
-
-``train`` runs mini-batch SGD with momentum on ``world`` ranks in a barrier
-stage: every rank streams its rows through a bounded shuffle buffer, draws
-batches of ``batch`` rows and takes a momentum step; every ``sync_every``
-steps the ranks all-gather and average parameters and momentum, so all
-ranks continue from the same state.  After each stage rank 0 yields
-the parameters, the momentum and the loss history, which the driver writes
-to the shared folder; the next stage starts from that table, so a lost
-executor costs one stage, not the run.
+"""Data-parallel training over whole tables, full-batch gradients.
+
+``train`` runs mini-batch SGD with momentum on ``world`` ranks.  Every epoch
+puts the whole table in a new random order (a distributed sort) and cuts it
+into batches; batch g belongs to step ``g div world`` of rank ``g mod world``,
+so each row is drawn once per epoch, wherever it is stored and however long
+the run is.  ``sync_every`` steps form a round, one Spark job: each rank takes
+its steps on the rows of its batches, and a grouped aggregate over blocks of
+the parameters averages what the ranks return.  No task and no driver step
+holds more than one copy of the model (a rank's own, or the average).
+
+Each round's state is a table in the shared folder and the next round starts
+from it; a lost task is simply run again.  Ranks need not run at the same
+time, so ``world`` may exceed the task slots.
 """
 
 from __future__ import annotations
 
 import uuid
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import (ArrayType, DoubleType, IntegerType, StringType,
-                               StructField, StructType)
 
 from tessera import constants as K
 from tessera.operators import layers as L
-from tessera.operators.gang import all_reduce_sum, gang
+from tessera.operators import partitions as P
 from tessera.operators.model import Model
 from tessera.session import shared_dir
+from tessera.sources import fs
 
-STATE_SCHEMA = StructType([
-    StructField("kind", StringType(), False),      # param | velocity | history
-    StructField("layer", StringType(), True),
-    StructField("shape", ArrayType(IntegerType()), True),
-    StructField("values", ArrayType(DoubleType()), True),
-    StructField("step", IntegerType(), True),
-    StructField("loss", DoubleType(), True),
-])
+BLOCK_VALUES = 65_536          # parameters averaged together by one task
+# kind: param | velocity (a block of values) | loss (of one step) | read (rows drawn)
+ROUND_ROWS = ("kind string, name string, block int, rank int, values array<double>, "
+              "step int, loss double, n long, epoch int, key_sum decimal(38,0)")
+STATE_ROWS = "kind string, name string, block int, values array<double>"
 
 
 def _c(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
-class ShuffleBuffer:
-    """Up to ``capacity`` rows drawn at random; drawn rows are replaced by the
-    next unread rows, and once the input is used up the buffer is sampled
-    again (endless repetition)."""
-
-    def __init__(self, batches, features: str, label: str, width: int,
-                 capacity: int, rng: np.random.Generator):
-        self.src = iter(batches)
-        self.features, self.label, self.width = features, label, width
-        self.capacity, self.rng = capacity, rng
-        self.X = np.zeros((0, width))
-        self.y = np.zeros(0)
-        self.pending_X, self.pending_y = np.zeros((0, width)), np.zeros(0)
-        self.exhausted = False
-        self._fill(capacity)
-
-    def _pull(self, need: int):
-        while len(self.pending_y) < need and not self.exhausted:
-            try:
-                pdf = next(self.src)
-            except StopIteration:
-                self.exhausted = True
-                break
-            if len(pdf) == 0:
-                continue
-            if isinstance(pdf, pd.DataFrame):
-                X = L.stack_column(pdf[self.features], self.width)
-                y = pdf[self.label].to_numpy(np.float64)
-            else:                                   # an Arrow record batch
-                X = L.list_matrix(pdf.column(self.features), self.width)
-                y = pdf.column(self.label).to_numpy(zero_copy_only=False).astype(np.float64)
-            self.pending_X = np.vstack([self.pending_X, X])
-            self.pending_y = np.concatenate([self.pending_y, y])
-        k = min(need, len(self.pending_y))
-        X, y = self.pending_X[:k], self.pending_y[:k]
-        self.pending_X, self.pending_y = self.pending_X[k:], self.pending_y[k:]
-        return X, y
-
-    def _fill(self, n: int):
-        X, y = self._pull(n)
-        self.X, self.y = np.vstack([self.X, X]), np.concatenate([self.y, y])
-
-    def draw(self, n: int):
-        if len(self.y) == 0:
-            return self.X[:0], self.y[:0]
-        idx = self.rng.choice(len(self.y), size=min(n, len(self.y)), replace=False)
-        X, y = self.X[idx], self.y[idx]          # copies (fancy indexing)
-        nX, ny = self._pull(len(idx))
-        if len(ny):                              # new rows take the drawn rows' slots
-            slots = idx[: len(ny)]
-            self.X[slots] = nX
-            self.y[slots] = ny
-        return X, y
+class EpochTables:
+    """The batches of the epochs in random order, as sorted tables in the
+    shared folder.  A round's new epochs are made together, so the table is
+    sorted as often as rows are drawn and no more; tables that no later round
+    reads are deleted."""
+
+    def __init__(self, rows: DataFrame, batch: int, seed: int, path: str):
+        self.rows, self.batch, self.seed, self.path = rows, batch, seed, path
+        self.size = rows.count()
+        self.per_epoch = -(-self.size // batch)
+        self.made = 0                                  # epochs made so far
+        self.kept: list[tuple[int, str]] = []          # (last epoch, table)
+
+    def _make(self, upto: int) -> None:
+        first, out = self.made, f"{self.path}/epochs-{self.made:06d}"
+        copies = self.rows.withColumn("epoch", F.explode(F.sequence(F.lit(first), F.lit(upto))))
+        order = copies.orderBy("epoch", F.rand(self.seed * 1_000_003 + first))
+        at = F.col("position") - (F.col("epoch") - first) * F.lit(self.size).cast("long")
+        P.global_index(order, "position").withColumn(
+            "g", F.col("epoch").cast("long") * self.per_epoch + F.floor(at / self.batch)).drop("position") \
+            .write.parquet(out)
+        self.kept.append((upto, out))
+        self.made = upto + 1
+
+    def batches(self, lo: int, hi: int) -> DataFrame:
+        """Rows of the batches lo <= g < hi, counted over all epochs."""
+        first, last = lo // self.per_epoch, (hi - 1) // self.per_epoch
+        if last >= self.made:
+            self._make(last)
+        for old in [k for k in self.kept if k[0] < first]:
+            self.kept.remove(old)
+            fs.remove(old[1])
+        spark = self.rows.sparkSession
+        return spark.read.parquet(*[p for _, p in self.kept]).where(F.col("g").between(lo, hi - 1))
+
+    def close(self) -> None:
+        for _, path in self.kept:
+            fs.remove(path)
+        self.kept.clear()
 
 
 @dataclass
 class TrainResult:
     model_path: str
     model: Model
-    history: DataFrame
+    history: DataFrame         # (step, loss) of the logged steps
+    reads: DataFrame           # (epoch, round, rank, n, key_sum) as the ranks drew rows
+    rounds: list[str] = field(default_factory=list)
 
 
-def _state_rows(model: Model, velocity: dict[str, np.ndarray], history) -> pd.DataFrame:
-    rows = []
-    for layer, v in model.to_arrays().items():
-        rows.append(("param", layer, list(v.shape), v.astype(np.float64).ravel().tolist(), None, None))
-    for layer, v in velocity.items():
-        rows.append(("velocity", layer, list(v.shape), v.ravel().tolist(), None, None))
-    for step, loss in history:
-        rows.append(("history", None, None, None, int(step), float(loss)))
-    return pd.DataFrame(rows, columns=[f.name for f in STATE_SCHEMA.fields])
+def _blocks(kind: str, arrays: dict[str, np.ndarray]):
+    for name, v in sorted(arrays.items()):
+        flat = np.asarray(v, np.float64).ravel()
+        for b in range(0, max(1, len(flat)), BLOCK_VALUES):
+            yield kind, name, b // BLOCK_VALUES, flat[b:b + BLOCK_VALUES]
 
 
-def _read_state(spark: SparkSession, path: str):
-    rows = spark.read.parquet(path).filter("kind != 'history'").collect()
-    arrays = {(r.kind, r.layer): np.asarray(r["values"], np.float64).reshape(r.shape) for r in rows}
-    model = Model.from_arrays({k[1]: v for k, v in arrays.items() if k[0] == "param"})
-    velocity = {k[1]: v for k, v in arrays.items() if k[0] == "velocity"}
-    return model, velocity
-
-
-def train(df: DataFrame, model: Model, world: int, steps: int, features: str = "features",
-          label: str = "label", batch: int = K.BATCH_SIZE, lr: float = K.LEARNING_RATE,
+def _average(rows: DataFrame) -> DataFrame:
+    """Mean over the ranks of each block of parameters and momentum; a task
+    holds one block of every rank."""
+    def mean(t):
+        import pyarrow as pa
+        t = t.sort_by("rank")                          # one order of summation
+        v = t.column("values").combine_chunks().flatten().to_numpy().reshape(t.num_rows, -1)
+        return pa.table({"kind": t.column("kind")[:1], "name": t.column("name")[:1], "block": t.column("block")[:1],
+                         "values": pa.array([v.mean(axis=0).tolist()], pa.list_(pa.float64()))})
+    return rows.where("kind in ('param', 'velocity')").select("kind", "name", "block", "rank", "values") \
+        .groupBy("kind", "name", "block").applyInArrow(mean, STATE_ROWS)
+
+
+def _read_state(spark: SparkSession, path: str, model: Model):
+    """The averaged state, one copy of the model, in the shapes of ``model``."""
+    got: dict = {}
+    for r in spark.read.parquet(path).orderBy("kind", "name", "block").collect():
+        got.setdefault((r.kind, r.name), []).append(np.asarray(r["values"], np.float64))
+    if not got:
+        return None
+    shape = {k: v.shape for k, v in model.params.items()}
+    pick = lambda kind: {n: np.concatenate(v).reshape(shape[n]) for (k, n), v in got.items() if k == kind}
+    fixed = {k: v for k, v in model.to_arrays().items() if k.startswith("__")}
+    return type(model).from_arrays({**pick("param"), **fixed}), pick("velocity")
+
+
+def _rank_steps(m: Model, vel: dict, rows, rank: int, first_g: int, world: int, lr: float, momentum: float,
+                log_steps, seed):
+    """One rank's steps of a round over its sorted rows (g, epoch, key, X, y)."""
+    rng = np.random.default_rng([*seed, rank])         # dropout masks
+    names = sorted(m.params)
+    logs, reads = [], {}
+    for g, epoch, keys, X, y in rows:
+        grads, loss = m.grad_sums(X, y, rng=rng)
+        for k in names:
+            vel[k] = momentum * vel[k] + grads[k] / len(y)
+            m.params[k] = m.params[k] - lr * vel[k]
+        step = g // world
+        if step in log_steps:
+            logs.append((step, loss, len(y)))
+        n, total = reads.get(epoch, (0, 0))
+        reads[epoch] = (n + len(y), total + keys)
+    return logs, reads
+
+
+def _batches_of(arrow, width: int):
+    """(rank, g, epoch, key sum, X, y) of each batch from sorted Arrow batches;
+    holds the rows of one batch."""
+    held, at = [], None
+
+    def whole():
+        X = np.vstack([h[0] for h in held])
+        y = np.concatenate([h[1] for h in held])
+        return (*at, sum(h[2] for h in held), X, y)
+    for b in arrow:
+        if not b.num_rows:
+            continue
+        rank, g, epoch = (b.column(c).to_numpy() for c in ("rank", "g", "epoch"))
+        X = L.list_matrix(b.column("features"), width)
+        y = b.column("label").to_numpy(zero_copy_only=False).astype(np.float64)
+        key = b.column("key").to_numpy(zero_copy_only=False)
+        cuts = [0, *(np.flatnonzero(np.diff(g)) + 1).tolist(), len(g)]
+        for s, e in zip(cuts, cuts[1:]):
+            now = int(rank[s]), int(g[s]), int(epoch[s])
+            if at is not None and now != at:
+                yield whole()
+                held = []
+            at = now
+            held.append((X[s:e], y[s:e], sum(key[s:e].tolist())))
+    if held:
+        yield whole()
+
+
+def train(df: DataFrame, model: Model, world: int, steps: int | None = None, features: str = "features",
+          label: str = "label", key: str | None = None, batch: int = K.BATCH_SIZE, lr: float = K.LEARNING_RATE,
           momentum: float = K.MOMENTUM, seed: int = 0, log_every: int = K.LOG_EVERY_STEPS,
-          buffer_rows: int = K.SHUFFLE_QUEUE_ROWS,
-          sync_every: int = 1, checkpoint_every: int = 1000,
-          path: str | None = None) -> TrainResult:
+          sync_every: int = 1, epochs: int | None = None, path: str | None = None) -> TrainResult:
     """Train ``model`` (it must offer ``grad_sums``) for ``steps // world``
-    synchronous steps at learning rate ``lr * world``, like the reference's
-    scaling; returns the saved model path, the model and the loss history.
+    steps per rank at learning rate ``lr * world``, like the reference's
+    scaling, or for whole ``epochs`` of the table.
 
     ``sync_every=1`` averages after every step, which equals synchronous
-    gradient averaging.  Larger values run that many local steps between
-    averages (local SGD): each all-gather is a driver round trip (about a
-    second in barrier mode), so this is the knob for long runs.  Losses are
-    logged at synchronisation steps that are multiples of ``log_every``.
-
-    Every ``checkpoint_every`` steps the state is written to the shared
-    folder and a new gang stage continues from it over the same
-    checkpointed split of the rows."""
+    gradient averaging; larger values run that many local steps between
+    averages (local SGD).  Each round is one Spark job.  The loss of every
+    ``log_every``-th step and of the last is kept.  ``key`` (a long column)
+    lets the result report which rows were read."""
     spark = df.sparkSession
-    per_worker = steps // world
+    path = path or shared_dir(spark, "train")
+    rows = df.select(_c(features).alias("features"), _c(label).cast("double").alias("label"),
+                     (_c(key).cast("long") if key else F.lit(0).cast("long")).alias("key"))
+    table = EpochTables(rows, batch, seed, path)
+    total = epochs * table.per_epoch if epochs else (steps or 0) // world * world
+    per_worker = -(-total // world)
     if per_worker < 1:
         raise ValueError(f"steps // world is {per_worker}; need at least one step")
-    steps_per_stage = max(1, checkpoint_every)
-    # Deal the rows to the ranks once.  When the run spans several stages the
-    # split is kept in the shared folder (reliable checkpoint) and every stage
-    # reads its rank's partition from there: one shuffle per run, not per
-    # stage.  A single stage reads the shuffle directly (no extra copy).
-    data = df.select(_c(features).alias("features"), _c(label).cast("double").alias("label")) \
-        .repartition(world)
-    if per_worker > steps_per_stage:
-        from tessera.session import checkpoint_root
-        checkpoint_root(spark)
-        data = data.checkpoint(eager=True)
     width = int(np.prod(model.shape)) if hasattr(model, "shape") else model.dim
-    path = path or shared_dir(spark, "train")
     velocity = {k: np.zeros_like(v) for k, v in model.params.items()}
-    done, stage, state_path = 0, 0, None
-    lr_eff = lr * world
     model_cls = type(model)          # referenced so the worker imports the model's module
-    from pyspark.sql.pandas.types import to_arrow_schema
-    arrow_schema = to_arrow_schema(STATE_SCHEMA)
-    while done < per_worker:
-        n_steps = min(steps_per_stage, per_worker - done)
+    log_steps = {*range(0, per_worker, log_every), per_worker - 1}
+    rounds: list[str] = []
+    for first in range(0, per_worker, max(1, sync_every)):
+        lo, hi = first * world, min(total, (first + max(1, sync_every)) * world)
+        data = table.batches(lo, hi).withColumn("rank", (F.col("g") % world).cast("int"))
+        data = data.select("rank", "g", "epoch", "key", "features", "label") \
+            .repartitionById(world, F.col("rank")).sortWithinPartitions("rank", "g")
         bc = L.broadcast_arrays(spark, {**{"p:" + k: v for k, v in model.to_arrays().items()},
                                         **{"v:" + k: v for k, v in velocity.items()}})
-        first_step, stage_seed = done, seed * 1_000_003 + stage
-
-        def fn(ctx, batches, bc=bc, n_steps=n_steps, first_step=first_step, stage_seed=stage_seed):
-            arrays = L.unpack_arrays(bc.value)
-            m = model_cls.from_arrays({k[2:]: v for k, v in arrays.items() if k.startswith("p:")})
-            vel = {k[2:]: v.copy() for k, v in arrays.items() if k.startswith("v:")}
-            rank = ctx.partitionId()
-            buf = ShuffleBuffer(batches, "features", "label", width, max(buffer_rows, batch),
-                                np.random.default_rng([stage_seed, rank]))
-            drop_rng = np.random.default_rng([stage_seed, rank, 1])   # dropout masks
-            names = sorted(m.params)
-            hist = []
-            loss_acc, n_acc = 0.0, 0
-            for i in range(n_steps):
-                X, y = buf.draw(batch)
-                if len(y):
-                    g, loss_sum = m.grad_sums(X, y, rng=drop_rng)
-                    for k in names:
-                        vel[k] = momentum * vel[k] + g[k] / len(y)
-                        m.params[k] = m.params[k] - lr_eff * vel[k]
-                    loss_acc += loss_sum
-                    n_acc += len(y)
-                step = first_step + i
-                last = step == per_worker - 1
-                if step % sync_every and not last and i != n_steps - 1:
-                    continue
-                # Average parameters and momentum over the ranks that had rows.
-                w = 1.0 if n_acc else 0.0
-                flat = np.concatenate([m.params[k].ravel() * w for k in names]
-                                      + [vel[k].ravel() * w for k in names]
-                                      + [[w, loss_acc, n_acc]])
-                tot = all_reduce_sum(ctx, flat)
-                if tot[-3] > 0:
-                    off = 0
-                    for store in (m.params, vel):
-                        for k in names:
-                            size = m.params[k].size
-                            store[k] = tot[off:off + size].reshape(m.params[k].shape) / tot[-3]
-                            off += size
-                if (step % log_every == 0 or last) and tot[-1] > 0:
-                    hist.append((step, tot[-2] / tot[-1]))
-                loss_acc, n_acc = 0.0, 0
-            if rank == 0:
-                import pyarrow as pa
-                yield pa.RecordBatch.from_pandas(_state_rows(m, vel, hist), schema=arrow_schema,
-                                                 preserve_index=False)
-
-        state_path = f"{path}/stage-{stage:05d}"
-        gang(data, world, fn, STATE_SCHEMA, prepartitioned=True, arrow=True) \
-            .write.mode("errorifexists").parquet(state_path)
-        model, velocity = _read_state(spark, state_path)
-        done += n_steps
-        stage += 1
-    history = spark.read.parquet(*[f"{path}/stage-{i:05d}" for i in range(stage)]) \
-        .filter("kind = 'history'").select("step", "loss")
+
+        def run(arrow, bc=bc, lo=lo, first=first):
+            import itertools
+
+            import pyarrow as pa
+            for rank, own in itertools.groupby(_batches_of(arrow, width), key=lambda b: b[0]):
+                arrays = L.unpack_arrays(bc.value)
+                m = model_cls.from_arrays({k[2:]: v for k, v in arrays.items() if k.startswith("p:")})
+                vel = {k[2:]: v for k, v in arrays.items() if k.startswith("v:")}
+                logs, reads = _rank_steps(m, vel, (b[1:] for b in own), rank, lo, world, lr * world, momentum,
+                                          log_steps, (seed, first))
+                out = [(kind, n, b, rank, v, None, None, None, None, None)
+                       for kind, arrs in (("param", m.params), ("velocity", vel)) for kind, n, b, v in _blocks(kind, arrs)]
+                out += [("loss", None, None, rank, None, s, float(x), n, None, None) for s, x, n in logs]
+                out += [("read", None, None, rank, None, None, None, n, e, t) for e, (n, t) in reads.items()]
+                types = (pa.string(), pa.string(), pa.int32(), pa.int32(), pa.list_(pa.float64()), pa.int32(),
+                         pa.float64(), pa.int64(), pa.int32(), pa.decimal128(38, 0))
+                names = [x.split()[0] for x in ROUND_ROWS.split(", ")]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names=names)
+
+        rounds.append(f"{path}/round-{len(rounds):05d}")
+        data.mapInArrow(run, ROUND_ROWS).write.parquet(rounds[-1] + "/ranks")
+        _average(spark.read.parquet(rounds[-1] + "/ranks")).write.parquet(rounds[-1] + "/state")
+        state = _read_state(spark, rounds[-1] + "/state", model)
+        if state:
+            model, velocity = state
+    table.close()
+    parts = None
+    for i, r in enumerate(rounds):
+        part = spark.read.parquet(r + "/ranks").where("kind in ('loss', 'read')").withColumn("round", F.lit(i))
+        parts = part if parts is None else parts.unionByName(part)
+    history = parts.where("kind = 'loss'").groupBy("step").agg((F.sum("loss") / F.sum("n")).alias("loss"))
+    reads = parts.where("kind = 'read'").select("epoch", "round", "rank", "n", "key_sum")
     from tessera.operators.scoring import save_model
     model_path = save_model(spark, model, f"{path}/model")
-    return TrainResult(model_path, model, history)
+    return TrainResult(model_path, model, history, reads, rounds)
 
 
 def gradient_step(df: DataFrame, model: Model, features: str = "features",
@@ -268,4 +282,4 @@ def gradient_step(df: DataFrame, model: Model, features: str = "features",
         (F.sum("s") / F.sum("n")).alias("grad"))
 
 
-__all__ = ["train", "gradient_step", "TrainResult", "ShuffleBuffer", "STATE_SCHEMA"]
+__all__ = ["train", "gradient_step", "TrainResult", "EpochTables"]

@@ -3,7 +3,7 @@ pandas and Arrow batches, and an external program per partition."""
 
 from __future__ import annotations
 
-from pyspark import TaskContext
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
@@ -13,27 +13,18 @@ def _c(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
-def rank0_label_udf(ranks: int = 0):
-    """Arrow-batched Python UDF ``(a, b) -> "a:b"`` on rank 0, null elsewhere
-    (only rank 0 reports).  ``ranks`` > 0: the frame is ``strided`` over that
-    many ranks and rank = partition id mod ranks; 0: rank = partition id."""
+@F.pandas_udf(StringType())
+def rank0_label(rank: pd.Series, a: pd.Series, b: pd.Series) -> pd.Series:
+    """``a:b`` where the row's rank is 0, null elsewhere (only rank 0
+    reports); whole columns at a time."""
+    out = a.astype("string") + ":" + b.astype("string")
+    return out.where(rank == 0, None)
 
-    def label(a, b):
-        pid = TaskContext.get().partitionId()
-        rank = pid % ranks if ranks else pid
-        if rank != 0 or a is None or b is None:
-            return None
-        return f"{a}:{b}"
 
-    # Still Python per value, but no per-row pickling: values move as Arrow.
-    return F.udf(label, StringType(), useArrow=True)
-
-
-rank0_label = rank0_label_udf()
-
-
-def udf_two_columns(df: DataFrame, a, b, name: str = "result", ranks: int = 0) -> DataFrame:
-    return df.select(rank0_label_udf(ranks)(_c(a), _c(b)).alias(name))
+def udf_two_columns(df: DataFrame, a, b, rank: Column, name: str = "result", keep: tuple = ()) -> DataFrame:
+    """``keep`` and the label of two columns; ``rank`` comes from the row's
+    key, so no row moves."""
+    return df.select(*keep, rank0_label(rank, _c(a), _c(b)).alias(name))
 
 
 def map_partitions(df: DataFrame, fn, schema) -> DataFrame:
@@ -77,6 +68,9 @@ def pipe_partitions(df: DataFrame, col, program: str, lines_per_batch: int = 10_
         import threading
 
         import pyarrow as pa
+        import pyarrow.compute as pc
+
+        from tessera.sources.writers import _joined_lines
         proc = subprocess.Popen(program, shell=True, stdin=subprocess.PIPE,
                                 stdout=subprocess.PIPE, stderr=subprocess.PIPE)
         failure: list[BaseException] = []
@@ -85,9 +79,8 @@ def pipe_partitions(df: DataFrame, col, program: str, lines_per_batch: int = 10_
         def feed():
             try:
                 for b in batches:
-                    vals = ["" if v is None else v for v in b.column("value").to_pylist()]
-                    if vals:
-                        proc.stdin.write(("\n".join(vals) + "\n").encode("utf-8"))
+                    if b.num_rows:
+                        proc.stdin.write(_joined_lines(pc.fill_null(b.column("value"), "")))
             except BrokenPipeError:
                 pass                              # the program stopped reading
             except BaseException as e:            # surfaced in the task below
@@ -102,22 +95,27 @@ def pipe_partitions(df: DataFrame, col, program: str, lines_per_batch: int = 10_
                    threading.Thread(target=lambda: err.append(proc.stderr.read()), daemon=True)]
         for t in threads:
             t.start()
-        chunk: list[str] = []
-        for raw in proc.stdout:
-            chunk.append(raw.decode("utf-8").rstrip("\n"))
-            if len(chunk) == lines_per_batch:
+        try:
+            chunk: list[str] = []
+            for raw in proc.stdout:
+                chunk.append(raw.decode("utf-8").rstrip("\n"))
+                if len(chunk) == lines_per_batch:
+                    yield pa.RecordBatch.from_pydict({"line": pa.array(chunk, pa.string())})
+                    chunk = []
+            for t in threads:
+                t.join()
+            code = proc.wait()
+            if failure:
+                raise failure[0]
+            if code != 0:
+                raise RuntimeError(f"{program!r} exited with {code}: "
+                                   f"{b''.join(err).decode('utf-8', 'replace')[-2000:]}")
+            if chunk:
                 yield pa.RecordBatch.from_pydict({"line": pa.array(chunk, pa.string())})
-                chunk = []
-        for t in threads:
-            t.join()
-        code = proc.wait()
-        if failure:
-            raise failure[0]
-        if code != 0:
-            raise RuntimeError(f"{program!r} exited with {code}: "
-                               f"{b''.join(err).decode('utf-8', 'replace')[-2000:]}")
-        if chunk:
-            yield pa.RecordBatch.from_pydict({"line": pa.array(chunk, pa.string())})
+        finally:                                  # also when the task stops early
+            if proc.poll() is None:
+                proc.kill()
+                proc.wait()
 
     return src.mapInArrow(run, "line string")
 
@@ -130,5 +128,5 @@ def pipe_sum(df: DataFrame, col, program: str = SUM_PROGRAM) -> DataFrame:
                         F.sum("partial").alias("total"))
 
 
-__all__ = ["udf_two_columns", "rank0_label", "rank0_label_udf", "map_partitions", "arrow_passthrough",
+__all__ = ["udf_two_columns", "rank0_label", "map_partitions", "arrow_passthrough",
            "pandas_passthrough", "pipe_partitions", "pipe_sum", "SUM_PROGRAM"]

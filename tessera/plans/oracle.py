@@ -63,15 +63,23 @@ CONVNET = (
     "SELECT vec_id, label, CAST(list_position(z, list_max(z)) - 1 AS DOUBLE) AS prediction FROM z"
 )
 
+# A number in [0, 1) from the first 48 bits of a text's md5.
+UNIT = "('0x' || substr(md5({t}), 1, 12))::BIGINT::DOUBLE / 281474976710656.0"
+
 ORACLE_SQL: dict[str, str] = {
     # sources and sinks
     "scan_parquet": "SELECT l_orderkey, l_linenumber, l_quantity, l_extendedprice, l_returnflag FROM lineitem",
     "scan_libsvm": VEC_SUMMARY,
     "int_range": (
-        "WITH c AS (SELECT count(*) AS cnt, greatest(4, CAST(ceil(count(*) / 5000000.0) AS BIGINT)) AS s "
-        "FROM lineitem), r AS (SELECT unnest(range(cnt)) AS id, cnt, s FROM c) "
-        "SELECT CAST(((id + 1) * s - 1) // cnt AS INTEGER) AS slice, min(id) AS lo, max(id) AS hi, "
-        "count(*) AS n, CAST(sum(id) AS BIGINT) AS total FROM r GROUP BY 1"),
+        "WITH k AS (SELECT min(l_orderkey) AS a, max(l_orderkey) AS b FROM lineitem), "
+        "c AS (SELECT a, b - a + 1 AS cnt, greatest(4, CAST(ceil((b - a + 1) / 5000000.0) AS BIGINT)) AS s FROM k), "
+        "r AS (SELECT unnest(range(cnt)) AS i, a, cnt, s FROM c), "
+        "ids AS (SELECT CAST(((i + 1) * s - 1) // cnt AS INTEGER) AS slice, min(i + a) AS lo, max(i + a) AS hi, "
+        "count(*) AS n, CAST(sum(i + a) AS BIGINT) AS total FROM r GROUP BY 1), "
+        "li AS (SELECT CAST(((l_orderkey - a + 1) * s - 1) // cnt AS INTEGER) AS slice, count(*) AS n_rows, "
+        "CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) AS quantity FROM lineitem, c GROUP BY 1) "
+        "SELECT ids.*, coalesce(n_rows, 0) AS n_rows, coalesce(quantity, 0) AS quantity "
+        "FROM ids LEFT JOIN li ON ids.slice = li.slice"),
     "scan_int_text": ("SELECT count(*) AS n_values, CAST(0 AS BIGINT) AS n_bad, "
                       "CAST(sum(l_linenumber) AS BIGINT) AS total FROM lineitem"),
     "write_text": "SELECT count(*) AS n_lines, CAST(sum(l_linenumber) AS BIGINT) AS total FROM lineitem",
@@ -80,12 +88,18 @@ ORACLE_SQL: dict[str, str] = {
     "export_arrow": "SELECT count(*) AS n_rows FROM embeddings",
     "scan_arrow": (f"SELECT vec_id, label, CAST(len(embedding) AS INTEGER) AS dim, {MICRO} AS micro "
                    "FROM embeddings"),
-    "read_whole_text": ("SELECT lang, CAST(sum(strlen(text) + 1) AS BIGINT) AS n_bytes "
-                        "FROM documents GROUP BY lang"),
+    "read_whole_text": (
+        "WITH l AS (SELECT lang, unnest(string_split(text, chr(10))) AS line FROM documents), "
+        "m AS (SELECT lang, sum(('0x' || substr(md5(line), 1, 7))::BIGINT) AS line_sum FROM l WHERE line <> '' GROUP BY lang) "
+        "SELECT d.lang, CAST(sum(strlen(text) + 1) AS BIGINT) AS n_bytes, CAST(any_value(m.line_sum) AS BIGINT) AS line_sum "
+        "FROM documents d JOIN m ON d.lang = m.lang GROUP BY d.lang"),
+    "read_whole_text_files": (
+        "SELECT event_type, CASE WHEN event_type = 'purchase' THEN '' ELSE event_type || chr(10) || count(*) END AS value "
+        "FROM events GROUP BY event_type"),
     "read_binary": ("SELECT page_id, CAST(octet_length(encode(html)) AS BIGINT) AS n_bytes, "
                     "sha256(html) AS digest FROM pages"),
     "write_binary": "SELECT page_id, CAST(octet_length(encode(html)) AS BIGINT) AS n_bytes FROM pages",
-    "synth_vectors": ("SELECT vec_id, 784 AS dim, true AS all_in_unit, true AS label_in_unit "
+    "synth_vectors": ("SELECT vec_id, 784 AS dim, true AS all_in_unit, true AS all_differ, true AS label_in_unit "
                       "FROM embeddings"),
     "model_roundtrip": f"{LOGITS}, {PRED} SELECT vec_id, prediction FROM pred",
     "top_predictions": f"{SCORES} ORDER BY vec_id LIMIT 10",
@@ -96,7 +110,12 @@ ORACLE_SQL: dict[str, str] = {
         f"WITH {LATTICE} SELECT count(*) AS n, count(*) FILTER (WHERE x * x + y * y < 1.0) AS hits, "
         "round(4.0::DOUBLE * count(*) FILTER (WHERE x * x + y * y < 1.0) / count(*), 6) + 0.0 AS pi "
         "FROM pts"),
-    "pi_monte_carlo": "SELECT count(*) AS n, true AS within_4sd FROM lineitem",
+    "pi_monte_carlo": (
+        f"WITH p AS (SELECT {UNIT.format(t='l_orderkey || chr(58) || l_linenumber || chr(58) || 7 || chr(58) || chr(120)')} AS x, "
+        f"{UNIT.format(t='l_orderkey || chr(58) || l_linenumber || chr(58) || 7 || chr(58) || chr(121)')} AS y FROM lineitem), "
+        "c AS (SELECT count(*) AS n, count(*) FILTER (WHERE x * x + y * y < 1.0) AS hits FROM p) "
+        "SELECT n, hits, round(4.0::DOUBLE * hits / n, 6) + 0.0 AS pi, "
+        "abs(4.0::DOUBLE * hits / n - pi()) < 4.0 * 4.0 * sqrt((pi() / 4) * (1 - pi() / 4)) / sqrt(n) AS within_4sd FROM c"),
     # aggregates
     "global_sum": "SELECT CAST(sum(l_linenumber) AS BIGINT) AS total FROM lineitem",
     "partial_sums": PARTIALS,
@@ -204,7 +223,23 @@ ORACLE_SQL: dict[str, str] = {
     "score_map_in_pandas": SCORES,
     "train_model": "SELECT 650 AS n_params, true AS beats_majority",
     "train_convnet": "SELECT 2298 AS n_params, true AS beats_majority",
-    "train_history": "SELECT CAST(unnest([0, 50, 100, 150, 199]) AS INTEGER) AS step, true AS loss_finite",
+    "train_history": "SELECT CAST(unnest([0, 5, 10, 15, 19]) AS INTEGER) AS step, true AS loss_ok",
+    "train_coverage": ("SELECT CAST(e AS INTEGER) AS epoch, count(*) AS n_rows, CAST(sum(vec_id) AS BIGINT) AS key_sum, "
+                       "true AS several_rounds FROM embeddings, range(3) AS r(e) GROUP BY e"),
+    "predict_record": (
+        f"{LOGITS}, {PRED}, s AS (SELECT z.vec_id, 1.0 / sum(exp(z.z - zm.m)) AS p FROM z JOIN zm ON z.vec_id = zm.vec_id "
+        "GROUP BY z.vec_id) SELECT pred.vec_id, CAST(prediction AS INTEGER) AS class, round(p, 6) + 0.0 AS p_max, "
+        "10 AS n_classes FROM pred JOIN s ON pred.vec_id = s.vec_id"),
+    "dropout": (
+        f"WITH {EMB}, d AS (SELECT vec_id, list_transform(range(64), lambda i: CASE WHEN "
+        f"{UNIT.format(t='vec_id || chr(58) || i || chr(58) || 0')} < 0.6::DOUBLE THEN f[i + 1] / 0.6::DOUBLE ELSE 0.0 END) AS d "
+        "FROM emb) SELECT vec_id, CAST(len(list_filter(d, lambda x: x <> 0)) AS INTEGER) AS n_kept, "
+        "CAST(list_sum(list_transform(d, lambda x: floor(x * 1e6))) AS BIGINT) AS micro FROM d"),
+    "float_arrays": (
+        f"WITH {EMB} SELECT vec_id, CAST(len(f) AS INTEGER) AS dim, CAST(list_sum(list_transform(f, "
+        "lambda x: floor(CAST(CAST(x / 3 AS FLOAT) AS DOUBLE) * 1e6))) AS BIGINT) AS micro FROM emb"),
+    "shipped_file": ("SELECT n_name AS nation, count(*) AS n FROM customer JOIN nation ON c_nationkey = n_nationkey "
+                     "GROUP BY n_name"),
     # partitioning, gang, UDF forms
     "repartition_counts": ("SELECT count(*) AS n_rows, greatest(5, CAST(ceil(count(*) / 5000000.0) AS BIGINT)) "
                            "AS n_parts, true AS balanced FROM lineitem"),

@@ -35,17 +35,10 @@ ROWS_PER_SLICE = 5_000_000     # int_range: more slices as the table grows
 
 
 def _world(spark) -> int:
-    """Gang size: on a cluster set ``tessera.gang.world`` to the task slots;
-    the default 3 is what the oracle SQL names.  Never more ranks than the
-    task slots, which a barrier stage needs all at once."""
-    asked = int(spark.conf.get("tessera.gang.world", str(WORLD)))
-    return max(1, min(asked, spark.sparkContext.defaultParallelism))
-
-
-def _spread(spark, ranks: int) -> int:
-    """Partitions per rank for strided frames: enough to keep every task
-    slot busy, so a rank is never one giant task."""
-    return max(1, spark.sparkContext.defaultParallelism // ranks)
+    """Gang size: ``tessera.gang.world``; the default 3 is what the oracle SQL
+    names.  A barrier stage needs that many task slots at once; ``gang``
+    raises when there are fewer."""
+    return int(spark.conf.get("tessera.gang.world", str(WORLD)))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -54,7 +47,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def _emb(spark, sf):
     return table(spark, sf, "embeddings").select(
-        "vec_id", "label", F.transform("embedding", lambda x: x.cast("double")).alias("features"))
+        "vec_id", "label", F.col("embedding").cast("array<double>").alias("features"))
 
 
 def _r(c, d: int) -> F.Column:
@@ -108,12 +101,20 @@ def q_scan_libsvm(spark, sf):
 
 
 def q_int_range(spark, sf):
-    n = table(spark, sf, "lineitem").count()
-    slices = max(RANKS, -(-n // ROWS_PER_SLICE))       # bounded rows per slice
-    rng = R.int_range(spark, 0, n, slices)
-    return rng.groupBy(F.spark_partition_id().alias("slice")).agg(
+    """The range of lineitem's order keys, both ends included, in slices, with
+    the rows whose key lies in each slice."""
+    li = table(spark, sf, "lineitem").select("l_orderkey", "l_quantity")
+    lo, hi = li.agg(F.min("l_orderkey"), F.max("l_orderkey")).first()
+    slices = max(RANKS, -(-(hi - lo + 1) // ROWS_PER_SLICE))       # bounded ids per slice
+    ids = R.int_range(spark, lo, hi, slices, inclusive=True)
+    ids = ids.groupBy(F.spark_partition_id().alias("slice")).agg(
         F.min("id").alias("lo"), F.max("id").alias("hi"),
         F.count(F.lit(1)).alias("n"), F.sum("id").alias("total"))
+    rows = li.groupBy(R.slice_of("l_orderkey", lo, hi + 1, slices).alias("slice")).agg(
+        F.count(F.lit(1)).alias("n_rows"), F.sum(F.col("l_quantity").cast("bigint")).alias("quantity"))
+    return ids.join(rows, "slice", "left").select(
+        "slice", "lo", "hi", "n", "total", F.coalesce("n_rows", F.lit(0)).alias("n_rows"),
+        F.coalesce("quantity", F.lit(0)).alias("quantity"))
 
 
 def q_scan_int_text(spark, sf):
@@ -174,9 +175,35 @@ def q_read_whole_text(spark, sf):
     # Capped rows per file keep each whole-text row bounded, whatever the skew of ``lang``.
     table(spark, sf, "documents").select("text", "lang").write \
         .option("maxRecordsPerFile", 500).partitionBy("lang").text(path)
-    files = spark.read.text(path, wholetext=True)
-    return files.groupBy(F.col("lang").cast("string").alias("lang")).agg(
-        F.sum(F.octet_length("value")).cast("bigint").alias("n_bytes"))
+    # The text writer ends each row with a line break; cut the whole texts at
+    # those breaks again and compare every line with the table's own.
+    files = R.read_whole_text(spark, path)
+    lines = files.select(F.col("lang").cast("string").alias("lang"), F.octet_length("value").alias("size"),
+                         F.explode(F.split("value", "\n")).alias("line"), "path")
+    per_file = lines.groupBy("lang", "path").agg(
+        F.first("size").alias("size"), _line_sum("line").alias("lines"))
+    return per_file.groupBy("lang").agg(
+        F.sum("size").cast("bigint").alias("n_bytes"), F.sum("lines").cast("bigint").alias("line_sum"))
+
+
+def _line_sum(line) -> F.Column:
+    """Sum over lines of the first 28 bits of their md5: the lines' content,
+    whatever their order (empty lines count nothing)."""
+    part = F.conv(F.substring(F.md5(line), 1, 7), 16, 10).cast("bigint")
+    return F.sum(F.when(F.length(line) > 0, part).otherwise(F.lit(0)))
+
+
+def q_read_whole_text_files(spark, sf):
+    """One whole text per event type, empty for purchases: an empty file has
+    its row, and a missing folder gives an empty frame."""
+    path = shared_dir(spark, "whole-text-files")
+    ev = table(spark, sf, "events").groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
+    text = F.when(F.col("event_type") == "purchase", "").otherwise(
+        F.concat(F.col("event_type"), F.lit("\n"), F.col("n").cast("string")))
+    W.write_binary_files(ev, F.concat("event_type", F.lit(".txt")), text.cast("binary"), path) \
+        .write.format("noop").mode("overwrite").save()
+    files = R.read_whole_text(spark, path).unionByName(R.read_whole_text(spark, path + "-missing"))
+    return files.select(F.regexp_extract("path", r"([^/]+)\.txt$", 1).alias("event_type"), "value")
 
 
 def q_read_binary(spark, sf):
@@ -207,6 +234,7 @@ def q_synth_vectors(spark, sf):
     v = R.synth_vectors(keys, dim=784, seed=42, key="vec_id")
     return v.select("vec_id", F.size("features").alias("dim"),
                     F.forall("features", lambda x: (x >= 0) & (x < 1)).alias("all_in_unit"),
+                    (F.size(F.array_distinct("features")) == 784).alias("all_differ"),
                     ((F.col("label") >= 0) & (F.col("label") < 1)).alias("label_in_unit"))
 
 
@@ -225,8 +253,7 @@ def q_top_predictions(spark, sf):
 
 def q_partition_zero(spark, sf):
     li = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber")
-    zero = P.partition_zero(P.strided(li, RANKS, "l_orderkey", _spread(spark, RANKS)), RANKS)
-    return zero.agg(F.count(F.lit(1)).alias("n"),
+    return P.rank_rows(li, RANKS, "l_orderkey", 0).agg(F.count(F.lit(1)).alias("n"),
                     F.sum(F.col("l_linenumber").cast("bigint")).alias("total"))
 
 
@@ -249,8 +276,9 @@ def q_pi_lattice(spark, sf):
 
 
 def q_pi_monte_carlo(spark, sf):
-    return A.pi_monte_carlo(table(spark, sf, "lineitem").select("l_orderkey")) \
-        .select("n", "within_4sd")
+    li = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber")
+    return A.pi_monte_carlo(li, "l_orderkey", "l_linenumber") \
+        .select("n", "hits", _r("pi", 6).alias("pi"), "within_4sd")
 
 
 # ----------------------------------------------------------------- aggregates
@@ -478,27 +506,19 @@ def q_score_map_in_pandas(spark, sf):
         .select("vec_id", "label", "prediction")
 
 
-TRAIN_ARGS = dict(world=2, steps=400, batch=K.BATCH_SIZE, lr=0.05, momentum=K.MOMENTUM, seed=5,
-                  log_every=50, sync_every=50)
-_TRAINED: dict = {}
-
-
-def _train_args(spark) -> dict:
-    """TRAIN_ARGS with the gang no larger than the task slots."""
-    return {**TRAIN_ARGS, "world": min(TRAIN_ARGS["world"], spark.sparkContext.defaultParallelism)}
+TRAIN_ARGS = dict(batch=K.BATCH_SIZE, lr=0.05, momentum=K.MOMENTUM, seed=5)
 
 
-def _train(spark, sf):
-    """One training run per (session, table folder), shared by both queries."""
-    key = (spark.sparkContext.applicationId, sf)
-    if key not in _TRAINED:
-        _TRAINED[key] = TR.train(_stored(spark, sf), SoftmaxRegression(DIM, CLASSES),
-                                 **_train_args(spark))
-    return _TRAINED[key]
+def _train_world(spark) -> int:
+    """Ranks of a training run: ``tessera.train.world``.  Ranks are tasks that
+    need not run at once, so any number works on any cluster; more ranks take
+    larger steps together.  The default 4 is what the oracle SQL names."""
+    return int(spark.conf.get("tessera.train.world", "4"))
 
 
 def q_train_model(spark, sf):
-    res = _train(spark, sf)
+    res = TR.train(_stored(spark, sf), SoftmaxRegression(DIM, CLASSES), _train_world(spark), steps=120,
+                   sync_every=10, **TRAIN_ARGS)
     return _beats_majority(SC.score_table(_stored(spark, sf), res.model), res.model)
 
 
@@ -508,7 +528,8 @@ CONVNET = dict(height=8, width=8, channels=1, f1=4, f2=8, hidden=32, classes=CLA
 def q_train_convnet(spark, sf):
     """The two-convolution network, trained data-parallel with dropout."""
     emb = _stored(spark, sf)
-    res = TR.train(emb, ConvNet(**CONVNET), **{**_train_args(spark), "seed": 3})
+    res = TR.train(emb, ConvNet(**CONVNET), _train_world(spark), steps=240, sync_every=20,
+                   **{**TRAIN_ARGS, "seed": 3})
     return _beats_majority(SC.score_table(emb, res.model), res.model)
 
 
@@ -522,8 +543,72 @@ def _beats_majority(scored, model):
 
 
 def q_train_history(spark, sf):
-    return _train(spark, sf).history.select(
-        "step", (F.col("loss") == F.col("loss")).alias("loss_finite"))
+    """The logged losses of 20 steps per rank: the first from zero weights is
+    ln 10, the last is lower."""
+    res = TR.train(_stored(spark, sf), SoftmaxRegression(DIM, CLASSES), _train_world(spark),
+                   steps=20 * _train_world(spark), sync_every=5, log_every=5, **TRAIN_ARGS)
+    start = F.lit(float(np.log(CLASSES)))
+    return res.history.select("step", F.when(F.col("step") == 0, F.abs(F.col("loss") - start) < 1e-9)
+                              .otherwise(F.col("loss") < start).alias("loss_ok"))
+
+
+def q_train_coverage(spark, sf):
+    """Rows the ranks read in three epochs of several rounds each: every epoch
+    reads the whole table once."""
+    res = TR.train(_stored(spark, sf), SoftmaxRegression(DIM, CLASSES), _train_world(spark), epochs=3,
+                   sync_every=1, key="vec_id", **{**TRAIN_ARGS, "batch": 40})
+    return res.reads.groupBy("epoch").agg(
+        F.sum("n").alias("n_rows"), F.sum("key_sum").cast("bigint").alias("key_sum"),
+        (F.count_distinct("round") > 1).alias("several_rounds"))
+
+
+def q_predict_record(spark, sf):
+    """Class and probabilities of each row from one pass through the model."""
+    rec = SC.score_record(_stored(spark, sf), _fixture_model())
+    return rec.select("vec_id", F.col("record.classes").cast("int").alias("class"),
+                      _r(F.array_max("record.probabilities"), 6).alias("p_max"),
+                      F.size("record.probabilities").alias("n_classes"))
+
+
+def q_dropout(spark, sf):
+    """Dropout over the whole table: elements kept and their scaled sum."""
+    out = _emb(spark, sf).select("vec_id", T.dropout("features", K.DROPOUT_RATE, "vec_id").alias("d"))
+    return out.select("vec_id", F.size(F.filter("d", lambda x: x != 0)).alias("n_kept"), _micro(F.col("d")).alias("micro"))
+
+
+def q_float_arrays(spark, sf):
+    """Doubles cut to single precision: a third of each element."""
+    third = F.transform("features", lambda x: x / 3)
+    return _emb(spark, sf).select("vec_id", F.size("features").alias("dim"), _micro(
+        S.to_float_array(third).cast("array<double>")).alias("micro"))
+
+
+def q_shipped_file(spark, sf):
+    """Customers per nation, the names looked up in a file shipped to every
+    worker (one row per nation, a bounded table)."""
+    import uuid
+
+    from tessera.sources import fs
+    folder = shared_dir(spark, "shipped")
+    fs.ensure_dir(folder)
+    name = f"nations-{uuid.uuid4().hex}.csv"
+    with fs.atomic_output(fs.join(folder, name)) as out:
+        for r in table(spark, sf, "nation").select("n_nationkey", "n_name").collect():
+            out.write(f"{r.n_nationkey},{r.n_name}\n".encode())
+    spark.sparkContext.addFile(fs.join(folder, name))
+
+    def look_up(batches):
+        import pyarrow as pa
+        import pyarrow.compute as pc
+        from pyspark import SparkFiles
+        with open(SparkFiles.get(name), encoding="utf-8") as f:
+            rows = [line.rstrip("\n").split(",", 1) for line in f]
+        keys, names = pa.array([int(k) for k, _ in rows], pa.int64()), pa.array([v for _, v in rows], pa.string())
+        for b in batches:
+            at = pc.index_in(b.column("c_nationkey").cast(pa.int64()), keys)
+            yield pa.RecordBatch.from_arrays([pc.take(names, at)], names=["nation"])
+    cust = table(spark, sf, "customer").select("c_nationkey").mapInArrow(look_up, "nation string")
+    return cust.groupBy("nation").agg(F.count(F.lit(1)).alias("n"))
 
 
 # ----------------------------------------------------------------- partitions / gang / UDF forms
@@ -538,9 +623,8 @@ def q_repartition_counts(spark, sf):
 
 
 def q_strided_partials(spark, sf):
-    ev = P.strided(table(spark, sf, "events").select("event_id", "value"), WORLD, "event_id",
-                   _spread(spark, WORLD))
-    return ev.groupBy(P.rank_of_partition(WORLD).alias("rank")).agg(
+    ev = table(spark, sf, "events").select("event_id", "value")
+    return ev.groupBy(P.rank_of("event_id", WORLD).alias("rank")).agg(
         F.count(F.lit(1)).alias("n"), _r(F.sum("value"), 4).alias("total"))
 
 
@@ -568,9 +652,8 @@ def q_gang_members(spark, sf):
 
 
 def q_udf_two_columns(spark, sf):
-    ev = P.strided(table(spark, sf, "events").select("event_id", "event_type", "user_id"),
-                   WORLD, "event_id", _spread(spark, WORLD))
-    return ev.select("event_id", U.rank0_label_udf(WORLD)("event_type", "user_id").alias("result"))
+    ev = table(spark, sf, "events").select("event_id", "event_type", "user_id")
+    return U.udf_two_columns(ev, "event_type", "user_id", P.rank_of("event_id", WORLD), keep=("event_id",))
 
 
 def _purchases(pdf):
@@ -612,6 +695,7 @@ QUERIES = {
     "export_arrow": q_export_arrow,
     "scan_arrow": q_scan_arrow,
     "read_whole_text": q_read_whole_text,
+    "read_whole_text_files": q_read_whole_text_files,
     "read_binary": q_read_binary,
     "write_binary": q_write_binary,
     "synth_vectors": q_synth_vectors,
@@ -659,6 +743,11 @@ QUERIES = {
     "train_model": q_train_model,
     "train_history": q_train_history,
     "train_convnet": q_train_convnet,
+    "train_coverage": q_train_coverage,
+    "predict_record": q_predict_record,
+    "dropout": q_dropout,
+    "float_arrays": q_float_arrays,
+    "shipped_file": q_shipped_file,
     # partitioning, gang, UDF forms
     "repartition_counts": q_repartition_counts,
     "strided_partials": q_strided_partials,

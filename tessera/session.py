@@ -3,11 +3,14 @@
 ``local_session`` is for tests and the bench only; library code always takes
 the caller's ``SparkSession``.  ``shared_dir`` returns a fresh folder under the
 cluster's shared ``spark.checkpoint.dir``; only a local-mode session without
-that setting gets a private folder (tests).
+that setting gets a private folder (tests).  All of it lies in one folder per
+application, deleted when the driver ends.
 """
 
 from __future__ import annotations
 
+import atexit
+import re
 import tempfile
 import uuid
 
@@ -50,7 +53,7 @@ def checkpoint_root(spark: SparkSession) -> str:
     if not conf:
         conf = spark.conf.get("spark.checkpoint.dir", None)
     if not conf:
-        if not sc.master.startswith("local"):
+        if not re.match(r"local(\[[^\]]*\])?$", sc.master):
             raise RuntimeError(
                 "spark.checkpoint.dir is not set; point it at a folder every "
                 "executor can reach (HDFS, object store, shared mount)")
@@ -61,7 +64,23 @@ def checkpoint_root(spark: SparkSession) -> str:
 
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A new, unique folder path under the shared checkpoint folder."""
-    return f"{checkpoint_root(spark).rstrip('/')}/tessera/{name}-{uuid.uuid4().hex}"
+    root = f"{checkpoint_root(spark).rstrip('/')}/tessera-{spark.sparkContext.applicationId}"
+    if root not in _ROOTS:
+        _ROOTS.add(root)
+        atexit.register(_forget, root)
+    return f"{root}/{name}-{uuid.uuid4().hex}"
+
+
+_ROOTS: set[str] = set()
+
+
+def _forget(root: str) -> None:
+    """Delete an application's intermediate files when its driver ends."""
+    from tessera.sources import fs
+    try:
+        fs.remove(root)
+    except OSError:
+        pass
 
 
 _SHIPPED: set[str] = set()

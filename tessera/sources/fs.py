@@ -29,6 +29,16 @@ def ensure_dir(uri: str) -> None:
     fs.create_dir(path, recursive=True)
 
 
+def remove(uri: str) -> None:
+    """Delete a folder or file that is no longer needed (absent: nothing)."""
+    fs, path = resolve(uri)
+    kind = fs.get_file_info(path).type
+    if kind == pafs.FileType.Directory:
+        fs.delete_dir(path)
+    elif kind == pafs.FileType.File:
+        fs.delete_file(path)
+
+
 class atomic_output:
     """``with atomic_output(uri) as f: f.write(...)`` then rename into place."""
 

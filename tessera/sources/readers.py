@@ -5,7 +5,9 @@ manifest (one row per file) and each file is opened by one task."""
 
 from __future__ import annotations
 
+import fnmatch
 import io
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -19,7 +21,7 @@ from pyspark.sql.types import (ArrayType, DoubleType, LongType, StringType,
 
 from tessera.sources import fs
 
-__all__ = ["scan_parquet", "scan_libsvm", "int_range", "scan_int_text",
+__all__ = ["scan_parquet", "scan_libsvm", "int_range", "slice_of", "scan_int_text",
            "scan_feature_files", "scan_arrow", "arrow_schema_of", "read_whole_text",
            "read_binary", "synth_vectors"]
 
@@ -43,6 +45,12 @@ def int_range(spark: SparkSession, start: int, end: int, slices: int,
     return spark.range(start, end + 1 if inclusive else end, 1, slices)
 
 
+def slice_of(value, start: int, end: int, slices: int):
+    """The slice of ``int_range(start, end, slices)`` that holds a value."""
+    v = F.col(value) if isinstance(value, str) else value
+    return F.floor(((v - start + 1) * slices - 1) / F.lit(end - start)).cast("int")
+
+
 def scan_int_text(spark: SparkSession, path: str) -> DataFrame:
     """Whitespace-separated integer tokens: ``value bigint`` (null for a token
     that is not an integer, so bad input is counted, not silently cut)."""
@@ -84,16 +92,11 @@ def _read_pair(feat_uri: str, lab_uri: str, chunk: int = 4096):
     with fs.open_input_stream(feat_uri) as ff, fs.open_input_stream(lab_uri) as lf:
         ft = io.TextIOWrapper(io.BufferedReader(ff), encoding="utf-8")
         lt = io.TextIOWrapper(io.BufferedReader(lf), encoding="utf-8")
-        lines, labels, line = [], [], 0
-        for fline, lline in _zip_strict(ft, lt):
-            lines.append(fline.rstrip("\n"))
-            labels.append(float(lline))
-            if len(lines) == chunk:
-                yield _pair_batch(file_id, line, lines, labels)
-                line += len(lines)
-                lines, labels = [], []
-        if lines:
-            yield _pair_batch(file_id, line, lines, labels)
+        line = 0
+        for features, labels in _chunks_in_step(ft, lt, chunk):
+            yield _pair_batch(file_id, line, [x.rstrip("\n") for x in features],
+                              np.array(labels).astype(np.float64))
+            line += len(labels)
 
 
 def _parse_vectors(lines: list[str]) -> pa.ListArray:
@@ -136,11 +139,15 @@ def _pair_batch(file_id, start, lines, labels) -> pa.RecordBatch:
         names=["file_id", "line", "features", "label"])
 
 
-def _zip_strict(a, b):
-    for x, y in zip(a, b):
+def _chunks_in_step(a, b, n: int):
+    """Up to ``n`` lines of both files at a time; an error when one is longer."""
+    while True:
+        x, y = list(islice(a, n)), list(islice(b, n))
+        if len(x) != len(y):
+            raise ValueError("feature and label files have different line counts")
+        if not x:
+            return
         yield x, y
-    if next(a, None) is not None or next(b, None) is not None:
-        raise ValueError("feature and label files have different line counts")
 
 
 def arrow_schema_of(uri: str) -> pa.Schema:
@@ -168,39 +175,72 @@ def scan_arrow(spark: SparkSession, manifest: DataFrame, schema,
     return files.mapInArrow(read_files, schema)
 
 
+def _empty_files(spark: SparkSession, path: str, glob: str | None):
+    """(path, modification time) of the zero-length files under a folder,
+    which Spark's file scans leave out.  Only those come to the driver."""
+    import pyarrow.fs as pafs
+    lfs, root = fs.resolve(path)
+    info = lfs.get_file_info(root)
+    if info.type == pafs.FileType.Directory:
+        found = lfs.get_file_info(pafs.FileSelector(root, recursive=True))
+    else:
+        found = [info]
+    prefix = path.rstrip("/")
+    names = [(prefix + f.path[len(root.rstrip("/")):], f.mtime) for f in found
+             if f.type == pafs.FileType.File and f.size == 0
+             and not any(x[:1] in "._" for x in f.path[len(root.rstrip("/")):].split("/") if x)]
+    return [(p, t) for p, t in names if not glob or fnmatch.fnmatch(p.rsplit("/", 1)[-1], glob)]
+
+
 def read_whole_text(spark: SparkSession, path: str) -> DataFrame:
-    """One row per file ``(path, value)`` with the whole UTF-8 text; an empty
-    frame when the path does not exist (the helper returned null)."""
+    """One row per file ``(path, value)`` with the whole UTF-8 text, empty
+    files included; an empty frame when the path does not exist (the helper
+    returned null).  The folders of a partitioned write become columns."""
     try:
         df = spark.read.text(path, wholetext=True)
     except AnalysisException as e:
         if "PATH_NOT_FOUND" in str(e) or "Path does not exist" in str(e):
             return spark.createDataFrame([], "path string, value string")
         raise
-    return df.select(F.input_file_name().alias("path"), "*")
+    df = df.select(F.input_file_name().alias("path"), "*")
+    empty = [(p, "") for p, _ in _empty_files(spark, path, None)]
+    if not empty:
+        return df
+    more = spark.createDataFrame(empty, "path string, value string")
+    for f in df.schema.fields[2:]:
+        folder = F.url_decode(F.regexp_extract("path", rf"/{f.name}=([^/]*)/", 1))
+        more = more.withColumn(f.name, folder.cast(f.dataType))
+    return df.unionByName(more)
 
 
 def read_binary(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
-    """``path, modificationTime, length, content`` per file.  Content is only
-    read when that column is selected.  Spark's file scan skips zero-length
-    files, so an empty file has no row (the byte-array helper gave ``[]``)."""
+    """``path, modificationTime, length, content`` per file, empty files
+    included.  Content is only read when that column is selected."""
     r = spark.read.format("binaryFile")
     if glob:
         r = r.option("pathGlobFilter", glob)
-    return r.load(path)
+    df = r.load(path)
+    empty = [(p, t, 0, bytearray()) for p, t in _empty_files(spark, path, glob)]
+    return df.unionByName(spark.createDataFrame(empty, df.schema)) if empty else df
 
 
 def synth_vectors(keys: DataFrame, dim: int = 784, seed: int = 42,
                   key: str = "id", spread: int | None = None) -> DataFrame:
     """Uniform random ``features array<double>`` of width ``dim`` and a uniform
-    ``label`` for every row of ``keys`` (generated in the JVM, per partition).
+    ``label`` for every row of ``keys`` (generated in the JVM).
+
+    Element i of a row depends on its key, i and the seed alone (a 53-bit
+    hash), so no two rows share a stream, however they are partitioned.
 
     Each key grows to ``8 * dim`` bytes, so ``spread=n`` deals the narrow keys
     over ``n`` partitions first (a cheap shuffle) rather than widening them
     in however few partitions the key table was read in."""
     if spread:
         keys = keys.repartition(spread)
+
+    def unit(i):
+        h = F.xxhash64(F.col(key).cast("long"), i.cast("long"), F.lit(seed).cast("long"))
+        return F.shiftrightunsigned(h, 11).cast("double") / float(1 << 53)
     return keys.select(
-        key,
-        F.transform(F.sequence(F.lit(1), F.lit(dim)), lambda i: F.rand(seed)).alias("features"),
-        F.rand(seed + 1).alias("label"))
+        key, F.transform(F.sequence(F.lit(1), F.lit(dim)), unit).alias("features"),
+        unit(F.lit(0)).alias("label"))

@@ -35,8 +35,7 @@ def _unique(prefix: str) -> str:
 
 def write_libsvm(df: DataFrame, path: str, features="features", label="label") -> None:
     df.select(_c(label).cast("double").alias("label"),
-              array_to_vector(F.transform(_c(features), lambda x: x.cast("double")))
-              .alias("features")).write.format("libsvm").mode("errorifexists").save(path)
+              array_to_vector(_c(features).cast("array<double>")).alias("features")).write.format("libsvm").mode("errorifexists").save(path)
 
 
 def write_text(df: DataFrame, col, path: str) -> None:

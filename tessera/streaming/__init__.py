@@ -17,15 +17,17 @@ from tessera.session import shared_dir
 
 def score_stream(spark: SparkSession, source_dir: str, table: str, model: Model,
                  sink: str | None = None, files_per_trigger: int = 8) -> DataFrame:
-    """Score every ``<table>*.parquet`` file in ``source_dir`` as a stream
-    (run until all present files are done) and return the sink as a table."""
-    schema = spark.read.option("pathGlobFilter", f"{table}*.parquet").parquet(source_dir).schema
+    """Score ``<table>.parquet`` and the numbered files ``<table>-N.parquet``
+    of ``source_dir`` as a stream (run until all present files are done) and
+    return the sink as a table."""
+    names = f"{table}{{,-[0-9]*}}.parquet"
+    schema = spark.read.option("pathGlobFilter", names).parquet(source_dir).schema
     stream = (spark.readStream.schema(schema)
-              .option("pathGlobFilter", f"{table}*.parquet")
+              .option("pathGlobFilter", names)
               .option("maxFilesPerTrigger", files_per_trigger)
               .parquet(source_dir))
     feats = stream.select(
-        "vec_id", "label", F.transform("embedding", lambda x: x.cast("double")).alias("features"))
+        "vec_id", "label", F.col("embedding").cast("array<double>").alias("features"))
     scored = SC.score_table(feats, model).drop("features")
     sink = sink or shared_dir(spark, f"stream-{table}")
     q = (scored.writeStream.format("parquet")

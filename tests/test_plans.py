@@ -1,6 +1,6 @@
 """Plan shapes that the scale design relies on: pruned scans, partial
 aggregation before every shuffle, no shuffle around scoring, top-k before
-Python, and a gang that reuses a checkpointed split without re-shuffling."""
+Python, ranks from keys, and epochs that are sorted once."""
 
 import re
 
@@ -56,20 +56,43 @@ def test_scan_pushes_filters(spark):
     assert "GreaterThan(l_quantity,45.0)" in p
 
 
-def test_gang_on_checkpointed_split_has_no_exchange(spark):
+@pytest.mark.parametrize("name", ["partition_zero", "strided_partials", "udf_two_columns"])
+def test_ranks_come_from_keys_without_moving_rows(spark, name):
+    p = plan(QUERIES[name](spark, SF01))
+    # only partial aggregates are exchanged, never rows
+    assert p.count("Exchange") == p.count("partial_sum") > 0 if name != "udf_two_columns" else "Exchange" not in p
+    assert "BatchEvalPython" not in p
+
+
+def test_partition_zero_filters_at_the_scan(spark):
+    p = plan(QUERIES["partition_zero"](spark, SF01))
+    assert p.index("Filter") < p.index("FileScan") and "SPARK_PARTITION_ID" not in p
+
+
+def test_gang_makes_one_exchange_and_no_job(spark):
     import pandas as pd
-    data = table(spark, SF01, "lineitem").select("l_linenumber").repartition(2).checkpoint()
+    data = table(spark, SF01, "lineitem").select("l_linenumber")
 
     def fn(ctx, batches):
         yield pd.DataFrame({"n": [sum(len(b) for b in batches)]})
-    out = G.gang(data, 2, fn, "n long", prepartitioned=True)
-    p = plan(out)
-    below = p[p.index("MapInPandas"):]
-    assert "Exchange" not in below            # the split is read as it is
-    assert p.count("Exchange") == 1           # one small exchange after the gang (retriable stage)
+    tracker, group = spark.sparkContext.statusTracker(), "gang-plan"
+    spark.sparkContext.setJobGroup(group, group)
+    out = G.gang(data, 2, fn, "n long")
+    assert not tracker.getJobIdsForGroup(group)            # building it runs nothing
     assert sum(r.n for r in out.collect()) == 60000
-    with pytest.raises(ValueError):
-        G.gang(data, 3, fn, "n long", prepartitioned=True)
+
+
+def test_training_sorts_a_round_of_epochs_once(spark):
+    from pyspark.sql import functions as F
+
+    from tessera.operators import training as TR
+    from tessera.session import shared_dir
+    rows = table(spark, SF01, "embeddings").select(
+        F.col("embedding").alias("features"), F.col("label").cast("double").alias("label"), F.col("vec_id").alias("key"))
+    t = TR.EpochTables(rows, 100, 1, shared_dir(spark, "test-epochs"))
+    assert t.batches(0, 7).count() == 700 and len(t.kept) == 1     # batches 0-6 span two epochs
+    p = plan(t.batches(3, 9))
+    assert "Exchange" not in p and len(t.kept) == 1               # read back, not shuffled again
 
 
 @pytest.mark.parametrize("name", ["dense_layer", "conv2d", "score_softmax", "accuracy"])
