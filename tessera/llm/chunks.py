@@ -98,11 +98,13 @@ def dedup_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256[, kept]) for each row."""
     src = C.ordered_texts(docs, id_col, text_col)
     rows = C.settle(chunk_rows(src), "chunks")
-    twice = rows.groupBy("d1").agg(F.count("*").alias("n")).where("n > 1").select("d1")
-    copies = C.settle(rows.join(twice, "d1").distinct(), "chunk-copies")
-    C.release(rows)
+    twice = C.settle(rows.groupBy("d1").agg(F.count("*").alias("n")).where("n > 1").select("d1"), "chunk-twice")
+    copies = C.settle(rows.join(twice, "d1"), "chunk-copies")
+    C.release(rows, twice)
     first = copies.groupBy("d1", "d2").agg(F.min(F.struct("doc", "tag", "start")).alias("first"),
-                                           F.count("*").alias("n")).where("n > 1").drop("n")
+                                           F.count("*").alias("n"))
+    first = C.settle(first.where("n > 1").drop("n"), "chunk-first")
     late = copies.join(first, ["d1", "d2"]).where(F.struct("doc", "tag", "start") > F.col("first"))
-    ranges = late.groupBy("doc", "tag").agg(F.collect_list(F.struct("start", "end")).alias("ranges"))
+    ranges = C.settle(late.groupBy("doc", "tag").agg(F.collect_list(F.struct("start", "end")).alias("ranges")), "chunk-ranges")
+    C.release(copies, first)
     return C.cut_out(src, ranges, keep_bytes)

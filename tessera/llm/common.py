@@ -157,7 +157,7 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     stamp = None
     for _ in range(rounds):
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+        low = settle(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), "cc-low")
         large = (both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
                  .where("a != b").distinct())
         low = large.groupBy("a").agg(F.min("b").alias("m"))
@@ -210,9 +210,10 @@ def ragged(col: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
 
 def ordered_texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(doc, tag, doc_id, text): (doc, tag) orders the documents, by id with
-    nulls last; the tag, a hash of the text, tells rows that share an id apart."""
+    nulls last; the tag, a 31-bit hash of the text, tells rows that share an
+    id apart."""
     return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(2**63 - 1)).alias("doc"),
-                       F.xxhash64(text_col).alias("tag"),
+                       F.pmod(F.xxhash64(text_col), F.lit(1 << 31)).alias("tag"),
                        F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
 
 
@@ -222,6 +223,7 @@ def cut(data: bytes, ranges) -> tuple[int, int, bytes]:
     left = []
     last = -1
     for s, e in sorted(ranges):
+        e = min(e, len(data))
         if s > last:
             runs += 1
             left.append(data[at:s])

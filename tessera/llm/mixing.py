@@ -73,15 +73,15 @@ def targets(sizes: DataFrame) -> DataFrame:
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         source_col: str = "source") -> DataFrame:
-    """(doc_id, source, size, source_size, target, copies, taken), one row per
-    row of ``docs``."""
+    """(doc_id, tag, source, size, source_size, target, copies, taken), one row
+    per row of ``docs``; the tag is a hash of the text."""
     spark = docs.sparkSession
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"),
-                       size_of(F.col(text_col)).alias("size"))
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("tag"),
+                       F.col(source_col).alias("source"), size_of(F.col(text_col)).alias("size"))
     # range on the whole key: a source of any share spreads over many partitions
     dealt = rows.repartitionByRange(
         max(1, int(spark.conf.get("spark.sql.shuffle.partitions"))),
-        F.col("source").asc_nulls_last(), "size", "doc_id")
+        F.col("source").asc_nulls_last(), "size", "doc_id", "tag")
     dealt = C.settle(dealt.withColumn("part", F.spark_partition_id()), "mix")
     counts = dealt.groupBy("part", "source").agg(F.count("*").alias("n"), F.sum("size").alias("s"))
     counts = C.settle(counts, "mix-counts")           # one row per partition and source in it
@@ -90,7 +90,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     starts = counts.select("part", "source", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
     starts = (starts.alias("a").join(per.alias("b"), F.col("a.source").eqNullSafe(F.col("b.source")))
               .select("a.*", "source_size", "target", "rate", "offset"))
-    inside = Window.partitionBy("part", "source").orderBy("size", "doc_id")
+    inside = Window.partitionBy("part", "source").orderBy("size", "doc_id", "tag")
     placed = (dealt.withColumn("pos", F.row_number().over(inside)).alias("d")
               .join(starts.alias("s"), (F.col("d.part") == F.col("s.part"))
                     & F.col("d.source").eqNullSafe(F.col("s.source"))))
@@ -98,10 +98,24 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     cum = lambda i: F.floor(F.col("rate") * i + F.col("offset"))
     copies = F.least(cum(upto) - cum(upto - 1), F.lit(MOST)).cast("long")
     return placed.select(
-        "doc_id", F.col("d.source").alias("source"), "size", "source_size", "target",
+        "doc_id", "tag", F.col("d.source").alias("source"), "size", "source_size", "target",
         copies.alias("copies"), (copies * F.col("size")).alias("taken"))
 
 
+def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+          source_col: str = "source") -> DataFrame:
+    """The mix itself: each row of ``docs`` as often as it is taken, with its
+    own columns.  Rows that share id, text and source count as one document."""
+    taken = mix(docs, id_col, text_col, source_col).groupBy(
+        F.col("doc_id").alias("__id"), F.col("tag").alias("__tag"), F.col("source").alias("__source")).agg(
+        F.sum("copies").cast("int").alias("__n")).where("__n > 0")
+    rows = docs.withColumn("__key", F.xxhash64(text_col)).join(
+        taken, F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__key") == F.col("__tag"))
+        & F.col(source_col).eqNullSafe(F.col("__source")))
+    rows = rows.dropDuplicates([id_col, "__key", source_col])
+    return rows.withColumn("__copy", F.explode(F.sequence(F.lit(1), "__n"))).select(*docs.columns)
+
+
 SQL = r"""
 WITH d AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size

@@ -17,16 +17,24 @@ similarity of their sets is at least ``THRESHOLD`` percent.
    of all documents hold comes last in that order and is listed only where
    half of a document consists of such values.
 3. Hub round: in each list every member is paired with one hub, the member
-   with the fewest values of its own (copies differ from their original by
-   such values).  That is one pair per list entry, and joins a family of
-   copies of any size to its original.
+   whose retained values are the most frequent ones (a copy differs from its
+   original by rare values).  That is one pair per list entry, and joins a
+   family of copies of any size to its original.
 4. Rest round: only lists whose members are still in different components go
-   on, in blocks of BLOCK entries; pairs across components whose overlap is
-   high enough go on.  No pair that could add a link between components is
-   left out.
-5. In both rounds the sketch of the union estimates the similarity (below half:
-   not a candidate), and candidates are verified on the full sets made from
-   whole texts.
+   on.  Lists of up to BLOCK members give the pairs across components whose
+   overlap is high enough.  The members of longer lists, which are mostly the
+   same documents in list after list, are put into blocks of BLOCK documents
+   by the hub of their longest list; block pairs that meet in some list are
+   compared once, all documents against all by a matrix product over their
+   full sets, and return at most one link per component.  Documents of the
+   hub's own component are not compared with each other.  No pair that could
+   add a link between components is left out.
+5. Pairs of the hub round and of short lists are candidates when the sketch of
+   the union estimates a similarity of half or more, and are verified on the
+   full sets made from whole texts.
+
+A family whose copies do not link with its hub is compared in blocks, in time
+quadratic in the number of such copies.
 
 Defined results: a null, empty or blank text has the empty set and no links;
 a null id gets a null component and is kept; repeated rows are equal sets;
@@ -128,46 +136,40 @@ def verified(pairs: DataFrame, texts: DataFrame, n: int) -> DataFrame:
 
 
 def listed(reps: DataFrame) -> DataFrame:
-    """(value, doc_id, own): each document's entries in the inverted lists of
-    its rarest retained values; own = values that nobody shares."""
+    """(value, doc_id, rare): each document's entries in the inverted lists of
+    its rarest retained values; rare falls with their average frequency."""
     entries = reps.select("doc_id", F.size("sketch").alias("s"), F.explode("sketch").alias("value"))
-    counts = entries.groupBy("value").agg(F.count("*").alias("df")).where("df > 1")
+    # settled, so that AQE can split the join on a frequent value
+    counts = C.settle(entries.groupBy("value").agg(F.count("*").alias("df")).where("df > 1"), "near-counts")
     shared = (entries.join(counts, "value").groupBy("doc_id")
-              .agg(F.first("s").alias("s"), F.array_sort(F.collect_list(F.struct("df", "value"))).alias("v")))
+              .agg(F.first("s").alias("s"), F.sum("df").alias("total"),
+                   F.array_sort(F.collect_list(F.struct("df", "value"))).alias("v")))
     own = F.col("s") - F.size("v")
     room = F.col("s") - least_overlap(F.col("s")) + 1 - own
     return (shared.where(room > 0)
-            .select("doc_id", own.alias("own"), F.explode(F.slice("v", 1, room.cast("int"))).alias("e"))
-            .select(F.col("e.value").alias("value"), "doc_id", "own"))
+            .select("doc_id", (-F.col("total") / F.col("s")).alias("rare"),
+                    F.explode(F.slice("v", 1, room.cast("int"))).alias("e"))
+            .select(F.col("e.value").alias("value"), "doc_id", "rare"))
 
 
 def rest_pairs(entries: DataFrame, reps: DataFrame) -> DataFrame:
-    """Candidate pairs of members of one list in different components."""
-    open_lists = (entries.groupBy("value").agg(F.count("*").alias("n"), F.min("c").alias("lo"), F.max("c").alias("hi"))
-                  .where("lo < hi").select("value", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")))
-    e = (entries.join(open_lists, "value")
-         .withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
-         .join(reps.select("doc_id", "n_shingles", "sketch"), "doc_id"))
-    # a block meets itself and every other one once
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    e = e.select("value", "doc_id", "c", "n_shingles", "sketch", "block", other).select(
-        "value", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"),
-        "block", "doc_id", "c", "n_shingles", "sketch")
-    e = e.repartition("value", "i", "j").sortWithinPartitions("value", "i", "j")
+    """Candidate pairs of members of one short list in different components;
+    ``entries`` (value, doc_id, c)."""
+    e = entries.join(reps.select("doc_id", "n_shingles", "sketch"), "doc_id")
+    e = e.repartition("value").sortWithinPartitions("value")
 
     def run(batches):
-        for g in C.runs(batches, "value", "i", "j"):
+        for g in C.runs(batches, "value"):
             if g.num_rows < 2:
                 continue
-            ids, c, size, block = (g.column(x).to_numpy() for x in ("doc_id", "c", "n_shingles", "block"))
+            ids, c, size = (g.column(x).to_numpy() for x in ("doc_id", "c", "n_shingles"))
             values, off = C.ragged(g.column("sketch"))
             column = np.unique(values, return_inverse=True)[1]
             m = np.zeros((len(ids), column.max() + 1), np.float32)
             m[np.repeat(np.arange(len(ids)), np.diff(off)), column] = 1
             need = least_overlap(np.diff(off))
             x, y = np.nonzero(np.triu(m @ m.T >= np.maximum(need[:, None], need), 1))
-            crossing = g.column("i")[0].as_py() != g.column("j")[0].as_py()
-            ok = (c[x] != c[y]) & (ids[x] != ids[y]) & ((block[x] != block[y]) | (not crossing))
+            ok = (c[x] != c[y]) & (ids[x] != ids[y])
             ok &= 100 * np.minimum(size[x], size[y]) >= THRESHOLD * np.maximum(size[x], size[y])
             x, y = x[ok], y[ok]
             a, b = np.minimum(ids[x], ids[y]), np.maximum(ids[x], ids[y])
@@ -175,6 +177,76 @@ def rest_pairs(entries: DataFrame, reps: DataFrame) -> DataFrame:
     return e.mapInArrow(run, "a long, b long").distinct()
 
 
+def linked_sets(values: np.ndarray, off: np.ndarray, c: np.ndarray) -> list[tuple[int, int]]:
+    """Index pairs of linked sets (rows of a ragged array) in different
+    components c, as many as join components."""
+    size = np.diff(off)
+    row = np.repeat(np.arange(len(size)), size)
+    order = np.argsort(values, kind="stable")
+    v = values[order]
+    first = np.concatenate(([True], v[1:] != v[:-1]))
+    column = np.cumsum(first) - 1
+    often = np.bincount(column) > 1                    # values that two sets share
+    keep = often[column]
+    row, column = row[order][keep], (np.cumsum(often) - 1)[column[keep]]
+    both = np.zeros((len(size), len(size)), np.float32)
+    for lo in range(0, int(often.sum()), 8192):
+        part = (column >= lo) & (column < lo + 8192)
+        m = np.zeros((len(size), 8192), np.float32)
+        m[row[part], column[part] - lo] = 1
+        both += m @ m.T
+    linked = 100 * both >= THRESHOLD * (size[:, None] + size - both)
+    root = {}
+
+    def find(i):
+        while root.setdefault(i, i) != i:
+            i = root[i]
+        return i
+    out = []
+    for x, y in zip(*np.nonzero(np.triu(linked & (c[:, None] != c), 1))):
+        p, q = find(int(c[x])), find(int(c[y]))
+        if p != q:
+            root[max(p, q)] = min(p, q)
+            out.append((int(x), int(y)))
+    return out
+
+
+def block_links(entries: DataFrame, hubs: DataFrame, texts: DataFrame, n: int) -> DataFrame:
+    """Links between members of long lists in different components; ``entries``
+    (value, doc_id, c, n) and ``hubs`` (value, hub, hub_c)."""
+    home = (entries.join(hubs, "value").groupBy("doc_id", "c")
+            .agg(F.max(F.struct("n", "hub", "hub_c")).alias("h")).select("doc_id", "c", "h.hub", "h.hub_c"))
+    home = C.settle(home.select("doc_id", "c", "hub", (F.col("c") == F.col("hub_c")).alias("joined")), "near-homes")
+    sizes = C.settle(home.groupBy("hub", "joined").agg(F.ceil(F.count("*") / BLOCK).alias("parts")), "near-home-sizes")
+    block = F.xxhash64("hub", "joined", F.pmod(F.xxhash64("doc_id"), F.col("parts")))
+    members = C.settle(home.join(sizes, ["hub", "joined"]).select("doc_id", "c", block.alias("block"), F.when(
+        F.col("joined"), F.col("c")).alias("bc")), "near-members")
+    met = C.settle(entries.join(members, "doc_id").select("value", "block", "bc").distinct(), "near-met")
+    pairs = (met.alias("x").join(met.alias("y"), F.col("x.value") == F.col("y.value"))
+             .where("x.block <= y.block and (x.bc is null or y.bc is null or x.bc != y.bc)")
+             .select(F.col("x.block").alias("i"), F.col("y.block").alias("j")).distinct())
+    pairs = C.settle(pairs, "near-block-pairs")
+
+    def sets(batches):
+        schema = pa.schema([("doc_id", pa.int64()), ("values", pa.list_(pa.int64()))])
+        yield from C.per_row(lambda r: (r[0], shingles(r[1], n).tolist()), ["doc_id", "text"], schema)(batches)
+    full = texts.join(members.select("doc_id"), "doc_id", "left_semi").mapInArrow(sets, "doc_id long, values array<long>")
+    full = C.settle(full.join(members, "doc_id"), "near-sets")
+    sides = pairs.join(full, pairs.i == full.block).union(
+        pairs.where("i != j").join(full, F.col("j") == full.block)).select("i", "j", "doc_id", "c", "values")
+    sides = sides.repartition("i", "j").sortWithinPartitions("i", "j")
+
+    def run(batches):
+        for g in C.runs(batches, "i", "j"):
+            ids, c = g.column("doc_id").to_numpy(), g.column("c").to_numpy()
+            got = linked_sets(*C.ragged(g.column("values")), c)
+            if got:
+                a, b = ids[[x for x, _ in got]], ids[[y for _, y in got]]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+    return sides.mapInArrow(run, "a long, b long")
+
+
 def near_duplicates(docs: DataFrame, n: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for each row of ``docs``."""
     rows = C.settle(sketches(docs, n, id_col, text_col), "near-sketches")
@@ -185,19 +257,27 @@ def near_duplicates(docs: DataFrame, n: int = 5, id_col: str = "doc_id", text_co
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
 
     entries = C.settle(listed(reps), "near-lists")
-    hubs = entries.groupBy("value").agg(F.min(F.struct("own", "doc_id")).alias("h"), F.count("*").alias("m"))
-    hubs = hubs.where("m > 1").select("value", F.col("h.doc_id").alias("hub"))
+    hubs = entries.groupBy("value").agg(F.min(F.struct("rare", "doc_id")).alias("h"), F.count("*").alias("m"))
+    hubs = C.settle(hubs.where("m > 1").select("value", F.col("h.doc_id").alias("hub")), "near-hubs")
     first = (entries.join(hubs, "value").where("doc_id != hub")
              .select(F.least("doc_id", "hub").alias("a"), F.greatest("doc_id", "hub").alias("b")).distinct())
     first = C.settle(estimated(first, reps), "near-first")
     links = C.settle(verified(first, texts, n), "near-links")
     found = C.components(links)
 
-    entries = entries.join(found.withColumnRenamed("id", "doc_id"), "doc_id", "left").select(
-        "value", "doc_id", F.coalesce("component", "doc_id").alias("c"))
-    rest = rest_pairs(C.settle(entries, "near-open"), reps).join(first, ["a", "b"], "left_anti")
-    rest = C.settle(estimated(rest, reps), "near-rest")
+    entries = C.settle(entries.join(found.withColumnRenamed("id", "doc_id"), "doc_id", "left").select(
+        "value", "doc_id", F.coalesce("component", "doc_id").alias("c")), "near-entries")
+    open_lists = entries.groupBy("value").agg(F.count("*").alias("n"), F.min("c").alias("lo"), F.max("c").alias("hi"))
+    open_lists = C.settle(open_lists.where("lo < hi").select("value", "n"), "near-open-lists")
+    entries = C.settle(entries.join(open_lists, "value"), "near-open")
+    rest = rest_pairs(entries.where(F.col("n") <= BLOCK).drop("n"), reps).join(first, ["a", "b"], "left_anti")
+    rest = C.settle(estimated(C.settle(rest, "near-rest-pairs"), reps), "near-rest")
     more = C.settle(verified(rest, texts, n), "near-more")
+    hubs = hubs.join(open_lists.where(F.col("n") > BLOCK).select("value"), "value", "left_semi").join(
+        found.withColumnRenamed("id", "hub"), "hub", "left").select(
+        "value", "hub", F.coalesce("component", "hub").alias("hub_c"))
+    blocks = block_links(entries.where(F.col("n") > BLOCK), C.settle(hubs, "near-long-hubs"), texts, n)
+    more = more.union(C.settle(blocks, "near-block-links"))
     # the first round's components, as stars, and the links found after them
     found = C.components(found.select(F.col("id").alias("a"), F.col("component").alias("b")).union(more))
 

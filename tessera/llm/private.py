@@ -95,11 +95,23 @@ def _valid(kind: Column, m: Column) -> Column:
             .when(kind == "phone", F.length(_digits(m)).between(8, 15)).otherwise(F.lit(True)))
 
 
+def _match(name: str, kind: str, strict: bool):
+    """The struct of the i-th match m, with what stands around it."""
+    def one(m, i):
+        gap = F.get(F.col("g_" + name), i)
+        return F.struct(
+            F.lit(kind).alias("kind"), F.lit(strict).alias("strict"), i.alias("i"), F.length(gap).alias("gap"),
+            m.alias("m"), F.right(gap, F.lit(CONTEXT)).alias("before"),
+            F.substring(F.get(F.col("g_" + name), i + 1), 1, 1).alias("after"))
+    return one
+
+
 def candidates(texts: DataFrame) -> DataFrame:
     """(doc, tag, kind, strict, start, end, votes ..., bucket) of all candidates
     in ``texts`` (doc, tag, text); positions in code points, end exclusive."""
     # one scan: per pattern the gaps and matches of the texts that have what it needs
     cols, all_matches = [], []
+    none = F.array().cast("array<struct<kind:string,strict:boolean,i:int,gap:int,m:string,before:string,after:string>>")
     for strict, patterns in ((True, STRICT), (False, LOOSE)):
         for kind, p in patterns.items():
             name = f"{kind}_{strict}"
@@ -107,14 +119,7 @@ def candidates(texts: DataFrame) -> DataFrame:
             cols += [F.when(has, F.split("text", p, -1)).alias("g_" + name),
                      F.when(has, F.regexp_extract_all("text", F.lit(p), F.lit(0))).alias("m_" + name)]
 
-            def one(m, i, name=name, kind=kind, strict=strict):
-                gap = F.get(F.col("g_" + name), i)
-                return F.struct(
-                    F.lit(kind).alias("kind"), F.lit(strict).alias("strict"), i.alias("i"),
-                    F.length(gap).alias("gap"), m.alias("m"), F.right(gap, F.lit(CONTEXT)).alias("before"),
-                    F.substring(F.get(F.col("g_" + name), i + 1), 1, 1).alias("after"))
-            none = F.array().cast("array<struct<kind:string,strict:boolean,i:int,gap:int,m:string,before:string,after:string>>")
-            all_matches.append(F.coalesce(F.transform("m_" + name, one), none))
+            all_matches.append(F.coalesce(F.transform("m_" + name, _match(name, kind, strict)), none))
     rows = texts.select("doc", "tag", *cols).select("doc", "tag", F.explode(F.concat(*all_matches)).alias("x"))
     rows = rows.select("doc", "tag", "x.*")
     rows = rows.distinct()
@@ -263,16 +268,16 @@ def find_private(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     every = F.coalesce("all", F.array().cast("array<struct<k:int,start:bigint,end:bigint,base:boolean>>"))
     rows = rows.select("doc_id", every.alias("all")).select(
         "doc_id", "all", F.filter("all", lambda x: x.base).alias("base"))
+    count = lambda i: F.size(F.filter("base", lambda x: x.k == i)).cast("long")
     return rows.select(
-        "doc_id", *[F.size(F.filter("base", lambda x, i=i: x.k == i)).cast("long").alias(f"n_{name}")
-                    for i, name in enumerate(KINDS)],
+        "doc_id", *[count(i).alias(f"n_{name}") for i, name in enumerate(KINDS)],
         F.sha2(_listed(F.col("base")), 256).alias("base_sha256"), _listed(F.col("all")).alias("spans"))
 
 
 def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with every span replaced by its kind in brackets."""
     keyed = docs.withColumn("__doc", F.coalesce(F.col(id_col).cast("long"), F.lit(2**63 - 1))).withColumn(
-        "__tag", F.xxhash64(text_col))
+        "__tag", F.pmod(F.xxhash64(text_col), F.lit(1 << 31)))
     found = spans(docs, id_col, text_col).select(F.col("doc").alias("__doc"), F.col("tag").alias("__tag"),
                                                  F.array_sort(F.transform("all", lambda x: F.struct(
                                                      x.start.alias("start"), x.end.alias("end"), x.k.alias("k")))).alias("__s"))

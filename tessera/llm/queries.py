@@ -40,7 +40,7 @@ def op8_chat(spark, sf_dir):
 
 
 def op9_mixing(spark, sf_dir):
-    return mixing.mix(C.table(spark, sf_dir, "documents")).drop("source")
+    return mixing.mix(C.table(spark, sf_dir, "documents")).drop("source", "tag")
 
 
 def op10_cover_tree(spark, sf_dir):

@@ -5,22 +5,26 @@ earlier (smaller document id, or same document and earlier position).
 
 1. Anchors.  The K-byte strings whose hash is least in some window of LENGTH
    bytes: every LENGTH-byte string holds one, and equal strings hold the same
-   one at the same place.  About one byte in 35 starts an anchor.
+   one at the same place.  About one byte in 32 starts an anchor.  An anchor's
+   context is the bytes that any LENGTH-byte string over it can reach.
 2. Anchors whose hash occurs once are dropped (map-side combined count, then a
    join that AQE splits on hot hashes).
-3. The others get their context, the bytes that any LENGTH-byte string over
-   the anchor can reach, and are dealt by hash; a hash with more than GROUP
-   occurrences is dealt to several groups by document.
-4. In a group the anchors' suffixes are sorted into an enhanced suffix array
+3. Occurrences with equal contexts (by 64-bit hash) are copies: all but the
+   earliest are marked whole.  This settles the inside of long copies without
+   moving text.
+4. Where an anchor has several contexts, at the ends of copies and at edits,
+   the earliest occurrence of each is fetched and dealt by hash; a hash with
+   more than GROUP contexts is dealt to several groups by document.
+5. In a group the anchors' suffixes are sorted into an enhanced suffix array
    (order and longest common prefixes).  A stack scan gives the common-prefix
    intervals.  In each interval the left contexts are sorted backwards and
    scanned the same way: an interval of L common bytes to the left whose
    members' next left bytes differ and R to the right is one maximal repeat
    group with all its occurrences.  Where L + R >= LENGTH all of them but the
    earliest are marked.
-5. Windows of a dealt-out hash that no earlier one in the own group covers meet
+6. Windows of a dealt-out hash that no earlier one in the own group covers meet
    once more by window hash (128 bits), one per distinct window and group.
-6. Marked ranges are joined to the documents, merged and cut out.
+7. Marked ranges are joined to the documents, merged and cut out.
 
 Defined results: null and empty texts have no bytes; texts under LENGTH bytes
 lose none; rows that share id and text are one document and get the same
@@ -79,29 +83,34 @@ def anchors(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return p, np.concatenate(val)[first].view(np.int64)
 
 
-ANCHORS = pa.schema([("h", pa.int64()), ("doc", pa.int64()), ("tag", pa.int64()), ("pos", pa.int64())])
+ANCHORS = pa.schema([("h", pa.int64()), ("ch", pa.int64()), ("doc", pa.int64()), ("at", pa.int64())])
 
 
 def anchor_rows(docs: DataFrame) -> DataFrame:
+    """(h, ch, doc, at): hashes of anchor and context; at = tag and position in
+    one number, so that (doc, at) orders all positions."""
     def run(batches):
         for rows in C.rows_of(batches, "doc", "tag", "text"):
             for doc, tag, text in rows:
-                p, h = anchors(C.utf8(text))
-                if len(p):
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(h), pa.array(np.full(len(p), doc)), pa.array(np.full(len(p), tag)), pa.array(p)],
-                        schema=ANCHORS)
-    return docs.select("doc", "tag", "text").mapInArrow(run, "h long, doc long, tag long, pos long")
+                data = C.utf8(text)
+                p, h = anchors(data)
+                if not len(p):
+                    continue
+                a, b = np.maximum(0, p - LEFT), np.minimum(len(data), p + RIGHT)
+                ch = C.mix(C.range_hash(C.prefix_hash(data, TABLE2), a, b) + (p - a).astype(C.U64)).view(np.int64)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(h), pa.array(ch), pa.array(np.full(len(p), doc)), pa.array(p + (tag << 32))], schema=ANCHORS)
+    return docs.select("doc", "tag", "text").mapInArrow(run, "h long, ch long, doc long, at long")
 
 
 CONTEXTS = pa.schema([("h", pa.int64()), ("salt", pa.int32()), ("hot", pa.bool_()), ("doc", pa.int64()),
                       ("tag", pa.int64()), ("pos", pa.int64()), ("left", pa.binary()), ("right", pa.binary())])
 
 
-def context_rows(hits: DataFrame, docs: DataFrame) -> DataFrame:
-    """Contexts of repeated anchors, cut from whole texts."""
-    per = hits.groupBy("doc", "tag").agg(F.collect_list(F.struct("pos", "h", "salt", "hot")).alias("at"))
-    rows = per.join(docs.select("doc", "tag", "text"), ["doc", "tag"]).select("doc", "tag", "text", "at")
+def context_rows(wanted: DataFrame, docs: DataFrame) -> DataFrame:
+    """Contexts of the anchors (h, salt, hot, doc, tag, pos), cut from whole texts."""
+    per = wanted.groupBy("doc", "tag").agg(F.collect_list(F.struct("pos", "h", "salt", "hot")).alias("at"))
+    rows = C.settle(per, "substring-wanted").join(docs.select("doc", "tag", "text"), ["doc", "tag"])
 
     def run(batches):
         for chunk in C.rows_of(batches, "doc", "tag", "text", "at", chunk=64):
@@ -111,8 +120,8 @@ def context_rows(hits: DataFrame, docs: DataFrame) -> DataFrame:
                         b[x["pos"]:x["pos"] + RIGHT]) for x in at]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(c, f.type) for c, f in zip(zip(*out), CONTEXTS)], schema=CONTEXTS)
-    return rows.mapInArrow(run, "h long, salt int, hot boolean, doc long, tag long, pos long, "
-                                "`left` binary, `right` binary")
+    return rows.select("doc", "tag", "text", "at").mapInArrow(
+        run, "h long, salt int, hot boolean, doc long, tag long, pos long, `left` binary, `right` binary")
 
 
 def _padded(col: pa.Array, width: int, flip: bool) -> tuple[np.ndarray, np.ndarray]:
@@ -168,7 +177,8 @@ def mark_groups(h, salt, doc, tag, pos, left, right):
     a, b = order[:-1], order[1:]
     group = (h[a] == h[b]) & (salt[a] == salt[b])
     same = group & (ls[a] == ls[b]) & (rs[a] == rs[b]) & (lb[a] == lb[b]).all(1) & (rb[a] == rb[b]).all(1)
-    full = b[same & (ls[b] + rs[b] >= LENGTH)]
+    other = (doc[a] != doc[b]) | (tag[a] != tag[b]) | (pos[a] != pos[b])
+    full = b[same & other & (ls[b] + rs[b] >= LENGTH)]
     marks = [(full, pos[full] - ls[full], pos[full] + rs[full])]
     own = order[np.concatenate(([True], ~same))]       # the earliest of each distinct context
     a, b = own[:-1], own[1:]
@@ -280,19 +290,31 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     src = C.ordered_texts(docs, id_col, text_col)
     long = src.where(F.octet_length("text") >= LENGTH).select("doc", "tag", "text")
     found = C.settle(anchor_rows(long), "substring-anchors")
-    twice = found.groupBy("h").agg(F.count("*").alias("n")).where("n > 1")
-    hits = found.join(twice, "h").distinct().select(
-        "h", "doc", "tag", "pos", (F.col("n") > GROUP).alias("hot"),
-        F.pmod(F.xxhash64("doc", "tag"), F.ceil(F.col("n") / GROUP)).cast("int").alias("salt"))
-    hits = C.settle(hits, "substring-hits")
-    C.release(found)
-    contexts = C.settle(context_rows(hits, long.dropDuplicates(["doc", "tag"])), "substring-contexts")
+    twice = C.settle(found.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"), "substring-twice")
+    hits = C.settle(found.join(twice, "h"), "substring-hits")
+    C.release(found, twice)
+    kinds = C.settle(hits.groupBy("h", "ch").agg(F.min(F.struct("doc", "at")).alias("first"), F.count("*").alias("n")),
+                     "substring-kinds")
+    tag, pos = F.shiftright("at", 32), F.col("at").bitwiseAND((1 << 32) - 1)
+    copies = C.settle(kinds.where("n > 1").select("h", "ch", "first"), "substring-copies")
+    whole = hits.join(copies, ["h", "ch"]).where(F.struct("doc", "at") > F.col("first")).select(
+        "doc", tag.alias("tag"), F.greatest(pos - LEFT, F.lit(0)).alias("start"), (pos + RIGHT).alias("end"))
+    whole = C.settle(whole, "substring-whole")         # ends beyond the text are clipped when cut
+    C.release(hits, copies)
+    several = C.settle(kinds.groupBy("h").agg(F.count("*").alias("n")).where("n > 1"), "substring-several")
+    wanted = kinds.select("h", "first.*").join(several, "h").select(
+        "h", "doc", tag.alias("tag"), pos.alias("pos"), (F.col("n") > GROUP).alias("hot"),
+        F.pmod(F.xxhash64("doc", "at"), F.ceil(F.col("n") / GROUP)).cast("int").alias("salt"))
+    contexts = C.settle(context_rows(wanted, long), "substring-contexts")
     marks = C.settle(group_rows(contexts), "substring-marks")
-    C.release(hits, contexts)
+    C.release(kinds, several, contexts)
     windows = marks.where("w1 is not null")
     first = windows.groupBy("w1", "w2").agg(F.min(F.struct("doc", "tag", "start")).alias("first"), F.count("*").alias("n"))
-    late = windows.join(first.where("n > 1"), ["w1", "w2"]).where(
+    first = C.settle(first.where("n > 1").drop("n"), "substring-windows")
+    late = windows.join(first, ["w1", "w2"]).where(
         F.struct("doc", "tag", "start") > F.col("first")).select("doc", "tag", "start", "end")
-    ranges = (marks.where("w1 is null").select("doc", "tag", "start", "end").union(late)
-              .groupBy("doc", "tag").agg(F.collect_set(F.struct("start", "end")).alias("ranges")))
+    ranges = (marks.where("w1 is null").select("doc", "tag", "start", "end").union(whole).union(late)
+              .groupBy("doc", "tag").agg(F.collect_list(F.struct("start", "end")).alias("ranges")))
+    ranges = C.settle(ranges, "substring-ranges")
+    C.release(whole, marks)
     return C.cut_out(src, ranges, keep_bytes)
