@@ -90,7 +90,7 @@ def _valid(kind: Column, m: Column) -> Column:
     """The base checks of a strict match."""
     part = lambda x: F.regexp_replace(x, "^0+", "")
     ip = F.forall(F.split(m, r"\."), lambda x: (F.length(part(x)) <= 3)
-                  & (F.coalesce(part(x).cast("int"), F.lit(0)) <= 255))
+                  & (F.coalesce(part(x).try_cast("int"), F.lit(0)) <= 255))
     return (F.when(kind == "ip", ip).when(kind == "card", luhn(m))
             .when(kind == "phone", F.length(_digits(m)).between(8, 15)).otherwise(F.lit(True)))
 

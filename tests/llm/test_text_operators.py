@@ -213,7 +213,7 @@ def shared_passages(rng):
     return out + out[:5]
 
 
-@pytest.mark.parametrize("group", [2048, 8])
+@pytest.mark.parametrize("group", [substrings.GROUP, 8])
 def test_substrings_against_brute_force(spark, docs, group, monkeypatch):
     monkeypatch.setattr(substrings, "GROUP", group)    # 8: hot anchors in several groups
     monkeypatch.setattr(substrings, "SEGMENT", 500)
@@ -367,8 +367,17 @@ def test_private_base_spans(docs):
         text = ",".join(f"{k}:{s}:{e}" for k, s, e in want)
         assert r.base_sha256 == hashlib.sha256(text.encode()).hexdigest(), t[:80]
         assert set(text.split(",")) - {""} <= set(r.spans.split(","))
-    spoken = got[len(items) - 3].spans.split(",")
-    assert any(x.startswith("phone:") for x in spoken) and any(x.startswith("email:") for x in spoken)
+
+
+def test_private_loose_spans(docs):
+    base = [f"please mail user{i}@site{i}.com or call +1 (212) 555-01{i:02d} today" for i in range(60)]
+    spoken = [f"call me: 212-555-01{i:02d} or mail me at jane{i} (at) example (dot) org now" for i in range(20)]
+    odd = [f"the order x123-456-78{i:02d}y and version 112-345-67{i:02d}z of it" for i in range(20)]
+    got = {r.doc_id: r for r in private.find_private(docs(base + spoken + odd)).collect()}
+    assert all(got[i].n_email == got[i].n_phone == 1 and got[i].spans.count(":") == 4 for i in range(60))
+    assert all({x.split(":")[0] for x in got[60 + i].spans.split(",")} == {"email", "phone"} for i in range(20))
+    assert all(got[60 + i].n_email == got[60 + i].n_phone == 0 for i in range(20))      # the base is unchanged
+    assert all(got[80 + i].spans == "" for i in range(20))
 
 
 def test_em_tells_good_labelers_from_bad():
