@@ -205,8 +205,9 @@ class Encoder:
             at = np.searchsorted(self.pair_keys, key)
         return self.pair_ok[at]
 
-    def viterbi(self, points: np.ndarray) -> list[np.ndarray]:
-        """Ids of words of one length (rows of code points)."""
+    def viterbi(self, points: np.ndarray) -> list[tuple[np.ndarray, bool]]:
+        """Ids of words of one length (rows of code points), and whether they
+        have characters outside the vocabulary."""
         m = self.m
         n, length = points.shape
         p, q = C.powers(length + 1)
@@ -245,13 +246,12 @@ class Encoder:
                 raise AssertionError("a word without a segmentation")
             out.append(ids)
             at = at - np.where(ids >= 0, np.where(ids == m.none, 1, m.size[ids]), 0)
-        grid = np.array(out[::-1]).T
-        return [g[g >= 0] for g in grid]
+        grid = np.array(out[::-1], np.int32).T
+        unknown = (grid == m.none).any(axis=1)
+        return [(g[g >= 0], u) for g, u in zip(grid, unknown.tolist())]
 
     def _finish(self, word: str, ids: np.ndarray) -> np.ndarray:
         """Characters outside the vocabulary as bytes, or as the unknown id."""
-        if not (ids == self.m.none).any():
-            return ids.astype(np.int32)
         out, at = [], 0
         for i in ids.tolist():
             if i != self.m.none:
@@ -276,8 +276,8 @@ class Encoder:
             for i in range(0, len(group), step):
                 part = group[i:i + step]
                 points = _points("".join(part)).reshape(len(part), length)
-                for w, ids in zip(part, self.viterbi(points)):
-                    self.words[w] = self._finish(w, ids)
+                for w, (ids, unknown) in zip(part, self.viterbi(points)):
+                    self.words[w] = self._finish(w, ids) if unknown else ids
 
     def encode(self, texts: list) -> list[np.ndarray]:
         """Ids of each text."""
