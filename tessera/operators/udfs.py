@@ -39,6 +39,22 @@ def map_partitions(df: DataFrame, fn, schema) -> DataFrame:
     return df.mapInPandas(run, schema)
 
 
+def to_pandas(df: DataFrame, arrow: bool = True, limit: int = 1_000_000) -> pd.DataFrame:
+    """A bounded result as a pandas frame, moved as Arrow batches or (``arrow``
+    off) row by row; the switch holds for this call only.  More than ``limit``
+    rows are an error: larger results are written, not collected."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.pyspark.enabled"
+    old = conf.get(key)
+    conf.set(key, str(arrow).lower())
+    try:
+        out = df.limit(limit + 1).toPandas()
+    finally:
+        conf.set(key, old)
+    if len(out) > limit:
+        raise ValueError(f"more than {limit} rows; write the frame instead of collecting it")
+    return out
+
+
 def arrow_passthrough(df: DataFrame) -> DataFrame:
     """Arrow batches in, the same batches out (measures the JVM<->Python hop)."""
     return df.mapInArrow(lambda batches: batches, df.schema)
@@ -128,5 +144,5 @@ def pipe_sum(df: DataFrame, col, program: str = SUM_PROGRAM) -> DataFrame:
                         F.sum("partial").alias("total"))
 
 
-__all__ = ["udf_two_columns", "rank0_label", "map_partitions", "arrow_passthrough",
+__all__ = ["udf_two_columns", "rank0_label", "map_partitions", "to_pandas", "arrow_passthrough",
            "pandas_passthrough", "pipe_partitions", "pipe_sum", "SUM_PROGRAM"]

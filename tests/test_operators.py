@@ -488,6 +488,30 @@ def test_softmax_is_linear_in_the_class_count(spark):
     assert time.perf_counter() - t0 < 5          # cubic: over a minute
 
 
+def test_arrow_switch_gives_the_same_frame(spark):
+    from tessera.operators.udfs import to_pandas
+    df = _emb(spark, SF01).select("vec_id", "label").orderBy("vec_id")
+    before = spark.conf.get("spark.sql.execution.arrow.pyspark.enabled")
+    assert to_pandas(df, arrow=True).equals(to_pandas(df, arrow=False))
+    assert spark.conf.get("spark.sql.execution.arrow.pyspark.enabled") == before
+    with pytest.raises(ValueError, match="more than 10 rows"):
+        to_pandas(df, limit=10)
+
+
+def test_weights_are_unpacked_once_per_worker(monkeypatch):
+    class Blob:
+        reads = 0
+
+        @property
+        def value(self):
+            Blob.reads += 1
+            return L.pack_arrays({"k": np.eye(2)})
+    blob = Blob()
+    for _ in range(5):
+        assert np.array_equal(L.worker_arrays(blob, "test-key")["k"], np.eye(2))
+    assert Blob.reads == 1
+
+
 def test_batch_rows_follow_the_model():
     assert SC.batch_rows(SoftmaxRegression(64)) == 4096
     assert SC.batch_rows(ConvNet()) * 28 * 28 * 64 * 8 <= L.CONV_CHUNK_BYTES
