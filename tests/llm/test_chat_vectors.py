@@ -124,6 +124,7 @@ def vector_rows(seed, n=400, dim=12):
 def test_vectors_against_brute_force(frame, shard, cell, monkeypatch):
     monkeypatch.setattr(vectors, "SHARD", shard)
     monkeypatch.setattr(vectors, "PER_CELL", cell)
+    monkeypatch.setattr(vectors, "DIRECT", shard)
     rows = vector_rows(shard)
     src = frame([(k, v, 1) for k, v in rows], "vec_id long, embedding array<float>, v int")
     out = vectors.near_vectors(src).collect()
@@ -131,7 +132,9 @@ def test_vectors_against_brute_force(frame, shard, cell, monkeypatch):
     assert all(r.kept == (r.vec_id == r.component_id) for r in out)
 
 
-def test_cover_tree_covers_and_nests():
+@pytest.mark.parametrize("direct", [1, 64, 1 << 20])
+def test_cover_tree_covers_and_nests(direct, monkeypatch):
+    monkeypatch.setattr(vectors, "DIRECT", direct)
     rng = np.random.default_rng(2)
     x = vectors.unit(np.concatenate([rng.normal(size=(200, 5)), 1 + 0.01 * rng.normal(size=(200, 5))]))
     t = vectors.CoverTree.load(vectors.CoverTree(x).dump())
