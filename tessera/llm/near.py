@@ -25,8 +25,9 @@ similarity of their sets is at least ``THRESHOLD`` percent.
    overlap is high enough.  The members of longer lists, which are mostly the
    same documents in list after list, are put into blocks of BLOCK documents
    by the hub of their longest list; block pairs that meet in some list are
-   compared once, all documents against all by a matrix product over their
-   full sets, and return at most one link per component.  Documents of the
+   compared once: by the overlap of all sketches first, then the documents with
+   a possible partner by a matrix product over their full sets, which returns
+   at most one link per component.  Documents of the
    hub's own component are not compared with each other.  No pair that could
    add a link between components is left out.
 5. Pairs of the hub round and of short lists are candidates when the sketch of
@@ -90,10 +91,16 @@ def least_overlap(s):
     return F.when(s < 0.8 * K, F.ceil(s * THRESHOLD / 100)).otherwise(K // 2)
 
 
-def union_estimate(a: np.ndarray, b: np.ndarray) -> float:
-    """Share of the K smallest values of the union that both sketches hold."""
-    union, count = np.unique(np.concatenate((a, b)), return_counts=True)
-    return float((count[:K] == 2).mean())
+def may_link(a: np.ndarray, b: np.ndarray) -> bool:
+    """Whether the sketch of the union allows a link: the share of its K
+    smallest values that both sketches hold is the similarity itself for sets
+    that are whole in their sketches, and an estimate of it for others."""
+    both = np.sort(np.concatenate((a, b)))
+    same = np.concatenate((both[1:] == both[:-1], [False]))
+    if len(a) < K and len(b) < K:
+        return 100 * int(same.sum()) >= THRESHOLD * (len(both) - int(same.sum()))
+    first = np.concatenate(([True], both[1:] != both[:-1]))
+    return 2 * int(same[first][:K].sum()) >= min(K, int(first.sum()))
 
 
 def estimated(pairs: DataFrame, reps: DataFrame) -> DataFrame:
@@ -108,8 +115,7 @@ def estimated(pairs: DataFrame, reps: DataFrame) -> DataFrame:
             for i in range(0, t.num_rows, 1024):
                 p = t.slice(i, 1024)
                 (va, oa), (vb, ob) = C.ragged(p.column("sa")), C.ragged(p.column("sb"))
-                ok = [union_estimate(va[oa[j]:oa[j + 1]], vb[ob[j]:ob[j + 1]]) >= 0.5
-                      for j in range(p.num_rows)]
+                ok = [may_link(va[oa[j]:oa[j + 1]], vb[ob[j]:ob[j + 1]]) for j in range(p.num_rows)]
                 yield p.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
     return rows.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
 
@@ -152,10 +158,27 @@ def listed(reps: DataFrame) -> DataFrame:
             .select(F.col("e.value").alias("value"), "doc_id", "rare"))
 
 
+def short(sketch: str):
+    """The upper halves of retained values: enough to estimate overlaps."""
+    return F.transform(sketch, lambda x: F.shiftright(x, 32).cast("int"))
+
+
+def candidates(values, off, c, size) -> tuple[np.ndarray, np.ndarray]:
+    """Index pairs of sketches (rows of a ragged array) in different components
+    whose overlap and set sizes allow a link."""
+    column = np.unique(values, return_inverse=True)[1]
+    m = np.zeros((len(size), int(column.max()) + 1), np.float32)
+    m[np.repeat(np.arange(len(size)), np.diff(off)), column] = 1
+    need = least_overlap(np.diff(off))
+    x, y = np.nonzero(np.triu(m @ m.T >= np.maximum(need[:, None], need), 1))
+    ok = (c[x] != c[y]) & (100 * np.minimum(size[x], size[y]) >= THRESHOLD * np.maximum(size[x], size[y]))
+    return x[ok], y[ok]
+
+
 def rest_pairs(entries: DataFrame, reps: DataFrame) -> DataFrame:
     """Candidate pairs of members of one short list in different components;
     ``entries`` (value, doc_id, c)."""
-    e = entries.join(reps.select("doc_id", "n_shingles", "sketch"), "doc_id")
+    e = entries.join(reps.select("doc_id", "n_shingles", short("sketch").alias("sketch")), "doc_id")
     e = e.repartition("value").sortWithinPartitions("value")
 
     def run(batches):
@@ -164,13 +187,9 @@ def rest_pairs(entries: DataFrame, reps: DataFrame) -> DataFrame:
                 continue
             ids, c, size = (g.column(x).to_numpy() for x in ("doc_id", "c", "n_shingles"))
             values, off = C.ragged(g.column("sketch"))
-            column = np.unique(values, return_inverse=True)[1]
-            m = np.zeros((len(ids), column.max() + 1), np.float32)
-            m[np.repeat(np.arange(len(ids)), np.diff(off)), column] = 1
-            need = least_overlap(np.diff(off))
-            x, y = np.nonzero(np.triu(m @ m.T >= np.maximum(need[:, None], need), 1))
-            ok = (c[x] != c[y]) & (ids[x] != ids[y])
-            ok &= 100 * np.minimum(size[x], size[y]) >= THRESHOLD * np.maximum(size[x], size[y])
+            x, y = candidates(values, off, c, size)
+            ok = np.array([may_link(values[off[i]:off[i + 1]], values[off[j]:off[j + 1]])
+                           for i, j in zip(x.tolist(), y.tolist())], bool)
             x, y = x[ok], y[ok]
             a, b = np.minimum(ids[x], ids[y]), np.maximum(ids[x], ids[y])
             yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
@@ -211,7 +230,7 @@ def linked_sets(values: np.ndarray, off: np.ndarray, c: np.ndarray) -> list[tupl
     return out
 
 
-def block_links(entries: DataFrame, hubs: DataFrame, texts: DataFrame, n: int) -> DataFrame:
+def block_links(entries: DataFrame, hubs: DataFrame, reps: DataFrame, texts: DataFrame, n: int) -> DataFrame:
     """Links between members of long lists in different components; ``entries``
     (value, doc_id, c, n) and ``hubs`` (value, hub, hub_c)."""
     home = (entries.join(hubs, "value").groupBy("doc_id", "c")
@@ -227,14 +246,29 @@ def block_links(entries: DataFrame, hubs: DataFrame, texts: DataFrame, n: int) -
              .select(F.col("x.block").alias("i"), F.col("y.block").alias("j")).distinct())
     pairs = C.settle(pairs, "near-block-pairs")
 
+    # sketches first: only documents with a possible partner in the other block go on
+    sides = C.settle(members.select("doc_id", "c", "block").join(reps.select(
+        "doc_id", "n_shingles", short("sketch").alias("sketch")), "doc_id"), "near-sides")
+    met = pairs.join(sides, pairs.i == sides.block).union(
+        pairs.where("i != j").join(sides, F.col("j") == sides.block)).drop("block")
+
+    def possible(batches):
+        for g in C.runs(batches, "i", "j"):
+            c, size = g.column("c").to_numpy(), g.column("n_shingles").to_numpy()
+            at = np.unique(np.concatenate(candidates(*C.ragged(g.column("sketch")), c, size)))
+            if len(at):
+                yield from g.select(["i", "j", "doc_id", "c"]).take(pa.array(at)).to_batches()
+    met = met.repartition("i", "j").sortWithinPartitions("i", "j").mapInArrow(
+        possible, "i long, j long, doc_id long, c long")
+    met = C.settle(met, "near-possible")
+
     def sets(batches):
         schema = pa.schema([("doc_id", pa.int64()), ("values", pa.list_(pa.int64()))])
         yield from C.per_row(lambda r: (r[0], shingles(r[1], n).tolist()), ["doc_id", "text"], schema)(batches)
-    full = texts.join(members.select("doc_id"), "doc_id", "left_semi").mapInArrow(sets, "doc_id long, values array<long>")
-    full = C.settle(full.join(members, "doc_id"), "near-sets")
-    sides = pairs.join(full, pairs.i == full.block).union(
-        pairs.where("i != j").join(full, F.col("j") == full.block)).select("i", "j", "doc_id", "c", "values")
-    sides = sides.repartition("i", "j").sortWithinPartitions("i", "j")
+    wanted = C.settle(met.select("doc_id").distinct(), "near-wanted")
+    full = texts.join(wanted, "doc_id", "left_semi").mapInArrow(sets, "doc_id long, values array<long>")
+    rows = met.join(C.settle(full, "near-sets"), "doc_id")
+    rows = rows.repartition("i", "j").sortWithinPartitions("i", "j")
 
     def run(batches):
         for g in C.runs(batches, "i", "j"):
@@ -244,7 +278,7 @@ def block_links(entries: DataFrame, hubs: DataFrame, texts: DataFrame, n: int) -
                 a, b = ids[[x for x, _ in got]], ids[[y for _, y in got]]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
-    return sides.mapInArrow(run, "a long, b long")
+    return rows.mapInArrow(run, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, n: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -271,12 +305,12 @@ def near_duplicates(docs: DataFrame, n: int = 5, id_col: str = "doc_id", text_co
     open_lists = C.settle(open_lists.where("lo < hi").select("value", "n"), "near-open-lists")
     entries = C.settle(entries.join(open_lists, "value"), "near-open")
     rest = rest_pairs(entries.where(F.col("n") <= BLOCK).drop("n"), reps).join(first, ["a", "b"], "left_anti")
-    rest = C.settle(estimated(C.settle(rest, "near-rest-pairs"), reps), "near-rest")
+    rest = C.settle(rest, "near-rest")
     more = C.settle(verified(rest, texts, n), "near-more")
     hubs = hubs.join(open_lists.where(F.col("n") > BLOCK).select("value"), "value", "left_semi").join(
         found.withColumnRenamed("id", "hub"), "hub", "left").select(
         "value", "hub", F.coalesce("component", "hub").alias("hub_c"))
-    blocks = block_links(entries.where(F.col("n") > BLOCK), C.settle(hubs, "near-long-hubs"), texts, n)
+    blocks = block_links(entries.where(F.col("n") > BLOCK), C.settle(hubs, "near-long-hubs"), reps, texts, n)
     more = more.union(C.settle(blocks, "near-block-links"))
     # the first round's components, as stars, and the links found after them
     found = C.components(found.select(F.col("id").alias("a"), F.col("component").alias("b")).union(more))
