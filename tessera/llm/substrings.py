@@ -13,17 +13,22 @@ earlier (smaller document id, or same document and earlier position).
    earliest are marked whole.  This settles the inside of long copies without
    moving text.
 4. Where an anchor has several contexts, at the ends of copies and at edits,
-   the earliest occurrence of each is fetched and dealt by hash; a hash with
-   more than GROUP contexts is dealt to several groups by document.
+   the earliest occurrence of each is fetched and dealt by hash.  An anchor
+   with more than GROUP contexts (say, at the end of a passage that a third of
+   all documents share) is dealt by the EDGE bytes before and after it as well;
+   strings that reach less than EDGE bytes to one side, at most 2 EDGE per
+   context, are compared by hash instead.  Should such a group still exceed
+   GROUP, it is dealt to several by document.
 5. In a group the anchors' suffixes are sorted into an enhanced suffix array
    (order and longest common prefixes).  A stack scan gives the common-prefix
    intervals.  In each interval the left contexts are sorted backwards and
    scanned the same way: an interval of L common bytes to the left whose
    members' next left bytes differ and R to the right is one maximal repeat
    group with all its occurrences.  Where L + R >= LENGTH all of them but the
-   earliest are marked.
-6. Windows of a dealt-out hash that no earlier one in the own group covers meet
-   once more by window hash (128 bits), one per distinct window and group.
+   earliest are marked; a context returns the bytes marked around its anchor
+   as one range.
+6. Strings near the edges of hot anchors, and those of groups dealt by document
+   that no earlier one in the own group covers, meet by hash (128 bits).
 7. Marked ranges are joined to the documents, merged and cut out.
 
 Defined results: null and empty texts have no bytes; texts under LENGTH bytes
@@ -45,7 +50,9 @@ from tessera.llm import common as C
 LENGTH = 100
 K = 32
 LEFT, RIGHT = LENGTH - K, LENGTH       # context before and from the anchor
-GROUP = 2048
+GROUP = 1024                   # contexts compared in one group
+EDGE = 6                       # bytes beside the anchor that split the contexts of a hot one
+CHUNK = 1 << 13                # contexts of small groups worked on together
 SEGMENT = 1 << 20
 TABLE2 = C._RNG.integers(1, 2**63, 256, dtype=C.U64)
 
@@ -103,25 +110,46 @@ def anchor_rows(docs: DataFrame) -> DataFrame:
     return docs.select("doc", "tag", "text").mapInArrow(run, "h long, ch long, doc long, at long")
 
 
-CONTEXTS = pa.schema([("h", pa.int64()), ("salt", pa.int32()), ("hot", pa.bool_()), ("doc", pa.int64()),
+CONTEXTS = pa.schema([("h", pa.int64()), ("hot", pa.bool_()), ("doc", pa.int64()),
                       ("tag", pa.int64()), ("pos", pa.int64()), ("left", pa.binary()), ("right", pa.binary())])
 
 
 def context_rows(wanted: DataFrame, docs: DataFrame) -> DataFrame:
-    """Contexts of the anchors (h, salt, hot, doc, tag, pos), cut from whole texts."""
-    per = wanted.groupBy("doc", "tag").agg(F.collect_list(F.struct("pos", "h", "salt", "hot")).alias("at"))
+    """Contexts of the anchors (h, hot, doc, tag, pos), cut from whole texts."""
+    per = wanted.groupBy("doc", "tag").agg(F.collect_list(F.struct("pos", "h", "hot")).alias("at"))
     rows = C.settle(per, "substring-wanted").join(docs.select("doc", "tag", "text"), ["doc", "tag"])
 
     def run(batches):
         for chunk in C.rows_of(batches, "doc", "tag", "text", "at", chunk=64):
             for doc, tag, text, at in chunk:
                 b = (text or "").encode("utf-8", "replace")
-                out = [(x["h"], x["salt"], x["hot"], doc, tag, x["pos"], b[max(0, x["pos"] - LEFT):x["pos"]],
+                out = [(x["h"], x["hot"], doc, tag, x["pos"], b[max(0, x["pos"] - LEFT):x["pos"]],
                         b[x["pos"]:x["pos"] + RIGHT]) for x in at]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(c, f.type) for c, f in zip(zip(*out), CONTEXTS)], schema=CONTEXTS)
     return rows.select("doc", "tag", "text", "at").mapInArrow(
-        run, "h long, salt int, hot boolean, doc long, tag long, pos long, `left` binary, `right` binary")
+        run, "h long, hot boolean, doc long, tag long, pos long, `left` binary, `right` binary")
+
+
+def edge_windows(contexts: DataFrame) -> DataFrame:
+    """The strings over a hot anchor that reach less than EDGE bytes to its
+    left or right: (doc, tag, start, end, w1, w2)."""
+    def run(batches):
+        for rows in C.rows_of(batches, "doc", "tag", "pos", "left", "right"):
+            out = []
+            for doc, tag, pos, left, right in rows:
+                data = np.frombuffer(left + right, np.uint8)
+                lo, n = len(left), len(data) - LENGTH + 1
+                at = np.arange(max(0, n))
+                at = at[(lo - at < EDGE) | (at + LENGTH - lo - K < EDGE)]
+                if len(at):
+                    w = [C.range_hash(C.prefix_hash(data, t), at, at + LENGTH).view(np.int64) for t in (C.BYTE, TABLE2)]
+                    start = at + pos - lo
+                    out.append((np.full(len(at), doc), np.full(len(at), tag), start, start + LENGTH, *w))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], schema=MARKS)
+    return contexts.select("doc", "tag", "pos", "left", "right").mapInArrow(
+        run, "doc long, tag long, start long, `end` long, w1 long, w2 long")
 
 
 def _padded(col: pa.Array, width: int, flip: bool) -> tuple[np.ndarray, np.ndarray]:
@@ -129,7 +157,7 @@ def _padded(col: pa.Array, width: int, flip: bool) -> tuple[np.ndarray, np.ndarr
     raw = np.frombuffer(col.buffers()[2] or b"", np.uint8)
     o = np.frombuffer(col.buffers()[1], np.int32)[col.offset:col.offset + len(col) + 1].astype(np.int64)
     size = np.diff(o)
-    grid = np.arange(width)
+    o, grid = o.astype(np.int32), np.arange(width, dtype=np.int32)
     index = (o[1:, None] - 1 - grid) if flip else (o[:-1, None] + grid)
     ok = grid < size[:, None]
     out = np.zeros((len(col), width), np.uint8)
@@ -165,12 +193,22 @@ def intervals(lcp) -> list[tuple[int, int, int]]:
     return out
 
 
-def mark_groups(h, salt, doc, tag, pos, left, right):
-    """Marked ranges within groups of equal (h, salt).
+def mark_groups(h, salt, hot, doc, tag, pos, left, right):
+    """Marked bytes within groups of equal (h, salt).
 
-    ``left`` (backwards) and ``right`` are (byte rows, lengths).  Returns
-    (index, start, end) of ranges, and the indices of the distinct contexts."""
+    ``left`` (backwards) and ``right`` are (byte rows, lengths).  Returns, per
+    context, how far its marked bytes reach to the left and right of the anchor
+    (all of its ranges hold the anchor, so they join up), the indices of the
+    distinct contexts, and of hot ones the single ranges (index, left, right)."""
     (lb, ls), (rb, rs) = left, right
+    reach_l, reach_r = np.zeros(len(h), np.int64), np.zeros(len(h), np.int64)
+    found = []
+
+    def mark(i, el, r):
+        reach_l[i] = np.maximum(reach_l[i], el)
+        reach_r[i] = np.maximum(reach_r[i], r)
+        if len(i) and hot[i[0]]:
+            found.append((i, np.broadcast_to(el, len(i)), np.broadcast_to(r, len(i))))
     rank = np.empty(len(h), np.int64)
     rank[np.lexsort((pos, tag, doc))] = np.arange(len(h))
     order = np.lexsort((rank, ls, *_keys(lb)[::-1], rs, *_keys(rb)[::-1], salt, h))
@@ -179,7 +217,7 @@ def mark_groups(h, salt, doc, tag, pos, left, right):
     same = group & (ls[a] == ls[b]) & (rs[a] == rs[b]) & (lb[a] == lb[b]).all(1) & (rb[a] == rb[b]).all(1)
     other = (doc[a] != doc[b]) | (tag[a] != tag[b]) | (pos[a] != pos[b])
     full = b[same & other & (ls[b] + rs[b] >= LENGTH)]
-    marks = [(full, pos[full] - ls[full], pos[full] + rs[full])]
+    reach_l[full], reach_r[full] = ls[full], rs[full]
     own = order[np.concatenate(([True], ~same))]       # the earliest of each distinct context
     a, b = own[:-1], own[1:]
     near = (h[a] == h[b]) & (salt[a] == salt[b])
@@ -193,9 +231,10 @@ def mark_groups(h, salt, doc, tag, pos, left, right):
     r, el = lcp[two] if len(two) else np.zeros(0, int), _common(lb[x], lb[y], ls[x], ls[y])
     ok = r + el >= LENGTH
     later = np.where(rank[x] > rank[y], x, y)[ok]
-    marks.append((later, pos[later] - el[ok], pos[later] + r[ok]))
+    reach_l[later], reach_r[later] = el[ok], r[ok]
+    hot_two = hot[later]
+    found.append((later[hot_two], el[ok][hot_two], r[ok][hot_two]))
 
-    found = []
     for s, n in zip(starts[size > 2].tolist(), size[size > 2].tolist()):
         members = own[s:s + n]
         back = np.lexsort((ls[members], *_keys(lb[members])[::-1]))
@@ -209,27 +248,23 @@ def mark_groups(h, salt, doc, tag, pos, left, right):
             for el, lo, hi in intervals(common.tolist()):
                 if el + depth >= LENGTH:
                     group = node[lo:hi + 1]
-                    group = np.delete(group, rank[group].argmin())
-                    found.append((group, pos[group] - el, pos[group] + depth))
+                    mark(np.delete(group, rank[group].argmin()), el, depth)
             if depth >= LENGTH and not common.all():   # nothing common to the left
-                group = np.delete(node, rank[node].argmin())
-                found.append((group, pos[group], pos[group] + depth))
-    marks += found
-    i, s, e = (np.concatenate([m[j] for m in marks]) for j in range(3))
-    return i, s, e, own
+                mark(np.delete(node, rank[node].argmin()), 0, depth)
+    return reach_l, reach_r, own, tuple(np.concatenate([m[j] for m in found]) for j in range(3))
 
 
 MARKS = pa.schema([("doc", pa.int64()), ("tag", pa.int64()), ("start", pa.int64()), ("end", pa.int64()),
                    ("w1", pa.int64()), ("w2", pa.int64())])
 
 
-def _open_windows(own, i, s, e, pos, left, right):
+def _open_windows(own, ranges, pos, left, right):
     """(index, start, two hashes) of windows over the anchors ``own`` that no
-    range covers."""
+    single range covers."""
     (lb, ls), (rb, rs) = left, right
     covered = {}
-    for k, a, b in zip(i.tolist(), s.tolist(), e.tolist()):
-        covered.setdefault(k, []).append((a, b))
+    for k, el, r in zip(*(x.tolist() for x in ranges)):
+        covered.setdefault(k, []).append((pos[k] - el, pos[k] + r))
     out = []
     for k in own.tolist():
         data = np.concatenate((lb[k, :ls[k]][::-1], rb[k, :rs[k]]))
@@ -260,12 +295,13 @@ def group_rows(contexts: DataFrame) -> DataFrame:
         h, salt, hot, doc, tag, pos = (col(n) for n in ("h", "salt", "hot", "doc", "tag", "pos"))
         left, right = _padded(t.column("left").combine_chunks(), LEFT, True), _padded(
             t.column("right").combine_chunks(), RIGHT, False)
-        i, s, e, own = mark_groups(h, salt, doc, tag, pos, left, right)
+        reach_l, reach_r, own, ranges = mark_groups(h, salt, hot, doc, tag, pos, left, right)
+        i = np.flatnonzero(reach_r)
         none = pa.nulls(len(i), pa.int64())
         yield pa.RecordBatch.from_arrays(
-            [pa.array(doc[i]), pa.array(tag[i]), pa.array(s), pa.array(e), none, none], schema=MARKS)
+            [pa.array(x) for x in (doc[i], tag[i], pos[i] - reach_l[i], pos[i] + reach_r[i])] + [none, none], schema=MARKS)
         if hot.any():
-            k, at, w1, w2 = _open_windows(own[hot[own]], i, s, e, pos, left, right)
+            k, at, w1, w2 = _open_windows(own[hot[own]], ranges, pos, left, right)
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in (
                 doc[k], tag[k], at, at + LENGTH, w1, w2)], schema=MARKS)
 
@@ -275,7 +311,7 @@ def group_rows(contexts: DataFrame) -> DataFrame:
             if g.num_rows > 1 or g.column("hot")[0].as_py():
                 held.append(g)
                 n += g.num_rows
-            if n >= 2 * GROUP:
+            if n >= CHUNK:
                 yield from work(held)
                 held, n = [], 0
         if held:
@@ -303,12 +339,19 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     C.release(hits, copies)
     several = C.settle(kinds.groupBy("h").agg(F.count("*").alias("n")).where("n > 1"), "substring-several")
     wanted = kinds.select("h", "first.*").join(several, "h").select(
-        "h", "doc", tag.alias("tag"), pos.alias("pos"), (F.col("n") > GROUP).alias("hot"),
-        F.pmod(F.xxhash64("doc", "at"), F.ceil(F.col("n") / GROUP)).cast("int").alias("salt"))
+        "h", "doc", tag.alias("tag"), pos.alias("pos"), (F.col("n") > GROUP).alias("hot"))
     contexts = C.settle(context_rows(wanted, long), "substring-contexts")
-    marks = C.settle(group_rows(contexts), "substring-marks")
-    C.release(kinds, several, contexts)
-    windows = marks.where("w1 is not null")
+    near = F.xxhash64("h", F.expr(f"substring(`left`, greatest(1, length(`left`) - {EDGE - 1}), {EDGE})"),
+                      F.substring("right", 1, K + EDGE))
+    deep = C.settle(contexts.where("hot").withColumn("h", near), "substring-deep")
+    sizes = C.settle(deep.groupBy("h").agg(F.count("*").alias("n")), "substring-sizes")
+    deep = deep.join(sizes.where("n > 1"), "h").withColumn("hot", F.col("n") > GROUP).withColumn(
+        "salt", F.pmod(F.xxhash64("doc", "pos"), F.ceil(F.col("n") / GROUP)).cast("int")).drop("n")
+    plain = contexts.where("not hot").withColumn("salt", F.lit(0))
+    marks = C.settle(group_rows(plain.unionByName(deep)), "substring-marks")
+    edges = C.settle(edge_windows(contexts.where("hot")), "substring-edges")
+    C.release(kinds, several, contexts, sizes)
+    windows = marks.where("w1 is not null").union(edges)
     first = windows.groupBy("w1", "w2").agg(F.min(F.struct("doc", "tag", "start")).alias("first"), F.count("*").alias("n"))
     first = C.settle(first.where("n > 1").drop("n"), "substring-windows")
     late = windows.join(first, ["w1", "w2"]).where(
