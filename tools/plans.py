@@ -42,7 +42,7 @@ def chain(df) -> str:
 
 
 def main():
-    from __spark_entry__ import queries
+    from tessera.plans.queries import QUERIES
     from tessera.session import local_session
     sf_dir = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.01"
     spark = local_session()
@@ -52,7 +52,7 @@ def main():
              "`MapInPandas`, `MapInArrow` are Arrow-batched Python stages; `LogicalRDD`/"
              "`Scan ExistingRDD` read a checkpointed or written table.", "",
              "| query | plan |", "| --- | --- |"]
-    for name, fn in queries().items():
+    for name, fn in QUERIES.items():
         try:
             lines.append(f"| {name} | {chain(fn(spark, sf_dir))} |")
         except Exception as e:  # keep going
