@@ -6,7 +6,10 @@ every level; a container's points are discounted by its link density.  The
 best container (the enclosing article, if it has one) is kept, with those of
 its siblings that score well too; elements that by tag, role or class are
 menus, headers, footers, sidebars, notices, adverts, forms or comments are
-left out everywhere.
+left out everywhere.  A class or id is only a hint: points from such elements
+count less, and those that hold the best container or another article, that
+are headings, or that are written parts of the best container under a name
+that can be a subject (``related-work``) stay; if nothing else is left, all do.
 
 Text blocks follow block elements; inline tags and line breaks do not end a
 block.  White space in a block becomes one space; blocks are joined by an
@@ -43,6 +46,14 @@ WORDS = set("ad ads adv advert adverts advertisement advertising banner sponsor
             "recommended recommendations comment comments disqus reply replies respond popup modal overlay "
             "pagination pager toolbar login search skip".split())
 HEADER = {"header", "topbar"}
+# never main text, and words that name subjects as well as boxes
+ASIDE = set("ad ads adv advert adverts advertisement advertising sponsor sponsored comment comments disqus reply "
+            "replies respond newsletter signup popup modal overlay gdpr".split())
+SUBJECTS = set("side banner promotion navigation menu notice notices alert subscription sharing social related "
+               "recommended recommendations login search".split())
+CONSENT = {"cookie", "cookies", "consent"}
+ENTRY = set("post entry hentry article story".split())
+HEADINGS = set("h1 h2 h3 h4 h5 h6".split())
 # a start tag of the key ends an open element of these, up to the nearest of the stops
 ENDS = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}),
         "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}),
@@ -50,17 +61,24 @@ ENDS = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd"
 SCOPE = set("table td th caption button object html body".split())
 TOKEN = re.compile(r"[A-Z]?[a-z0-9]+|[A-Z]+")
 PARAGRAPH = 25                 # characters from which a block earns points
+WRITTEN = 80                   # characters of a part that is more than a label
 LEVELS = 5
 
 
 class Node:
-    __slots__ = ("tag", "parent", "items", "drop", "inside", "chars", "links", "score", "link")
+    __slots__ = ("tag", "parent", "items", "drop", "inside", "chars", "links", "score", "link", "named", "slug", "weight")
 
-    def __init__(self, tag, parent, drop, inside, link):
+    def __init__(self, tag, parent, drop, inside, link, named=frozenset(), slug=False):
         self.tag, self.parent, self.items, self.drop = tag, parent, [], drop
         self.inside, self.link = inside, link          # within an article; within a link
+        self.named, self.slug = named, slug            # words of class and id that speak against it; of the id only
         self.chars = self.links = 0
         self.score = 0.0
+        self.weigh()
+
+    def weigh(self):
+        own = 0.05 if self.named & ASIDE else 0.25 if self.named else 1.0
+        self.weight = min(own, self.parent.weight) if self.parent else own
 
 
 def _unwanted(tag: str, attrs: dict, inside: bool) -> bool:
@@ -68,13 +86,33 @@ def _unwanted(tag: str, attrs: dict, inside: bool) -> bool:
         return True
     if re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", attrs.get("style") or ""):
         return True
-    if tag in ("html", "body", "main"):
-        return False
-    words = [w.lower() for k in ("class", "id") for name in (attrs.get(k) or "").split()
-             for w in (TOKEN.findall(name) if not re.match(r"(?i)(has|with|no|without)[-_]", name) else ())]
-    if not inside and (tag == "header" or HEADER & set(words)):
-        return True
-    return bool(WORDS & set(words))
+    return tag == "header" and not inside
+
+
+def _words(names: str, entry: bool) -> set:
+    """Words of a class or id, but for those after with or without and, in
+    entries, those of categories and tags."""
+    out = set()
+    for name in names.split():
+        words = [w.lower() for w in TOKEN.findall(name)]
+        end = next((i for i, w in enumerate(words) if w in ("has", "with", "no", "without")), len(words))
+        if not (entry and words and words[0] in ("category", "tag")):
+            out.update(words[:end])
+    return out
+
+
+def _named(tag: str, attrs: dict, inside: bool) -> tuple[frozenset, bool]:
+    """The words of class and id that speak against an element, and whether
+    they are of its id alone."""
+    names, ident = attrs.get("class") or "", attrs.get("id") or ""
+    if tag in ("html", "body", "main") or tag in HEADINGS or not (names or ident):
+        return frozenset(), False
+    against = WORDS if inside else WORDS | HEADER
+    entry = tag == "article" or not ENTRY.isdisjoint(names.lower().split())
+    kind, slug = _words(names, entry) & against, _words(ident, entry) & against
+    if tag == "article":                               # a subject does not make it another thing
+        kind, slug = kind & ASIDE, slug & ASIDE
+    return frozenset(kind | slug), bool(slug) and not kind
 
 
 class Tree(HTMLParser):
@@ -111,7 +149,8 @@ class Tree(HTMLParser):
             self._close(*ENDS[tag])
         top = self.top
         drop = top.drop or _unwanted(tag, attrs, top.inside)
-        n = Node(tag, top, drop, top.inside or tag in ("article", "main"), top.link or tag == "a")
+        n = Node(tag, top, drop, top.inside or tag in ("article", "main"), top.link or tag == "a",
+                 *_named(tag, attrs, top.inside))
         top.items.append(n)
         self.nodes.append(n)
         if tag not in VOID:
@@ -170,20 +209,27 @@ def blocks(top: Node, skip=frozenset()) -> list[tuple[str, Node, int]]:
     return out
 
 
-def main_text(html) -> str:
-    if not html:
-        return ""
-    tree = Tree()
-    tree.feed(html)
-    tree.close()
-    every = blocks(tree.root)
-    if not every:
-        return ""
+def density(n: Node) -> float:
+    return n.links / n.chars if n.chars else 0.0
+
+
+def up(n: Node):
+    """A node and its ancestors, inside out."""
+    while n is not None:
+        yield n
+        n = n.parent
+
+
+def measure(tree: Tree, every: list) -> None:
+    """Characters, characters in links and points of all nodes from blocks."""
+    for n in tree.nodes:
+        n.chars = n.links = 0
+        n.score = 0.0
     for text, home, linked in every:
         home.chars += len(text)
         home.links += linked
         if len(text) >= PARAGRAPH:
-            points = 1 + text.count(",") + text.count("，") + min(len(text) / 100, 3)
+            points = home.weight * (1 + text.count(",") + text.count("，") + min(len(text) / 100, 3))
             n = home.parent if home.tag in ("p", "pre", "blockquote", "li", "td") and home.parent else home
             for level in range(LEVELS):
                 if n is None:
@@ -193,25 +239,99 @@ def main_text(html) -> str:
     for n in reversed(tree.nodes[1:]):                 # children before parents
         n.parent.chars += n.chars
         n.parent.links += n.links
-    density = lambda n: n.links / n.chars if n.chars else 0.0
-    rank = {n: n.score * (1 - min(1.0, density(n))) + (25 if n.tag in ("article", "main") and n.chars else 0)
+
+
+def choose(tree: Tree) -> tuple[Node, dict]:
+    """The best container and the ranks of all."""
+    rank = {n: n.score * (1 - min(1.0, density(n))) + (25 * n.weight if n.tag in ("article", "main") else 0)
             for n in tree.nodes if not n.drop and n.chars and n.tag in BLOCK}
     best = max(rank, key=rank.get, default=tree.root)  # the first of equals
-    n = best
-    while n is not None:
+    for n in up(best):
         if n.tag in ("article", "main"):
             best = n
-        n = n.parent
+    return best, rank
+
+
+def lift(tree: Tree, every: list) -> None:
+    """The names of elements around most of the page's text do not count."""
+    free = dict.fromkeys(tree.nodes, 0)
+    for text, home, linked in every:
+        if home.weight > 0.05:
+            free[home] += len(text) - linked
+    for n in reversed(tree.nodes[1:]):
+        free[n.parent] += free[n]
+    for n in tree.nodes:
+        if n.named and not n.named & (ASIDE | CONSENT) and 3 * free[n] > 2 * free[tree.root]:
+            n.named = frozenset()
+        n.weigh()
+
+
+def named_out(tree: Tree) -> set:
+    """The elements that their class or id leaves out."""
+    best, rank = choose(tree)
+    points = lambda n: n.score * (1 - min(1.0, density(n)))
+    under, barred, entries, titled = {best}, set(), [], set()
+    for n in tree.nodes:
+        if n.parent in under:
+            under.add(n)
+        if n.parent in barred or n.named & ASIDE:
+            barred.add(n)
+        if n.tag == "article" and n not in barred:
+            barred.add(n)                              # those inside it are no further articles
+            if n in rank and density(n) < 0.5:
+                entries.append(n)
+    for n in reversed(tree.nodes[1:]):
+        if n in titled or n.tag in HEADINGS and n.chars:
+            titled.add(n.parent)
+    core = max((n for n in under if n in rank), key=points, default=best)
+    hold = {*up(best), *up(core)}
+    for n in entries:                                  # other articles, not teasers
+        if points(n) / n.weight >= 0.2 * points(best) / best.weight:
+            for x in up(n):
+                if x in hold:
+                    break
+                hold.add(x)
+    out = set()
+    for n in tree.nodes:
+        if not n.named or n in hold:
+            continue
+        part = n in under and density(n) <= 0.5 and not n.named & ASIDE and (
+            (n.named <= SUBJECTS or n.slug and n.tag == "section")
+            and (n.chars > WRITTEN or n.slug and n in titled))
+        if not part:
+            out.add(n)
+    return out
+
+
+def main_text(html) -> str:
+    if not html:
+        return ""
+    tree = Tree()
+    tree.feed(html)
+    tree.close()
+    every = blocks(tree.root)
+    if not every:
+        return ""
+    out = set()
+    if any(n.named for n in tree.nodes):
+        lift(tree, every)
+        measure(tree, every)
+        out = named_out(tree)
+    if out:
+        left = blocks(tree.root, out)
+        out, every = (out, left) if left else (set(), every)
+    measure(tree, every)
+    best, rank = choose(tree)
     keep = [best]
     if best.parent is not None and best.tag not in ("article", "main"):
         least = max(10.0, 0.2 * rank.get(best, 0.0))
-        keep = [x for x in best.parent.items if isinstance(x, Node) and not x.drop and (
+        keep = [x for x in best.parent.items if isinstance(x, Node) and not x.drop and x not in out and (
             x is best or rank.get(x, 0.0) >= least or x.tag in ("h1", "h2", "h3") and density(x) < 0.3
             or x.tag == "p" and density(x) < 0.25 and (x.chars > 80 or x.chars and density(x) == 0))]
     # lists and boxes that are all links are menus wherever they stand
     menus = {x for x in tree.nodes if x.tag in ("ul", "ol", "div", "section", "table") and x.chars
              and density(x) > 0.7 and x not in keep}
-    return "\n\n".join(text for n in keep for text, _, _ in blocks(n, menus))
+    return "\n\n".join(text for n in keep for text, _, _ in blocks(n, menus | out))
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", url_col: str = "url") -> DataFrame:

@@ -434,6 +434,27 @@ def test_pages_cases(page, want):
     assert pages.main_text(page) == want
 
 
+@pytest.mark.parametrize("page,want", [
+    *((f"<body><div class=ad>Buy</div><article class='{c}'><h1>T</h1><p>{LONG}</article><div>x</div>", f"T\n\n{LONG}")
+      for c in ("post category-social", "post tag-search", "search")),
+    *((f"<div class='{c}'><article><p>{LONG}</article></div><div class=sidebar><p>{LONG}</div>", LONG)
+      for c in ("content-with-sidebar", "layout sidebar-left", "main search")),
+    *((f"<div class='{c}'><div class=c><p>{LONG}<p>{LONG}</div></div><div>Somebody, somewhere, all rights reserved</div>",
+       f"{LONG}\n\n{LONG}") for c in ("content-with-sidebar", "layout sidebar-left")),
+    (f"<main><div class='layout sidebar-left'><div><p>{LONG}</div><div class=sidebar><p>{LONG}</div></div></main>", LONG),
+    (f"<article><p>{LONG}<section id=related-work><h2 id=related>R</h2><p>few</section><h2 id=search>S</h2><p>{LONG}"
+     f"<section id=related-work><p>{LONG}</section></article>", f"{LONG}\n\nR\n\nfew\n\nS\n\n{LONG}\n\n{LONG}"),
+    (f"<div class=side><div class=widget><p>{LONG}</div></div>", LONG),
+    (f"<div id=comments><p>{LONG}</p></div>", LONG),
+    # boxes stay out, however long
+    (f"<article><p>{LONG}<div class=share><a>one</a> <a>two</a></div><div id=sidebar><p>{LONG}</div><div class=comments>"
+     f"<article class=comment><p>{LONG * 9}</article></div></article><div class=comment-list><article><p>{LONG * 9}"
+     f"</article></div><section class=related><article><h3><a>{LONG}</a></h3><p>teaser</article></section>", LONG),
+])
+def test_pages_names_are_hints(page, want):
+    assert pages.main_text(page) == want
+
+
 # ---- all of them ----
 
 @pytest.mark.parametrize("fn", [quality.quality, mixing.mix, mixing.mixed, near.near_duplicates, near.drop_near_duplicates,
