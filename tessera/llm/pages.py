@@ -4,9 +4,11 @@ A page is parsed into a tree (unclosed tags as browsers read them).  Each
 paragraph passes points for its length and commas to its ancestors, less with
 every level; a container's points are discounted by its link density.  The
 best container (the enclosing article, if it has one) is kept, with those of
-its siblings that score well too; elements that by tag, role or class are
-menus, headers, footers, sidebars, notices, adverts, forms or comments are
-left out everywhere.  A class or id is only a hint: points from such elements
+its siblings that score well beside it or are written text, and other articles
+that are more than teasers; elements that by tag, role or class are menus,
+headers, footers, sidebars, notices, adverts, forms or comments are left out
+everywhere.  Lists and boxes of links are menus only outside articles and with
+no heading, paragraph or text before them.  A class or id is only a hint: points from such elements
 count less, and those that hold the best container or another article, that
 are headings, or that are written parts of the best container under a name
 that can be a subject (``related-work``) stay; if nothing else is left, all do.
@@ -241,9 +243,14 @@ def measure(tree: Tree, every: list) -> None:
         n.parent.links += n.links
 
 
+def points(n: Node) -> float:
+    """A node's score, discounted by its link density."""
+    return n.score * (1 - min(1.0, density(n)))
+
+
 def choose(tree: Tree) -> tuple[Node, dict]:
     """The best container and the ranks of all."""
-    rank = {n: n.score * (1 - min(1.0, density(n))) + (25 * n.weight if n.tag in ("article", "main") else 0)
+    rank = {n: points(n) + (25 * n.weight if n.tag in ("article", "main") else 0)
             for n in tree.nodes if not n.drop and n.chars and n.tag in BLOCK}
     best = max(rank, key=rank.get, default=tree.root)  # the first of equals
     for n in up(best):
@@ -266,31 +273,36 @@ def lift(tree: Tree, every: list) -> None:
         n.weigh()
 
 
+def entries(tree: Tree, best: Node, rank: dict) -> list[Node]:
+    """The articles of a page that are more than teasers beside the best."""
+    barred, out = set(), []
+    for n in tree.nodes:
+        if n.parent in barred or n.named & ASIDE:
+            barred.add(n)
+        elif n.tag == "article":
+            barred.add(n)                              # those inside it are no further articles
+            if n in rank and density(n) < 0.5 and points(n) / n.weight >= 0.2 * points(best) / best.weight:
+                out.append(n)
+    return out
+
+
 def named_out(tree: Tree) -> set:
     """The elements that their class or id leaves out."""
     best, rank = choose(tree)
-    points = lambda n: n.score * (1 - min(1.0, density(n)))
-    under, barred, entries, titled = {best}, set(), [], set()
+    under, titled = {best}, set()
     for n in tree.nodes:
         if n.parent in under:
             under.add(n)
-        if n.parent in barred or n.named & ASIDE:
-            barred.add(n)
-        if n.tag == "article" and n not in barred:
-            barred.add(n)                              # those inside it are no further articles
-            if n in rank and density(n) < 0.5:
-                entries.append(n)
     for n in reversed(tree.nodes[1:]):
         if n in titled or n.tag in HEADINGS and n.chars:
             titled.add(n.parent)
     core = max((n for n in under if n in rank), key=points, default=best)
     hold = {*up(best), *up(core)}
-    for n in entries:                                  # other articles, not teasers
-        if points(n) / n.weight >= 0.2 * points(best) / best.weight:
-            for x in up(n):
-                if x in hold:
-                    break
-                hold.add(x)
+    for n in entries(tree, best, rank):
+        for x in up(n):
+            if x in hold:
+                break
+            hold.add(x)
     out = set()
     for n in tree.nodes:
         if not n.named or n in hold:
@@ -303,6 +315,87 @@ def named_out(tree: Tree) -> set:
     return out
 
 
+def loose(parent: Node, items: list, out: set) -> Node:
+    """A run of text and inline elements between blocks, as a paragraph."""
+    p = Node("p", parent, False, parent.inside, parent.link)
+    p.items = items
+    for text, _, linked in blocks(p, out):
+        p.chars += len(text)
+        p.links += linked
+    return p
+
+
+def beside(tree: Tree, best: Node, rank: dict, out: set) -> list[Node]:
+    """The best container, its siblings that belong to the text and the other
+    articles, in page order."""
+    if best.parent is None:
+        return [best]
+    owner, titled, at = {}, set(), None                # by sibling of best; with paragraphs
+    for n in tree.nodes:
+        owner[n] = n if n.parent is best.parent else owner.get(n.parent)
+        if n.tag == "p" and n.chars and owner[n]:
+            titled.add(owner[n])
+        if n is best.parent:
+            at = len(owner)
+    others = [n for n in entries(tree, best, rank) if owner[n] is not best]
+    place = {n: i for i, n in enumerate(tree.nodes, 1)} if others else {}
+    within = {}
+    for n in others:
+        within.setdefault(owner[n], []).append(n)
+
+    def belongs(x, free=False):
+        d = density(x)
+        if x.tag in HEADINGS:
+            return d < 0.3
+        if free:
+            return d < 0.25 and (x.chars > WRITTEN or d == 0 and blocks(x, out)[-1][0].endswith((".", "!", "?", ":", "。")))
+        if x.tag == "p":
+            return d < 0.25 and (x.chars > WRITTEN or d == 0)
+        return (x.tag in ("article", "main") and d < 0.5 or x.chars > WRITTEN and d < 0.25
+                or points(x) > 0 and points(x) >= 0.2 * points(best) and (x.chars > WRITTEN or x in titled))
+    keep, run = [n for n in within.get(None, ()) if place[n] < at], []
+    for x in [*best.parent.items, None]:
+        if isinstance(x, str) or x is not None and x.tag not in BLOCK:
+            run.append(x)
+            continue
+        if run:
+            text = loose(best.parent, run, out)
+            run = []
+            if text.chars and belongs(text, True):
+                keep.append(text)
+        if x is best or x is not None and x.chars and not x.drop and x not in out and belongs(x):
+            keep.append(x)
+        elif x is not None:
+            keep += within.get(x, ())
+    return keep + [n for n in within.get(None, ()) if place[n] > at]
+
+
+def link_menus(tree: Tree, keep: list) -> set:
+    """Lists and boxes of links outside articles that nothing introduces: no
+    heading, paragraph or text stands before or in them."""
+    flow = HEADINGS | {"p", "pre", "blockquote", "dl", "figure"}
+    kept = set(keep)
+    found = [n for n in tree.nodes if n.tag in ("ul", "ol", "div", "section", "table") and n.chars and not n.inside
+             and density(n) > 0.7 and n not in kept]
+    if not found:
+        return set()
+    around = set()                                     # with a heading or paragraph
+    for n in reversed(tree.nodes[1:]):
+        if n in around or n.tag in flow and n.chars:
+            around.add(n.parent)
+    told = {}                                          # by parent, what stands after text
+    for p in {n.parent for n in found}:
+        before = False
+        for x in p.items:
+            if isinstance(x, str):
+                before = before or bool(x.strip())
+            elif before:
+                told[x] = True
+            else:
+                before = x.tag in flow and x.chars > 0
+    return {n for n in found if n not in told and n not in around}
+
+
 def main_text(html) -> str:
     if not html:
         return ""
@@ -312,6 +405,7 @@ def main_text(html) -> str:
     every = blocks(tree.root)
     if not every:
         return ""
+    measure(tree, every)
     out = set()
     if any(n.named for n in tree.nodes):
         lift(tree, every)
@@ -322,16 +416,10 @@ def main_text(html) -> str:
         out, every = (out, left) if left else (set(), every)
     measure(tree, every)
     best, rank = choose(tree)
-    keep = [best]
-    if best.parent is not None and best.tag not in ("article", "main"):
-        least = max(10.0, 0.2 * rank.get(best, 0.0))
-        keep = [x for x in best.parent.items if isinstance(x, Node) and not x.drop and x not in out and (
-            x is best or rank.get(x, 0.0) >= least or x.tag in ("h1", "h2", "h3") and density(x) < 0.3
-            or x.tag == "p" and density(x) < 0.25 and (x.chars > 80 or x.chars and density(x) == 0))]
-    # lists and boxes that are all links are menus wherever they stand
-    menus = {x for x in tree.nodes if x.tag in ("ul", "ol", "div", "section", "table") and x.chars
-             and density(x) > 0.7 and x not in keep}
-    return "\n\n".join(text for n in keep for text, _, _ in blocks(n, menus | out))
+    keep = beside(tree, best, rank, out)
+    skip = out | link_menus(tree, keep)
+    found = [text for n in keep for text, _, _ in blocks(n, skip)]
+    return "\n\n".join(found or [text for text, _, _ in every])
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", url_col: str = "url") -> DataFrame:

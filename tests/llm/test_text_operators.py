@@ -455,6 +455,29 @@ def test_pages_names_are_hints(page, want):
     assert pages.main_text(page) == want
 
 
+LINKS = "<ul><li><a>First source</a><li><a>Second source</a></ul>"
+LISTED = "First source\n\nSecond source"
+
+
+@pytest.mark.parametrize("page,want", [
+    (f"<article><p>{LONG}{LINKS}<table><tr><td><a>cell</a></table></article>{LINKS}", f"{LONG}\n\n{LISTED}\n\ncell"),
+    (f"<main><p>{LONG}<section><h2>Read</h2>{LINKS}</section></main>", f"{LONG}\n\nRead\n\n{LISTED}"),
+    (f"<div>{LINKS}<p>{LONG}<p>{LONG}<h3>Sources</h3>{LINKS}<div><h3>More</h3>{LINKS}</div></div>",
+     f"{LONG}\n\n{LONG}\n\nSources\n\n{LISTED}\n\nMore\n\n{LISTED}"),
+    (f"<body>{LINKS}<h1>Title</h1><article><p>{LONG * 9}</article><article><p>Second.</article><p>After.<ul><li><a>x</a></ul>",
+     f"Title\n\n{LONG * 9}\n\nSecond.\n\nAfter."),
+    (f"<div><section><article><p>{LONG}</article></section><section><article><p>B {LONG}</article></section></div>"
+     f"<div><article><p>C {LONG}</article></div>", f"{LONG}\n\nB {LONG}\n\nC {LONG}"),
+    (f"<div><div><p>{LONG * 9}<p>{LONG * 9}</div><div><p>{'word ' * 60}, a, b</p></div><div><a>{LONG}</a></div>Loose <b>end</b>.</div>",
+     f"{LONG * 9}\n\n{LONG * 9}\n\n{'word ' * 60}, a, b\n\nLoose end."),
+    (f"<div><div><p>{LONG}</div><div><p>Another short paragraph here</div><div>Home</div></div>",
+     f"{LONG}\n\nAnother short paragraph here"),
+    (LINKS, LISTED),
+])
+def test_pages_keep_whole_articles(page, want):
+    assert pages.main_text(page) == want
+
+
 # ---- all of them ----
 
 @pytest.mark.parametrize("fn", [quality.quality, mixing.mix, mixing.mixed, near.near_duplicates, near.drop_near_duplicates,
