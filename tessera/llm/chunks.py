@@ -5,13 +5,15 @@ byte's random value, so it depends on the last 32 bytes).  A chunk ends where
 the hash is the least within REACH bytes to both sides.  That rule looks only
 at nearby content: inserting or deleting bytes moves the cuts near the edit
 and no others, and a passage shared by two texts is cut alike in both, but for
-its ends.  Chunks have more than REACH bytes (those at the ends of a text may
-have fewer), twice that on average; stretches without a least value, such as
-one repeated byte, are cut every MOST bytes.
-
-Chunks of more than REACH bytes with equal digests (128 bits) are copies: the
-one in the earliest document (and earliest place there) stays, the others are
-cut out.  Digests are counted with map-side combining, so frequent ones cost
+its ends.  Chunks have more than REACH bytes (the end of a text and what forced
+cuts leave may have fewer), twice that on average; stretches without a least
+value, such as one repeated byte, are cut every MOST bytes.
+
+Chunks of at least ``shortest`` bytes with equal digests (128 bits) are copies:
+the one in the earliest document (and earliest place there) stays, the others
+are cut out.  The query op4_chunking compares all chunks (``shortest`` 1), so an
+exact copy goes whole, short texts too; by default, those of up to REACH bytes
+stay.  Digests are counted with map-side combining, so frequent ones cost
 one row per task; only chunks that occur twice go on.
 
 Defined results: null and empty texts have no chunks; rows that share id and
@@ -75,7 +77,7 @@ CHUNKS = pa.schema([("d1", pa.int64()), ("d2", pa.int64()), ("doc", pa.int64()),
                     ("start", pa.int64()), ("end", pa.int64())])
 
 
-def chunk_rows(texts: DataFrame) -> DataFrame:
+def chunk_rows(texts: DataFrame, shortest: int = REACH + 1) -> DataFrame:
     """(d1, d2, doc, tag, start, end) of each chunk that can be a copy."""
     def run(batches):
         for rows in C.rows_of(batches, "doc", "tag", "text"):
@@ -83,7 +85,7 @@ def chunk_rows(texts: DataFrame) -> DataFrame:
                 data = C.utf8(text)
                 end = cuts(data)
                 start = np.concatenate(([0], end[:-1])) if len(end) else end
-                wide = end - start > REACH
+                wide = end - start >= shortest
                 start, end = start[wide], end[wide]
                 if len(end):
                     d = [C.range_hash(C.prefix_hash(data, t), start, end).view(np.int64) for t in (C.BYTE, SECOND)]
@@ -94,10 +96,10 @@ def chunk_rows(texts: DataFrame) -> DataFrame:
 
 
 def dedup_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                 keep_bytes: bool = False) -> DataFrame:
+                 keep_bytes: bool = False, shortest: int = REACH + 1) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256[, kept]) for each row."""
     src = C.ordered_texts(docs, id_col, text_col)
-    rows = C.settle(chunk_rows(src), "chunks")
+    rows = C.settle(chunk_rows(src, shortest), "chunks")
     twice = C.settle(rows.groupBy("d1").agg(F.count("*").alias("n")).where("n > 1").select("d1"), "chunk-twice")
     copies = C.settle(rows.join(twice, "d1"), "chunk-copies")
     C.release(rows, twice)

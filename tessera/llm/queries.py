@@ -20,7 +20,7 @@ def op3_sentencepiece(spark, sf_dir):
 
 
 def op4_chunking(spark, sf_dir):
-    return chunks.dedup_chunks(C.table(spark, sf_dir, "documents"))
+    return chunks.dedup_chunks(C.table(spark, sf_dir, "documents"), shortest=1)
 
 
 def op5_html(spark, sf_dir):

@@ -289,6 +289,30 @@ def test_chunks_find_planted_passages(docs):
     assert all(got[80 + i] == 0 for i in range(100)) and all(got[2 * i] == 0 for i in range(40))
 
 
+def test_chunk_query_takes_exact_copies_whole(spark, docs, monkeypatch):
+    rng = random.Random(13)
+    ends = [b for b in (rng.randbytes(300).hex() for _ in range(3000))
+            if np.diff([0, *chunks.cuts(np.frombuffer(b.encode(), np.uint8))])[-1] == chunks.REACH][:5]
+    items = [*ends, "a", "x" * 32, "two words", "é"] * 3 + ["one of its own"]
+    monkeypatch.setattr(queries.C, "table", lambda *_: docs(items))
+    got = {r.doc_id: (r.n_bytes, r.n_removed) for r in queries.op4_chunking(spark, SF).collect()}
+    n = len(ends) + 4
+    assert n == 9 and got == {d: (len(t.encode()), len(t.encode()) if n <= d < 3 * n else 0) for d, t in enumerate(items)}
+
+
+def test_chunk_query_against_brute_force(spark):
+    seen, want = set(), {}
+    for d, t in sorted(texts(spark).items()):
+        b = (t or "").encode()
+        start, left = 0, []
+        for e in chunks.cuts(np.frombuffer(b, np.uint8)).tolist():
+            left += [] if b[start:e] in seen else [b[start:e]]
+            seen.add(b[start:e])
+            start = e
+        want[d] = hashlib.sha256(b"".join(left)).hexdigest()
+    assert {r.doc_id: r.kept_sha256 for r in queries.op4_chunking(spark, SF).collect()} == want
+
+
 # ---- sentencepiece ----
 
 def test_pieces_equal_the_library(spark, tmp_path):
