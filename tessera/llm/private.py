@@ -3,7 +3,7 @@ r"""Personal data by weak supervision, with DataFrame functions only.
 Candidates are the matches of strict patterns (the base: email, IPv4 address,
 card number passing Luhn, international phone number; those that fail their
 check are dropped) and of looser ones (spelled-out email addresses, national
-phone numbers, shorter card numbers, IPv6 addresses).  Labelers vote on every
+phone numbers, shorter card numbers, IPv6 addresses in full or with ``::``).  Labelers vote on every
 candidate, or abstain:
 
 * pattern: the strict pattern matched;
@@ -43,6 +43,8 @@ from tessera.llm import common as C
 KINDS = ("email", "ip", "card", "phone")
 _L = "[A-Za-z0-9._%+-]"
 _D, _DD = "[A-Za-z0-9-]", "[A-Za-z0-9.-]"
+_H = "[0-9A-Fa-f]{1,4}"
+_HS = rf"{_H}(?::{_H}){{0,6}}+"
 STRICT = {
     "email": rf"(?:(?<!{_L})|\G){_L}++@(?={_D}++\.{_D}){_DD}+?(?=\.\.|\.(?!{_DD})|(?!{_DD}))",
     "ip": r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
@@ -52,13 +54,14 @@ STRICT = {
 LOOSE = {
     "email": rf"(?<!{_L}){_L}{{1,64}}+ ?(?:\(at\)|\[at\]|\{{at\}}) ?{_D}{{1,63}}+"
              rf"(?: ?(?:\(dot\)|\[dot\]|\{{dot\}}|\.) ?{_D}{{2,63}}+){{1,8}}",
-    "ip": r"(?<![0-9A-Fa-f:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![0-9A-Fa-f:])",
+    "ip": rf"(?<![0-9A-Fa-f:])(?:{_H}:){{7}}{_H}(?![0-9A-Fa-f:])"
+          rf"|(?<![0-9A-Za-z])(?<![0-9A-Fa-f:]:)(?:{_HS}::(?:{_HS})?+|(?<!:)::{_HS})(?![0-9A-Za-z]|:[0-9A-Fa-f:]|\.[0-9])",
     "card": r"(?<![0-9])(?<![0-9][ -])[0-9](?:[ -]?[0-9]){12,14}(?![ -]?[0-9])",
     "phone": r"(?<![0-9+])(?<![0-9][ .-])(?:\([0-9]{3}\) ?|[0-9]{3}[-. ])[0-9]{3}[-. ][0-9]{4}(?![ .-]?[0-9])",
 }
 # cheap tests a text must pass before a pattern is tried
 NEEDS = {("email", True): r"@", ("ip", True): r"[0-9]\.[0-9]", ("card", True): r"[0-9]", ("phone", True): r"\+[0-9]",
-         ("email", False): r"[(\[{]at[)\]}]", ("ip", False): r"[0-9A-Fa-f]:[0-9A-Fa-f]", ("card", False): r"[0-9]",
+         ("email", False): r"[(\[{]at[)\]}]", ("ip", False): r"[0-9A-Fa-f]:[0-9A-Fa-f]|::", ("card", False): r"[0-9]",
          ("phone", False): r"[0-9][-. ][0-9]"}
 FOR = {"email": r"(?i)\b(e-?mail|mail|contact|write|reach|address)\b", "ip": r"(?i)\b(ip|ipv6|host|server|address)\b",
        "card": r"(?i)\b(card|visa|mastercard|amex|credit|payment|pay)\b",
@@ -133,6 +136,7 @@ def candidates(texts: DataFrame) -> DataFrame:
     form = (F.when((kind == "email"), vote(F.regexp_replace(m, r"[)\]} ]", "").rlike(r"[A-Za-z]{2,}$")))
             .when(kind == "card", vote(luhn(m)))
             .when((kind == "phone") & ~strict, vote(area.rlike(r"^[2-9]") & area.rlike(r"[-. ]+[2-9][0-9]{2}[-. ][0-9]{4}$")))
+            .when((kind == "ip") & m.contains("::"), vote((F.size(F.array_remove(F.split(m, ":"), "")) <= 7) & m.rlike("[0-9]")))
             .otherwise(F.lit(1)))
     gazetteer = (F.when((kind == "email") & m.rlike(DOMAINS), 1).when((kind == "card") & m.rlike("^[3-6]"), 1)
                  .when((kind == "phone") & m.rlike(COUNTRIES), 1)

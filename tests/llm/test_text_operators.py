@@ -404,6 +404,15 @@ def test_private_loose_spans(docs):
     assert all(got[80 + i].spans == "" for i in range(20))
 
 
+def test_private_compressed_ipv6(docs):
+    found = ["2001:db8::1", "fe80::1", "::1", "2001:db8::", "1:2:3:4:5:6:7::", "2001:db8:85a3::8a2e:370:7334", "1:2:3:4:5:6:7:8"]
+    items = [f"the server address {a} is up" for a in found]
+    none = ["std::vector", "a ::", "1:2:3:4:5:6:7:8:9::1", ":::1", "::ffff:1.2.3.4", "12345::1", "Foo::Bad"]
+    rows = private.candidates(common.ordered_texts(docs(items + none), "doc_id", "text").select("doc", "tag", "text"))
+    got = {(r.doc, r.start, r.end, r.form) for r in rows.where("kind = 'ip' AND NOT strict").collect()}
+    assert got == {(i, 19, 19 + len(a), 1) for i, a in enumerate(found)}
+
+
 def test_em_tells_good_labelers_from_bad():
     rng = random.Random(6)
     rows = Counter()
