@@ -33,8 +33,8 @@ from tessera.llm import common as C
 
 REACH = 32
 MOST = 1024
-GEAR = C._RNG.integers(0, 2**32, 256, dtype=np.uint32)
-SECOND = C._RNG.integers(1, 2**63, 256, dtype=C.U64)
+GEAR = C.random_table("gear", np.uint32)
+SECOND = C.random_table("chunk digest")
 
 
 def gear(data: np.ndarray) -> np.ndarray:

@@ -18,9 +18,18 @@ U64 = np.uint64
 # Word characters are every character but the space and U+0009..U+000D.
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
+
+
+def random_table(name: str, dtype=U64) -> np.ndarray:
+    """One fixed random value per byte, drawn for this name alone: equal in
+    every process, whichever modules it has imported and in whatever order."""
+    seed = int.from_bytes(hashlib.sha256(name.encode()).digest()[:8], "big")
+    return np.random.Generator(np.random.PCG64(seed)).integers(
+        1, np.iinfo(dtype).max, 256, dtype=dtype, endpoint=True)
+
+
 # One fixed random 64-bit value per byte; the folded table gives A-Z the values of a-z.
-_RNG = np.random.Generator(np.random.PCG64(20240229))
-BYTE = _RNG.integers(1, 2**63, 256, dtype=U64) * U64(2) + U64(1)
+BYTE = random_table("byte") | U64(1)
 BYTE_LOWER = BYTE.copy()
 BYTE_LOWER[65:91] = BYTE[97:123]
 BASE = 0x9E3779B97F4A7C15 | 1
@@ -208,6 +217,17 @@ def ragged(col: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     return a.values.to_numpy()[off[0]:off[-1]], off - off[0]
 
 
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """The names, lengthened until no column of ``df`` has them."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def ordered_texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(doc, tag, doc_id, text): (doc, tag) orders the documents, by id with
     nulls last; the tag, a 31-bit hash of the text, tells rows that share an

@@ -54,7 +54,7 @@ GROUP = 1024                   # contexts compared in one group
 EDGE = 6                       # bytes beside the anchor that split the contexts of a hot one
 CHUNK = 1 << 13                # contexts of small groups worked on together
 SEGMENT = 1 << 20
-TABLE2 = C._RNG.integers(1, 2**63, 256, dtype=C.U64)
+TABLE2 = C.random_table("substring context")
 
 
 def _sliding(h: np.ndarray, w: int, best) -> np.ndarray:
