@@ -12,13 +12,17 @@ order of ``moves``).  The repaired turns are rendered as
 The cost of a stretch of turns is a matrix, entry state by exit state, and
 matrices combine by minimum and sum.  So a conversation of any length is cut
 where the range partitions of (conv_id, turn) end: each stretch gives its
-matrix, one row per stretch decides the states in between, and each stretch is
-then repaired alone.  No task holds more of a conversation than its partition.
+matrix; from these come the costs before each stretch; with them each stretch
+says, for every state it may end in, where it comes from; one row per stretch
+decides the states in between, and each stretch is then repaired alone, as it
+would be in one piece.  No task holds more of a conversation than its partition.
 
 The result has one row per input turn with the piece of text it adds, in the
 order (conv_id, part, seq); a conversation's text is its pieces joined.
 
-Defined results: turns are ordered by turn, then role and text, nulls first,
+Defined results: turns are ordered by turn, then role, a hash of the text and
+the text, nulls first (the order of the range partitions, so that their number
+makes no difference),
 so repeated rows are further turns; null texts are empty; null and unknown
 roles are relabelled at a low cost; null ids form one conversation; an empty
 table gives no rows; other columns are not read.
@@ -85,10 +89,9 @@ def stretch(roles: list[int]) -> np.ndarray:
     return m
 
 
-def repair(roles: list[int], entry: int, leave: int | None) -> list[tuple]:
-    """The cheapest moves over the turns, from a state, to a state (None: any)."""
-    cost = [NEVER] * 4
-    cost[entry] = 0
+def forward(roles: list[int], cost: list[int]) -> tuple[list, list[int]]:
+    """Per turn the best move into each state, and the costs of the states
+    after the last turn, from those before the first."""
     trace = []
     for r in roles:
         new, how = [NEVER] * 4, [None] * 4
@@ -98,6 +101,13 @@ def repair(roles: list[int], entry: int, leave: int | None) -> list[tuple]:
                 new[m[1]], how[m[1]] = c, m
         cost = new
         trace.append(how)
+    return trace, cost
+
+
+def repair(roles: list[int], cost: list[int], leave: int | None) -> list[tuple]:
+    """The cheapest moves over the turns, from the costs of the states before
+    them, to a state (None: the cheapest)."""
+    trace, cost = forward(roles, cost)
     s = min(range(4), key=lambda i: cost[i]) if leave is None else leave
     out = []
     for how in reversed(trace):
@@ -106,21 +116,41 @@ def repair(roles: list[int], entry: int, leave: int | None) -> list[tuple]:
     return out[::-1]
 
 
-def crossings(parts: list[tuple]) -> list[tuple]:
-    """(part, entry, exit) of each stretch of one conversation, from (part, matrix)."""
-    parts = sorted(parts)
-    cost = np.full(4, NEVER)
-    cost[START] = 0
-    back = []
-    for _, m in parts:
-        total = cost[:, None] + np.array(m).reshape(4, 4)
-        back.append(total.argmin(0))
-        cost = np.minimum(total.min(0), NEVER)
-    s, out = int(cost.argmin()), []
-    for (part, _), b in zip(reversed(parts), reversed(back)):
-        out.append((part, int(b[s]), s))
-        s = int(b[s])
-    return out[::-1]
+def entries(roles: list[int], cost: list[int]) -> list[int]:
+    """For each state after the turns the one before them that the cheapest
+    moves come from (-1: none), and the cheapest state after them."""
+    trace, end = forward(roles, cost)
+    out = []
+    for s in range(4):
+        for how in reversed(trace):
+            s = how[s][0] if s >= 0 and how[s] else -1
+        out.append(s)
+    return [*out, min(range(4), key=lambda i: end[i])]
+
+
+BEGIN = [NEVER] * START + [0]
+
+
+def starts(parts: list[tuple]) -> list[tuple]:
+    """(part, costs of the states before it) of each stretch of one
+    conversation, from (part, matrix)."""
+    cost, out = np.array(BEGIN), []
+    for part, m in sorted(parts):
+        out.append((part, cost.tolist()))
+        cost = np.minimum((cost[:, None] + np.array(m).reshape(4, 4)).min(0), NEVER)
+    return out
+
+
+def leaves(parts: list[tuple]) -> list[tuple]:
+    """(part, costs before, state after, last) of each stretch, from (part,
+    costs before, ``entries``)."""
+    s, out = None, []
+    for part, cost, back in sorted(parts, reverse=True):
+        last = s is None
+        s = back[4] if last else s
+        out.append((part, cost, s, last))
+        s = back[s]
+    return out
 
 
 def piece(move: tuple, text: str, last: bool) -> str:
@@ -148,7 +178,7 @@ def format_chats(turns: DataFrame, id_col: str = "conv_id", turn_col: str = "tur
                 yield from fn(g)
         with_key = frame.withColumn("conv_key", F.xxhash64("conv_id", F.col("conv_id").isNull()))
         return (with_key.repartition("part", "conv_key")
-                .sortWithinPartitions("part", "conv_key", "conv_id", "turn", "role", "text").mapInArrow(run, out))
+                .sortWithinPartitions("part", "conv_key", *key, "text").mapInArrow(run, out))
 
     def matrix(g):
         m = stretch([code(r) for r in g.column("role").to_pylist()])
@@ -159,25 +189,41 @@ def format_chats(turns: DataFrame, id_col: str = "conv_id", turn_col: str = "tur
     cut = rows.groupBy("conv_id", "part").agg(F.lit(1).alias("x")).groupBy("conv_id").count().where("count > 1")
     cut = C.settle(cut.select(F.col("conv_id").alias("cut_id")), "chat-cut")
     across = rows.join(cut, F.col("conv_id").eqNullSafe(F.col("cut_id")), "left_semi")
-    parts = each(across.drop("text").withColumn("text", F.lit("")), matrix, "conv_id long, part int, m array<long>")
-    per = parts.groupBy("conv_id").agg(F.collect_list(F.struct("part", "m")).alias("parts"))
-
-    def states(batches):
-        for chunk in C.rows_of(batches, "conv_id", "parts"):
-            for conv, ps in chunk:
-                got = crossings([(p["part"], p["m"]) for p in ps])
-                out = [(conv, p, a, b, p == got[-1][0]) for p, a, b in got]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.bool_()))],
-                    names=["c", "p", "entry", "leave", "final"])
-    known = C.settle(per.mapInArrow(states, "c long, p int, entry int, leave int, final boolean"), "chat-states")
-    rows = rows.join(known, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("part") == F.col("p")), "left").drop("c", "p")
+    parts = each(across.withColumn("text", F.lit("")), matrix, "conv_id long, part int, m array<long>")
+    def per_conversation(parts, fn, out):
+        """fn of one conversation's stretches, as lists of tuples."""
+        schema = pa.schema([("c", pa.int64()), ("p", pa.int32()), ("before", pa.list_(pa.int64())),
+                            *([("leave", pa.int32()), ("final", pa.bool_())] if "leave" in out else [])])
+        packed = parts.groupBy("conv_id").agg(F.collect_list(F.struct(*parts.columns[1:])).alias("parts"))
+
+        def run(batches):
+            for chunk in C.rows_of(batches, "conv_id", "parts"):
+                for conv, ps in chunk:
+                    got = [(conv, *x) for x in fn([tuple(p.values()) for p in ps])]
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(c, f.type) for c, f in zip(zip(*got), schema)], schema=schema)
+        return C.settle(packed.mapInArrow(run, out), "chat-states")
+
+    def joined(frame, known):
+        return frame.join(known, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("part") == F.col("p")), "left").drop("c", "p")
+
+    def origin(g):
+        cost = g.column("before")[0].as_py()
+        yield pa.RecordBatch.from_arrays([
+            g.column("conv_id").combine_chunks()[:1], g.column("part").combine_chunks()[:1], pa.array([cost], pa.list_(pa.int64())),
+            pa.array([entries([code(r) for r in g.column("role").to_pylist()], cost)], pa.list_(pa.int64()))],
+            names=["conv_id", "part", "before", "back"])
+    known = per_conversation(parts, starts, "c long, p int, before array<long>")
+    parts = each(joined(across.withColumn("text", F.lit("")), known), origin,
+                 "conv_id long, part int, before array<long>, back array<long>")
+    known = per_conversation(parts, leaves, "c long, p int, before array<long>, leave int, final boolean")
+    rows = joined(rows, known)
 
     def render(g):
         one = lambda c: g.column(c)[0].as_py()
         roles, texts = g.column("role").to_pylist(), g.column("text").to_pylist()
-        entry, final = one("entry"), one("final")
-        got = repair([code(r) for r in roles], START if entry is None else entry, one("leave"))
+        final = one("final")
+        got = repair([code(r) for r in roles], one("before") or BEGIN, one("leave"))
         size = len(got)
         yield pa.RecordBatch.from_arrays([
             pa.array([one("conv_id")] * size, pa.int64()), pa.array([one("part")] * size, pa.int32()),
