@@ -17,6 +17,10 @@ Text blocks follow block elements; inline tags and line breaks do not end a
 block.  White space in a block becomes one space; blocks are joined by an
 empty line in page order.
 
+A form that holds most of a page's text is a wrapper, not a form; if all text
+is hidden by attributes, they do not count.  Whatever starts like a declaration
+without being one (``<![foo[``) is a comment, as browsers read it.
+
 Each page is judged alone: one scan, one Arrow pass, no shuffle.  Defined
 results: null or empty html, or a page without text, gives the empty string;
 repeated rows give repeated results; an empty table gives no rows; other
@@ -61,6 +65,7 @@ ENDS = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd"
         "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}),
         "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
 SCOPE = set("table td th caption button object html body".split())
+DOCTYPE = re.compile(r"<!doctype[^>\[]*\[[^\]<]*(?:<[^\]<]*)*\]\s*>", re.I)
 TOKEN = re.compile(r"[A-Z]?[a-z0-9]+|[A-Z]+")
 PARAGRAPH = 25                 # characters from which a block earns points
 WRITTEN = 80                   # characters of a part that is more than a label
@@ -83,12 +88,22 @@ class Node:
         self.weight = min(own, self.parent.weight) if self.parent else own
 
 
-def _unwanted(tag: str, attrs: dict, inside: bool) -> bool:
-    if tag in DROP or "hidden" in attrs or attrs.get("aria-hidden") == "true" or attrs.get("role") in ROLES:
-        return True
-    if re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", attrs.get("style") or ""):
-        return True
-    return tag == "header" and not inside
+# how a page is read; the next way is tried when one leaves the article out
+STRICT, OPEN_FORMS, BARE = range(3)
+BY_FORM, DROPPED = 1, 2        # why a node is left out: only for a form around it, or for more
+
+
+def _unwanted(tag: str, attrs: dict, inside: bool, way: int) -> int:
+    """0, BY_FORM or DROPPED.  A form is only a wrapper under OPEN_FORMS, and
+    attributes that hide an element say nothing under BARE."""
+    form = tag == "form" or attrs.get("role") == "form"
+    if tag in DROP and not form or tag == "header" and not inside:
+        return DROPPED
+    if way < BARE and tag not in ("html", "body") and (
+            "hidden" in attrs or attrs.get("aria-hidden") == "true" or attrs.get("role") in ROLES and not form
+            or re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", attrs.get("style") or "")):
+        return DROPPED
+    return BY_FORM if form and way == STRICT else 0
 
 
 def _words(names: str, entry: bool) -> set:
@@ -120,9 +135,10 @@ def _named(tag: str, attrs: dict, inside: bool) -> tuple[frozenset, bool]:
 class Tree(HTMLParser):
     """The page's nodes in the order of their start tags."""
 
-    def __init__(self):
+    def __init__(self, way: int = STRICT):
         super().__init__(convert_charrefs=True)
-        self.root = self.top = Node("html", None, False, False, False)
+        self.way, self.free, self.formed = way, 0, 0   # characters of text, and of text only in forms
+        self.root = self.top = Node("html", None, 0, False, False)
         self.nodes, self.open = [self.root], {"html": 1}
 
     def _pop(self):
@@ -150,7 +166,7 @@ class Tree(HTMLParser):
         if tag in ENDS:
             self._close(*ENDS[tag])
         top = self.top
-        drop = top.drop or _unwanted(tag, attrs, top.inside)
+        drop = max(top.drop, _unwanted(tag, attrs, top.inside, self.way))
         n = Node(tag, top, drop, top.inside or tag in ("article", "main"), top.link or tag == "a",
                  *_named(tag, attrs, top.inside))
         top.items.append(n)
@@ -171,6 +187,20 @@ class Tree(HTMLParser):
     def handle_data(self, data):
         if not self.top.drop:
             self.top.items.append(data)
+            self.free += len(data.strip())
+        elif self.top.drop == BY_FORM:
+            self.formed += len(data.strip())
+
+    def parse_comment(self, i, report=1):
+        end = super().parse_comment(i, report)
+        return len(self.rawdata) if end < 0 else end   # open comments reach to the end of the page
+
+    def parse_html_declaration(self, i):
+        """Document types, with what they declare in brackets; everything else
+        that starts like a declaration is a comment up to the next bracket."""
+        kind = DOCTYPE.match(self.rawdata, i)
+        end = kind.end() if kind else self.rawdata.find(">", i + 2) + 1
+        return end or len(self.rawdata)
 
 
 def blocks(top: Node, skip=frozenset()) -> list[tuple[str, Node, int]]:
@@ -317,7 +347,7 @@ def named_out(tree: Tree) -> set:
 
 def loose(parent: Node, items: list, out: set) -> Node:
     """A run of text and inline elements between blocks, as a paragraph."""
-    p = Node("p", parent, False, parent.inside, parent.link)
+    p = Node("p", parent, 0, parent.inside, parent.link)
     p.items = items
     for text, _, linked in blocks(p, out):
         p.chars += len(text)
@@ -399,10 +429,13 @@ def link_menus(tree: Tree, keep: list) -> set:
 def main_text(html) -> str:
     if not html:
         return ""
-    tree = Tree()
-    tree.feed(html)
-    tree.close()
-    every = blocks(tree.root)
+    for way in (STRICT, OPEN_FORMS, BARE):
+        tree = Tree(way)
+        tree.feed(html)
+        tree.close()
+        every = blocks(tree.root)
+        if every and tree.free > tree.formed:
+            break
     if not every:
         return ""
     measure(tree, every)
