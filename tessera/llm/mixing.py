@@ -58,8 +58,9 @@ def targets(sizes: DataFrame) -> DataFrame:
         (F.sum("weight").over(everything)
          - F.coalesce(F.sum("weight").over(before), F.lit(0))).alias("weights"))
     # the first source in order that stays under its limit sets the level
-    level = F.when(F.col("left") * F.col("weight") <= F.col("most") * F.col("weights"),
-                   F.col("left") / F.col("weights"))
+    exact = lambda c: F.col(c).cast("decimal(19,0)")
+    level = F.when(exact("left") * exact("weight") <= exact("most") * exact("weights"),
+                   F.col("left").cast("double") / F.col("weights"))
     t = t.withColumn("level", F.first(level, ignorenulls=True).over(
         up.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
     t = t.withColumn("target", F.least(F.col("most").cast("double"), F.col("level") * F.col("weight")))
@@ -105,15 +106,20 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
           source_col: str = "source") -> DataFrame:
     """The mix itself: each row of ``docs`` as often as it is taken, with its
-    own columns.  Rows that share id, text and source count as one document."""
-    taken = mix(docs, id_col, text_col, source_col).groupBy(
-        F.col("doc_id").alias("__id"), F.col("tag").alias("__tag"), F.col("source").alias("__source")).agg(
-        F.sum("copies").cast("int").alias("__n")).where("__n > 0")
-    rows = docs.withColumn("__key", F.xxhash64(text_col)).join(
-        taken, F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__key") == F.col("__tag"))
-        & F.col(source_col).eqNullSafe(F.col("__source")))
-    rows = rows.dropDuplicates([id_col, "__key", source_col])
-    return rows.withColumn("__copy", F.explode(F.sequence(F.lit(1), "__n"))).select(*docs.columns)
+    own columns.  Rows that share id, text and source count as one document.
+
+    Texts move once: rows meet their numbers of copies by one 128-bit key, and
+    the first of equal rows is found in the order and place of that join."""
+    key = lambda i, tag, s: [F.xxhash64(i, tag, s, F.isnull(i), F.isnull(s)), F.xxhash64(s, i, tag, F.lit(1))]
+    k1, k2, n, place = C.free_names(docs, "k1", "k2", "n", "place")
+    a, b = key("doc_id", "tag", "source")
+    taken = mix(docs, id_col, text_col, source_col).groupBy(a.alias(k1), b.alias(k2)).agg(
+        F.sum("copies").cast("int").alias(n)).where(F.col(n) > 0)
+    a, b = key(id_col, F.xxhash64(text_col), source_col)
+    rows = docs.withColumn(k1, a).withColumn(k2, b).join(taken, [k1, k2])
+    first = Window.partitionBy(k1, k2).orderBy(F.lit(0))
+    rows = rows.withColumn(place, F.row_number().over(first)).where(F.col(place) == 1)
+    return rows.withColumn(place, F.explode(F.sequence(F.lit(1), n))).select(*docs.columns)
 
 
 SQL = r"""
