@@ -14,10 +14,12 @@ candidate, or abstain:
 
 Expectation-maximisation estimates each labeler's reliability for true and
 false candidates and the share of true ones per kind and pattern, from the
-counts of vote patterns over the whole corpus.  A logistic span classifier is
-then trained on the posterior labels, with features of the candidate; it
-decides on the looser candidates.  Base spans always stay; a looser span that
-touches one goes.
+counts of vote patterns over the whole corpus.  A labeler with nothing to go by
+for a kind of candidate (the gazetteer knows country codes, and national numbers
+have none) is not asked there and says nothing either way.  A logistic span classifier is then trained on the
+posterior labels, with features of the candidate: the votes given, its length
+and what separates its parts (an abstention is no feature); it decides on the looser candidates.  Base spans
+always stay; a looser span that touches one goes.
 
 Vote patterns and features have fixed, small sets of values, so what reaches
 the driver is at most ``MAX_PATTERNS`` counted rows, whatever the corpus; each
@@ -28,7 +30,9 @@ Defined results: null and empty texts have no spans; rows that share id and
 text get the same result; null ids are kept; an empty table gives no rows;
 other columns are not read.  Patterns start only where a run of their
 characters starts and use no nested repetition, so very long texts and runs
-cost linear time and constant stack.
+cost linear time and constant stack.  Overlaps are found by running maxima in
+the order of the spans, and a text is redacted from segments of ``SEGMENT``
+characters, so many spans in one text cost linear time too.
 """
 
 from __future__ import annotations
@@ -71,7 +75,10 @@ DOMAINS = "(?i)[. ]?(com|org|net|edu|gov|info|io|de|fr|es|it|uk|eu|us|ca)$"
 COUNTRIES = r"^\+(1|20|27|3[0-9]|4[0-9]|5[1-8]|6[0-6]|7|8[1246]|9[0-58])"
 CONTEXT = 40
 VOTES = ("form", "gazetteer", "context", "edges")      # -1, 0 (abstains), 1; the strict pattern groups them
-MAX_PATTERNS = 4 * 2 * 3**4 * 3
+NOT_ASKED = 2
+SEPARATORS = ("-", ".", " ", "[(\\[{]")              # the first one found is the candidate's
+MAX_PATTERNS = 4 * 2 * 3**3 * 4 * 3 * (1 + len(SEPARATORS))
+SEGMENT = 256
 ROUNDS = 30
 
 
@@ -140,7 +147,8 @@ def candidates(texts: DataFrame) -> DataFrame:
             .otherwise(F.lit(1)))
     gazetteer = (F.when((kind == "email") & m.rlike(DOMAINS), 1).when((kind == "card") & m.rlike("^[3-6]"), 1)
                  .when((kind == "phone") & m.rlike(COUNTRIES), 1)
-                 .when((kind == "ip") & ~m.rlike(r"^0\b"), 1).otherwise(F.lit(0)))
+                 .when((kind == "ip") & ~m.rlike(r"^0\b"), 1)
+                 .when((kind == "phone") & ~strict, NOT_ASKED).otherwise(F.lit(0)))
     announced = F.lit(False)
     for k in KINDS:
         announced = announced | ((kind == k) & F.col("before").rlike(FOR[k]))
@@ -148,10 +156,13 @@ def candidates(texts: DataFrame) -> DataFrame:
     edge = lambda c: (c == "") | c.rlike(r"[\s\p{Punct}]")
     edges = vote(edge(F.right("before", F.lit(1))) & edge(F.coalesce("after", F.lit(""))))
     bucket = F.when(size < 12, 0).when(size < 20, 1).otherwise(2)
+    sep = F.coalesce(*[F.when(m.rlike(p if len(p) > 1 else f"[{p}]"), i)
+                       for i, p in reversed(list(enumerate(SEPARATORS, 1)))], F.lit(0))
     return rows.select("doc", "tag", "kind", "strict", F.col("start").cast("long").alias("start"),
                        F.col("end").cast("long").alias("end"), form.cast("int").alias("form"),
                        gazetteer.cast("int").alias("gazetteer"), context.cast("int").alias("context"),
-                       edges.cast("int").alias("edges"), bucket.cast("int").alias("bucket"))
+                       edges.cast("int").alias("edges"), bucket.cast("int").alias("bucket"),
+                       sep.cast("int").alias("sep"))
 
 
 def reliabilities(counts: list[tuple]) -> tuple[dict, dict, list[float]]:
@@ -159,8 +170,9 @@ def reliabilities(counts: list[tuple]) -> tuple[dict, dict, list[float]]:
 
     Returns P(vote | true or false) by (labeler, truth, vote), the share of
     true candidates by (kind, strict) and each pattern's posterior."""
-    post = [0.95 if strict else (1 + max(-2, min(2, sum(v)))) / 4 * 0.9 + 0.05 if sum(v) > -1 else 0.05
-            for _, strict, v, _ in counts]
+    heard = [sum(x for x in v if x != NOT_ASKED) for _, _, v, _ in counts]
+    post = [0.95 if strict else (1 + max(-2, min(2, s))) / 4 * 0.9 + 0.05 if s > -1 else 0.05
+            for (_, strict, _, _), s in zip(counts, heard)]
     rates: dict = {}
     share: dict = {}
     for _ in range(ROUNDS):
@@ -173,18 +185,20 @@ def reliabilities(counts: list[tuple]) -> tuple[dict, dict, list[float]]:
             g[1] += n
             votes = (1 if strict else 0, *v)
             for j, x in enumerate(votes):
+                if x == NOT_ASKED:
+                    continue
                 for z, w in ((1, n * p), (0, n * (1 - p))):
                     num[j, z, x] = num.get((j, z, x), 0.0) + w
                     tot[j, z] = tot.get((j, z), 0.0) + w
-        # one pseudo-count per value; a labeler's yes is never taken as evidence against
-        rates = {(j, z, x): (num.get((j, z, x), 0.0) + 1) / (tot[j, z] + 3)
-                 for j, z in tot for x in (-1, 0, 1)}
+        # one pseudo-count per value
+        rates = {(j, z, x): (num.get((j, z, x), 0.0) + 1) / (tot[j, z] + 3) for j, z in tot for x in (-1, 0, 1)}
         share = {k: a / b for k, (a, b) in groups.items()}
         new = []
         for kind, strict, v, _ in counts:
             logit = math.log(share[kind, strict] / max(1e-9, 1 - share[kind, strict]))
             for j, x in enumerate((1 if strict else 0, *v)):
-                logit += math.log(rates[j, 1, x] / rates[j, 0, x])
+                if x != NOT_ASKED:
+                    logit += math.log(rates[j, 1, x] / rates[j, 0, x])
             new.append(1 / (1 + math.exp(-max(-30, min(30, logit)))))
         if max((abs(a - b) for a, b in zip(new, post)), default=0) < 1e-9:
             break
@@ -192,10 +206,10 @@ def reliabilities(counts: list[tuple]) -> tuple[dict, dict, list[float]]:
     return rates, share, post
 
 
-def features(kind: str, strict: bool, votes, bucket: int) -> list[str]:
+def features(kind: str, strict: bool, votes, bucket: int, sep: int) -> list[str]:
     """Names of the active features of a candidate."""
-    return ["bias", f"kind={kind}", f"strict={strict}", f"bucket={bucket}",
-            *(f"{n}={x}" for n, x in zip(VOTES, votes))]
+    return ["bias", f"kind={kind}", f"strict={strict}", f"bucket={bucket}", f"sep={sep}",
+            *(f"{n}={x}" for n, x in zip(VOTES, votes) if x in (-1, 1))]
 
 
 def train_classifier(rows: list[tuple], rounds: int = 400, ridge: float = 1e-3) -> dict[str, float]:
@@ -219,7 +233,7 @@ def train_classifier(rows: list[tuple], rounds: int = 400, ridge: float = 1e-3)
 
 def classifier(found: DataFrame) -> dict[str, float]:
     """Weights of the span classifier, trained on the whole corpus's counts."""
-    groups = found.groupBy("kind", "strict", *VOTES, "bucket").agg(F.count("*").alias("n")).collect()
+    groups = found.groupBy("kind", "strict", *VOTES, "bucket", "sep").agg(F.count("*").alias("n")).collect()
     assert len(groups) <= MAX_PATTERNS
     groups.sort(key=lambda r: tuple(r))
     patterns: dict = {}
@@ -229,7 +243,7 @@ def classifier(found: DataFrame) -> dict[str, float]:
     counts = [(*k, n) for k, n in patterns.items()]
     post = dict(zip(patterns, reliabilities(counts)[2]))
     return train_classifier([
-        (features(r.kind, r.strict, [r[v] for v in VOTES], r.bucket),
+        (features(r.kind, r.strict, [r[v] for v in VOTES], r.bucket, r.sep),
          post[r.kind, r.strict, tuple(r[v] for v in VOTES)], r.n) for r in groups])
 
 
@@ -244,18 +258,20 @@ def accepted(weights: dict[str, float]) -> Column:
 
 
 def spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc, tag, all): the accepted spans of each text that has any, as an
-    array of (k, start, end, base) ordered by kind and start."""
+    """(doc, tag, k, start, end, base): the accepted spans."""
     texts = C.ordered_texts(docs, id_col, text_col).select("doc", "tag", "text")
     found = C.settle(candidates(texts), "private")
     weights = classifier(found)
     k = F.coalesce(*[F.when(F.col("kind") == name, i) for i, name in enumerate(KINDS)])
-    rows = found.where(F.col("strict") | accepted(weights)).groupBy("doc", "tag").agg(
-        F.array_sort(F.collect_list(F.struct(
-            k.alias("k"), "start", "end", F.col("strict").alias("base")))).alias("s"))
-    base = F.filter("s", lambda x: x.base)
-    free = F.filter("s", lambda x: x.base | ~F.exists(base, lambda b: (b.start < x.end) & (x.start < b.end)))
-    return rows.select("doc", "tag", free.alias("all"))
+    rows = found.where(F.col("strict") | accepted(weights)).select(
+        "doc", "tag", k.alias("k"), "start", "end", F.col("strict").alias("base"))
+    text = Window.partitionBy("doc", "tag").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    before = F.max(F.when(F.col("base"), F.col("end"))).over(text.orderBy("start"))
+    after = F.min(F.when(F.col("base"), F.col("start"))).over(text.orderBy(F.col("start").desc()))
+    rows = rows.withColumn("before", before).withColumn("after", after)
+    touched = F.coalesce(F.col("before") > F.col("start"), F.lit(False)) | F.coalesce(
+        F.col("after") < F.col("end"), F.lit(False))
+    return rows.where(F.col("base") | ~touched).drop("before", "after")
 
 
 def _listed(s: Column) -> Column:
@@ -268,7 +284,9 @@ def find_private(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """(doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans) for each
     row; the counts and the hash are those of base spans."""
     keys = C.ordered_texts(docs, id_col, text_col).select("doc", "tag", "doc_id")
-    rows = keys.join(spans(docs, id_col, text_col), ["doc", "tag"], "left")
+    found = spans(docs, id_col, text_col).groupBy("doc", "tag").agg(
+        F.array_sort(F.collect_list(F.struct("k", "start", "end", "base"))).alias("all"))
+    rows = keys.join(found, ["doc", "tag"], "left")
     every = F.coalesce("all", F.array().cast("array<struct<k:int,start:bigint,end:bigint,base:boolean>>"))
     rows = rows.select("doc_id", every.alias("all")).select(
         "doc_id", "all", F.filter("all", lambda x: x.base).alias("base"))
@@ -280,19 +298,27 @@ def find_private(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with every span replaced by its kind in brackets."""
-    keyed = docs.withColumn("__doc", F.coalesce(F.col(id_col).cast("long"), F.lit(2**63 - 1))).withColumn(
-        "__tag", F.pmod(F.xxhash64(text_col), F.lit(1 << 31)))
-    found = spans(docs, id_col, text_col).select(F.col("doc").alias("__doc"), F.col("tag").alias("__tag"),
-                                                 F.array_sort(F.transform("all", lambda x: F.struct(
-                                                     x.start.alias("start"), x.end.alias("end"), x.k.alias("k")))).alias("__s"))
-    rows = keyed.join(found, ["__doc", "__tag"], "left")
-    text, names = F.col(text_col), F.array(*[F.lit(f"[{k}]") for k in KINDS])
-    empty = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast("array<string>").alias("out"))
-    cut = lambda a, b: F.substring(text, (a + 1).cast("int"), (b - a).cast("int"))
-    done = F.aggregate(
-        F.col("__s"), empty,
-        lambda acc, x: F.when(x.end <= acc.at, acc).otherwise(F.struct(
-            x.end.alias("at"), F.concat(acc.out, F.when(x.start >= acc.at, F.array(
-                cut(acc.at, x.start), F.get(names, x.k))).otherwise(F.array().cast("array<string>"))).alias("out"))),
-        lambda acc: F.concat(F.array_join(acc.out, ""), cut(acc.at, F.length(text).cast("bigint"))))
-    return rows.withColumn(text_col, F.when(F.col("__s").isNull(), text).otherwise(done)).select(*docs.columns)
+    k1, k2, found, segments = C.free_names(docs, "k1", "k2", "found", "segments")
+    # what earlier spans of the text have covered up to each one
+    upto = Window.partitionBy("doc", "tag").orderBy("start", "end", "k").rowsBetween(Window.unboundedPreceding, -1)
+    rows = spans(docs, id_col, text_col).withColumn("reach", F.coalesce(F.max("end").over(upto), F.lit(0)))
+    rows = rows.groupBy(F.col("doc").alias(k1), F.col("tag").alias(k2)).agg(F.array_sort(F.collect_list(
+        F.struct("start", "end", "k", "reach"))).alias(found))
+    keyed = docs.withColumn(k1, F.coalesce(F.col(id_col).cast("long"), F.lit(2**63 - 1))).withColumn(
+        k2, F.pmod(F.xxhash64(text_col), F.lit(1 << 31)))
+    rows = keyed.join(rows, [k1, k2], "left").withColumn(segments, F.when(F.col(found).isNotNull(), F.regexp_extract_all(
+        text_col, F.lit("(?s).{1,%d}" % SEGMENT), F.lit(0))))
+
+    def piece(a, b):
+        """The text from a to b, from the segments that hold it."""
+        s, i, j = F.col(segments), F.floor(a / SEGMENT).cast("int"), F.floor(b / SEGMENT).cast("int")
+        part = lambda x, start, size: F.substring(F.coalesce(F.get(s, x), F.lit("")), start.cast("int"), size.cast("int"))
+        return F.when(i == j, part(i, a % SEGMENT + 1, b - a)).otherwise(F.concat(
+            part(i, a % SEGMENT + 1, F.lit(SEGMENT)), F.array_join(F.slice(s, i + 2, j - i - 1), ""),
+            part(j, F.lit(1), b % SEGMENT)))
+    names = F.array(*[F.lit(f"[{k}]") for k in KINDS])
+    out = F.transform(found, lambda x: F.when(x.start >= x.reach, F.concat(
+        piece(x.reach, x.start), F.get(names, x.k))).otherwise(F.lit("")))
+    end = F.array_max(F.transform(found, lambda x: x.end))
+    done = F.concat(F.array_join(out, ""), piece(end, F.greatest(end, F.length(text_col).cast("bigint"))))
+    return rows.withColumn(text_col, F.when(F.col(found).isNull(), F.col(text_col)).otherwise(done)).select(*docs.columns)

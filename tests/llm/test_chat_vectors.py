@@ -174,3 +174,28 @@ def test_components(frame):
     got = {r.id: r.component for r in common.components(frame(edges, "a long, b long")).collect()}
     assert got == {x: find(x) for x in list(root)}
     assert common.components(frame([], "a long, b long")).count() == 0
+
+
+def test_tied_turns_do_not_depend_on_partitions(spark, frame):
+    rng = random.Random(3)
+    rows = [(c, t // 4, "user", f"text {rng.randrange(10**6)}", 0) for c in range(3) for t in range(40)]
+    rows += [(9, 0, "user", f"x {i}", 0) for i in range(40)] + [(9, 0, "user", "x 1", 0)]
+    old, got = spark.conf.get("spark.sql.shuffle.partitions"), []
+    for n in (1, 7, 64):
+        spark.conf.set("spark.sql.shuffle.partitions", str(n))
+        try:
+            out = chat.format_chats(frame(rows, TURNS)).collect()
+        finally:
+            spark.conf.set("spark.sql.shuffle.partitions", old)
+        out.sort(key=lambda r: (r.conv_id, r.part, r.seq))
+        got.append([(r.conv_id, r.turn, r.action, r.cost, r.piece) for r in out])
+    assert got[0] == got[1] == got[2]
+
+
+def test_vectors_with_extreme_components(frame):
+    tiny = 5e-324
+    rows = [(0, [1.0, 0.0]), (1, [0.0, 1e-200]), (2, [0.0, 1e200]), (3, [1.0, 1.0]), (4, [tiny, 0.0]), (5, [-1e308, 1e308]),
+            (6, [-1.0, 1.0]), (7, [1e308, 1e308])]
+    out = {r.vec_id: (r.n_links, r.component_id) for r in
+           vectors.near_vectors(frame(rows, "vec_id long, embedding array<double>")).collect()}
+    assert out == {0: (1, 0), 4: (1, 0), 1: (1, 1), 2: (1, 1), 3: (1, 3), 7: (1, 3), 5: (1, 5), 6: (1, 5)}

@@ -2,6 +2,7 @@
 
 import hashlib
 import html
+import os
 import random
 import re
 from collections import Counter
@@ -524,3 +525,111 @@ def test_empty_tables_and_clashing_columns(frame, fn):
     rows = frame([(1, t, "s", 5, 6, 7, True, 8, 9, 1), (2, t, None, None, None, None, None, None, None, None),
                   (None, None, None, None, None, None, None, None, None, None)], names)
     assert fn(rows).count() >= 0
+
+
+# ---- equal results in every process and order ----
+
+def test_random_tables_do_not_depend_on_import_order():
+    import subprocess
+    import sys
+    code = ("import importlib; [importlib.import_module('tessera.llm.' + m) for m in %r]; "
+            "from tessera.llm import chunks, common, substrings; import hashlib; "
+            "print(*(hashlib.sha256(t.tobytes()).hexdigest() for t in "
+            "(common.BYTE, chunks.GEAR, chunks.SECOND, substrings.TABLE2)))")
+    root = os.path.dirname(os.path.dirname(os.path.abspath(common.__file__ + "/..")))
+    got = {subprocess.run([sys.executable, "-c", code % (order,)], cwd=root, capture_output=True, text=True, check=True).stdout
+           for order in (["chunks", "substrings", "near"], ["substrings", "chunks"], ["near", "vectors", "substrings"])}
+    assert len(got) == 1 and len(set(next(iter(got)).split())) == 4
+
+
+def test_chunks_after_substrings_in_one_session(docs):
+    src = docs([*shared_passages(random.Random(9)), *EDGE])
+    key = lambda rows: sorted((r.doc_id, r.n_removed, r.kept_sha256) for r in rows)
+    first = key(chunks.dedup_chunks(src).collect())
+    substrings.dedup_substrings(src).collect()         # the workers have imported the other module now
+    assert key(chunks.dedup_chunks(src).collect()) == first
+
+
+def redacted(text, spans):
+    """The plain way: from left to right, one span after the other."""
+    at, out = 0, []
+    for s, e, k in sorted(spans):
+        if e <= at:
+            continue
+        if s >= at:
+            out += [text[at:s], f"[{k}]"]
+        at = e
+    return "".join([*out, text[at:]])
+
+
+def test_redact_many_spans_in_one_text(docs):
+    import time
+    line = "mail user{0}@site{0}.com or call +1 (212) 555-01{1:02d}, é🙂 from 10.0.{1}.1 now\n"
+    long = "".join(line.format(i, i % 100) for i in range(30_000))
+    items = [long, "plain", None, "", "a@b.co", "x" * 256 + "a@b.co", "a@b.co" + "y" * 506, "y" * 250 + "a@b.co 1.2.3.4"]
+    src = docs(items)
+    t = time.time()
+    got = {r.doc_id: r.text for r in private.redact(src).collect()}
+    assert time.time() - t < 60
+    spans = {r.doc_id: r.spans for r in private.find_private(src).collect()}
+    for i, text in enumerate(items):
+        found = [(int(s), int(e), k) for k, s, e in (x.split(":") for x in (spans[i] or "").split(",") if x)]
+        assert got[i] == (None if text is None else redacted(text, found))
+    assert got[0].count("[email]") == got[0].count("[phone]") == got[0].count("[ip]") == 30_000
+
+
+def test_clashing_names_stay(frame):
+    cols = "doc_id long, text string, lang string, source string, n_chars long, k1 string, `__key` string, tag string, Found string"
+    rows = [(i, "mail me at a@b.com and on", "en", "s", 5, f"a{i}", f"k{i}", f"t{i}", f"f{i}") for i in range(4)]
+    src = frame(rows, cols)
+    out = private.redact(src)
+    assert out.columns == src.columns
+    assert sorted(map(tuple, out.collect())) == [(r[0], "mail me at [email] and on", *r[2:]) for r in rows]
+    out = mixing.mixed(src)
+    assert out.columns == src.columns and out.schema == src.schema
+    assert {tuple(r) for r in out.collect()} == set(rows)
+
+
+def test_mixing_of_very_large_sources(frame):
+    sizes = [("a", 5 * 10**15), ("b", 10**12), (None, 7), ("z", 0)] + [(f"s{i:04d}", 10**12 + i) for i in range(1000)]
+    got = {r.source: r for r in mixing.targets(frame(sizes, "source string, source_size long")).collect()}
+    total = sum(n for _, n in sizes)
+    assert abs(sum(r.target for r in got.values()) - total) < 1e-6 * total or all(
+        abs(r.target - 3 * r.source_size) < 1 for r in got.values())
+    assert all(r.target <= 3 * r.source_size for r in got.values()) and got["z"].target == 0
+
+
+# ---- pages that are not well formed ----
+
+ARTICLE = "<article><h1>Title</h1><p>" + "A long sentence, with commas, and some words. " * 8 + "</p></article>"
+
+
+def test_pages_with_bogus_declarations():
+    assert pages.main_text("<p>x <![foo[bar]]> and more</p><![ x") == "x and more"
+    assert pages.main_text("<!DOCTYPE a [ <!ELEMENT b c> ]><p>hello world</p><!-- open <p>gone</p>") == "hello world"
+    rng = random.Random(3)
+    parts = ["<", "![", "<!", "<!--", "-->", "]]>", "[", ">", "<p", "</p>", "<a href=", "'", '"', "&#", "&#x1;", "&amp", "text ",
+             "<?", "<!doctype ", "<script>", "</script", "<svg>", "</", "/>", "<form>", "cdata[", "temp[", "if", "\x00", "\ud800"]
+    for _ in range(5000):
+        pages.main_text("".join(rng.choice(parts) for _ in range(rng.randint(1, 25))))
+        pages.main_text("".join(chr(rng.choice([60, 33, 91, 93, 62, 45, 47, 38, 35, 97, 32, 34, 39, 63])) for _ in range(20)))
+
+
+def test_pages_inside_a_form_or_hidden_body():
+    want = pages.main_text(f"<body>{ARTICLE}</body>")
+    assert want.startswith("Title\n\nA long sentence, with")
+    assert pages.main_text(f"<body><form id=f><nav>menu</nav>{ARTICLE}<button>go</button></form></body>") == want
+    assert pages.main_text(f"<body aria-hidden='true'>{ARTICLE}</body>") == want
+    assert pages.main_text(f"<body><div aria-hidden='true'>{ARTICLE}</div></body>") == want
+    assert pages.main_text(f"<body>{ARTICLE}<form><p>Sign up here, for news, and more news.</p></form></body>") == want
+
+
+def test_pages_edge_rows(frame):
+    cols = "page_id long, url string, html string, text int, n_chars string"
+    assert pages.extract(frame([], cols)).count() == 0
+    rows = [(None, None, None, 1, "a"), (1, "u", "", None, None), (2, "u", ARTICLE, 2, "b"), (2, "u", ARTICLE, 2, "b"),
+            (None, "v", "<p>x</p>" * 5000, 3, "c")]
+    out = sorted(map(tuple, pages.extract(frame(rows, cols)).collect()), key=str)
+    text = pages.main_text(ARTICLE)
+    assert out == sorted([(None, None, "", 0), (1, "u", "", 0), (2, "u", text, len(text)), (2, "u", text, len(text)),
+                          (None, "v", "\n\n".join("x" * 5000), 14998)], key=str)
