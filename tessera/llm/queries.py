@@ -4,7 +4,8 @@ tables, and DuckDB SQL where SQL can express them."""
 from __future__ import annotations
 
 from tessera.llm import common as C
-from tessera.llm import chat, chunks, mixing, near, pages, pieces, private, quality, substrings, vectors
+from tessera.llm import (chat, chunks, mixing, near, packing, pages, pieces, private, quality, search, spelling, substrings,
+                         vectors)
 
 
 def op1_private_data(spark, sf_dir):
@@ -47,7 +48,19 @@ def op10_cover_tree(spark, sf_dir):
     return vectors.near_vectors(C.table(spark, sf_dir, "embeddings"))
 
 
+def op11_packing(spark, sf_dir):
+    return packing.pack(C.table(spark, sf_dir, "documents")).drop("tag")
+
+
+def op12_search(spark, sf_dir):
+    return search.search(C.table(spark, sf_dir, "documents"), C.table(spark, sf_dir, "benchmark"))
+
+
+def op13_spelling(spark, sf_dir):
+    return spelling.variants(C.table(spark, sf_dir, "documents"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_private_data, op2_suffix_array, op3_sentencepiece, op4_chunking, op5_html, op6_minhash, op7_quality_rules,
-    op8_chat, op9_mixing, op10_cover_tree)}
-SQL = {"op9_mixing": mixing.SQL}
+    op8_chat, op9_mixing, op10_cover_tree, op11_packing, op12_search, op13_spelling)}
+SQL = {"op9_mixing": mixing.SQL, "op12_search": search.SQL}

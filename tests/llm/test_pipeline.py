@@ -22,7 +22,7 @@ def test_registered():
     from __spark_entry__ import queries as registered
     names = set(registered())
     assert {*queries.QUERIES, "pipeline"} <= names and set(oracle_sql()) <= names
-    for n in range(1, 11):
+    for n in range(1, 14):
         assert sum(bool(re.match(rf"op{n}_", x)) for x in names) == 1
 
 
