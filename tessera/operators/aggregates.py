@@ -7,8 +7,11 @@ task and a final one after a small shuffle (map-side combine).
 from __future__ import annotations
 
 import math
+import time
+import uuid
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from tessera import constants as K
@@ -16,6 +19,9 @@ from tessera.functions import tensor
 from tessera.functions.scalars import uniform
 
 
+BUFFER_VALUES = 1 << 21        # sums and counts held in a task by vector_mean_wide
+
+
 def _c(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
@@ -96,6 +102,105 @@ def vector_mean(df: DataFrame, col, by: list[str] | None = None,
                     lambda s: s["mean"]).alias("mean"))
 
 
+def vector_mean_wide(df: DataFrame, col, by: list[str] | None = None) -> DataFrame:
+    """Element-wise mean of an array column per group -> (by..., pos, mean),
+    without a row per element: a task adds its vectors into one buffer of sums
+    and counts per group and sends one row per group; the rows of a group meet
+    in one task, which adds them as they come.  Groups seen by a task are sent
+    early when their buffers pass ``BUFFER_VALUES`` values.  Null vectors and
+    null elements count for nothing; vectors may differ in length."""
+    import pyarrow as pa
+    from pyspark.sql.types import ArrayType, DoubleType, IntegerType, LongType, StructField, StructType
+    by = by or []
+    src = df.select(*by, _c(col).cast("array<double>").alias("v_"))
+    keys = [src.schema[b] for b in by]
+    partial = StructType([*keys, StructField("s_", ArrayType(DoubleType())), StructField("n_", ArrayType(LongType()))])
+    final = StructType([*keys, StructField("pos", IntegerType()), StructField("mean", DoubleType())])
+
+    def add(held: dict, key: tuple, s: np.ndarray, n: np.ndarray) -> int:
+        old = held.get(key)
+        if old is None:
+            held[key] = [s.astype(np.float64), n.astype(np.int64)]
+            return 2 * len(s)
+        grown = max(0, len(s) - len(old[0]))
+        if grown:
+            old[0], old[1] = np.pad(old[0], (0, grown)), np.pad(old[1], (0, grown))
+        old[0][:len(s)] += s
+        old[1][:len(n)] += n
+        return 2 * grown
+
+    def sums(batches):
+        held, size = {}, 0
+
+        def sent():
+            rows = [(*k, s.tolist(), n.tolist()) for k, (s, n) in held.items()]
+            if rows:
+                yield pa.RecordBatch.from_arrays([
+                    *(pa.array(c, t) for c, t in zip(list(zip(*rows))[:len(by)], types)),
+                    pa.array([r[-2] for r in rows], pa.list_(pa.float64())),
+                    pa.array([r[-1] for r in rows], pa.list_(pa.int64()))], names=[*by, "s_", "n_"])
+        for b in batches:
+            types = [b.schema.field(i).type for i in range(len(by))]
+            codes, known = np.zeros(b.num_rows, np.int64), {(): 0}
+            if by:
+                known = {}
+                pairs = zip(*(b.column(i).to_pylist() for i in range(len(by))))
+                codes = np.array([known.setdefault(k, len(known)) for k in pairs], np.int64)
+            v = b.column(len(by))
+            off, flat = v.offsets.to_numpy(), v.values
+            # a null vector has no elements, whatever its offsets say
+            size_of = np.where(v.is_valid().to_numpy(zero_copy_only=False), np.diff(off), 0)
+            x = flat.to_numpy(zero_copy_only=False).astype(np.float64)
+            there = flat.is_valid().to_numpy(zero_copy_only=False)
+            for width in np.unique(size_of[size_of > 0]).tolist():
+                rows = np.flatnonzero(size_of == width)
+                rows = rows[np.argsort(codes[rows], kind="stable")]
+                cut = np.flatnonzero(np.diff(codes[rows], prepend=-1))
+                names = list(known)
+                for lo, hi in zip(cut.tolist(), [*cut.tolist()[1:], len(rows)]):
+                    at = off[rows[lo:hi]][:, None] + np.arange(width)
+                    ok = there[at]
+                    size += add(held, names[codes[rows[lo]]], np.where(ok, x[at], 0.0).sum(0), ok.sum(0))
+            if size > BUFFER_VALUES:
+                yield from sent()
+                held, size = {}, 0
+        yield from sent()
+
+    def means(batches):
+        at, held, types = None, {}, []
+
+        def done():
+            for k, (s, n) in held.items():
+                ok = np.flatnonzero(n)
+                yield pa.RecordBatch.from_arrays([
+                    *(pa.array([x] * len(ok), t) for x, t in zip(k, types)), pa.array(ok.astype(np.int32)),
+                    pa.array(s[ok] / n[ok])], names=[*by, "pos", "mean"])
+        for b in batches:
+            types = [b.schema.field(i).type for i in range(len(by))]
+            for row in zip(*(c.to_pylist() for c in b.columns)):
+                key = tuple(row[:len(by)])
+                if key != at:
+                    yield from done()
+                    at, held = key, {}
+                add(held, key, np.array(row[-2]), np.array(row[-1]))
+        yield from done()
+    parts = src.mapInArrow(sums, partial)
+    parts = parts.repartition(*by).sortWithinPartitions(*by) if by else parts.repartition(1)
+    return parts.mapInArrow(means, final)
+
+
+def observed_report(df: DataFrame, rank: Column, value, act, fmt: str = K.REPORT_SUM_FORMAT) -> dict:
+    """Run ``act(frame)`` on ``df`` and report what passed through it, from
+    metrics gathered on the running query: the number of ranks seen, the sum,
+    the time taken in seconds and the report line."""
+    seen = Observation(f"report-{uuid.uuid4().hex[:8]}")
+    began = time.perf_counter()
+    act(df.observe(seen, F.size(F.collect_set(rank)).alias("np"), F.sum(_c(value).cast("bigint")).alias("total")))
+    took = time.perf_counter() - began
+    got = seen.get
+    return {"np": got["np"], "total": got["total"], "seconds": took, "report": fmt.replace("%0.", "%.") % (got["np"], got["total"])}
+
+
 def report_row(df: DataFrame, np_col, value_col, fmt: str = K.REPORT_SUM_FORMAT) -> DataFrame:
     """The report line without the timing: ``np= 3;    sum=45``.  (Java's
     formatter wants ``%.4f`` where C accepts ``%0.4f``; the output is the same.)"""

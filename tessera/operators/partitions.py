@@ -1,8 +1,11 @@
 """Partitioning: round-robin, strided (rank = id mod n), partition 0 only,
-per-partition counts, a global row index and seeded mini-batches."""
+per-partition counts, a global row index, seeded mini-batches and keyed
+permutations of row numbers."""
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -105,9 +108,80 @@ def minibatches(df: DataFrame, batch_size: int = 100, seed: int = 0) -> DataFram
         "batch_id", (F.col("position") / F.lit(batch_size)).cast("bigint"))
 
 
+# A permutation of 0..n-1 by a Feistel network: fixed values, the SQL uses them too.
+PRIME, MULTIPLIER, ROUND_STEP, ROUNDS = 2_147_483_647, 48_271, 16_807, 6
+SEED_STEP, EPOCH_STEP = 1_000_003, 7_919
+WALKS = 256
+
+
+def permuted(position, size: int, seed: int = 0, epoch=0) -> Column:
+    """Where a row of number ``position`` (0..size-1) stands in the random order
+    of (seed, epoch): a permutation computed from the number alone, so no order
+    is ever sorted or stored.
+
+    Numbers are pairs (l, r) with l < a and r < b, a * b the first such product
+    from ``size`` on with a about sqrt(size); six rounds add a function of one
+    half to the other.  A result of ``size`` or more (there are fewer than a of
+    them) is put through again until it falls inside."""
+    a = math.isqrt(max(size, 1) - 1) + 1
+    b = -(-max(size, 1) // a)
+    key = (F.lit(seed * SEED_STEP).cast("long") + (_c(epoch) if isinstance(epoch, (str, Column)) else F.lit(epoch)).cast(
+        "long") * EPOCH_STEP) % PRIME
+
+    def mixed(v: Column, i: Column) -> Column:
+        t = (v * MULTIPLIER + key + i * ROUND_STEP) % PRIME
+        return (t * t + v) % PRIME
+
+    def once(x: Column) -> Column:
+        start = F.struct(F.floor(x / b).cast("long").alias("l"), (x % b).cast("long").alias("r"))
+        step = lambda s, i: F.when(i % 2 == 0, F.struct(
+            ((s["l"] + mixed(s["r"], i)) % a).alias("l"), s["r"].alias("r"))).otherwise(F.struct(
+                s["l"].alias("l"), ((s["r"] + mixed(s["l"], i)) % b).alias("r")))
+        return F.aggregate(F.sequence(F.lit(0).cast("long"), F.lit(ROUNDS - 1).cast("long")), start, step,
+                           lambda s: s["l"] * b + s["r"])
+    n = F.lit(size).cast("long")
+    again = lambda v: F.aggregate(
+        F.sequence(F.lit(1), F.lit(WALKS)), v, lambda x, _: F.when(x < n, x).otherwise(once(x)),
+        lambda x: F.when(x < n, x).otherwise(F.raise_error(F.lit(f"no place found in {WALKS} walks")).cast("long")))
+    first = F.array(once(_c(position).cast("long")))
+    return F.get(F.transform(first, lambda v: F.when(v < n, v).otherwise(again(v))), 0)
+
+
+def write_numbered(df: DataFrame, path: str, name: str = "position") -> tuple[int, list[tuple[int, int]]]:
+    """Write ``df`` once, with what numbers its rows, and return its size and
+    the first number of each written partition (one small row each)."""
+    df.withColumn(name, F.monotonically_increasing_id()).write.parquet(path)
+    counts = (df.sparkSession.read.parquet(path).groupBy(F.shiftright(name, 33).alias("p"))
+              .agg(F.count(F.lit(1)).alias("n")).orderBy("p").collect())
+    starts, at = [], 0
+    for r in counts:
+        starts.append((r.p, at))
+        at += r.n
+    return at, starts
+
+
+def read_numbered(spark, path: str, starts: list[tuple[int, int]], name: str = "position") -> DataFrame:
+    """The rows of ``write_numbered`` with their numbers 0..size-1, in written
+    order.  The starts, one row per written partition, are joined by broadcast."""
+    first = spark.createDataFrame([(int(p), int(s)) for p, s in starts], "p_ long, start_ long")
+    rows = spark.read.parquet(path)
+    return rows.join(F.broadcast(first), F.shiftright(name, 33) == F.col("p_")).withColumn(
+        name, F.col(name).bitwiseAND((1 << 33) - 1) + F.col("start_")).drop("p_", "start_")
+
+
+def epoch_batches(numbered: DataFrame, size: int, batch_size: int, epochs: int, seed: int = 0,
+                  name: str = "position") -> DataFrame:
+    """Each row once per epoch with its place in the epoch's random order and
+    its batch: a projection of the numbered rows, without a shuffle."""
+    rows = numbered.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.lit(epochs - 1))))
+    rows = rows.withColumn("place", permuted(name, size, seed, F.col("epoch")))
+    return rows.withColumn("batch_id", F.floor(F.col("place") / batch_size).cast("long"))
+
+
 def minibatch_sizes(batched: DataFrame) -> DataFrame:
     return batched.groupBy("batch_id").agg(F.count(F.lit(1)).alias("rows"))
 
 
 __all__ = ["repartition_n", "strided", "rank_of_partition", "rank_of", "rank_rows", "partition_zero", "partition_counts",
-           "global_index", "top_k", "minibatches", "minibatch_sizes"]
+           "global_index", "top_k", "minibatches", "minibatch_sizes", "permuted", "write_numbered",
+           "read_numbered", "epoch_batches"]

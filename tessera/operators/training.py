@@ -1,21 +1,27 @@
 """Data-parallel training over whole tables, full-batch gradients.
 
-``train`` runs mini-batch SGD with momentum on ``world`` ranks.  Every epoch
-puts the whole table in a new random order (a distributed sort) and cuts it
-into batches; batch g belongs to step ``g div world`` of rank ``g mod world``,
-so each row is drawn once per epoch, wherever it is stored and however long
-the run is.  ``sync_every`` steps form a round, one Spark job: each rank takes
-its steps on the rows of its batches, and a grouped aggregate over blocks of
-the parameters averages what the ranks return.  No task and no driver step
-holds more than one copy of the model (a rank's own, or the average).
-
-Each round's state is a table in the shared folder and the next round starts
-from it; a lost task is simply run again.  Ranks need not run at the same
-time, so ``world`` may exceed the task slots.
+``train`` runs mini-batch SGD with momentum on ``world`` ranks.  Rows are
+numbered once; every epoch is a keyed permutation of the numbers, cut into
+batches; batch g belongs to step ``g div world`` of rank ``g mod world``, so
+each row is drawn once per epoch, wherever it is stored and however long the
+run is.  ``sync_every`` steps form a round, one Spark job: each rank takes its
+steps on the rows of its batches, and a grouped aggregate over blocks of the
+parameters averages what the ranks return.  No task and no driver step holds
+more than one copy of the model (a rank's own, or the average).
+
+A round is committed when its averaged state has been renamed into place in
+the run's folder; a lost task is simply run again.  A run whose driver was
+lost is called again with the same ``path``: it checks that data and arguments
+are the same (a fingerprint of both is stored), starts from the last committed
+round and ends with the same parameters as an uncut run.  Ranks need not run
+at the same time, so ``world`` may exceed the task slots.
 """
 
 from __future__ import annotations
 
+import hashlib
+import io
+import json
 import uuid
 from dataclasses import dataclass, field
 
@@ -31,10 +37,11 @@ from tessera.session import shared_dir
 from tessera.sources import fs
 
 BLOCK_VALUES = 65_536          # parameters averaged together by one task
-# kind: param | velocity (a block of values) | loss (of one step) | read (rows drawn)
+BUCKETS = 256                  # folders of an epoch table at most
+# kind: param | velocity (a block of values) | loss (of one step) | read (rows drawn) | prob (values of one row)
 ROUND_ROWS = ("kind string, name string, block int, rank int, values array<double>, "
               "step int, loss double, n long, epoch int, key_sum decimal(38,0)")
-STATE_ROWS = "kind string, name string, block int, values array<double>"
+LOG_ROWS = "kind string, round int, rank int, values array<double>, step int, loss double, n long, epoch int, key_sum decimal(38,0)"
 
 
 def _c(c) -> Column:
@@ -42,44 +49,71 @@ def _c(c) -> Column:
 
 
 class EpochTables:
-    """The batches of the epochs in random order, as sorted tables in the
-    shared folder.  A round's new epochs are made together, so the table is
-    sorted as often as rows are drawn and no more; tables that no later round
-    reads are deleted."""
-
-    def __init__(self, rows: DataFrame, batch: int, seed: int, path: str):
-        self.rows, self.batch, self.seed, self.path = rows, batch, seed, path
-        self.size = rows.count()
+    """The batches of the epochs, dealt by rounds into tables in the shared
+    folder.  Rows are numbered once (one write); an epoch's order is a keyed
+    permutation of the numbers, so making an epoch's table is one exchange by
+    round and no sort.  A round's new epochs are made together; tables that no
+    later round reads are deleted."""
+
+    def __init__(self, rows: DataFrame, batch: int, seed: int, path: str, size: int | None = None, span: int = 1):
+        self.rows, self.batch, self.seed, self.path, self.span = rows, batch, seed, path, max(1, span)
+        self.size = rows.count() if size is None else size
         self.per_epoch = -(-self.size // batch)
-        self.made = 0                                  # epochs made so far
-        self.kept: list[tuple[int, str]] = []          # (last epoch, table)
-
-    def _make(self, upto: int) -> None:
-        first, out = self.made, f"{self.path}/epochs-{self.made:06d}"
-        copies = self.rows.withColumn("epoch", F.explode(F.sequence(F.lit(first), F.lit(upto))))
-        order = copies.orderBy("epoch", F.rand(self.seed * 1_000_003 + first))
-        at = F.col("position") - (F.col("epoch") - first) * F.lit(self.size).cast("long")
-        P.global_index(order, "position").withColumn(
-            "g", F.col("epoch").cast("long") * self.per_epoch + F.floor(at / self.batch)).drop("position") \
-            .write.parquet(out)
-        self.kept.append((upto, out))
-        self.made = upto + 1
+        self.made: int | None = None                   # epochs are made up to here
+        self.kept: list[tuple[int, str, int]] = []     # (last epoch, table, batches per folder)
+        self.numbered: DataFrame | None = None
+
+    def _rows(self) -> DataFrame:
+        """The numbered rows; numbers once written are used again after a restart."""
+        if self.numbered is None:
+            spark, mark, table = self.rows.sparkSession, f"{self.path}/rows.json", f"{self.path}/rows"
+            if not fs.exists(mark):
+                fs.remove(table)
+                size, starts = P.write_numbered(self.rows, table)
+                if size != self.size:
+                    raise RuntimeError(f"the table had {self.size} rows and now has {size}")
+                with fs.atomic_output(mark) as f:
+                    f.write(json.dumps(starts).encode())
+            with fs.open_input_stream(mark) as f:
+                self.numbered = P.read_numbered(spark, table, json.loads(f.read()))
+            for old in fs.names(self.path):            # of a run that was cut
+                if old.startswith("epochs-"):
+                    fs.remove(f"{self.path}/{old}")
+        return self.numbered
+
+    def _make(self, first: int, upto: int) -> None:
+        out = f"{self.path}/epochs-{first:06d}"
+        span = max(self.span, -(-(upto - first + 1) * self.per_epoch // BUCKETS))
+        copies = self._rows().withColumn("epoch", F.explode(F.sequence(F.lit(first), F.lit(upto))))
+        place = F.floor(P.permuted("position", self.size, self.seed, F.col("epoch")) / self.batch)
+        dealt = copies.withColumn("g", F.col("epoch").cast("long") * self.per_epoch + place).withColumn(
+            "bucket", F.floor(F.col("g") / span))
+        dealt.repartition("bucket").write.partitionBy("bucket").parquet(out)
+        self.kept.append((upto, out, span))
+        self.made = upto
 
     def batches(self, lo: int, hi: int) -> DataFrame:
         """Rows of the batches lo <= g < hi, counted over all epochs."""
         first, last = lo // self.per_epoch, (hi - 1) // self.per_epoch
-        if last >= self.made:
-            self._make(last)
+        if self.made is None or last > self.made:
+            self._make(first if self.made is None else self.made + 1, last)
         for old in [k for k in self.kept if k[0] < first]:
             self.kept.remove(old)
             fs.remove(old[1])
-        spark = self.rows.sparkSession
-        return spark.read.parquet(*[p for _, p in self.kept]).where(F.col("g").between(lo, hi - 1))
+        out = None
+        for _, path, span in self.kept:
+            part = self.rows.sparkSession.read.parquet(path).where(
+                F.col("bucket").between(lo // span, (hi - 1) // span) & F.col("g").between(lo, hi - 1)).drop("bucket")
+            out = part if out is None else out.unionByName(part)
+        return out
 
     def close(self) -> None:
-        for _, path in self.kept:
+        for _, path, _ in self.kept:
             fs.remove(path)
         self.kept.clear()
+        fs.remove(f"{self.path}/rows")
+        fs.remove(f"{self.path}/rows.json")
+        self.made = self.numbered = None
 
 
 @dataclass
@@ -89,6 +123,8 @@ class TrainResult:
     history: DataFrame         # (step, loss) of the logged steps
     reads: DataFrame           # (epoch, round, rank, n, key_sum) as the ranks drew rows
     rounds: list[str] = field(default_factory=list)
+    probabilities: DataFrame | None = None     # (step, key, probabilities) of rank 0's rows at the logged steps
+    resumed_from: int = 0      # rounds that were found committed
 
 
 def _blocks(kind: str, arrays: dict[str, np.ndarray]):
@@ -100,37 +136,89 @@ def _blocks(kind: str, arrays: dict[str, np.ndarray]):
 
 def _average(rows: DataFrame) -> DataFrame:
     """Mean over the ranks of each block of parameters and momentum; a task
-    holds one block of every rank."""
+    holds one block of every rank.  Log rows pass as they are."""
     def mean(t):
         import pyarrow as pa
+        if t.column("kind")[0].as_py() not in ("param", "velocity"):
+            return t
         t = t.sort_by("rank")                          # one order of summation
         v = t.column("values").combine_chunks().flatten().to_numpy().reshape(t.num_rows, -1)
-        return pa.table({"kind": t.column("kind")[:1], "name": t.column("name")[:1], "block": t.column("block")[:1],
-                         "values": pa.array([v.mean(axis=0).tolist()], pa.list_(pa.float64()))})
-    return rows.where("kind in ('param', 'velocity')").select("kind", "name", "block", "rank", "values") \
-        .groupBy("kind", "name", "block").applyInArrow(mean, STATE_ROWS)
+        at = t.schema.get_field_index("values")
+        return t.slice(0, 1).set_column(at, t.schema.field(at), pa.array([v.mean(axis=0).tolist()], t.schema.field(at).type))
+    return rows.groupBy("kind", "name", "block").applyInArrow(mean, ROUND_ROWS)
 
 
-def _read_state(spark: SparkSession, path: str, model: Model):
+def _state(rows, model: Model):
     """The averaged state, one copy of the model, in the shapes of ``model``."""
     got: dict = {}
-    for r in spark.read.parquet(path).orderBy("kind", "name", "block").collect():
+    for r in sorted((r for r in rows if r.kind in ("param", "velocity")), key=lambda r: (r.kind, r.name, r.block)):
         got.setdefault((r.kind, r.name), []).append(np.asarray(r["values"], np.float64))
-    if not got:
-        return None
-    shape = {k: v.shape for k, v in model.params.items()}
-    pick = lambda kind: {n: np.concatenate(v).reshape(shape[n]) for (k, n), v in got.items() if k == kind}
+    return {f"{kind}:{name}": np.concatenate(v).reshape(model.params[name].shape) for (kind, name), v in got.items()}
+
+
+def _with_state(model: Model, state: dict):
     fixed = {k: v for k, v in model.to_arrays().items() if k.startswith("__")}
-    return type(model).from_arrays({**pick("param"), **fixed}), pick("velocity")
+    part = lambda kind: {k.split(":", 1)[1]: v for k, v in state.items() if k.startswith(kind + ":")}
+    return type(model).from_arrays({**part("param"), **fixed}), part("velocity")
+
+
+class RoundLog:
+    """The committed rounds of a run in its folder: per round a file of log rows
+    and then, renamed into place last, the state."""
+
+    def __init__(self, path: str, fingerprint: dict):
+        self.path = path
+        fs.ensure_dir(f"{path}/log")
+        manifest, text = f"{path}/manifest.json", json.dumps(fingerprint, sort_keys=True)
+        if fs.exists(manifest):
+            with fs.open_input_stream(manifest) as f:
+                old = json.loads(f.read())
+            new = json.loads(text)
+            if old != new:
+                differ = sorted(k for k in old.keys() | new.keys() if old.get(k) != new.get(k))
+                raise ValueError(f"{path} holds another run; different: {', '.join(differ)}")
+        else:
+            with fs.atomic_output(manifest) as f:
+                f.write(text.encode())
+        self.done = sum(n.startswith("state-") for n in fs.names(path))
+
+    def state_path(self, i: int) -> str:
+        return f"{self.path}/state-{i:06d}.npz"
+
+    def commit(self, i: int, state: dict, logs: list[dict]) -> None:
+        with fs.atomic_output(f"{self.path}/log/round-{i:06d}.json") as f:
+            f.write("".join(json.dumps({**x, "round": i}) + "\n" for x in logs).encode())
+        out = io.BytesIO()
+        np.savez(out, **state)
+        with fs.atomic_output(self.state_path(i)) as f:
+            f.write(out.getvalue())
+        self.done = i + 1
+
+    def last(self) -> dict:
+        with fs.open_input_stream(self.state_path(self.done - 1)) as f, np.load(
+                io.BytesIO(f.read()), allow_pickle=False) as z:
+            return dict(z)
+
+
+def _fingerprint(rows: DataFrame, model: Model, **args) -> dict:
+    """What makes a run this run: the rows (in any order), the start, the arguments."""
+    r = rows.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64(*rows.columns).cast("decimal(38,0)")).alias("h")).first()
+    start = hashlib.sha256()
+    for name, v in sorted(model.to_arrays().items()):
+        start.update(name.encode() + np.asarray(v, np.float64).tobytes())
+    return {"rows": r.n, "row_hash": str(r.h), "model": model.kind, "start": start.hexdigest(), **args}
 
 
 def _rank_steps(m: Model, vel: dict, rows, rank: int, first_g: int, world: int, lr: float, momentum: float,
                 log_steps, seed):
-    """One rank's steps of a round over its sorted rows (g, epoch, key, X, y)."""
+    """One rank's steps of a round over its sorted rows (g, epoch, keys, X, y).
+    At logged steps rank 0 records its rows' probabilities before the step."""
     rng = np.random.default_rng([*seed, rank])         # dropout masks
     names = sorted(m.params)
-    logs, reads = [], {}
+    logs, reads, probs = [], {}, []
     for g, epoch, keys, X, y in rows:
+        if rank == 0 and g // world in log_steps:
+            probs += [(g // world, int(k), p) for k, p in zip(keys, L.softmax(m.forward(X)).tolist())]
         grads, loss = m.grad_sums(X, y, rng=rng)
         for k in names:
             vel[k] = momentum * vel[k] + grads[k] / len(y)
@@ -139,19 +227,19 @@ def _rank_steps(m: Model, vel: dict, rows, rank: int, first_g: int, world: int,
         if step in log_steps:
             logs.append((step, loss, len(y)))
         n, total = reads.get(epoch, (0, 0))
-        reads[epoch] = (n + len(y), total + keys)
-    return logs, reads
+        reads[epoch] = (n + len(y), total + sum(keys))
+    return logs, reads, probs
 
 
 def _batches_of(arrow, width: int):
-    """(rank, g, epoch, key sum, X, y) of each batch from sorted Arrow batches;
+    """(rank, g, epoch, keys, X, y) of each batch from sorted Arrow batches;
     holds the rows of one batch."""
     held, at = [], None
 
     def whole():
         X = np.vstack([h[0] for h in held])
         y = np.concatenate([h[1] for h in held])
-        return (*at, sum(h[2] for h in held), X, y)
+        return (*at, [k for h in held for k in h[2]], X, y)
     for b in arrow:
         if not b.num_rows:
             continue
@@ -166,7 +254,7 @@ def _batches_of(arrow, width: int):
                 yield whole()
                 held = []
             at = now
-            held.append((X[s:e], y[s:e], sum(key[s:e].tolist())))
+            held.append((X[s:e], y[s:e], key[s:e].tolist()))
     if held:
         yield whole()
 
@@ -174,35 +262,49 @@ def _batches_of(arrow, width: int):
 def train(df: DataFrame, model: Model, world: int, steps: int | None = None, features: str = "features",
           label: str = "label", key: str | None = None, batch: int = K.BATCH_SIZE, lr: float = K.LEARNING_RATE,
           momentum: float = K.MOMENTUM, seed: int = 0, log_every: int = K.LOG_EVERY_STEPS,
-          sync_every: int = 1, epochs: int | None = None, path: str | None = None) -> TrainResult:
+          sync_every: int = 1, epochs: int | None = None, path: str | None = None,
+          stop_after: int | None = None) -> TrainResult:
     """Train ``model`` (it must offer ``grad_sums``) for ``steps // world``
     steps per rank at learning rate ``lr * world``, like the reference's
     scaling, or for whole ``epochs`` of the table.
 
     ``sync_every=1`` averages after every step, which equals synchronous
     gradient averaging; larger values run that many local steps between
-    averages (local SGD).  Each round is one Spark job.  The loss of every
-    ``log_every``-th step and of the last is kept.  ``key`` (a long column)
-    lets the result report which rows were read."""
+    averages (local SGD).  Each round is one Spark job.  At every
+    ``log_every``-th step and the last the loss is kept, and the probabilities
+    that rank 0 computes for its rows.  ``key`` (a long column) lets the result
+    report which rows were read.
+
+    ``path`` names the run's folder; called again with the same one, data and
+    arguments, a run goes on after its last committed round.  ``stop_after``
+    ends the call after so many committed rounds."""
     spark = df.sparkSession
-    path = path or shared_dir(spark, "train")
+    path = (path or shared_dir(spark, "train")).rstrip("/")
     rows = df.select(_c(features).alias("features"), _c(label).cast("double").alias("label"),
                      (_c(key).cast("long") if key else F.lit(0).cast("long")).alias("key"))
-    table = EpochTables(rows, batch, seed, path)
+    sync = max(1, sync_every)
+    print_ = _fingerprint(rows, model, world=world, batch=batch, lr=lr, momentum=momentum, seed=seed, log_every=log_every,
+                          sync_every=sync, steps=steps, epochs=epochs)
+    table = EpochTables(rows, batch, seed, path, size=print_["rows"], span=sync * world)
     total = epochs * table.per_epoch if epochs else (steps or 0) // world * world
     per_worker = -(-total // world)
     if per_worker < 1:
         raise ValueError(f"steps // world is {per_worker}; need at least one step")
+    log = RoundLog(path, print_)
+    resumed = log.done
     width = int(np.prod(model.shape)) if hasattr(model, "shape") else model.dim
     velocity = {k: np.zeros_like(v) for k, v in model.params.items()}
+    if log.done:
+        model, velocity = _with_state(model, log.last())
     model_cls = type(model)          # referenced so the worker imports the model's module
     log_steps = {*range(0, per_worker, log_every), per_worker - 1}
-    rounds: list[str] = []
-    for first in range(0, per_worker, max(1, sync_every)):
-        lo, hi = first * world, min(total, (first + max(1, sync_every)) * world)
+    n_rounds = -(-per_worker // sync)
+    for i in range(log.done, n_rounds if stop_after is None else min(n_rounds, stop_after)):
+        first = i * sync
+        lo, hi = first * world, min(total, (first + sync) * world)
         data = table.batches(lo, hi).withColumn("rank", (F.col("g") % world).cast("int"))
-        data = data.select("rank", "g", "epoch", "key", "features", "label") \
-            .repartitionById(world, F.col("rank")).sortWithinPartitions("rank", "g")
+        data = data.select("rank", "g", "epoch", "position", "key", "features", "label") \
+            .repartitionById(world, F.col("rank")).sortWithinPartitions("rank", "g", "position")
         bc = L.broadcast_arrays(spark, {**{"p:" + k: v for k, v in model.to_arrays().items()},
                                         **{"v:" + k: v for k, v in velocity.items()}})
 
@@ -214,33 +316,36 @@ def train(df: DataFrame, model: Model, world: int, steps: int | None = None, fea
                 arrays = L.unpack_arrays(bc.value)
                 m = model_cls.from_arrays({k[2:]: v for k, v in arrays.items() if k.startswith("p:")})
                 vel = {k[2:]: v for k, v in arrays.items() if k.startswith("v:")}
-                logs, reads = _rank_steps(m, vel, (b[1:] for b in own), rank, lo, world, lr * world, momentum,
-                                          log_steps, (seed, first))
+                logs, reads, probs = _rank_steps(m, vel, (b[1:] for b in own), rank, lo, world, lr * world, momentum,
+                                                 log_steps, (seed, first))
                 out = [(kind, n, b, rank, v, None, None, None, None, None)
                        for kind, arrs in (("param", m.params), ("velocity", vel)) for kind, n, b, v in _blocks(kind, arrs)]
                 out += [("loss", None, None, rank, None, s, float(x), n, None, None) for s, x, n in logs]
                 out += [("read", None, None, rank, None, None, None, n, e, t) for e, (n, t) in reads.items()]
+                out += [("prob", None, s, rank, p, s, None, None, None, k) for s, k, p in probs]
                 types = (pa.string(), pa.string(), pa.int32(), pa.int32(), pa.list_(pa.float64()), pa.int32(),
                          pa.float64(), pa.int64(), pa.int32(), pa.decimal128(38, 0))
                 names = [x.split()[0] for x in ROUND_ROWS.split(", ")]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names=names)
 
-        rounds.append(f"{path}/round-{len(rounds):05d}")
-        data.mapInArrow(run, ROUND_ROWS).write.parquet(rounds[-1] + "/ranks")
-        _average(spark.read.parquet(rounds[-1] + "/ranks")).write.parquet(rounds[-1] + "/state")
-        state = _read_state(spark, rounds[-1] + "/state", model)
-        if state:
-            model, velocity = state
-    table.close()
-    parts = None
-    for i, r in enumerate(rounds):
-        part = spark.read.parquet(r + "/ranks").where("kind in ('loss', 'read')").withColumn("round", F.lit(i))
-        parts = part if parts is None else parts.unionByName(part)
-    history = parts.where("kind = 'loss'").groupBy("step").agg((F.sum("loss") / F.sum("n")).alias("loss"))
-    reads = parts.where("kind = 'read'").select("epoch", "round", "rank", "n", "key_sum")
+        got = _average(data.mapInArrow(run, ROUND_ROWS)).collect()     # one copy of the state, and the log
+        state = _state(got, model) or {**{"param:" + k: v for k, v in model.params.items()},
+                                       **{"velocity:" + k: v for k, v in velocity.items()}}
+        log.commit(i, state, [
+            {"kind": r.kind, "rank": r["rank"], "values": r["values"], "step": r.step, "loss": r.loss, "n": r.n,
+             "epoch": r.epoch, "key_sum": None if r.key_sum is None else int(r.key_sum)}
+            for r in got if r.kind not in ("param", "velocity")])
+        model, velocity = _with_state(model, state)
+    if log.done == n_rounds:
+        table.close()
+    logs = spark.read.schema(LOG_ROWS).json(f"{path}/log")
+    history = logs.where("kind = 'loss'").groupBy("step").agg((F.sum("loss") / F.sum("n")).alias("loss"))
+    reads = logs.where("kind = 'read'").select("epoch", "round", "rank", "n", "key_sum")
+    probs = logs.where("kind = 'prob'").select("step", F.col("key_sum").cast("long").alias("key"),
+                                               F.col("values").alias("probabilities"))
     from tessera.operators.scoring import save_model
-    model_path = save_model(spark, model, f"{path}/model")
-    return TrainResult(model_path, model, history, reads, rounds)
+    model_path = save_model(spark, model, f"{path}/model-{log.done:06d}-{uuid.uuid4().hex[:8]}")
+    return TrainResult(model_path, model, history, reads, [log.state_path(i) for i in range(log.done)], probs, resumed)
 
 
 def gradient_step(df: DataFrame, model: Model, features: str = "features",

@@ -136,6 +136,73 @@ def pipe_partitions(df: DataFrame, col, program: str, lines_per_batch: int = 10_
     return src.mapInArrow(run, "line string")
 
 
+REPORT = "rank int, exit_code int, n_lines bigint, output string, error string"
+TAIL = 2000
+
+
+def pipe_report(df: DataFrame, col, program: str, world: int, key, fail: bool = False) -> DataFrame:
+    """Run an external program on ``world`` ranks and return how each ended:
+    exit code, number of output lines, and the ends (``TAIL`` characters) of
+    what it printed and of its error stream.
+
+    Rank r (``$RANK`` of ``$WORLD`` in the program's environment) reads the
+    values whose key is r modulo ``world``, one per line.  A program that fails,
+    is killed (a negative code) or stops reading early does not fail the job:
+    its row says so.  With ``fail`` the first bad rank fails the job instead,
+    with its code and error."""
+    src = df.select(F.pmod(_c(key), F.lit(world)).cast("int").alias("rank"), _c(col).cast("string").alias("value"))
+
+    def run(batches):
+        import os
+        import subprocess
+        import threading
+
+        import pyarrow as pa
+        import pyarrow.compute as pc
+        from pyspark import TaskContext
+
+        from tessera.sources.writers import _joined_lines
+        rank = TaskContext.get().partitionId()
+        proc = subprocess.Popen(program, shell=True, stdin=subprocess.PIPE, stdout=subprocess.PIPE, stderr=subprocess.PIPE,
+                                env={**os.environ, "RANK": str(rank), "WORLD": str(world)})
+        ends, lines = {"out": b"", "err": b""}, [0]
+
+        def drain(name, stream):
+            for chunk in iter(lambda: stream.read1(1 << 16), b""):
+                ends[name] = (ends[name] + chunk)[-8 * TAIL:]
+                if name == "out":
+                    lines[0] += chunk.count(b"\n")
+        readers = [threading.Thread(target=drain, args=(n, s), daemon=True)
+                   for n, s in (("out", proc.stdout), ("err", proc.stderr))]
+        for t in readers:
+            t.start()
+        try:
+            for b in batches:
+                if b.num_rows and proc.poll() is None:
+                    try:
+                        proc.stdin.write(_joined_lines(pc.fill_null(b.column("value"), "")))
+                    except BrokenPipeError:
+                        pass                          # the program stopped reading
+            try:
+                proc.stdin.close()
+            except BrokenPipeError:
+                pass
+            code = proc.wait()
+            for t in readers:
+                t.join()
+        finally:                                      # also when the task stops early
+            if proc.poll() is None:
+                proc.kill()
+                proc.wait()
+        text = {k: v.decode("utf-8", "replace")[-TAIL:] for k, v in ends.items()}
+        if fail and code:
+            raise RuntimeError(f"rank {rank}: {program!r} exited with {code}: {text['err']}")
+        yield pa.RecordBatch.from_arrays([
+            pa.array([rank], pa.int32()), pa.array([code], pa.int32()), pa.array([lines[0]], pa.int64()),
+            pa.array([text["out"]]), pa.array([text["err"]])], names=["rank", "exit_code", "n_lines", "output", "error"])
+    return src.repartitionById(world, F.col("rank")).select("value").mapInArrow(run, REPORT)
+
+
 def pipe_sum(df: DataFrame, col, program: str = SUM_PROGRAM) -> DataFrame:
     """Per-partition partial sums by an external program, added up by Spark."""
     partials = pipe_partitions(df, col, program).select(
@@ -145,4 +212,4 @@ def pipe_sum(df: DataFrame, col, program: str = SUM_PROGRAM) -> DataFrame:
 
 
 __all__ = ["udf_two_columns", "rank0_label", "map_partitions", "to_pandas", "arrow_passthrough",
-           "pandas_passthrough", "pipe_partitions", "pipe_sum", "SUM_PROGRAM"]
+           "pandas_passthrough", "pipe_partitions", "pipe_report", "pipe_sum", "SUM_PROGRAM"]

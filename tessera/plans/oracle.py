@@ -66,6 +66,50 @@ CONVNET = (
 # A number in [0, 1) from the first 48 bits of a text's md5.
 UNIT = "('0x' || substr(md5({t}), 1, 12))::BIGINT::DOUBLE / 281474976710656.0"
 
+# The keyed permutation of row numbers, round by round, for three epochs (see partitions.permuted):
+# i counts rounds; after every sixth the number is l * b + r, and one of n or more goes through again.
+MINIBATCHES = """
+WITH RECURSIVE n AS (
+  SELECT count(*)::BIGINT AS n, ceil(sqrt(count(*)))::BIGINT AS a, ceil(count(*) / ceil(sqrt(count(*))))::BIGINT AS b
+  FROM embeddings),
+e AS (SELECT vec_id, (row_number() OVER (ORDER BY vec_id) - 1)::BIGINT AS x FROM embeddings),
+w AS (
+  SELECT vec_id, epoch, (11 * 1000003 + epoch * 7919) % 2147483647 AS key, x // b AS l, x % b AS r, 0 AS i
+  FROM e, n, (SELECT unnest([0, 1, 2])::BIGINT AS epoch)
+  UNION ALL
+  SELECT vec_id, epoch, key, CASE WHEN i % 2 = 0 THEN (l + (t * t + r) % 2147483647) % a ELSE l END,
+    CASE WHEN i % 2 = 1 THEN (r + (t * t + l) % 2147483647) % b ELSE r END, i + 1
+  FROM (SELECT *, (CASE WHEN i % 2 = 0 THEN r ELSE l END * 48271 + key + (i % 6) * 16807) % 2147483647 AS t FROM w), n
+  WHERE i % 6 <> 0 OR i = 0 OR l * b + r >= n)
+SELECT vec_id, epoch::INTEGER AS epoch, ((l * b + r) // 100)::BIGINT AS batch_id
+FROM w, n WHERE i > 0 AND i % 6 = 0 AND l * b + r < n
+"""
+
+
+def _steps(n: int) -> str:
+    """Tables w0, p0, w1 ... of n momentum steps of softmax regression on the
+    whole table, from zero weights, for one and two ranks (lr times ranks); the
+    bias is the weight of a 65th input that is 1."""
+    out = [EMB, "x AS (SELECT vec_id, label, unnest(f) AS x, generate_subscripts(f, 1) - 1 AS j FROM emb "
+                "UNION ALL SELECT vec_id, label, 1.0, 64 FROM emb)",
+           "w0 AS (SELECT world, (i // 65)::INTEGER AS k, (i % 65)::INTEGER AS j, 0.0::DOUBLE AS w, 0.0::DOUBLE AS v "
+           "FROM (SELECT unnest(range(650)) AS i), (VALUES (1), (2)) t(world))"]
+    for t in range(n):
+        out += [f"z{t} AS (SELECT w.world, x.vec_id, x.label, w.k, sum(x.x * w.w) AS z FROM x JOIN w{t} w ON x.j = w.j GROUP BY ALL)",
+                f"p{t} AS (SELECT world, vec_id, label, k, e / sum(e) OVER (PARTITION BY world, vec_id) AS p FROM (SELECT *, "
+                f"exp(z - max(z) OVER (PARTITION BY world, vec_id)) AS e FROM z{t}))",
+                f"g{t} AS (SELECT p.world, p.k, x.j, sum((p.p - CASE WHEN p.k = p.label THEN 1 ELSE 0 END) * x.x) "
+                f"/ (SELECT count(*) FROM emb) AS g FROM p{t} p JOIN x ON p.vec_id = x.vec_id GROUP BY ALL)",
+                f"w{t + 1} AS (SELECT w.world, w.k, w.j, w.w - 0.05::DOUBLE * w.world * (0.9::DOUBLE * w.v + g.g) AS w, "
+                f"0.9::DOUBLE * w.v + g.g AS v FROM w{t} w JOIN g{t} g ON w.world = g.world AND w.k = g.k AND w.j = g.j)"]
+    return "WITH " + ", ".join(out)
+
+
+def _params(n: int) -> str:
+    return (f"SELECT world, CASE WHEN j = 64 THEN 'b' ELSE 'W' END AS param, k, CASE WHEN j = 64 THEN 0 ELSE j END AS j, "
+            f"w AS value FROM w{n}")
+
+
 ORACLE_SQL: dict[str, str] = {
     # sources and sinks
     "scan_parquet": "SELECT l_orderkey, l_linenumber, l_quantity, l_extendedprice, l_returnflag FROM lineitem",
@@ -121,6 +165,8 @@ ORACLE_SQL: dict[str, str] = {
     "partial_sums": PARTIALS,
     "report_row": (f"SELECT printf('np=%2d;    sum=%d', count(*), CAST(sum(partial) AS BIGINT)) AS report "
                    f"FROM ({PARTIALS})"),
+    "report_observed": ("SELECT printf('np=%2d;    sum=%d', count(DISTINCT l_orderkey % 4), CAST(sum(l_linenumber) AS BIGINT)) "
+                        "AS report, CAST(sum(l_linenumber) AS BIGINT) AS total, true AS timed FROM lineitem"),
     "accuracy": (
         f"{LOGITS}, {PRED}, {CE} SELECT count(*) AS n, "
         "round(avg(CASE WHEN pred.prediction = pred.label THEN 1.0 ELSE 0.0 END), 6) + 0.0 AS accuracy, "
@@ -128,6 +174,9 @@ ORACLE_SQL: dict[str, str] = {
     "mean_cross_entropy": f"{LOGITS}, {CE} SELECT round(avg(ce), 6) + 0.0 AS mean_ce FROM ce",
     "vector_mean": (f"WITH {EMB}, {PX} SELECT label, CAST(j AS INTEGER) AS pos, "
                     "round(avg(x), 6) + 0.0 AS mean FROM px GROUP BY 1, 2"),
+    "vector_mean_wide": (f"WITH {EMB}, {PX} SELECT label, CAST(j AS INTEGER) AS pos, "
+                         "round(avg(x), 6) + 0.0 AS mean FROM px GROUP BY 1, 2"),
+    "minibatch_epochs": MINIBATCHES,
     "minibatch_assign": (
         "WITH c AS (SELECT count(*) AS cnt FROM embeddings) "
         "SELECT CAST(ceil(cnt / 100.0) AS BIGINT) AS n_batches, CAST(cnt // 100 AS BIGINT) AS n_full, "
@@ -226,6 +275,11 @@ ORACLE_SQL: dict[str, str] = {
     "train_history": "SELECT CAST(unnest([0, 5, 10, 15, 19]) AS INTEGER) AS step, true AS loss_ok",
     "train_coverage": ("SELECT CAST(e AS INTEGER) AS epoch, count(*) AS n_rows, CAST(sum(vec_id) AS BIGINT) AS key_sum, "
                        "true AS several_rounds FROM embeddings, range(3) AS r(e) GROUP BY e"),
+    "train_exact": f"{_steps(3)} SELECT param, k, j, round(value, 9) + 0.0 AS value, world FROM ({_params(3)})",
+    "train_resume": (f"{_steps(3)} SELECT param, k, j, round(value, 9) + 0.0 AS value, 1 AS resumed_from, 3 AS rounds "
+                     f"FROM ({_params(3)}) WHERE world = 2"),
+    "train_log": (f"{_steps(3)} " + " UNION ALL ".join(
+        f"SELECT {t} AS step, vec_id, k AS class, round(p, 9) + 0.0 AS p FROM p{t} WHERE world = 1" for t in range(3))),
     "predict_record": (
         f"{LOGITS}, {PRED}, s AS (SELECT z.vec_id, 1.0 / sum(exp(z.z - zm.m)) AS p FROM z JOIN zm ON z.vec_id = zm.vec_id "
         "GROUP BY z.vec_id) SELECT pred.vec_id, CAST(prediction AS INTEGER) AS class, round(p, 6) + 0.0 AS p_max, "
@@ -259,5 +313,12 @@ ORACLE_SQL: dict[str, str] = {
     "arrow_passthrough": (f"SELECT vec_id, label, CAST(len(embedding) AS INTEGER) AS dim, {MICRO} AS micro "
                           "FROM embeddings"),
     "pipe_sum": "SELECT CAST(sum(l_linenumber) AS BIGINT) AS total FROM lineitem",
+    "pipe_failure": (
+        "SELECT CAST(l_orderkey % 4 AS INTEGER) AS rank, CASE WHEN l_orderkey % 4 = 2 THEN 3 ELSE 0 END AS exit_code, "
+        "CAST(CASE WHEN l_orderkey % 4 = 2 THEN 0 ELSE 1 END AS BIGINT) AS n_lines, "
+        "CASE WHEN l_orderkey % 4 <> 2 THEN CAST(sum(l_linenumber) AS BIGINT) END AS partial, "
+        "CASE WHEN l_orderkey % 4 = 2 THEN 'rank 2 gives up' ELSE '' END AS error FROM lineitem GROUP BY l_orderkey % 4"),
+    "arrow_switch": ("SELECT a AS arrow, event_type, count(*) AS n, CAST(sum(user_id) AS BIGINT) AS users "
+                     "FROM events, (VALUES (true), (false)) v(a) GROUP BY 1, 2"),
     "stream_score": SCORES,
 }

@@ -8,6 +8,8 @@ so that both engines give the same values whatever their summation order.
 
 from __future__ import annotations
 
+import time
+
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -303,6 +305,17 @@ def q_report_row(spark, sf):
     return A.report_row(totals, "np", "total")
 
 
+def q_report_observed(spark, sf):
+    """The report line from metrics of the running query, with its time."""
+    out = f"{shared_dir(spark, 'report')}/rows"
+    li = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber")
+    began = time.perf_counter()
+    got = A.observed_report(li, P.rank_of("l_orderkey", RANKS), "l_linenumber", lambda df: df.write.parquet(out))
+    wall = time.perf_counter() - began
+    return spark.createDataFrame([(got["report"], got["total"], 0 < got["seconds"] <= wall)],
+                                 "report string, total long, timed boolean")
+
+
 def q_accuracy(spark, sf):
     ev = A.evaluate(_with_logits(spark, sf), "z", "label")
     return ev.select("n", _r("accuracy", 6).alias("accuracy"),
@@ -320,8 +333,22 @@ def q_vector_mean(spark, sf):
                     _r("mean", 6).alias("mean"))
 
 
+def q_vector_mean_wide(spark, sf):
+    return A.vector_mean_wide(_stored(spark, sf), "features", by=["label"]).select(
+        "label", "pos", _r("mean", 6).alias("mean"))
+
+
 # ----------------------------------------------------------------- sort / limit / batches
 
+def q_minibatch_epochs(spark, sf):
+    """Batch of every row in three epochs of keyed random orders; the rows are
+    numbered once, in key order."""
+    out = shared_dir(spark, "numbered")
+    size, starts = P.write_numbered(table(spark, sf, "embeddings").select("vec_id").orderBy("vec_id"), out)
+    numbered = P.read_numbered(spark, out, starts)
+    return P.epoch_batches(numbered, size, 100, 3, seed=11).select("vec_id", "epoch", "batch_id")
+
+
 def q_minibatch_assign(spark, sf):
     batched = P.minibatches(_emb(spark, sf).select("vec_id"), batch_size=100, seed=11)
     sizes = P.minibatch_sizes(batched)
@@ -562,6 +589,48 @@ def q_train_coverage(spark, sf):
         (F.count_distinct("round") > 1).alias("several_rounds"))
 
 
+EXACT = dict(lr=0.05, momentum=K.MOMENTUM, seed=7, key="vec_id", log_every=1)
+
+
+def _parameters(spark, path):
+    """(param, k, j, value) of a parameter table."""
+    p = spark.read.parquet(path).where("layer in ('W', 'b')").select("layer", F.posexplode("values").alias("i", "value"))
+    wide = F.col("layer") == "W"
+    return p.select(F.col("layer").alias("param"),
+                    F.when(wide, F.floor(F.col("i") / DIM)).otherwise(F.col("i")).cast("int").alias("k"),
+                    F.when(wide, F.col("i") % DIM).otherwise(0).cast("int").alias("j"), _r("value", 9).alias("value"))
+
+
+def _full_batches(spark, sf, world, **kw):
+    """Three synchronous momentum steps whose batches are the whole table."""
+    emb = _stored(spark, sf)
+    return TR.train(emb, SoftmaxRegression(DIM, CLASSES), world, steps=3 * world, batch=-(-emb.count() // world),
+                    **EXACT, **kw)
+
+
+def q_train_exact(spark, sf):
+    """Parameters after three steps on one and on two ranks."""
+    one, two = (_parameters(spark, _full_batches(spark, sf, w).model_path).withColumn("world", F.lit(w)) for w in (1, 2))
+    return one.unionByName(two)
+
+
+def q_train_resume(spark, sf):
+    """A run whose driver stops after its first round, called again: it goes
+    on from there and ends with the parameters of an uncut run."""
+    path = shared_dir(spark, "cut")
+    _full_batches(spark, sf, 2, path=path, stop_after=1)
+    res = _full_batches(spark, sf, 2, path=path)
+    return _parameters(spark, res.model_path).withColumn("resumed_from", F.lit(res.resumed_from)).withColumn(
+        "rounds", F.lit(len(res.rounds)))
+
+
+def q_train_log(spark, sf):
+    """The probabilities that rank 0 records at each step."""
+    res = _full_batches(spark, sf, 1)
+    return res.probabilities.select("step", F.col("key").alias("vec_id"), F.posexplode("probabilities").alias("class", "p")) \
+        .select("step", "vec_id", "class", _r("p", 9).alias("p"))
+
+
 def q_predict_record(spark, sf):
     """Class and probabilities of each row from one pass through the model."""
     rec = SC.score_record(_stored(spark, sf), _fixture_model())
@@ -677,6 +746,26 @@ def q_pipe_sum(spark, sf):
     return U.pipe_sum(table(spark, sf, "lineitem"), "l_linenumber").select("total")
 
 
+FAILING = """awk -v r="$RANK" '{s += $1} END {if (r == 2) {print "rank " r " gives up" > "/dev/stderr"; exit 3} printf "%.0f\\n", s}'"""
+
+
+def q_pipe_failure(spark, sf):
+    """How a program ended on each rank when it fails on one of them."""
+    li = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber")
+    got = U.pipe_report(li, "l_linenumber", FAILING, RANKS, "l_orderkey")
+    return got.select("rank", "exit_code", "n_lines", F.expr("try_cast(trim(output) as bigint)").alias("partial"),
+                      F.trim(F.regexp_replace("error", "\n", "")).alias("error"))
+
+
+def q_arrow_switch(spark, sf):
+    """A bounded result collected with the Arrow switch on and off."""
+    per = table(spark, sf, "events").groupBy("event_type").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("user_id").alias("users"))
+    rows = [(arrow, r.event_type, int(r.n), int(r.users)) for arrow in (True, False)
+            for r in U.to_pandas(per, arrow=arrow, limit=1000).itertuples()]
+    return spark.createDataFrame(rows, "arrow boolean, event_type string, n long, users long")
+
+
 def q_stream_score(spark, sf):
     from tessera.streaming import score_stream
     return score_stream(spark, sf, "embeddings", _fixture_model()) \
@@ -709,10 +798,13 @@ QUERIES = {
     "global_sum": q_global_sum,
     "partial_sums": q_partial_sums,
     "report_row": q_report_row,
+    "report_observed": q_report_observed,
     "accuracy": q_accuracy,
     "mean_cross_entropy": q_mean_cross_entropy,
     "vector_mean": q_vector_mean,
+    "vector_mean_wide": q_vector_mean_wide,
     "minibatch_assign": q_minibatch_assign,
+    "minibatch_epochs": q_minibatch_epochs,
     # scalar functions
     "base64_encode": q_base64_encode,
     "base64_decode": q_base64_decode,
@@ -744,6 +836,9 @@ QUERIES = {
     "train_history": q_train_history,
     "train_convnet": q_train_convnet,
     "train_coverage": q_train_coverage,
+    "train_exact": q_train_exact,
+    "train_resume": q_train_resume,
+    "train_log": q_train_log,
     "predict_record": q_predict_record,
     "dropout": q_dropout,
     "float_arrays": q_float_arrays,
@@ -759,5 +854,7 @@ QUERIES = {
     "map_partitions": q_map_partitions,
     "arrow_passthrough": q_arrow_passthrough,
     "pipe_sum": q_pipe_sum,
+    "pipe_failure": q_pipe_failure,
+    "arrow_switch": q_arrow_switch,
     "stream_score": q_stream_score,
 }

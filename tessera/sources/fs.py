@@ -29,6 +29,17 @@ def ensure_dir(uri: str) -> None:
     fs.create_dir(path, recursive=True)
 
 
+def exists(uri: str) -> bool:
+    fs, path = resolve(uri)
+    return fs.get_file_info(path).type != pafs.FileType.NotFound
+
+
+def names(uri: str) -> list[str]:
+    """The names in a folder, sorted (absent: none)."""
+    fs, path = resolve(uri)
+    return sorted(f.base_name for f in fs.get_file_info(pafs.FileSelector(path, allow_not_found=True)))
+
+
 def remove(uri: str) -> None:
     """Delete a folder or file that is no longer needed (absent: nothing)."""
     fs, path = resolve(uri)
