@@ -4,20 +4,23 @@ Words are counted over the whole corpus (partial counts per task, then one sum
 per word).  Two words are near when they differ by one inserted, deleted or
 replaced letter.  An insertion changes one letter's count by one, a replacement
 two letters' by one each: so near words of equal length have letter-count
-vectors at L1 distance 2, those whose lengths differ by one at distance 1.
+vectors at L1 distance 2, those whose lengths differ by one at distance 1.  The
+vectors have ``DIMS`` coordinates: a to z, and the other letters folded into the
+rest, which can only lower distances.
 
 1. For each length a k-d tree over the count vectors of the words of that length
    cuts space into cells: median splits of the most spread letter, planned on a
    bounded sample (about ``SAMPLE`` words by hash; it only shapes the cells).
    Lengths with up to ``SHARD`` words have one cell.
-2. A word belongs to one cell of its length.  It asks every cell of its own, the
-   next smaller and the next greater length whose box lies within the distance.
-   A cell with more than ``SHARD`` words (anagrams cannot be split) is dealt to
+2. A word belongs to one cell of its length.  It asks the cells of the next
+   smaller length whose box lies within the distance, and of its own length those
+   that come after its cell in order; what it finds there counts for both words.
+   It asks its own cell for itself.  A cell with more than ``SHARD`` words (anagrams cannot be split) is dealt to
    several tasks by hash, and the questions go to each.
 3. Inside a cell a k-d tree with tight boxes is searched for batches of words:
    at each node the words whose distance from the box is too great are dropped;
    at a leaf the counts are compared, and the order of letters is verified.
-4. A cell returns, per asking word, how many near words it holds and the most
+4. A cell returns, per word, how many near words were found and the most
    frequent of them, never pairs; sums and maxima over the cells follow.
 5. A form has at least twice the count of its word, so chains of forms are at
    most log2(n) long; roots come from pointer doubling, joins only.
@@ -49,13 +52,15 @@ SAMPLE = 4096
 CELLS = 1024
 LEAF = 24
 HELD = 1 << 18                 # words counted in a task before they are sent on
-ASKED = 2048                   # words searched for together
+ASKED = 8192                   # words searched for together
+DATA, ASKER, BOTH = 0, 1, 2    # rows of a cell: its words; questions that count for the asking word, or for both words
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 RUN = re.compile("[a-zÀ-ÿ]{%d,}" % SHORTEST)
 LETTER = np.zeros(256, np.int64)                       # the coordinate of a letter's code point
+DIMS = 32
 LETTER[97:123] = np.arange(26)
-LETTER[0xC0:0x100] = 26 + np.arange(64)
-DIMS = 90
+LETTER[0xC0:0x100] = 26 + np.arange(64) % (DIMS - 26)
+MOST = 8192                    # counts above are taken as this
 
 
 # ---- counting ----
@@ -101,11 +106,10 @@ def counted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 def counts_of(words: list[str]) -> np.ndarray:
     """Letter-count vectors, one row per word."""
-    out = np.zeros((len(words), DIMS), np.int32)
     size = np.array([len(w) for w in words])
     letters = LETTER[np.frombuffer("".join(words).encode("latin-1"), np.uint8)]
-    np.add.at(out, (np.repeat(np.arange(len(words)), size), letters), 1)
-    return out
+    out = np.bincount(np.repeat(np.arange(len(words)), size) * DIMS + letters, minlength=len(words) * DIMS)
+    return np.minimum(out, MOST).astype(np.int16).reshape(-1, DIMS)
 
 
 def split(x: np.ndarray) -> tuple[int, int] | None:
@@ -179,30 +183,38 @@ class Cells:
         return points[order], cells[order]
 
 
+def ranks(words, n: np.ndarray) -> np.ndarray:
+    """Places in the order of falling n, equal ones in code-point order."""
+    out = np.empty(len(words), np.int64)
+    out[np.lexsort((np.array(words), -n))] = np.arange(len(words))
+    return out
+
+
 class Tree:
     """A k-d tree over the words of one length, with tight boxes."""
 
     def __init__(self, words: list[str], n: np.ndarray):
         self.words, self.n, self.x = words, n, counts_of(words)
         self.bytes = np.array([list(w.encode("latin-1")) for w in words], np.uint8)
-        # the most frequent first, equal ones in code-point order (which latin-1 bytes keep)
-        self.rank = np.empty(len(words), np.int64)
-        self.rank[np.lexsort((np.array(words), -n))] = np.arange(len(words))
+        self.rank = ranks(words, n)
 
     def search(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """(index into words, index of a near word of the tree) pairs."""
+        """(index into words, index of a near word of the tree) pairs; all words
+        have one length."""
         q = counts_of(words)
         asked = np.array([list(w.encode("latin-1")) for w in words], np.uint8)
-        wide, own = asked.shape[1], self.bytes.shape[1]
-        reach = 2 if wide == own else 1
+        reach = 2 if asked.shape[1] == self.bytes.shape[1] else 1
         a, b = [], []
         stack = [(np.arange(len(self.words)), np.arange(len(words)))]
         while stack:
             points, who = stack.pop()
             x = self.x[points]
             lo, hi = x.min(0), x.max(0)
-            out = np.maximum(lo - q[who], 0).sum(1) + np.maximum(q[who] - hi, 0).sum(1)
-            who = who[out <= reach]
+            own = q[who]
+            who = who[(own - np.clip(own, lo, hi) != 0).sum(1) <= reach]       # cheap: letters outside
+            if len(who):
+                own = q[who]
+                who = who[np.abs(own - np.clip(own, lo, hi)).sum(1) <= reach]
             if not len(who):
                 continue
             cut = split(x) if len(points) > LEAF else None
@@ -212,11 +224,11 @@ class Tree:
                 continue
             for lo in range(0, len(points), 256):
                 some = points[lo:lo + 256]
-                far = np.zeros((len(who), len(some)), np.int32)
-                used = np.flatnonzero(self.x[some].any(0) | q[who].any(0))
-                for d in used:
-                    far += np.abs(q[who, d][:, None] - self.x[some, d])
-                i, j = np.nonzero(far == reach)
+                far = np.zeros((len(who), len(some)), np.int16)
+                x, own = self.x[some], q[who]
+                for d in np.flatnonzero(x.any(0) | own.any(0)):
+                    far += np.minimum(np.abs(own[:, d, None] - x[:, d]), 8)
+                i, j = np.nonzero(far <= reach)
                 i, j = who[i], some[j]
                 ok = one_edit(asked[i], self.bytes[j])
                 a.append(i[ok])
@@ -277,40 +289,50 @@ def near_words(words: DataFrame) -> DataFrame:
         for rows in C.rows_of(batches, "word", "n", "len", chunk=4096):
             for k, own in by_length(rows):
                 x = counts_of([w for w, _ in own])
-                for target, reach in ((k - 1, 1), (k, 2), (k + 1, 1)):
+                for target, reach in ((k - 1, 1), (k, 2)):
                     tree = cells.value.get(target)
                     i, cell = tree.near(x, reach) if tree else (np.arange(len(own)), np.zeros(len(own), np.int64))
+                    asks = np.full(len(i), BOTH)
+                    if target == k:
+                        home = tree.home(x)[i] if tree else cell
+                        asks[cell == home] = ASKER
+                        i, cell, asks = i[cell >= home], cell[cell >= home], asks[cell >= home]
                     yield pa.RecordBatch.from_arrays([
-                        pa.array([own[j][0] for j in i.tolist()], pa.string()), pa.array([target] * len(i), pa.int32()),
-                        pa.array(cell, pa.int32())], names=["word", "len", "cell"])
+                        pa.array([own[j][0] for j in i.tolist()], pa.string()), pa.array([own[j][1] for j in i.tolist()], pa.int64()),
+                        pa.array([target] * len(i), pa.int32()), pa.array(cell, pa.int32()), pa.array(asks, pa.int32())],
+                        names=["word", "n", "len", "cell", "asks"])
     src = words.select("word", "n", "len")
     home = C.settle(src.mapInArrow(homes, "word string, n long, len int, cell int"), "spelling-homes")
     sizes = home.groupBy("len", "cell").agg(F.ceil(F.count("*") / SHARD).cast("int").alias("parts"))
     sizes = C.settle(sizes, "spelling-sizes")
     part = F.pmod(F.xxhash64("word"), F.col("parts")).cast("int")
-    data = home.join(sizes, ["len", "cell"]).select("len", "cell", part.alias("part"), F.lit(0).alias("asks"), "word", "n")
-    asks = src.mapInArrow(questions, "word string, len int, cell int").join(sizes, ["len", "cell"]).select(
-        "len", "cell", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(1).alias("asks"),
-        "word", F.lit(0).cast("long").alias("n"))
+    data = home.join(sizes, ["len", "cell"]).select("len", "cell", part.alias("part"), F.lit(DATA).alias("asks"), "word", "n")
+    asks = src.mapInArrow(questions, "word string, n long, len int, cell int, asks int").join(sizes, ["len", "cell"]).select(
+        "len", "cell", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "asks", "word", "n")
     rows = data.unionByName(asks).repartition("len", "cell", "part").sortWithinPartitions(
         "len", "cell", "part", "asks", F.length("word"))
 
-    def answers(tree, asked):
+    def told(a, words_a, b, words_b, n_b, rank_b):
+        """Per word of a that was found with words of b: how many, and the most frequent."""
+        order = np.lexsort((rank_b[b], a))
+        a, b = a[order], b[order]
+        first = np.flatnonzero(np.diff(a, prepend=-1))
+        return pa.RecordBatch.from_arrays([
+            pa.array([words_a[j] for j in a[first].tolist()]), pa.array(np.diff(np.append(first, len(a))), pa.int64()),
+            pa.array(n_b[b[first]], pa.int64()), pa.array([words_b[j] for j in b[first].tolist()])],
+            names=["word", "n_near", "form_n", "form"])
+
+    def answers(tree, asked, both):
         for i in range(0, len(asked), ASKED):
             some = asked[i:i + ASKED]
-            for size in sorted({len(w) for w in some}):
-                same = [w for w in some if len(w) == size]
-                a, b = tree.search(same)
+            for size in sorted({len(w) for w, _ in some}):
+                words, n = zip(*[x for x in some if len(x[0]) == size])
+                a, b = tree.search(words)
                 if not len(a):
                     continue
-                order = np.lexsort((tree.rank[b], a))
-                a, b = a[order], b[order]
-                first = np.flatnonzero(np.diff(a, prepend=-1))
-                count = np.diff(np.append(first, len(a)))
-                yield pa.RecordBatch.from_arrays([
-                    pa.array([same[j] for j in a[first].tolist()]), pa.array(count, pa.int64()),
-                    pa.array(tree.n[b[first]], pa.int64()), pa.array([tree.words[j] for j in b[first].tolist()])],
-                    names=["word", "n_near", "form_n", "form"])
+                yield told(a, words, b, tree.words, tree.n, tree.rank)
+                if both:
+                    yield told(b, tree.words, a, words, np.array(n), ranks(words, np.array(n)))
 
     def run(batches):
         at, held, tree = None, [], None                # the cell at hand, its words, its tree
@@ -320,15 +342,16 @@ def near_words(words: DataFrame) -> DataFrame:
             key = np.stack([b.column(i).to_numpy() for i in range(4)])
             cuts = [0, *(np.flatnonzero((key[:, 1:] != key[:, :-1]).any(0)) + 1).tolist(), b.num_rows]
             for s, e in zip(cuts[:-1], cuts[1:]):
-                cell, own = tuple(key[:3, s].tolist()), b.column(4).slice(s, e - s).to_pylist()
+                cell = tuple(key[:3, s].tolist())
+                own = list(zip(b.column(4).slice(s, e - s).to_pylist(), b.column(5).slice(s, e - s).to_pylist()))
                 if cell != at:
                     at, held, tree = cell, [], None
-                if key[3, s] == 0:
-                    held += zip(own, b.column(5).slice(s, e - s).to_pylist())
+                if key[3, s] == DATA:
+                    held += own
                     continue
                 if tree is None:
                     tree = Tree([w for w, _ in held], np.array([n for _, n in held]))
-                yield from answers(tree, own)
+                yield from answers(tree, own, key[3, s] == BOTH)
     found = rows.mapInArrow(run, "word string, n_near long, form_n long, form string")
     return found.groupBy("word").agg(
         F.sum("n_near").alias("n_near"), F.min(F.struct((-F.col("form_n")).alias("neg"), "form")).alias("best"))
