@@ -15,8 +15,8 @@ inner product.
    document needs; documents whose coordinates at the query's ``FOCUS`` greatest
    ones do not allow it are skipped.  Survivors are scored in 64-bit integers.
 4. Each task returns its k best documents per query, and a window over these
-   ranks them.  To begin with, the k-th best score among the ``FIRST`` longest
-   vectors of the corpus is a bound for all tasks.
+   ranks them.  To begin with, the k-th best score among ``FIRST`` of the longest
+   vectors of the corpus is a bound for all tasks (any documents' scores are one).
 
 Terms are compared by 64-bit hashes.  Queries are taken in blocks of up to
 ``BLOCK`` bytes of text (or one longer text), so that what is broadcast and the
@@ -43,7 +43,7 @@ from tessera.llm import common as C
 K = 10
 BUCKET = 2048
 FOCUS = 4
-FIRST = 4096
+FIRST = 1024
 BLOCK = 1 << 20
 CHUNK = 1 << 20                # bytes of text hashed at once (or one longer text)
 TERM = np.ones(256, bool)      # bytes of terms: digits, letters and all of non-ASCII
@@ -248,7 +248,13 @@ def _search_block(docs: DataFrame, items: list[tuple], k: int) -> DataFrame | No
                 yield pa.RecordBatch.from_arrays([*(t.column(c) for c in HITS.names), pa.array(norms)], schema=schema)
     vectors = C.settle(found.mapInArrow(
         with_norms, "doc_id long, n long, terms array<int>, tf array<long>, norm double").where("norm > 0"), "search-vectors")
-    longest = vectors.orderBy(F.col("norm").desc(), "doc_id").limit(FIRST).collect()
+    # lengths by class (16 to a doubling: a few hundred rows), then FIRST of the vectors in the highest ones
+    length = F.floor(16 * F.log2("norm"))
+    have, least = 0, None
+    for r in sorted(vectors.groupBy(length.alias("c")).agg(F.count("*").alias("n")).collect(), reverse=True):
+        if have < FIRST:
+            have, least = have + r.n, r.c
+    longest = vectors.where(length >= least).limit(FIRST).collect() if have else []
     bound = np.zeros(len(items), np.int64)
     if longest:
         best = Best(queries, weights, bound, k)
