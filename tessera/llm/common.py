@@ -166,12 +166,13 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     stamp = None
     for _ in range(rounds):
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = settle(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), "cc-low")
+        low = last_low = settle(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), "cc-low")
         large = (both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
                  .where("a != b").distinct())
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         star = large.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b")
-        e = settle(star.unionByName(low.select("a", F.col("m").alias("b"))).distinct(), "cc")
+        last, e = e, settle(star.unionByName(low.select("a", F.col("m").alias("b"))).distinct(), "cc")
+        release(last, last_low)
         r = e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")),
                   F.max("a")).first()
         if tuple(r) == stamp:

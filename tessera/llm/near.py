@@ -27,12 +27,15 @@ similarity of their sets is at least ``THRESHOLD`` percent.
    by the hub of their longest list; block pairs that meet in some list are
    compared once: by the overlap of all sketches first, then the documents with
    a possible partner by a matrix product over their full sets, which returns
-   at most one link per component.  Documents of the
+   at most one link per component.  A block holds sets of one size class (a factor
+   of ``STEP``) and meets blocks of the same and the next class only; sketches
+   travel once per tile of ``TILE`` blocks, not once per pair of blocks.  Documents of the
    hub's own component are not compared with each other.  No pair that could
    add a link between components is left out.
 5. Pairs of the hub round and of short lists are candidates when the sketch of
    the union estimates a similarity of half or more, and are verified on the
-   full sets made from whole texts.
+   full sets made from whole texts.  A task reads the text of one document of
+   many pairs once, followed by those of its partners.
 
 A family whose copies do not link with its hub is compared in blocks, in time
 quadratic in the number of such copies.
@@ -45,8 +48,6 @@ table gives no rows; other columns are not read.
 
 from __future__ import annotations
 
-from functools import lru_cache
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -57,6 +58,9 @@ from tessera.llm import common as C
 K = 64
 THRESHOLD = 80
 BLOCK = 256
+TILE = 16                      # blocks that go to one task together, on each side
+STEP = 1.25                    # sizes of linked sets differ by at most 100 / THRESHOLD: one class
+FEW = 1 << 20                  # ids are broadcast up to this number
 
 
 def shingles(text, n: int) -> np.ndarray:
@@ -104,10 +108,10 @@ def may_link(a: np.ndarray, b: np.ndarray) -> bool:
 
 
 def estimated(pairs: DataFrame, reps: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose sizes and union sketch allow a link."""
-    side = lambda x: reps.select(F.col("doc_id").alias(x), F.col("n_shingles").alias("n" + x),
-                                 F.col("sketch").alias("s" + x))
-    rows = pairs.join(side("a"), "a").join(side("b"), "b").where(
+    """The pairs (hub, doc_id) whose sizes and union sketch allow a link."""
+    side = lambda x, k: reps.select(F.col("doc_id").alias(x), F.col("n_shingles").alias("n" + k),
+                                    short("sketch").alias("s" + k))
+    rows = pairs.join(side("hub", "a"), "hub").join(side("doc_id", "b"), "doc_id").where(
         "100 * least(na, nb) >= {0} * greatest(na, nb)".format(THRESHOLD))
 
     def run(batches):
@@ -116,29 +120,49 @@ def estimated(pairs: DataFrame, reps: DataFrame) -> DataFrame:
                 p = t.slice(i, 1024)
                 (va, oa), (vb, ob) = C.ragged(p.column("sa")), C.ragged(p.column("sb"))
                 ok = [may_link(va[oa[j]:oa[j + 1]], vb[ob[j]:ob[j + 1]]) for j in range(p.num_rows)]
-                yield p.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
-    return rows.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
+                yield p.select(["hub", "doc_id"]).filter(pa.array(ok, pa.bool_()))
+    return rows.select("hub", "doc_id", "sa", "sb").mapInArrow(run, "hub long, doc_id long")
+
+
+def texts_of(texts: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The texts of the wanted ids (settled, distinct).  Few ids are broadcast,
+    so that no text moves; more are joined."""
+    few = wanted.count() <= FEW
+    return texts.join(F.broadcast(wanted) if few else wanted, "doc_id", "left_semi")
 
 
 def verified(pairs: DataFrame, texts: DataFrame, n: int) -> DataFrame:
-    """The pairs whose full sets, from whole texts, are similar enough."""
-    wanted = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    texts = C.settle(texts.join(wanted, "doc_id", "left_semi"), "near-texts")
-    side = lambda x: texts.select(F.col("doc_id").alias(x), F.col("text").alias("t" + x))
-    rows = pairs.join(side("b"), "b").join(side("a"), "a")
+    """The pairs (hub, doc_id; settled) whose full sets, from whole texts, are
+    similar enough, as (a, b) with a < b.  The partners of a hub are dealt to
+    groups of about BLOCK, each of which gets the hub's text first."""
+    sizes = pairs.groupBy("hub").agg(F.ceil(F.count("*") / BLOCK).alias("parts"))
+    members = pairs.join(sizes, "hub").select(
+        "hub", F.pmod(F.xxhash64("doc_id"), F.col("parts")).alias("salt"), "doc_id", F.lit(1).alias("member"))
+    hubs = members.select("hub", "salt", F.col("hub").alias("doc_id"), F.lit(0).alias("member")).distinct()
+    rows = C.settle(members.union(hubs), "near-groups")
+    wanted = C.settle(rows.select("doc_id").distinct(), "near-wanted")
+    rows = rows.join(texts_of(texts, wanted), "doc_id")
+    rows = rows.repartition("hub", "salt").sortWithinPartitions("hub", "salt", "member")
 
     def run(batches):
-        known = lru_cache(64)(lambda text: shingles(text, n))
-        for chunk in C.rows_of(batches, "a", "b", "ta", "tb"):
+        at, centre = None, []                          # rows that share an id are several centres
+        for chunk in C.rows_of(batches, "hub", "salt", "member", "doc_id", "text"):
             out = []
-            for a, b, ta, tb in chunk:
-                x, y = known(ta), known(tb)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                if 100 * both >= THRESHOLD * (len(x) + len(y) - both):
-                    out.append((a, b))
+            for hub, salt, member, doc, text in chunk:
+                if (hub, salt) != at:
+                    at, centre = (hub, salt), []
+                x = shingles(text, n)
+                if not member:
+                    centre.append(x)
+                    continue
+                for y in centre:
+                    both = len(np.intersect1d(x, y, assume_unique=True))
+                    if 100 * both >= THRESHOLD * (len(x) + len(y) - both):
+                        out.append((min(hub, doc), max(hub, doc)))
+                        break
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], names=["a", "b"])
-    return rows.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
+    return rows.select("hub", "salt", "member", "doc_id", "text").mapInArrow(run, "a long, b long")
 
 
 def listed(reps: DataFrame) -> DataFrame:
@@ -192,8 +216,8 @@ def rest_pairs(entries: DataFrame, reps: DataFrame) -> DataFrame:
                            for i, j in zip(x.tolist(), y.tolist())], bool)
             x, y = x[ok], y[ok]
             a, b = np.minimum(ids[x], ids[y]), np.maximum(ids[x], ids[y])
-            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
-    return e.mapInArrow(run, "a long, b long").distinct()
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["hub", "doc_id"])
+    return e.mapInArrow(run, "hub long, doc_id long").distinct()
 
 
 def linked_sets(values: np.ndarray, off: np.ndarray, c: np.ndarray) -> list[tuple[int, int]]:
@@ -235,38 +259,65 @@ def block_links(entries: DataFrame, hubs: DataFrame, reps: DataFrame, texts: Dat
     (value, doc_id, c, n) and ``hubs`` (value, hub, hub_c)."""
     home = (entries.join(hubs, "value").groupBy("doc_id", "c")
             .agg(F.max(F.struct("n", "hub", "hub_c")).alias("h")).select("doc_id", "c", "h.hub", "h.hub_c"))
-    home = C.settle(home.select("doc_id", "c", "hub", (F.col("c") == F.col("hub_c")).alias("joined")), "near-homes")
-    sizes = C.settle(home.groupBy("hub", "joined").agg(F.ceil(F.count("*") / BLOCK).alias("parts")), "near-home-sizes")
-    block = F.xxhash64("hub", "joined", F.pmod(F.xxhash64("doc_id"), F.col("parts")))
-    members = C.settle(home.join(sizes, ["hub", "joined"]).select("doc_id", "c", block.alias("block"), F.when(
+    home = home.join(reps.select("doc_id", "n_shingles"), "doc_id").select(
+        "doc_id", "c", "hub", (F.col("c") == F.col("hub_c")).alias("joined"),
+        F.floor(F.log("n_shingles") / float(np.log(STEP))).alias("cls"))
+    home = C.settle(home, "near-homes")
+    sizes = C.settle(home.groupBy("hub", "joined", "cls").agg(F.ceil(F.count("*") / BLOCK).alias("parts")), "near-home-sizes")
+    block = F.xxhash64("hub", "joined", "cls", F.pmod(F.xxhash64("doc_id"), F.col("parts")))
+    members = C.settle(home.join(sizes, ["hub", "joined", "cls"]).select("doc_id", "c", "cls", block.alias("block"), F.when(
         F.col("joined"), F.col("c")).alias("bc")), "near-members")
-    met = C.settle(entries.join(members, "doc_id").select("value", "block", "bc").distinct(), "near-met")
+    # blocks of a class go to tiles; one row per class is joined
+    blocks = members.select("block", "cls").distinct()
+    tiles = blocks.groupBy("cls").agg(F.ceil(F.count("*") / TILE).alias("tiles"))
+    blocks = C.settle(blocks.join(tiles, "cls").select(
+        "block", F.xxhash64("cls", F.pmod(F.xxhash64("block"), F.col("tiles"))).alias("tile")), "near-blocks")
+    met = C.settle(entries.join(members, "doc_id").select("value", "block", "bc", "cls").distinct(), "near-met")
     pairs = (met.alias("x").join(met.alias("y"), F.col("x.value") == F.col("y.value"))
-             .where("x.block <= y.block and (x.bc is null or y.bc is null or x.bc != y.bc)")
+             .where("x.block <= y.block and abs(x.cls - y.cls) <= 1 and (x.bc is null or y.bc is null or x.bc != y.bc)")
              .select(F.col("x.block").alias("i"), F.col("y.block").alias("j")).distinct())
+    tile = lambda k, t: blocks.select(F.col("block").alias(k), F.col("tile").alias(t))
+    pairs = pairs.join(tile("i", "ti"), "i").join(tile("j", "tj"), "j").select(
+        F.least("ti", "tj").alias("p"), F.greatest("ti", "tj").alias("q"), "i", "j")
     pairs = C.settle(pairs, "near-block-pairs")
+    C.release(home, sizes, met, blocks)
 
     # sketches first: only documents with a possible partner in the other block go on
     sides = C.settle(members.select("doc_id", "c", "block").join(reps.select(
         "doc_id", "n_shingles", short("sketch").alias("sketch")), "doc_id"), "near-sides")
-    met = pairs.join(sides, pairs.i == sides.block).union(
-        pairs.where("i != j").join(sides, F.col("j") == sides.block)).drop("block")
+    there = pairs.select("p", "q", F.col("i").alias("block")).union(pairs.select("p", "q", "j")).distinct()
+    none = lambda kind: F.lit(None).cast(kind)
+    rows = pairs.select("p", "q", F.lit(0).alias("kind"), "i", "j", none("long").alias("c"), none("long").alias("n_shingles"),
+                        none("array<int>").alias("sketch"))
+    rows = rows.union(there.join(sides, "block").select(
+        "p", "q", F.lit(1), "block", "doc_id", "c", "n_shingles", "sketch"))
 
     def possible(batches):
-        for g in C.runs(batches, "i", "j"):
-            c, size = g.column("c").to_numpy(), g.column("n_shingles").to_numpy()
-            at = np.unique(np.concatenate(candidates(*C.ragged(g.column("sketch")), c, size)))
-            if len(at):
-                yield from g.select(["i", "j", "doc_id", "c"]).take(pa.array(at)).to_batches()
-    met = met.repartition("i", "j").sortWithinPartitions("i", "j").mapInArrow(
+        for g in C.runs(batches, "p", "q"):
+            kind = g.column("kind").to_numpy()
+            own = g.filter(pa.array(kind == 1)).combine_chunks()
+            asked = g.filter(pa.array(kind == 0))
+            home = own.column("i").to_numpy()
+            order = np.argsort(home, kind="stable")
+            for i, j in zip(asked.column("i").to_pylist(), asked.column("j").to_pylist()):
+                at = np.concatenate([order[slice(*np.searchsorted(home[order], [b, b + 1]))] for b in ({i, j})])
+                t = own.take(pa.array(at))
+                c, size = t.column("c").to_numpy(), t.column("n_shingles").to_numpy()
+                hit = np.unique(np.concatenate(candidates(*C.ragged(t.column("sketch")), c, size)))
+                if len(hit):
+                    yield pa.RecordBatch.from_arrays([
+                        pa.array(np.full(len(hit), i)), pa.array(np.full(len(hit), j)),
+                        t.column("j").combine_chunks().take(pa.array(hit)), pa.array(c[hit])], names=["i", "j", "doc_id", "c"])
+    met = rows.repartition("p", "q").sortWithinPartitions("p", "q", "kind").mapInArrow(
         possible, "i long, j long, doc_id long, c long")
     met = C.settle(met, "near-possible")
+    C.release(members, pairs, sides)
 
     def sets(batches):
         schema = pa.schema([("doc_id", pa.int64()), ("values", pa.list_(pa.int64()))])
         yield from C.per_row(lambda r: (r[0], shingles(r[1], n).tolist()), ["doc_id", "text"], schema)(batches)
     wanted = C.settle(met.select("doc_id").distinct(), "near-wanted")
-    full = texts.join(wanted, "doc_id", "left_semi").mapInArrow(sets, "doc_id long, values array<long>")
+    full = texts_of(texts, wanted).mapInArrow(sets, "doc_id long, values array<long>")
     rows = met.join(C.settle(full, "near-sets"), "doc_id")
     rows = rows.repartition("i", "j").sortWithinPartitions("i", "j")
 
@@ -293,27 +344,33 @@ def near_duplicates(docs: DataFrame, n: int = 5, id_col: str = "doc_id", text_co
     entries = C.settle(listed(reps), "near-lists")
     hubs = entries.groupBy("value").agg(F.min(F.struct("rare", "doc_id")).alias("h"), F.count("*").alias("m"))
     hubs = C.settle(hubs.where("m > 1").select("value", F.col("h.doc_id").alias("hub")), "near-hubs")
-    first = (entries.join(hubs, "value").where("doc_id != hub")
-             .select(F.least("doc_id", "hub").alias("a"), F.greatest("doc_id", "hub").alias("b")).distinct())
+    first = entries.join(hubs, "value").where("doc_id != hub").select("hub", "doc_id").distinct()
     first = C.settle(estimated(first, reps), "near-first")
     links = C.settle(verified(first, texts, n), "near-links")
-    found = C.components(links)
+    found = C.settle(C.components(links), "near-found")
+    C.release(links)
 
-    entries = C.settle(entries.join(found.withColumnRenamed("id", "doc_id"), "doc_id", "left").select(
+    open_ = C.settle(entries.join(found.withColumnRenamed("id", "doc_id"), "doc_id", "left").select(
         "value", "doc_id", F.coalesce("component", "doc_id").alias("c")), "near-entries")
-    open_lists = entries.groupBy("value").agg(F.count("*").alias("n"), F.min("c").alias("lo"), F.max("c").alias("hi"))
+    open_lists = open_.groupBy("value").agg(F.count("*").alias("n"), F.min("c").alias("lo"), F.max("c").alias("hi"))
     open_lists = C.settle(open_lists.where("lo < hi").select("value", "n"), "near-open-lists")
-    entries = C.settle(entries.join(open_lists, "value"), "near-open")
-    rest = rest_pairs(entries.where(F.col("n") <= BLOCK).drop("n"), reps).join(first, ["a", "b"], "left_anti")
+    C.release(entries)
+    entries = C.settle(open_.join(open_lists, "value"), "near-open")
+    C.release(open_)
+    known = first.union(first.select("doc_id", "hub"))
+    rest = rest_pairs(entries.where(F.col("n") <= BLOCK).drop("n"), reps).join(known, ["hub", "doc_id"], "left_anti")
     rest = C.settle(rest, "near-rest")
+    C.release(first)
     more = C.settle(verified(rest, texts, n), "near-more")
-    hubs = hubs.join(open_lists.where(F.col("n") > BLOCK).select("value"), "value", "left_semi").join(
+    C.release(rest)
+    long_hubs = hubs.join(open_lists.where(F.col("n") > BLOCK).select("value"), "value", "left_semi").join(
         found.withColumnRenamed("id", "hub"), "hub", "left").select(
         "value", "hub", F.coalesce("component", "hub").alias("hub_c"))
-    blocks = block_links(entries.where(F.col("n") > BLOCK), C.settle(hubs, "near-long-hubs"), reps, texts, n)
-    more = more.union(C.settle(blocks, "near-block-links"))
+    long_hubs = C.settle(long_hubs, "near-long-hubs")
+    blocks = C.settle(block_links(entries.where(F.col("n") > BLOCK), long_hubs, reps, texts, n), "near-block-links")
+    C.release(entries, open_lists, hubs, long_hubs, reps)
     # the first round's components, as stars, and the links found after them
-    found = C.components(found.select(F.col("id").alias("a"), F.col("component").alias("b")).union(more))
+    found = C.components(found.select(F.col("id").alias("a"), F.col("component").alias("b")).union(more).union(blocks))
 
     same = ["n_shingles", "f1", "f2"]
     out = rows.drop("sketch").join(classes, same, "left").join(
