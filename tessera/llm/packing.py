@@ -25,9 +25,10 @@ out are the patterns (at most two per class and the rounding's rest).  A piece
 wastes less than ``UNIT`` tokens, 0.5 % of a sequence with six documents.
 
 Tokens: white space never joins two tokens of the tokenizer at hand (it splits
-there before merging), so each distinct run of characters between spaces or
-line ends is encoded once per worker by the library and remembered
-(``KEPT_WORDS``); ids equal the library's on the whole text.
+there before merging, as it does between letters, digits and signs), so each
+distinct run of characters between spaces or line ends is put together from its
+parts, which the library encodes once per worker; both are remembered
+(``KEPT_WORDS``).  Ids equal the library's on the whole text.
 
 Sequences are padded to ``CAPACITY``, but for those whose length is a power of
 two.
@@ -40,6 +41,7 @@ empty table gives no rows; other columns are not read.  Texts are encoded whole.
 from __future__ import annotations
 
 import os
+import re
 import zlib
 
 import numpy as np
@@ -58,7 +60,10 @@ PAD = 0
 GROUP = 1 << 14
 GAP = 1e-4
 STEPS = 6000                   # simplex steps at most; any basis on the way is feasible
-KEPT_WORDS = 1 << 18
+KEPT_WORDS = 1 << 19           # runs between spaces, and parts of them, remembered per worker
+# The parts that the tokenizer splits an ASCII run into, after lowering it; merges stay inside a part.
+PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+", re.ASCII)
+SIGNS = "!\"#$%&()*+,-./:;=?@[\\]^_`{|}~"      # ASCII signs but the apostrophe, <, >
 
 
 # ---- the linear program, on the driver, of fixed size ----
@@ -214,9 +219,27 @@ class Tokens:
         from tokenizers import Tokenizer
         self.model = Tokenizer.from_buffer(model)
         self.known: dict[str, bytes] = {"": b""}
+        self.parts: dict[str, bytes] = {"": b""}
+
+    def part(self, part: str) -> bytes:
+        got = self.parts.get(part)
+        if got is None:
+            got = np.array(self.model.encode(part, add_special_tokens=False).ids, "<u4").tobytes()
+            if len(self.parts) < KEPT_WORDS and len(part) <= 64:
+                self.parts[part] = got
+        return got
 
     def word(self, word: str) -> bytes:
-        got = np.array(self.model.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
+        """Ids of a run of characters between spaces."""
+        if "<|" in word:                               # may hold a special token
+            got = self.part(word)
+        elif word.isascii():
+            got = b"".join([self.part(p) for p in PARTS.findall(word.lower())])
+        else:
+            core = word.rstrip(SIGNS)                  # signs after a Latin letter are a part of their own
+            last = core[-1].lower()
+            plain = len(last) == 1 and last < "\u0250" and last.isalpha()
+            got = self.part(core) + self.part(word[len(core):]) if plain else self.part(word)
         if len(self.known) < KEPT_WORDS and len(word) <= 64:
             self.known[word] = got
         return got

@@ -27,7 +27,8 @@ def odd_texts():
     rng = random.Random(5)
     parts = ["Word", "it's", "I'LL", " ", "  ", "\n", "\t", "\r\n", " ", " ", "é", "é", " ́", "İ", "ΣΑΣ", "中文字", "🙂", "a,b.c!",
              "x" * 80, "12345", "<|endoftext|>", "<|startoftext|>", "'s", "\x00", "\x1c", "!\x1c!", "ß", "½", "ﬁ", "Å", "Å"]
-    return ["".join(rng.choice(parts) for _ in range(rng.randint(0, 30))) for _ in range(3000)]
+    letters = [chr(i) for i in range(1, 0x250)] + [chr(rng.randrange(0x250, 0xD800)) for _ in range(300)] + ["'", ",", ".", " "] * 30
+    return ["".join(rng.choice(pool) for _ in range(rng.randint(0, 30))) for pool in (parts, letters) for _ in range(3000)]
 
 
 def test_tokens_equal_the_library(spark):
