@@ -180,3 +180,50 @@ def gang_vector_mean(df: DataFrame, col: str, width: int, world: int) -> DataFra
             yield pd.DataFrame({"pos": np.arange(width, dtype=np.int32), "mean": red[:-1] / red[-1]})
 
     return gang(partials, world, fn, "pos int, mean double")
+
+
+BLOCK = 8192                   # values of a vector that one task reduces together
+
+
+def block_reduce(df: DataFrame, col: str, width: int, block: int = BLOCK) -> DataFrame:
+    """Element-wise sum and row count of a vector column -> (pos, total, n), as
+    a reduce-scatter: each task adds its vectors and sends the sum in blocks,
+    each block is added up by one task, and the result stays distributed.
+    Neither the driver nor any rank holds what all ranks send; a task holds one
+    vector or one block."""
+    from tessera.operators.layers import list_matrix
+
+    def partial(batches):
+        import pyarrow as pa
+        total, n = np.zeros(width), 0
+        for b in batches:
+            for i in range(0, b.num_rows, max(1, (1 << 22) // width)):
+                part = b.slice(i, max(1, (1 << 22) // width))
+                total += list_matrix(part.column(0), width).sum(axis=0)
+                n += part.num_rows
+        if n:
+            for i in range(0, width, block):
+                yield pa.RecordBatch.from_arrays([
+                    pa.array([i // block], pa.int32()), pa.array([total[i:i + block].tolist()], pa.list_(pa.float64())),
+                    pa.array([n], pa.int64())], names=["block", "s", "n"])
+
+    def added(batches):
+        import pyarrow as pa
+
+        def done():
+            return pa.RecordBatch.from_arrays([
+                pa.array(np.arange(at * block, at * block + len(total), dtype=np.int32)), pa.array(total),
+                pa.array(np.full(len(total), n))], names=["pos", "total", "n"])
+        at, total, n = None, None, 0
+        for b in batches:
+            for k, s, m in zip(*(c.to_pylist() for c in b.columns)):
+                if k != at:
+                    if at is not None:
+                        yield done()
+                    at, total, n = k, np.zeros(len(s)), 0
+                total += s
+                n += m
+        if at is not None:
+            yield done()
+    parts = df.where(F.col(col).isNotNull()).select(col).mapInArrow(partial, "block int, s array<double>, n bigint")
+    return parts.repartition("block").sortWithinPartitions("block").mapInArrow(added, "pos int, total double, n bigint")

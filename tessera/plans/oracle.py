@@ -132,6 +132,14 @@ ORACLE_SQL: dict[str, str] = {
     "export_arrow": "SELECT count(*) AS n_rows FROM embeddings",
     "scan_arrow": (f"SELECT vec_id, label, CAST(len(embedding) AS INTEGER) AS dim, {MICRO} AS micro "
                    "FROM embeddings"),
+    "scan_arrow_source": "SELECT label, count(*) AS n, CAST(sum(vec_id) AS BIGINT) AS ids FROM embeddings GROUP BY label",
+    "arrow_sink": (f"SELECT vec_id, label, CAST(len(embedding) AS INTEGER) AS dim, {MICRO} AS micro "
+                   "FROM embeddings"),
+    "packed_objects": ("SELECT page_id, CAST(octet_length(encode(html)) AS BIGINT) AS n_bytes, "
+                       "sha256(html) AS digest FROM pages"),
+    "list_files": ("SELECT md5(lang) AS lang_md5, md5(source) AS source_md5, "
+                   "CAST(CASE WHEN count(*) % 2 = 0 THEN count(*) ELSE 0 END AS BIGINT) AS length "
+                   "FROM documents GROUP BY lang, source"),
     "read_whole_text": (
         "WITH l AS (SELECT lang, unnest(string_split(text, chr(10))) AS line FROM documents), "
         "m AS (SELECT lang, sum(('0x' || substr(md5(line), 1, 7))::BIGINT) AS line_sum FROM l WHERE line <> '' GROUP BY lang) "
@@ -302,6 +310,8 @@ ORACLE_SQL: dict[str, str] = {
     "gang_sum": "SELECT 3 AS world, CAST(sum(l_linenumber) AS BIGINT) AS total FROM lineitem",
     "gang_pi": (f"WITH {LATTICE}, c AS (SELECT count(*) AS n, count(*) FILTER (WHERE x * x + y * y < 1.0) AS hits FROM pts) "
                 "SELECT n, hits, printf('np=%2d;    PI=%.4f', 3, 4.0::DOUBLE * hits / n) AS report FROM c"),
+    "block_reduce_mean": (f"WITH {EMB}, {PX} SELECT CAST(j AS INTEGER) AS pos, "
+                          "round(avg(x), 6) + 0.0 AS mean FROM px GROUP BY 1"),
     "gang_vector_mean": (f"WITH {EMB}, {PX} SELECT CAST(j AS INTEGER) AS pos, "
                          "round(avg(x), 6) + 0.0 AS mean FROM px GROUP BY 1"),
     "gang_members": ("SELECT CAST(l_orderkey % 3 AS INTEGER) AS rank, 3 AS world, count(*) AS n_rows, "

@@ -26,6 +26,8 @@ from tessera.operators import training as TR
 from tessera.operators import udfs as U
 from tessera.operators.model import ConvNet, SoftmaxRegression, fixture_matrix
 from tessera.session import shared_dir
+from tessera.sources import arrow_source as AS
+from tessera.sources import packed as PK
 from tessera.sources import readers as R
 from tessera.sources import writers as W
 
@@ -172,6 +174,48 @@ def q_scan_arrow(spark, sf):
                        F.size("features").alias("dim"), _micro(F.col("features")).alias("micro"))
 
 
+def q_scan_arrow_source(spark, sf):
+    """One Arrow file read by several tasks, and of its columns only two."""
+    path = shared_dir(spark, "arrow-source")
+    AS.write_arrow(_emb(spark, sf).repartition(1), path, rows_per_batch=50)
+    rows = AS.scan_arrow_files(spark, path, ["vec_id", "label"], partition_bytes=100_000)
+    return rows.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.sum("vec_id").alias("ids"))
+
+
+def q_arrow_sink(spark, sf):
+    """Committed Arrow files: an overwritten table, then appended rows."""
+    path = shared_dir(spark, "arrow-sink")
+    emb = _emb(spark, sf)
+    AS.write_arrow(emb.where("vec_id % 5 = 0"), path)
+    AS.write_arrow(emb.where("vec_id % 2 = 0").repartition(3), path, "overwrite")
+    AS.write_arrow(emb.where("vec_id % 2 = 1").repartition(2), path)
+    rows = AS.scan_arrow_files(spark, path)
+    return rows.select("vec_id", F.col("label").cast("int").alias("label"),
+                       F.size("features").alias("dim"), _micro(F.col("features")).alias("micro"))
+
+
+def q_packed_objects(spark, sf):
+    """Pages in container objects, read back by ranges."""
+    path = shared_dir(spark, "packed")
+    pages = table(spark, sf, "pages").select(F.col("page_id").cast("string").alias("name"),
+                                             F.col("html").cast("binary").alias("content"))
+    PK.write_packed(pages, "name", "content", path, object_bytes=1 << 20)
+    return PK.read_packed(spark, path).select(F.col("name").cast("bigint").alias("page_id"), F.col("length").alias("n_bytes"),
+                                              F.sha2("content", 256).alias("digest"))
+
+
+def q_list_files(spark, sf):
+    """Files of a folder tree, empty ones included, listed in tasks."""
+    path = shared_dir(spark, "tree")
+    docs = table(spark, sf, "documents").groupBy("lang", "source").agg(F.count(F.lit(1)).alias("n"))
+    rows = docs.select(F.concat_ws("/", F.md5("lang"), F.md5("source"), F.lit("n.txt")).alias("name"),
+                       F.when(F.col("n") % 2 == 0, F.repeat(F.lit("x"), F.col("n").cast("int"))).cast("binary").alias("content"))
+    W.write_binary_files(rows, "name", "content", path, make_folders=True).write.format("noop").mode("overwrite").save()
+    return PK.list_files(spark, path).select(
+        F.regexp_extract("path", "([0-9a-f]{32})/[0-9a-f]{32}/n.txt$", 1).alias("lang_md5"),
+        F.regexp_extract("path", "([0-9a-f]{32})/n.txt$", 1).alias("source_md5"), "length")
+
+
 def q_read_whole_text(spark, sf):
     path = shared_dir(spark, "whole-text")
     # Capped rows per file keep each whole-text row bounded, whatever the skew of ``lang``.
@@ -715,6 +759,12 @@ def q_gang_vector_mean(spark, sf):
     return out.select("pos", _r("mean", 6).alias("mean"))
 
 
+def q_block_reduce_mean(spark, sf):
+    emb = table(spark, sf, "embeddings").select(F.col("embedding").alias("features"))
+    out = G.block_reduce(emb, "features", DIM, block=10)
+    return out.select("pos", _r(F.col("total") / F.col("n"), 6).alias("mean"))
+
+
 def q_gang_members(spark, sf):
     li = table(spark, sf, "lineitem").select("l_orderkey")
     return G.gang_members(li, _world(spark), key="l_orderkey")
@@ -783,6 +833,10 @@ QUERIES = {
     "scan_feature_text": q_scan_feature_text,
     "export_arrow": q_export_arrow,
     "scan_arrow": q_scan_arrow,
+    "scan_arrow_source": q_scan_arrow_source,
+    "arrow_sink": q_arrow_sink,
+    "packed_objects": q_packed_objects,
+    "list_files": q_list_files,
     "read_whole_text": q_read_whole_text,
     "read_whole_text_files": q_read_whole_text_files,
     "read_binary": q_read_binary,
@@ -850,6 +904,7 @@ QUERIES = {
     "gang_members": q_gang_members,
     "gang_pi": q_gang_pi,
     "gang_vector_mean": q_gang_vector_mean,
+    "block_reduce_mean": q_block_reduce_mean,
     "udf_two_columns": q_udf_two_columns,
     "map_partitions": q_map_partitions,
     "arrow_passthrough": q_arrow_passthrough,

@@ -122,9 +122,10 @@ def export_arrow(df: DataFrame, path: str) -> DataFrame:
     return df.mapInArrow(write, ARROW_MANIFEST)
 
 
-def write_binary_files(df: DataFrame, name_col, content_col, path: str) -> DataFrame:
-    """One file per row, ``path/<name>``, with the row's bytes; yields
-    ``(name, n_bytes)`` per file written."""
+def write_binary_files(df: DataFrame, name_col, content_col, path: str, make_folders: bool = False) -> DataFrame:
+    """One file per row, ``path/<name>``, with the row's bytes (null: none);
+    yields ``(name, n_bytes)`` per file written.  ``make_folders``: names may
+    hold folders."""
     src = df.select(_c(name_col).cast("string").alias("name"),
                     _c(content_col).cast("binary").alias("content"))
 
@@ -134,6 +135,9 @@ def write_binary_files(df: DataFrame, name_col, content_col, path: str) -> DataF
             names = b.column("name").to_pylist()
             sizes = []
             for name, content in zip(names, b.column("content").to_pylist()):
+                if make_folders and "/" in name:
+                    fs.ensure_dir(fs.join(path, name.rsplit("/", 1)[0]))
+                content = content or b""
                 with fs.atomic_output(fs.join(path, name)) as out:
                     out.write(content)
                 sizes.append(len(content))

@@ -1,0 +1,146 @@
+"""Committed Arrow files, packed objects, listings in tasks, block reduce."""
+
+import os
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from tessera.operators import gang as G
+from tessera.session import shared_dir
+from tessera.sources import arrow_source as AS
+from tessera.sources import fs
+from tessera.sources import packed as PK
+
+
+def local(path):
+    return fs.resolve(path)[1]
+
+
+def rows_of(df):
+    return sorted(map(tuple, df.collect()), key=str)
+
+
+def wide(spark, n=1000):
+    return spark.range(n).selectExpr("id", "array(cast(id as double), null, -0.5) as v", "if(id % 7 = 0, null, concat('é', id)) as s",
+                                     "cast(id as decimal(20, 3)) as d", "timestamp_seconds(id) as t", "id % 2 = 0 as b")
+
+
+def test_one_large_file_is_read_by_several_tasks(spark):
+    path, df = shared_dir(spark, "test-arrow"), wide(spark)
+    AS.write_arrow(df.repartition(1), path, rows_per_batch=30)
+    assert len(AS.files_of(path)) == 1 and AS.committed(path)[0]["batches"] == 34
+    got = AS.scan_arrow_files(spark, path, partition_bytes=8_000)
+    assert rows_of(got) == rows_of(df) and got.schema == df.schema
+    assert 5 < got.select(F.spark_partition_id()).distinct().count() <= 34
+    assert AS.scan_arrow_files(spark, path).select(F.spark_partition_id()).distinct().count() == 1
+
+
+def test_only_the_columns_asked_for_are_read(spark, monkeypatch):
+    path, df = shared_dir(spark, "test-pruned"), wide(spark)
+    AS.write_arrow(df.repartition(2), path)
+    got = AS.scan_arrow_files(spark, path, ["s", "id"])
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "[s#" in plan and "v#" not in plan and " d#" not in plan
+    assert rows_of(got) == rows_of(df.select("s", "id"))
+    one = AS.ArrowReader(got.schema, {"path": path})
+    part = one.partitions()[0]
+    assert next(iter(one.read(part))).schema.names == ["s", "id"]
+    assert next(iter(AS.ArrowReader(df.select("b").schema, {"path": path}).read(part))).num_columns == 1
+    with pytest.raises(ValueError, match="no column x"):
+        list(AS.ArrowReader(df.select(F.col("id").alias("x")).schema, {"path": path}).read(part))
+
+
+def test_a_failed_write_leaves_nothing_that_a_reader_sees(spark):
+    path, df = shared_dir(spark, "test-failed"), wide(spark, 100)
+    AS.write_arrow(df, path)
+    before = AS.committed(path)
+    bad = df.repartition(4, "id").withColumn("id", F.when(F.col("id") == 77, F.raise_error(F.lit("lost")).cast("long")).otherwise(F.col("id")))
+    for mode in ("append", "overwrite"):
+        with pytest.raises(Exception, match="lost"):
+            AS.write_arrow(bad, path, mode)
+        assert AS.committed(path) == before and rows_of(AS.scan_arrow_files(spark, path)) == rows_of(df)
+    # files of finished tasks of failed jobs were deleted, or are not read
+    with open(f"{local(path)}/part-stray.arrow", "wb") as f:
+        f.write(b"half a file")
+    assert rows_of(AS.scan_arrow_files(spark, path)) == rows_of(df)
+    fresh = shared_dir(spark, "test-failed-first")
+    with pytest.raises(Exception, match="lost"):
+        AS.write_arrow(bad, fresh)
+    assert AS.committed(fresh) is None
+
+
+def test_appended_and_overwritten_files(spark):
+    path = shared_dir(spark, "test-modes")
+    AS.write_arrow(wide(spark, 10), path)
+    AS.write_arrow(wide(spark, 20), path)
+    assert AS.scan_arrow_files(spark, path).count() == 30
+    AS.write_arrow(wide(spark, 5), path, "overwrite")
+    assert rows_of(AS.scan_arrow_files(spark, path)) == rows_of(wide(spark, 5))
+    arrow = [n for n in os.listdir(local(path)) if n.endswith(".arrow")]
+    assert sorted(arrow) == sorted(x["file"] for x in AS.committed(path))
+    AS.write_arrow(wide(spark, 0), path, "overwrite")
+    empty = AS.scan_arrow_files(spark, path)
+    assert empty.count() == 0 and empty.schema == wide(spark, 0).schema
+
+
+def test_packed_objects(spark):
+    path = shared_dir(spark, "test-packed")
+    values = {f"n{i}": os.urandom(i % 50) if i % 9 else b"" for i in range(500)} | {"large": b"x" * 5000, "é/ü": b"y"}
+    df = spark.createDataFrame([(k, bytearray(v)) for k, v in values.items()] + [("null", None)], "name string, content binary").repartition(3)
+    index = PK.write_packed(df, "name", "content", path, object_bytes=2000)
+    total = sum(map(len, values.values()))
+    objects = [n for n in os.listdir(local(path)) if n.endswith(".bin")]
+    assert index.count() == len(values) + 1 and len(objects) <= total // 1000 + 6 and len(objects) < 40
+    assert max(os.path.getsize(f"{local(path)}/{n}") for n in objects) == 5000
+    with open(f"{local(path)}/pack-stray.bin", "wb") as f:
+        f.write(b"of a lost attempt")
+    got = {r.name: bytes(r.content) for r in PK.read_packed(spark, path).collect()}
+    assert got == values | {"null": b""}
+    wanted = spark.createDataFrame([("n7",), ("large",), ("n7",), ("unknown",)], "name string")
+    some = PK.read_packed(spark, path, wanted).collect()
+    assert {r.name: (r.length, bytes(r.content)) for r in some} == {k: (len(values[k]), values[k]) for k in ("n7", "large")}
+    none = shared_dir(spark, "test-packed-none")
+    assert PK.write_packed(df.limit(0), "name", "content", none).count() == 0 and PK.read_packed(spark, none).count() == 0
+
+
+def test_packed_ranges_are_joined(spark, monkeypatch):
+    monkeypatch.setattr(PK, "JOINED", 64)
+    path = shared_dir(spark, "test-ranges")
+    df = spark.range(0, 300, 1, 1).selectExpr("cast(id as string) as name", "cast(repeat('ab', cast(id % 40 as int)) as binary) as content")
+    PK.write_packed(df, "name", "content", path)
+    got = {r.name: bytes(r.content) for r in PK.read_packed(spark, path).collect()}
+    assert got == {str(i): b"ab" * (i % 40) for i in range(300)}
+
+
+def test_listing_in_tasks(spark, tmp_path):
+    want = {}
+    for i in range(60):
+        d = tmp_path / f"a{i % 4}" / f"b{i % 3}"
+        d.mkdir(parents=True, exist_ok=True)
+        f = d / f"f{i}.txt"
+        f.write_bytes(b"x" * (i % 5))
+        want[str(f)] = i % 5
+    (tmp_path / "top").write_bytes(b"")
+    want[str(tmp_path / "top")] = 0
+    for hidden in ("_temporary/x", ".hidden", "a0/._tmp-1"):
+        (tmp_path / hidden).parent.mkdir(exist_ok=True)
+        (tmp_path / hidden).write_bytes(b"no")
+    (tmp_path / "empty").mkdir()
+    got = PK.list_files(spark, str(tmp_path)).collect()
+    assert {r.path: r.length for r in got} == want and all(r.modified for r in got)
+    assert PK.list_files(spark, str(tmp_path / "absent")).count() == 0
+    with pytest.raises(ValueError, match="levels deep"):
+        PK.list_files(spark, str(tmp_path), levels=2)
+
+
+@pytest.mark.parametrize("block", [1, 7, 64, 8192])
+def test_block_reduce(spark, block):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(500, 30))
+    df = spark.createDataFrame([(r.tolist(),) for r in x] + [(None,)], "v array<double>").repartition(6)
+    out = G.block_reduce(df, "v", 30, block)
+    got = {r.pos: (r.total, r.n) for r in out.collect()}
+    assert sorted(got) == list(range(30)) and all(n == 500 for _, n in got.values())
+    assert np.allclose([got[i][0] for i in range(30)], x.sum(0))
+    assert G.block_reduce(df.limit(0), "v", 30, block).count() == 0
