@@ -218,10 +218,25 @@ def mark_groups(h, salt, hot, doc, tag, pos, left, right):
     other = (doc[a] != doc[b]) | (tag[a] != tag[b]) | (pos[a] != pos[b])
     full = b[same & other & (ls[b] + rs[b] >= LENGTH)]
     reach_l[full], reach_r[full] = ls[full], rs[full]
-    own = order[np.concatenate(([True], ~same))]       # the earliest of each distinct context
-    a, b = own[:-1], own[1:]
-    near = (h[a] == h[b]) & (salt[a] == salt[b])
-    lcp = np.where(near, _common(rb[a], rb[b], rs[a], rs[b]), 0)
+    every = own = order[np.concatenate(([True], ~same))]       # the earliest of each distinct context
+
+    def neighbours(rows, size, x):
+        """Common lengths of neighbours of one group, 0 between groups."""
+        a, b = x[:-1], x[1:]
+        near = (h[a] == h[b]) & (salt[a] == salt[b])
+        return near, np.where(near, _common(rows[a], rows[b], size[a], size[b]), 0)
+
+    def greatest(common):
+        return np.maximum(np.append(common, 0), np.append(0, common))[:len(common) + 1]
+    # nobody shares more with a context than its neighbours in each order: contexts that fall
+    # short of LENGTH even so are in no repeat, and only the others are scanned
+    near, lcp = neighbours(rb, rs, own)
+    if len(own):
+        most = np.empty(len(h), np.int64)
+        back = own[np.lexsort((ls[own], *_keys(lb[own])[::-1], salt[own], h[own]))]
+        most[back] = greatest(neighbours(lb, ls, back)[1])
+        own = own[most[own] + greatest(lcp) >= LENGTH]
+        near, lcp = neighbours(rb, rs, own)
     ends = np.concatenate((np.flatnonzero(~near), [len(own) - 1])) if len(own) else np.zeros(0, int)
     starts = np.concatenate(([0], ends[:-1] + 1)) if len(own) else ends
     size = ends - starts + 1
@@ -251,7 +266,7 @@ def mark_groups(h, salt, hot, doc, tag, pos, left, right):
                     mark(np.delete(group, rank[group].argmin()), el, depth)
             if depth >= LENGTH and not common.all():   # nothing common to the left
                 mark(np.delete(node, rank[node].argmin()), 0, depth)
-    return reach_l, reach_r, own, tuple(np.concatenate([m[j] for m in found]) for j in range(3))
+    return reach_l, reach_r, every, tuple(np.concatenate([m[j] for m in found]) for j in range(3))
 
 
 MARKS = pa.schema([("doc", pa.int64()), ("tag", pa.int64()), ("start", pa.int64()), ("end", pa.int64()),
