@@ -60,7 +60,7 @@ THRESHOLD = 80
 BLOCK = 256
 TILE = 16                      # blocks that go to one task together, on each side
 STEP = 1.25                    # sizes of linked sets differ by at most 100 / THRESHOLD: one class
-FEW = 1 << 20                  # ids are broadcast up to this number
+FEW = 1 << 20                  # ids are broadcast up to this number (8 bytes each), rows of groups up to half of it (28 bytes)
 
 
 def shingles(text, n: int) -> np.ndarray:
@@ -140,8 +140,11 @@ def verified(pairs: DataFrame, texts: DataFrame, n: int) -> DataFrame:
         "hub", F.pmod(F.xxhash64("doc_id"), F.col("parts")).alias("salt"), "doc_id", F.lit(1).alias("member"))
     hubs = members.select("hub", "salt", F.col("hub").alias("doc_id"), F.lit(0).alias("member")).distinct()
     rows = C.settle(members.union(hubs), "near-groups")
-    wanted = C.settle(rows.select("doc_id").distinct(), "near-wanted")
-    rows = rows.join(texts_of(texts, wanted), "doc_id")
+    if rows.count() <= FEW // 2:                       # each text moves once, to its groups
+        rows = texts.join(F.broadcast(rows), "doc_id")
+    else:
+        wanted = C.settle(rows.select("doc_id").distinct(), "near-wanted")
+        rows = rows.join(texts_of(texts, wanted), "doc_id")
     rows = rows.repartition("hub", "salt").sortWithinPartitions("hub", "salt", "member")
 
     def run(batches):
