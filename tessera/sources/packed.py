@@ -113,19 +113,23 @@ FILES = "path string, folder boolean, length bigint, modified timestamp"
 
 def list_files(spark: SparkSession, path: str, levels: int = 64) -> DataFrame:
     """(path, length, modified) of every file under a folder, empty ones
-    included; names that begin with a dot or underscore are left out, as
+    included (a path that is a file: that file); names that begin with a dot or underscore are left out, as
     Spark's file scans leave them.  One job a level, at most ``levels``."""
     def listed(batches):
         import pyarrow.fs as pafs
         for b in batches:
             for folder in b.column("path").to_pylist():
                 store, root = fs.resolve(folder)
-                found = store.get_file_info(pafs.FileSelector(root, allow_not_found=True))
-                found = [x for x in found if x.base_name[:1] not in "._"]
+                own = store.get_file_info(root)
+                if own.type == pafs.FileType.File:
+                    found = [(folder, own)]
+                else:
+                    found = [(fs.join(folder, x.base_name), x) for x in store.get_file_info(
+                        pafs.FileSelector(root, allow_not_found=True)) if x.base_name[:1] not in "._"]
                 for i in range(0, len(found), 10_000):
-                    part = found[i:i + 10_000]
+                    names, part = zip(*found[i:i + 10_000])
                     yield pa.RecordBatch.from_arrays([
-                        pa.array([fs.join(folder, x.base_name) for x in part], pa.string()),
+                        pa.array(names, pa.string()),
                         pa.array([x.type == pafs.FileType.Directory for x in part], pa.bool_()),
                         pa.array([x.size or 0 for x in part], pa.int64()),
                         pa.array([x.mtime for x in part], pa.timestamp("us", "UTC"))],

@@ -175,21 +175,16 @@ def scan_arrow(spark: SparkSession, manifest: DataFrame, schema,
     return files.mapInArrow(read_files, schema)
 
 
-def _empty_files(spark: SparkSession, path: str, glob: str | None):
-    """(path, modification time) of the zero-length files under a folder,
-    which Spark's file scans leave out.  Only those come to the driver."""
-    import pyarrow.fs as pafs
-    lfs, root = fs.resolve(path)
-    info = lfs.get_file_info(root)
-    if info.type == pafs.FileType.Directory:
-        found = lfs.get_file_info(pafs.FileSelector(root, recursive=True))
-    else:
-        found = [info]
-    prefix = path.rstrip("/")
-    names = [(prefix + f.path[len(root.rstrip("/")):], f.mtime) for f in found
-             if f.type == pafs.FileType.File and f.size == 0
-             and not any(x[:1] in "._" for x in f.path[len(root.rstrip("/")):].split("/") if x)]
-    return [(p, t) for p, t in names if not glob or fnmatch.fnmatch(p.rsplit("/", 1)[-1], glob)]
+def _empty_files(spark: SparkSession, path: str, glob: str | None) -> DataFrame:
+    """(path, modified) of the zero-length files under a folder, which Spark's
+    file scans leave out; folders are listed by tasks, and nothing comes to the
+    driver."""
+    from tessera.sources.packed import list_files
+    found = list_files(spark, path).where("length = 0")
+    if glob:
+        pattern = fnmatch.translate(glob).replace(r"\Z", r"\z")
+        found = found.where(F.regexp_extract("path", "[^/]*$", 0).rlike(f"^(?:{pattern})"))
+    return found.select("path", "modified")
 
 
 def read_whole_text(spark: SparkSession, path: str) -> DataFrame:
@@ -203,10 +198,7 @@ def read_whole_text(spark: SparkSession, path: str) -> DataFrame:
             return spark.createDataFrame([], "path string, value string")
         raise
     df = df.select(F.input_file_name().alias("path"), "*")
-    empty = [(p, "") for p, _ in _empty_files(spark, path, None)]
-    if not empty:
-        return df
-    more = spark.createDataFrame(empty, "path string, value string")
+    more = _empty_files(spark, path, None).select("path", F.lit("").alias("value"))
     for f in df.schema.fields[2:]:
         folder = F.url_decode(F.regexp_extract("path", rf"/{f.name}=([^/]*)/", 1))
         more = more.withColumn(f.name, folder.cast(f.dataType))
@@ -220,8 +212,10 @@ def read_binary(spark: SparkSession, path: str, glob: str | None = None) -> Data
     if glob:
         r = r.option("pathGlobFilter", glob)
     df = r.load(path)
-    empty = [(p, t, 0, bytearray()) for p, t in _empty_files(spark, path, glob)]
-    return df.unionByName(spark.createDataFrame(empty, df.schema)) if empty else df
+    empty = _empty_files(spark, path, glob).select(
+        "path", F.col("modified").alias("modificationTime"), F.lit(0).cast("long").alias("length"),
+        F.lit(b"").alias("content"))
+    return df.unionByName(empty)
 
 
 def synth_vectors(keys: DataFrame, dim: int = 784, seed: int = 42,
