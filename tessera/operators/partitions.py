@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from tessera.session import checkpoint_root
+from tessera.session import checkpoint_root, shared_dir
 
 
 def _c(c) -> Column:
@@ -101,11 +101,14 @@ def top_k(df: DataFrame, k: int, *order) -> DataFrame:
 
 
 def minibatches(df: DataFrame, batch_size: int = 100, seed: int = 0) -> DataFrame:
-    """Seeded random shuffle (a distributed sort on ``rand``), then consecutive
-    batches of ``batch_size``: ``batch_id = position div batch_size``."""
-    shuffled = df.orderBy(F.rand(seed))
-    return global_index(shuffled, "position").withColumn(
-        "batch_id", (F.col("position") / F.lit(batch_size)).cast("bigint"))
+    """Seeded random order, then consecutive batches of ``batch_size``:
+    ``batch_id = position div batch_size``.  The rows are written and numbered
+    once; the order is a keyed permutation of the numbers, so nothing is
+    sorted."""
+    path = shared_dir(df.sparkSession, "minibatches")
+    size, starts = write_numbered(df, path)
+    rows = read_numbered(df.sparkSession, path, starts).withColumn("position", permuted("position", size, seed))
+    return rows.withColumn("batch_id", F.floor(F.col("position") / F.lit(batch_size)).cast("bigint"))
 
 
 # A permutation of 0..n-1 by a Feistel network: fixed values, the SQL uses them too.

@@ -150,6 +150,9 @@ def _chunks_in_step(a, b, n: int):
         yield x, y
 
 
+BATCHES_PER_RUN = 16
+
+
 def arrow_schema_of(uri: str) -> pa.Schema:
     """The schema in one Arrow IPC file's footer (read on the driver, no rows)."""
     with fs.open_input(uri) as f:
@@ -159,17 +162,23 @@ def arrow_schema_of(uri: str) -> pa.Schema:
 def scan_arrow(spark: SparkSession, manifest: DataFrame, schema,
                spread: int | None = None) -> DataFrame:
     """Stream the record batches of the Arrow IPC files named in
-    ``manifest.path``: one task per file, one batch at a time."""
+    ``manifest.path``, one batch at a time.  Where the manifest counts the
+    batches (``n_batches``), a file's batches are dealt in runs of
+    ``BATCHES_PER_RUN``, so a large file is read by several tasks."""
     n = spread or max(1, spark.sparkContext.defaultParallelism)
-    files = manifest.select("path").repartition(n)
+    if "n_batches" in manifest.columns:
+        first = F.explode(F.sequence(F.lit(0), F.greatest(F.col("n_batches") - 1, F.lit(0)), F.lit(BATCHES_PER_RUN)))
+        files = manifest.select("path", first.alias("first"), F.lit(BATCHES_PER_RUN).alias("run")).repartition(n)
+    else:
+        files = manifest.select("path", F.lit(0).alias("first"), F.lit(2**31 - 1).alias("run")).repartition(n)
     names = [f.name for f in schema.fields]
 
     def read_files(batches):
         for b in batches:
-            for uri in b.column("path").to_pylist():
+            for uri, first, run in zip(*(c.to_pylist() for c in b.columns)):
                 with fs.open_input(uri) as f:
                     reader = ipc.open_file(f)
-                    for i in range(reader.num_record_batches):
+                    for i in range(first, min(first + run, reader.num_record_batches)):
                         yield reader.get_batch(i).select(names)
 
     return files.mapInArrow(read_files, schema)
