@@ -342,6 +342,8 @@ def near_duplicates(docs: DataFrame, n: int = 5, id_col: str = "doc_id", text_co
     classes = C.settle(classes, "near-classes")
     reps = C.settle(rows.select("doc_id", "n_shingles", "sketch").join(
         classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi"), "near-reps")
+    wide, rows = rows, C.settle(rows.drop("sketch"), "near-rows")
+    C.release(wide)
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
 
     entries = C.settle(listed(reps), "near-lists")
@@ -376,7 +378,7 @@ def near_duplicates(docs: DataFrame, n: int = 5, id_col: str = "doc_id", text_co
     found = C.components(found.select(F.col("id").alias("a"), F.col("component").alias("b")).union(more).union(blocks))
 
     same = ["n_shingles", "f1", "f2"]
-    out = rows.drop("sketch").join(classes, same, "left").join(
+    out = rows.join(classes, same, "left").join(
         found.select(F.col("id").alias("rep"), "component"), "rep", "left")
     component = F.coalesce("component", "rep", "doc_id").alias("component_id")
     out = out.select("doc_id", "n_shingles", component)
