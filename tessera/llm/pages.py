@@ -17,6 +17,8 @@ Text blocks follow block elements; inline tags and line breaks do not end a
 block.  White space in a block becomes one space; blocks are joined by an
 empty line in page order.
 
+Comments under any name are known by place and repetition (``threads``): like
+elements below the text, each with a byline and a date or the same last label.
 A form that holds most of a page's text is a wrapper, not a form; if all text
 is hidden by attributes, they do not count.  Whatever starts like a declaration
 without being one (``<![foo[``) is a comment, as browsers read it.
@@ -70,17 +72,20 @@ TOKEN = re.compile(r"[A-Z]?[a-z0-9]+|[A-Z]+")
 PARAGRAPH = 25                 # characters from which a block earns points
 WRITTEN = 80                   # characters of a part that is more than a label
 LEVELS = 5
+BYLINE = 60                    # characters of a comment's byline at most
+LABEL = 30                     # of a label that comments end with
 
 
 class Node:
-    __slots__ = ("tag", "parent", "items", "drop", "inside", "chars", "links", "score", "link", "named", "slug", "weight")
+    __slots__ = ("tag", "parent", "items", "drop", "inside", "chars", "links", "score", "link", "named", "slug", "weight", "kind")
 
-    def __init__(self, tag, parent, drop, inside, link, named=frozenset(), slug=False):
+    def __init__(self, tag, parent, drop, inside, link, named=frozenset(), slug=False, kind=""):
         self.tag, self.parent, self.items, self.drop = tag, parent, [], drop
         self.inside, self.link = inside, link          # within an article; within a link
         self.named, self.slug = named, slug            # words of class and id that speak against it; of the id only
         self.chars = self.links = 0
         self.score = 0.0
+        self.kind = kind                               # its class
         self.weigh()
 
     def weigh(self):
@@ -168,7 +173,7 @@ class Tree(HTMLParser):
         top = self.top
         drop = max(top.drop, _unwanted(tag, attrs, top.inside, self.way))
         n = Node(tag, top, drop, top.inside or tag in ("article", "main"), top.link or tag == "a",
-                 *_named(tag, attrs, top.inside))
+                 *_named(tag, attrs, top.inside), attrs.get("class", ""))
         top.items.append(n)
         self.nodes.append(n)
         if tag not in VOID:
@@ -426,6 +431,67 @@ def link_menus(tree: Tree, keep: list) -> set:
     return {n for n in found if n not in told and n not in around}
 
 
+def threads(tree: Tree, keep: list, every: list, out: set) -> set:
+    """Comments below the text, known by place and repetition: boxes that stand
+    after written paragraphs and before none, hold less than half of the kept
+    text, and consist of elements of one tag and class that each begin with a
+    byline and are dated (a number in the byline, a time element) or end with
+    the same short label.  ``every``: the page's blocks in order."""
+    total, nodes = sum(n.chars for n in keep), tree.nodes
+    inside, place = set(keep), {n: i for i, n in enumerate(nodes)}
+    first, last, end, timed = {}, {}, {}, set()        # blocks and the last node under each node
+    for i, (_, home, _) in enumerate(every):
+        first.setdefault(home, i)
+        last[home] = i
+    for n in nodes:
+        if n.parent in inside:
+            inside.add(n)
+    for n in reversed(nodes):
+        end[n] = max(place[n], end.get(n, 0))
+        if n.tag == "time":
+            timed.add(n)
+        if n.parent is not None:
+            p = n.parent
+            end[p] = max(end.get(p, 0), end[n])
+            if n in first:
+                first[p], last[p] = min(first.get(p, first[n]), first[n]), max(last.get(p, last[n]), last[n])
+            if n in timed:
+                timed.add(p)
+
+    def mark(n: Node) -> str:
+        """What a comment is known by ("": it is none)."""
+        if n not in first or first[n] == last[n]:
+            return ""
+        (line, home, _), label = every[first[n]], every[last[n]][0]
+        if len(line) > BYLINE or line[-1] in ".!?:;…。" or home.tag in HEADINGS:
+            return ""
+        return "\x00" if n in timed or any(c.isdigit() for c in line) else label if len(label) <= LABEL else ""
+    written = [place[n] for n in nodes if n in inside and n.tag in ("p", "pre", "blockquote") and n.chars > WRITTEN and not n.drop]
+    found = set()
+    for box in nodes:
+        if box.parent in found:
+            found.add(box)
+            continue
+        if box not in inside or box in keep or box.tag not in ("ul", "ol", "div", "section") or not box.chars or 2 * box.chars > total:
+            continue
+        items: dict = {}
+        for x in box.items:
+            if not isinstance(x, str) and x.chars and x not in out and not x.drop:
+                items.setdefault((x.tag, x.kind), []).append(x)
+        same = max(items.values(), key=lambda v: sum(x.chars for x in v), default=[])
+        if len(same) < 2 or sum(x.chars for x in same) < 0.8 * box.chars:
+            continue
+        marks = {mark(x) for x in same}
+        if len(marks) != 1 or marks == {""}:
+            continue
+        top = box
+        while top.parent in inside and top.parent not in keep and top.parent.chars - top.chars <= BYLINE:
+            top = top.parent                           # with its heading
+        if any(w < place[top] for w in written[:1]) and not any(w > end[top] for w in written[-1:]):
+            found.add(top)
+    return found
+
+
 def main_text(html) -> str:
     if not html:
         return ""
@@ -451,6 +517,7 @@ def main_text(html) -> str:
     best, rank = choose(tree)
     keep = beside(tree, best, rank, out)
     skip = out | link_menus(tree, keep)
+    skip |= threads(tree, keep, every, skip)
     found = [text for n in keep for text, _, _ in blocks(n, skip)]
     return "\n\n".join(found or [text for text, _, _ in every])
 

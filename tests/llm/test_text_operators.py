@@ -633,3 +633,31 @@ def test_pages_edge_rows(frame):
     text = pages.main_text(ARTICLE)
     assert out == sorted([(None, None, "", 0), (1, "u", "", 0), (2, "u", text, len(text)), (2, "u", text, len(text)),
                           (None, "v", "\n\n".join("x" * 5000), 14998)], key=str)
+
+
+LONG = "This is a sentence of the article, long enough to count, with commas and words. "
+
+
+def commented(items, box="ol", head="<h2>3 Responses</h2>", after=""):
+    return (f"<body><main><h1>Title</h1><p>{LONG * 3}</p><p>{LONG * 2}</p><section id='responses'>{head}<{box}>"
+            + "".join(items) + f"</{box}></section>{after}</main></body>")
+
+
+def test_pages_comments_by_place_and_repetition():
+    text = " ".join((LONG * 3).split()), " ".join((LONG * 2).split())
+    want = "\n\n".join(["Title", *text])
+    dated = [f"<li class='c'><div>Jane {i}</div><p>I liked this one, really.</p></li>" for i in range(3)]
+    timed = [f"<div class='eintrag'><span>{n}</span><time>heute</time><p>Das sehe ich anders, ganz anders.</p></div>" for n in ("Anna", "Max")]
+    labelled = [f"<li><b>{n}</b><p>Well said, thank you for this.</p><p><a href='#'>Antworten</a></p></li>" for n in ("Anna", "Max", "Eva")]
+    assert pages.main_text(commented(dated)) == want
+    assert pages.main_text(commented(timed, "div", "")) == want
+    assert pages.main_text(commented(labelled)) == want
+    # not comments: questions and answers, bios without dates, lists before the text ends, one element
+    faq = [f"<li><p>How many are there in {i}?</p><p>As many as you like, we think.</p></li>" for i in range(3)]
+    bios = [f"<li><p>{n} Doe</p><p>{n} works on the roof, in the sun.</p></li>" for n in ("Jane", "John")]
+    steps = [f"<div class='step'><h3>Step {i}</h3><p>Do this, and then that, slowly.</p></div>" for i in range(3)]
+    for items, box in ((faq, "ol"), (bios, "ul"), (steps, "div"), (dated[:1], "ol")):
+        got = pages.main_text(commented(items, box))
+        assert all(" ".join(re.sub("<[^>]*>", " ", x).split())[-20:] in got.replace("\n\n", " ") for x in items)
+    got = pages.main_text(commented(dated, after=f"<p>{LONG * 2}</p>"))
+    assert got.count("I liked this one") == 3 and got.endswith(text[1])
