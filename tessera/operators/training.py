@@ -259,11 +259,17 @@ def _batches_of(arrow, width: int):
         yield whole()
 
 
-def train(df: DataFrame, model: Model, world: int, steps: int | None = None, features: str = "features",
+def default_world(rows: int, batch: int, slots: int) -> int:
+    """Ranks of a run that names none: one per task slot, but no more than an
+    epoch has batches."""
+    return max(1, min(slots, -(-rows // batch)))
+
+
+def train(df: DataFrame, model: Model, world: int | None = None, steps: int | None = None, features: str = "features",
           label: str = "label", key: str | None = None, batch: int = K.BATCH_SIZE, lr: float = K.LEARNING_RATE,
           momentum: float = K.MOMENTUM, seed: int = 0, log_every: int = K.LOG_EVERY_STEPS,
           sync_every: int = 1, epochs: int | None = None, path: str | None = None,
-          stop_after: int | None = None) -> TrainResult:
+          stop_after: int | None = None, slots: int | None = None) -> TrainResult:
     """Train ``model`` (it must offer ``grad_sums``) for ``steps // world``
     steps per rank at learning rate ``lr * world``, like the reference's
     scaling, or for whole ``epochs`` of the table.
@@ -277,12 +283,16 @@ def train(df: DataFrame, model: Model, world: int, steps: int | None = None, fea
 
     ``path`` names the run's folder; called again with the same one, data and
     arguments, a run goes on after its last committed round.  ``stop_after``
-    ends the call after so many committed rounds."""
+    ends the call after so many committed rounds.  Without ``world`` there is a
+    rank for each of the ``slots`` task slots (default: those of the cluster), as
+    far as an epoch has batches for them; a run that is called again keeps the
+    number it began with only if these are the same, so name one there."""
     spark = df.sparkSession
     path = (path or shared_dir(spark, "train")).rstrip("/")
     rows = df.select(_c(features).alias("features"), _c(label).cast("double").alias("label"),
                      (_c(key).cast("long") if key else F.lit(0).cast("long")).alias("key"))
     sync = max(1, sync_every)
+    world = world or default_world(rows.count(), batch, slots or spark.sparkContext.defaultParallelism)
     print_ = _fingerprint(rows, model, world=world, batch=batch, lr=lr, momentum=momentum, seed=seed, log_every=log_every,
                           sync_every=sync, steps=steps, epochs=epochs)
     table = EpochTables(rows, batch, seed, path, size=print_["rows"], span=sync * world)
@@ -387,4 +397,4 @@ def gradient_step(df: DataFrame, model: Model, features: str = "features",
         (F.sum("s") / F.sum("n")).alias("grad"))
 
 
-__all__ = ["train", "gradient_step", "TrainResult", "EpochTables"]
+__all__ = ["train", "default_world", "gradient_step", "TrainResult", "EpochTables"]

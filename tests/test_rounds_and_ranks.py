@@ -176,3 +176,10 @@ def test_a_failing_rank_fails_the_job_if_asked(spark):
     df = spark.range(10)
     with pytest.raises(Exception, match="rank 1: .*exited with 3: no luck"):
         U.pipe_report(df, "id", '[ "$RANK" = 1 ] && { echo no luck >&2; exit 3; }; cat', 2, "id", fail=True).collect()
+
+
+def test_ranks_come_from_the_data_and_the_slots(spark):
+    assert [TR.default_world(n, 100, s) for n, s in ((0, 8), (99, 8), (250, 8), (10**9, 1000))] == [1, 1, 3, 1000]
+    res = TR.train(emb(spark), SoftmaxRegression(64), epochs=1, batch=100, slots=3, key="vec_id")
+    reads = res.reads.collect()
+    assert {r["rank"] for r in reads} == {0, 1, 2} and sum(r.n for r in reads) == 500
