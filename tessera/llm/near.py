@@ -63,6 +63,15 @@ STEP = 1.25                    # sizes of linked sets differ by at most 100 / TH
 FEW = 1 << 20                  # ids are broadcast up to this number (8 bytes each), rows of groups up to half of it (28 bytes)
 
 
+def tidy(fn):
+    """A task's function that gives unused Arrow memory back when it ends:
+    Python workers stay for the next task, whatever stage it belongs to."""
+    def run(batches):
+        yield from fn(batches)
+        pa.default_memory_pool().release_unused()
+    return run
+
+
 def shingles(text, n: int) -> np.ndarray:
     """Sorted distinct hashes (int64) of the n-word shingles of a text."""
     data = C.utf8(text)
@@ -165,7 +174,7 @@ def verified(pairs: DataFrame, texts: DataFrame, n: int) -> DataFrame:
                         break
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], names=["a", "b"])
-    return rows.select("hub", "salt", "member", "doc_id", "text").mapInArrow(run, "a long, b long")
+    return rows.select("hub", "salt", "member", "doc_id", "text").mapInArrow(tidy(run), "a long, b long")
 
 
 def listed(reps: DataFrame) -> DataFrame:
@@ -220,7 +229,7 @@ def rest_pairs(entries: DataFrame, reps: DataFrame) -> DataFrame:
             x, y = x[ok], y[ok]
             a, b = np.minimum(ids[x], ids[y]), np.maximum(ids[x], ids[y])
             yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["hub", "doc_id"])
-    return e.mapInArrow(run, "hub long, doc_id long").distinct()
+    return e.mapInArrow(tidy(run), "hub long, doc_id long").distinct()
 
 
 def linked_sets(values: np.ndarray, off: np.ndarray, c: np.ndarray) -> list[tuple[int, int]]:
@@ -312,7 +321,7 @@ def block_links(entries: DataFrame, hubs: DataFrame, reps: DataFrame, texts: Dat
                         pa.array(np.full(len(hit), i)), pa.array(np.full(len(hit), j)),
                         t.column("j").combine_chunks().take(pa.array(hit)), pa.array(c[hit])], names=["i", "j", "doc_id", "c"])
     met = rows.repartition("p", "q").sortWithinPartitions("p", "q", "kind").mapInArrow(
-        possible, "i long, j long, doc_id long, c long")
+        tidy(possible), "i long, j long, doc_id long, c long")
     met = C.settle(met, "near-possible")
     C.release(members, pairs, sides)
 
@@ -320,7 +329,7 @@ def block_links(entries: DataFrame, hubs: DataFrame, reps: DataFrame, texts: Dat
         schema = pa.schema([("doc_id", pa.int64()), ("values", pa.list_(pa.int64()))])
         yield from C.per_row(lambda r: (r[0], shingles(r[1], n).tolist()), ["doc_id", "text"], schema)(batches)
     wanted = C.settle(met.select("doc_id").distinct(), "near-wanted")
-    full = texts_of(texts, wanted).mapInArrow(sets, "doc_id long, values array<long>")
+    full = texts_of(texts, wanted).mapInArrow(tidy(sets), "doc_id long, values array<long>")
     rows = met.join(C.settle(full, "near-sets"), "doc_id")
     rows = rows.repartition("i", "j").sortWithinPartitions("i", "j")
 
@@ -332,7 +341,7 @@ def block_links(entries: DataFrame, hubs: DataFrame, reps: DataFrame, texts: Dat
                 a, b = ids[[x for x, _ in got]], ids[[y for _, y in got]]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
-    return rows.mapInArrow(run, "a long, b long")
+    return rows.mapInArrow(tidy(run), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, n: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
