@@ -205,9 +205,14 @@ def mark_groups(h, salt, hot, doc, tag, pos, left, right):
     found = []
 
     def mark(i, el, r):
+        """All contexts of a repeat but the earliest."""
+        first = i[rank[i].argmin()]
+        own = reach_l[first], reach_r[first]
         reach_l[i] = np.maximum(reach_l[i], el)
         reach_r[i] = np.maximum(reach_r[i], r)
-        if len(i) and hot[i[0]]:
+        reach_l[first], reach_r[first] = own
+        if hot[first]:
+            i = i[i != first]
             found.append((i, np.broadcast_to(el, len(i)), np.broadcast_to(r, len(i))))
     rank = np.empty(len(h), np.int64)
     rank[np.lexsort((pos, tag, doc))] = np.arange(len(h))
@@ -231,9 +236,11 @@ def mark_groups(h, salt, hot, doc, tag, pos, left, right):
     # nobody shares more with a context than its neighbours in each order: contexts that fall
     # short of LENGTH even so are in no repeat, and only the others are scanned
     near, lcp = neighbours(rb, rs, own)
+    left_rank = np.empty(len(h), np.int64)
     if len(own):
         most = np.empty(len(h), np.int64)
         back = own[np.lexsort((ls[own], *_keys(lb[own])[::-1], salt[own], h[own]))]
+        left_rank[back] = np.arange(len(back))
         most[back] = greatest(neighbours(lb, ls, back)[1])
         own = own[most[own] + greatest(lcp) >= LENGTH]
         near, lcp = neighbours(rb, rs, own)
@@ -252,20 +259,17 @@ def mark_groups(h, salt, hot, doc, tag, pos, left, right):
 
     for s, n in zip(starts[size > 2].tolist(), size[size > 2].tolist()):
         members = own[s:s + n]
-        back = np.lexsort((ls[members], *_keys(lb[members])[::-1]))
-        back_rank = np.empty(n, np.int64)
-        back_rank[back] = np.arange(n)
         for depth, first, last in intervals(lcp[s:s + n - 1].tolist()):
             if depth < K:
                 continue
-            node = members[first:last + 1][np.argsort(back_rank[first:last + 1])]
+            node = members[first:last + 1]
+            node = node[np.argsort(left_rank[node])]
             common = _common(lb[node[:-1]], lb[node[1:]], ls[node[:-1]], ls[node[1:]])
             for el, lo, hi in intervals(common.tolist()):
                 if el + depth >= LENGTH:
-                    group = node[lo:hi + 1]
-                    mark(np.delete(group, rank[group].argmin()), el, depth)
+                    mark(node[lo:hi + 1], el, depth)
             if depth >= LENGTH and not common.all():   # nothing common to the left
-                mark(np.delete(node, rank[node].argmin()), 0, depth)
+                mark(node, 0, depth)
     return reach_l, reach_r, every, tuple(np.concatenate([m[j] for m in found]) for j in range(3))
 
 
