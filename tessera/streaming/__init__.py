@@ -17,15 +17,16 @@ from tessera.session import shared_dir
 
 def score_stream(spark: SparkSession, source_dir: str, table: str, model: Model,
                  sink: str | None = None, files_per_trigger: int = 8) -> DataFrame:
-    """Score ``<table>.parquet`` and the numbered files ``<table>-N.parquet``
-    of ``source_dir`` as a stream (run until all present files are done) and
-    return the sink as a table."""
-    names = f"{table}{{,-[0-9]*}}.parquet"
-    schema = spark.read.option("pathGlobFilter", names).parquet(source_dir).schema
+    """Score ``<table>.parquet`` and the numbered ``<table>-N.parquet`` of
+    ``source_dir``, each a file or a folder of part files, as a stream (run
+    until all present files are done) and return the sink as a table."""
+    source_dir = source_dir.rstrip("/")
+    names = f"{source_dir}/{table}{{,-[0-9]*}}.parquet"
+    schema = spark.read.option("basePath", source_dir).parquet(names).schema
     stream = (spark.readStream.schema(schema)
-              .option("pathGlobFilter", names)
+              .option("basePath", source_dir)          # partition columns of a folder are read from its paths
               .option("maxFilesPerTrigger", files_per_trigger)
-              .parquet(source_dir))
+              .parquet(names))
     feats = stream.select(
         "vec_id", "label", F.col("embedding").cast("array<double>").alias("features"))
     scored = SC.score_table(feats, model).drop("features")
