@@ -5,9 +5,15 @@ numbered once; every epoch is a keyed permutation of the numbers, cut into
 batches; batch g belongs to step ``g div world`` of rank ``g mod world``, so
 each row is drawn once per epoch, wherever it is stored and however long the
 run is.  ``sync_every`` steps form a round, one Spark job: each rank takes its
-steps on the rows of its batches, and a grouped aggregate over blocks of the
-parameters averages what the ranks return.  No task and no driver step holds
-more than one copy of the model (a rank's own, or the average).
+steps on the rows of its batches, and what the ranks return is averaged.
+
+The rounds of a stretch (about an epoch) are shuffled together, a partition per
+round and rank; a round's job then only runs the tasks of its own partitions
+and the driver averages their small states.  Where the states of all ranks
+exceed ``STATE_BYTES``, or a batch ``BATCH_BYTES``, a round shuffles its own rows
+and a grouped aggregate over blocks of the parameters averages: no task and no
+driver step then holds more than one copy of the model (a rank's own, or the
+average).  Both ways give the same parameters, bit for bit.
 
 A round is committed when its averaged state has been renamed into place in
 the run's folder; a lost task is simply run again.  A run whose driver was
@@ -21,7 +27,9 @@ from __future__ import annotations
 
 import hashlib
 import io
+import itertools
 import json
+import pickle
 import uuid
 from dataclasses import dataclass, field
 
@@ -38,6 +46,10 @@ from tessera.sources import fs
 
 BLOCK_VALUES = 65_536          # parameters averaged together by one task
 BUCKETS = 256                  # folders of an epoch table at most
+STATE_BYTES = 1 << 24          # parameters and momentum of all ranks that the driver averages itself
+BATCH_BYTES = 1 << 22          # a batch that is shuffled as one value
+STRETCH_PARTS = 1024           # partitions (one per round and rank) shuffled together at most
+STRETCH_ROWS = 1 << 16         # rows shuffled together: those of an epoch, or this many
 # kind: param | velocity (a block of values) | loss (of one step) | read (rows drawn) | prob (values of one row)
 ROUND_ROWS = ("kind string, name string, block int, rank int, values array<double>, "
               "step int, loss double, n long, epoch int, key_sum decimal(38,0)")
@@ -259,6 +271,52 @@ def _batches_of(arrow, width: int):
         yield whole()
 
 
+def _packed(data: DataFrame, lo: int, per_round: int, rounds: int, world: int, width: int):
+    """The batches from ``lo`` on as an RDD of pickled (g, epoch, keys, X, y),
+    a partition per round and rank.  Made by one shuffle of rows and one of
+    batches; a job on some of the partitions reads only these."""
+    def pack(arrow):
+        import pyarrow as pa
+        for rank, g, *batch in _batches_of(arrow, width):
+            part = (g - lo) // per_round * world + rank
+            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([g], pa.int64()),
+                                              pa.array([pickle.dumps((g, *batch))], pa.binary())],
+                                             names=["part", "g", "batch"])
+    rows = data.repartition("g").sortWithinPartitions("g", "position")
+    dealt = rows.mapInArrow(pack, "part int, g long, batch binary").repartitionById(rounds * world, F.col("part"))
+    return (dealt.sortWithinPartitions("g") if per_round > world else dealt).select("batch").rdd
+
+
+def _round_by_driver(spark, packed, at: int, world: int, model: Model, velocity: dict, steps):
+    """One round on ``world`` partitions of the packed batches from ``at`` on:
+    (averaged state, log rows).  ``steps(model, velocity, batches, rank)`` takes
+    a rank's steps."""
+    model_cls, start = type(model), (model.to_arrays(), velocity)
+
+    def run(rows):
+        batches = (pickle.loads(r[0]) for r in rows)
+        head = next(batches, None)
+        if head is None:
+            return
+        arrays, vel = start
+        m, rank = model_cls.from_arrays({k: v.copy() for k, v in arrays.items()}), head[0] % world
+        vel = {k: v.copy() for k, v in vel.items()}
+        out = steps(m, vel, itertools.chain([head], batches), rank)
+        yield rank, m.params, vel, *out
+    got = sorted(spark.sparkContext.runJob(packed, run, range(at, at + world)), key=lambda r: r[0])
+    logs = []
+    for rank, _, _, losses, reads, probs in got:
+        row = {"kind": None, "rank": rank, "values": None, "step": None, "loss": None, "n": None, "epoch": None, "key_sum": None}
+        logs += [{**row, "kind": "loss", "step": s, "loss": float(x), "n": n} for s, x, n in losses]
+        logs += [{**row, "kind": "read", "n": n, "epoch": e, "key_sum": int(t)} for e, (n, t) in reads.items()]
+        logs += [{**row, "kind": "prob", "values": p, "step": s, "key_sum": k} for s, k, p in probs]
+    state = {}
+    for kind, j in (("param", 1), ("velocity", 2)):
+        for name in model.params:
+            state[f"{kind}:{name}"] = np.stack([r[j][name] for r in got]).mean(axis=0)
+    return state, logs
+
+
 def default_world(rows: int, batch: int, slots: int) -> int:
     """Ranks of a run that names none: one per task slot, but no more than an
     epoch has batches."""
@@ -295,23 +353,40 @@ def train(df: DataFrame, model: Model, world: int | None = None, steps: int | No
     world = world or default_world(rows.count(), batch, slots or spark.sparkContext.defaultParallelism)
     print_ = _fingerprint(rows, model, world=world, batch=batch, lr=lr, momentum=momentum, seed=seed, log_every=log_every,
                           sync_every=sync, steps=steps, epochs=epochs)
-    table = EpochTables(rows, batch, seed, path, size=print_["rows"], span=sync * world)
+    per_round = sync * world
+    width = int(np.prod(model.shape)) if hasattr(model, "shape") else model.dim
+    small = 16 * model.n_params() * world <= STATE_BYTES and 8 * batch * width <= BATCH_BYTES
+    stretch = max(1, min(STRETCH_PARTS // world, -(-max(print_["rows"], STRETCH_ROWS) // (per_round * batch)))) if small else 1
+    table = EpochTables(rows, batch, seed, path, size=print_["rows"], span=stretch * per_round)
     total = epochs * table.per_epoch if epochs else (steps or 0) // world * world
     per_worker = -(-total // world)
     if per_worker < 1:
         raise ValueError(f"steps // world is {per_worker}; need at least one step")
     log = RoundLog(path, print_)
     resumed = log.done
-    width = int(np.prod(model.shape)) if hasattr(model, "shape") else model.dim
     velocity = {k: np.zeros_like(v) for k, v in model.params.items()}
     if log.done:
         model, velocity = _with_state(model, log.last())
     model_cls = type(model)          # referenced so the worker imports the model's module
     log_steps = {*range(0, per_worker, log_every), per_worker - 1}
     n_rounds = -(-per_worker // sync)
-    for i in range(log.done, n_rounds if stop_after is None else min(n_rounds, stop_after)):
+    upto = n_rounds if stop_after is None else min(n_rounds, stop_after)
+    packed, begun, ended = None, 0, 0
+    for i in range(log.done, upto):
         first = i * sync
         lo, hi = first * world, min(total, (first + sync) * world)
+        if small and i >= ended:
+            begun, ended = i, min(upto, (i // stretch + 1) * stretch)
+            data = table.batches(lo, min(total, ended * per_round)).withColumn("rank", (F.col("g") % world).cast("int"))
+            packed = _packed(data.select("rank", "g", "epoch", "position", "key", "features", "label"),
+                             lo, per_round, ended - begun, world, width)
+        if small:
+            def steps(m, vel, batches, rank, first=first):
+                return _rank_steps(m, vel, batches, rank, 0, world, lr * world, momentum, log_steps, (seed, first))
+            state, logs = _round_by_driver(spark, packed, (i - begun) * world, world, model, velocity, steps)
+            log.commit(i, state, logs)
+            model, velocity = _with_state(model, state)
+            continue
         data = table.batches(lo, hi).withColumn("rank", (F.col("g") % world).cast("int"))
         data = data.select("rank", "g", "epoch", "position", "key", "features", "label") \
             .repartitionById(world, F.col("rank")).sortWithinPartitions("rank", "g", "position")
@@ -319,8 +394,6 @@ def train(df: DataFrame, model: Model, world: int | None = None, steps: int | No
                                         **{"v:" + k: v for k, v in velocity.items()}})
 
         def run(arrow, bc=bc, lo=lo, first=first):
-            import itertools
-
             import pyarrow as pa
             for rank, own in itertools.groupby(_batches_of(arrow, width), key=lambda b: b[0]):
                 arrays = L.unpack_arrays(bc.value)

@@ -113,6 +113,41 @@ def test_recorded_probabilities_are_rank_zeros(spark):
     assert any(p != 0.1 for r in per[3] for p in r.probabilities)
 
 
+def test_rounds_of_a_stretch_are_shuffled_together(spark, monkeypatch):
+    """A round of small states and batches is a job on partitions that one
+    shuffle made for the whole stretch."""
+    calls, made = [], TR.EpochTables.batches
+
+    def batches(self, lo, hi):
+        calls.append((lo, hi))
+        return made(self, lo, hi)
+    monkeypatch.setattr(TR.EpochTables, "batches", batches)
+    kw = dict(world=2, epochs=2, batch=60, lr=0.05, seed=4, log_every=3, key="vec_id")
+    for sync in (1, 2):
+        calls.clear()
+        quick = TR.train(emb(spark), SoftmaxRegression(64), sync_every=sync, **kw)
+        assert calls == [(0, 18)] and len(quick.rounds) == (9 if sync == 1 else 5)
+        with monkeypatch.context() as m:
+            m.setattr(TR, "STRETCH_ROWS", 0)           # stretches of an epoch
+            calls.clear()
+            cut = TR.train(emb(spark), SoftmaxRegression(64), sync_every=sync, **kw)
+            assert len(calls) == 2
+            m.setattr(TR, "STATE_BYTES", 0)            # averaged by blocks, a shuffle per round
+            calls.clear()
+            blocks = TR.train(emb(spark), SoftmaxRegression(64), sync_every=sync, **kw)
+            assert len(calls) == len(blocks.rounds) == len(quick.rounds)
+        key = lambda df: sorted(map(str, df.collect()))
+        for other in (cut, blocks):
+            assert same(quick.model, other.model) and key(quick.probabilities) == key(other.probabilities)
+            assert key(quick.history) == key(other.history) and key(quick.reads) == key(other.reads)
+
+
+def test_ranks_without_batches_do_not_hold_up_a_round(spark):
+    few = emb(spark).where("vec_id < 50")
+    res = TR.train(few, SoftmaxRegression(64), 4, epochs=3, batch=40, key="vec_id")
+    assert sum(r.n for r in res.reads.collect()) == 150 and len(res.rounds) == 2
+
+
 # ---- means without a row per element ----
 
 def test_wide_means(spark, monkeypatch):
