@@ -20,13 +20,14 @@ earlier (smaller document id, or same document and earlier position).
    context, are compared by hash instead.  Should such a group still exceed
    GROUP, it is dealt to several by document.
 5. In a group the anchors' suffixes are sorted into an enhanced suffix array
-   (order and longest common prefixes).  A stack scan gives the common-prefix
-   intervals.  In each interval the left contexts are sorted backwards and
-   scanned the same way: an interval of L common bytes to the left whose
-   members' next left bytes differ and R to the right is one maximal repeat
-   group with all its occurrences.  Where L + R >= LENGTH all of them but the
-   earliest are marked; a context returns the bytes marked around its anchor
-   as one range.
+   (order and longest common prefixes), and the left contexts, read backwards,
+   into another.  Contexts whose neighbours in both orders share less than
+   LENGTH bytes in all are in no repeat.  For the others, and each L from 0 to
+   the whole left context, the tree of common-prefix intervals is cut at depth
+   LENGTH - L, that of the left contexts at depth L: the contexts in the same
+   interval of both are all the occurrences of one string of LENGTH bytes that
+   starts L bytes before the anchor.  All of them but the earliest are marked;
+   a context returns the bytes marked around its anchor as one range.
 6. Strings near the edges of hot anchors, and those of groups dealt by document
    that no earlier one in the own group covers, meet by hash (128 bits).
 7. Marked ranges are joined to the documents, merged and cut out.
@@ -50,10 +51,11 @@ from tessera.llm import common as C
 LENGTH = 100
 K = 32
 LEFT, RIGHT = LENGTH - K, LENGTH       # context before and from the anchor
-GROUP = 1024                   # contexts compared in one group
+GROUP = 1 << 15                # contexts compared in one group
 EDGE = 6                       # bytes beside the anchor that split the contexts of a hot one
 CHUNK = 1 << 13                # contexts of small groups worked on together
-SEGMENT = 1 << 20
+SEGMENT = 1 << 15              # bytes whose anchors are sought at once
+BLOCK = 1 << 17                # bytes of texts worked on together
 TABLE2 = C.random_table("substring context")
 
 
@@ -67,19 +69,22 @@ def _sliding(h: np.ndarray, w: int, best) -> np.ndarray:
     return out
 
 
-def anchors(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(positions, hashes) of the anchors of one text."""
+def anchors(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(positions, hashes) of the anchors of texts laid end to end, the i-th
+    being data[bounds[i]:bounds[i + 1]]."""
     pos, val = [], []
+    w = LENGTH - K + 1
+    edge = np.zeros(w - 1, C.U64)
     for lo in range(0, max(1, len(data) - LENGTH + 1), SEGMENT):
         part = data[lo:lo + SEGMENT + LENGTH - 1]
         if len(part) < LENGTH:
             continue
         c = C.prefix_hash(part)
-        start = np.arange(len(part) - K + 1)
-        h = C.range_hash(c, start, start + K)
-        w = LENGTH - K + 1
+        _, q = C.powers(len(c))
+        h = C.mix((c[K:] - c[:-K]) * q[:len(c) - K] + C.U64(K))
         least = _sliding(h, w, np.minimum)
-        edge = np.zeros(w - 1, C.U64)
+        for e in (bounds[np.searchsorted(bounds, lo, "right"):np.searchsorted(bounds, lo + len(part))] - lo).tolist():
+            least[max(0, e - LENGTH + 1):e] = 0        # strings across the end of a text
         most = _sliding(np.concatenate((edge, least, edge)), w, np.maximum)
         at = np.flatnonzero(most == h)
         pos.append(at + lo)
@@ -97,16 +102,21 @@ def anchor_rows(docs: DataFrame) -> DataFrame:
     """(h, ch, doc, at): hashes of anchor and context; at = tag and position in
     one number, so that (doc, at) orders all positions."""
     def run(batches):
-        for rows in C.rows_of(batches, "doc", "tag", "text"):
-            for doc, tag, text in rows:
-                data = C.utf8(text)
-                p, h = anchors(data)
-                if not len(p):
-                    continue
-                a, b = np.maximum(0, p - LEFT), np.minimum(len(data), p + RIGHT)
+        for batch in batches:
+            every, ends = C.text_bytes(batch.column("text"))
+            doc, tag = batch.column("doc").to_numpy(), batch.column("tag").to_numpy()
+            i = 0
+            while i < len(doc):                        # texts of about BLOCK bytes at once
+                j = max(i + 1, int(np.searchsorted(ends, ends[i] + BLOCK, "right")) - 1)
+                data, bounds = every[ends[i]:ends[j]], ends[i:j + 1] - ends[i]
+                p, h = anchors(data, bounds)
+                row = np.searchsorted(bounds, p, "right") - 1
+                first = bounds[row]
+                a, b = np.maximum(first, p - LEFT), np.minimum(bounds[row + 1], p + RIGHT)
                 ch = C.mix(C.range_hash(C.prefix_hash(data, TABLE2), a, b) + (p - a).astype(C.U64)).view(np.int64)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(h), pa.array(ch), pa.array(np.full(len(p), doc)), pa.array(p + (tag << 32))], schema=ANCHORS)
+                yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(ch), pa.array(doc[i + row]),
+                                                  pa.array(p - first + (tag[i + row] << 32))], schema=ANCHORS)
+                i = j
     return docs.select("doc", "tag", "text").mapInArrow(run, "h long, ch long, doc long, at long")
 
 
@@ -114,40 +124,70 @@ CONTEXTS = pa.schema([("h", pa.int64()), ("hot", pa.bool_()), ("doc", pa.int64()
                       ("tag", pa.int64()), ("pos", pa.int64()), ("left", pa.binary()), ("right", pa.binary())])
 
 
+def _pieces(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> pa.Array:
+    """data[start:end] of each pair, as a binary column."""
+    off = np.zeros(len(start) + 1, np.int32)
+    np.cumsum(end - start, out=off[1:])
+    index = np.repeat(start - off[:-1], end - start) + np.arange(off[-1])
+    return pa.Array.from_buffers(pa.binary(), len(start), [None, pa.py_buffer(off), pa.py_buffer(data[index])])
+
+
 def context_rows(wanted: DataFrame, docs: DataFrame) -> DataFrame:
     """Contexts of the anchors (h, hot, doc, tag, pos), cut from whole texts."""
     per = wanted.groupBy("doc", "tag").agg(F.collect_list(F.struct("pos", "h", "hot")).alias("at"))
     rows = C.settle(per, "substring-wanted").join(docs.select("doc", "tag", "text"), ["doc", "tag"])
 
     def run(batches):
-        for chunk in C.rows_of(batches, "doc", "tag", "text", "at", chunk=64):
-            for doc, tag, text, at in chunk:
-                b = (text or "").encode("utf-8", "replace")
-                out = [(x["h"], x["hot"], doc, tag, x["pos"], b[max(0, x["pos"] - LEFT):x["pos"]],
-                        b[x["pos"]:x["pos"] + RIGHT]) for x in at]
+        for batch in batches:
+            data, bounds = C.text_bytes(batch.column("text"))
+            row, (pos, h, hot) = C.list_fields(batch.column("at"))
+            doc, tag = batch.column("doc").to_numpy(), batch.column("tag").to_numpy()
+            for i in range(0, len(row), CHUNK):
+                r, p = row[i:i + CHUNK], pos[i:i + CHUNK]
+                at = bounds[r] + p
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(c, f.type) for c, f in zip(zip(*out), CONTEXTS)], schema=CONTEXTS)
+                    [pa.array(x) for x in (h[i:i + CHUNK], hot[i:i + CHUNK], doc[r], tag[r], p)]
+                    + [_pieces(data, np.maximum(bounds[r], at - LEFT), at),
+                       _pieces(data, at, np.minimum(bounds[r + 1], at + RIGHT))], schema=CONTEXTS)
     return rows.select("doc", "tag", "text", "at").mapInArrow(
         run, "h long, hot boolean, doc long, tag long, pos long, `left` binary, `right` binary")
 
 
+def window_hashes(left, right, index: np.ndarray, reach: np.ndarray) -> list[np.ndarray]:
+    """Two hashes of the LENGTH bytes from ``reach`` bytes before the anchor of
+    the contexts ``index``; ``left`` (backwards) and ``right``: byte rows."""
+    rows, at = np.unique(index, return_inverse=True)
+    data = np.concatenate((left[rows, ::-1], right[rows]), 1)
+    p, q = C.powers(LEFT + RIGHT)
+    out = []
+    for table in (C.BYTE, TABLE2):
+        c = np.zeros((len(rows), LEFT + RIGHT + 1), C.U64)
+        np.cumsum(table[data] * p[:LEFT + RIGHT], axis=1, out=c[:, 1:])
+        start = LEFT - reach
+        out.append(C.mix((c[at, start + LENGTH] - c[at, start]) * q[start] + C.U64(LENGTH)).view(np.int64))
+    return out
+
+
+def window_rows(doc, tag, pos, left, right, index, reach):
+    """MARKS batches of the windows ``reach`` before the anchors ``index``."""
+    cuts = np.flatnonzero(np.diff(index // CHUNK)) + 1     # bounded arrays of contexts
+    for i, el in zip(np.split(index, cuts), np.split(reach, cuts)):
+        if len(i):
+            start = pos[i] - el
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (
+                doc[i], tag[i], start, start + LENGTH, *window_hashes(left, right, i, el))], schema=MARKS)
+
+
 def edge_windows(contexts: DataFrame) -> DataFrame:
     """The strings over a hot anchor that reach less than EDGE bytes to its
     left or right: (doc, tag, start, end, w1, w2)."""
     def run(batches):
-        for rows in C.rows_of(batches, "doc", "tag", "pos", "left", "right"):
-            out = []
-            for doc, tag, pos, left, right in rows:
-                data = np.frombuffer(left + right, np.uint8)
-                lo, n = len(left), len(data) - LENGTH + 1
-                at = np.arange(max(0, n))
-                at = at[(lo - at < EDGE) | (at + LENGTH - lo - K < EDGE)]
-                if len(at):
-                    w = [C.range_hash(C.prefix_hash(data, t), at, at + LENGTH).view(np.int64) for t in (C.BYTE, TABLE2)]
-                    start = at + pos - lo
-                    out.append((np.full(len(at), doc), np.full(len(at), tag), start, start + LENGTH, *w))
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], schema=MARKS)
+        near = np.array([el for el in range(LEFT + 1) if el < EDGE or LEFT - el < EDGE])
+        for b in batches:
+            doc, tag, pos = (b.column(n).to_numpy() for n in ("doc", "tag", "pos"))
+            (lb, ls), (rb, rs) = _padded(b.column("left"), LEFT, True), _padded(b.column("right"), RIGHT, False)
+            index, at = np.nonzero((ls[:, None] >= near) & (rs[:, None] >= LENGTH - near))
+            yield from window_rows(doc, tag, pos, lb, rb, index, near[at])
     return contexts.select("doc", "tag", "pos", "left", "right").mapInArrow(
         run, "doc long, tag long, start long, `end` long, w1 long, w2 long")
 
@@ -193,27 +233,26 @@ def intervals(lcp) -> list[tuple[int, int, int]]:
     return out
 
 
+def cut_tree(lcp: np.ndarray, depth: int) -> np.ndarray:
+    """The interval of each suffix when the tree of common-prefix intervals is
+    cut at ``depth``: the widest of ``intervals`` of that depth at least, or the
+    suffix alone, numbered in order.  ``lcp``: common prefixes of neighbours, -1
+    between groups."""
+    out = np.zeros(len(lcp) + 1, np.int64)
+    np.cumsum(lcp < depth, out=out[1:])
+    return out
+
+
 def mark_groups(h, salt, hot, doc, tag, pos, left, right):
     """Marked bytes within groups of equal (h, salt).
 
     ``left`` (backwards) and ``right`` are (byte rows, lengths).  Returns, per
     context, how far its marked bytes reach to the left and right of the anchor
-    (all of its ranges hold the anchor, so they join up), the indices of the
-    distinct contexts, and of hot ones the single ranges (index, left, right)."""
+    (all of its ranges hold the anchor, so they join up), and the strings over
+    hot anchors that no earlier context of the group has: (index, bytes before
+    the anchor)."""
     (lb, ls), (rb, rs) = left, right
     reach_l, reach_r = np.zeros(len(h), np.int64), np.zeros(len(h), np.int64)
-    found = []
-
-    def mark(i, el, r):
-        """All contexts of a repeat but the earliest."""
-        first = i[rank[i].argmin()]
-        own = reach_l[first], reach_r[first]
-        reach_l[i] = np.maximum(reach_l[i], el)
-        reach_r[i] = np.maximum(reach_r[i], r)
-        reach_l[first], reach_r[first] = own
-        if hot[first]:
-            i = i[i != first]
-            found.append((i, np.broadcast_to(el, len(i)), np.broadcast_to(r, len(i))))
     rank = np.empty(len(h), np.int64)
     rank[np.lexsort((pos, tag, doc))] = np.arange(len(h))
     order = np.lexsort((rank, ls, *_keys(lb)[::-1], rs, *_keys(rb)[::-1], salt, h))
@@ -223,118 +262,80 @@ def mark_groups(h, salt, hot, doc, tag, pos, left, right):
     other = (doc[a] != doc[b]) | (tag[a] != tag[b]) | (pos[a] != pos[b])
     full = b[same & other & (ls[b] + rs[b] >= LENGTH)]
     reach_l[full], reach_r[full] = ls[full], rs[full]
-    every = own = order[np.concatenate(([True], ~same))]       # the earliest of each distinct context
+    own = order[np.concatenate(([True], ~same))] if len(order) else order      # the earliest of each distinct context
+    seek = own[hot[own]]                               # hot: strings not met in the group are sought beyond it
+    place = np.full(len(h), -1)
+    place[seek] = np.arange(len(seek))
+    reach = np.arange(LEFT + 1)
+    free = (ls[seek, None] >= reach) & (rs[seek, None] >= LENGTH - reach)
 
     def neighbours(rows, size, x):
-        """Common lengths of neighbours of one group, 0 between groups."""
+        """Common lengths of neighbours of one group, -1 between groups."""
         a, b = x[:-1], x[1:]
         near = (h[a] == h[b]) & (salt[a] == salt[b])
-        return near, np.where(near, _common(rows[a], rows[b], size[a], size[b]), 0)
+        return np.where(near, _common(rows[a], rows[b], size[a], size[b]), -1)
+
+    def backwards(x):
+        return x[np.lexsort((ls[x], *_keys(lb[x])[::-1], salt[x], h[x]))]
 
     def greatest(common):
-        return np.maximum(np.append(common, 0), np.append(0, common))[:len(common) + 1]
+        return np.maximum(np.append(common, -1), np.append(-1, common))
     # nobody shares more with a context than its neighbours in each order: contexts that fall
-    # short of LENGTH even so are in no repeat, and only the others are scanned
-    near, lcp = neighbours(rb, rs, own)
-    left_rank = np.empty(len(h), np.int64)
+    # short of LENGTH even so are in no repeat, and only the others go on
     if len(own):
         most = np.empty(len(h), np.int64)
-        back = own[np.lexsort((ls[own], *_keys(lb[own])[::-1], salt[own], h[own]))]
-        left_rank[back] = np.arange(len(back))
-        most[back] = greatest(neighbours(lb, ls, back)[1])
-        own = own[most[own] + greatest(lcp) >= LENGTH]
-        near, lcp = neighbours(rb, rs, own)
-    ends = np.concatenate((np.flatnonzero(~near), [len(own) - 1])) if len(own) else np.zeros(0, int)
-    starts = np.concatenate(([0], ends[:-1] + 1)) if len(own) else ends
-    size = ends - starts + 1
-
-    two = starts[size == 2]                            # one interval, one pair
-    x, y = own[two], own[two + 1] if len(two) else own[two]
-    r, el = lcp[two] if len(two) else np.zeros(0, int), _common(lb[x], lb[y], ls[x], ls[y])
-    ok = r + el >= LENGTH
-    later = np.where(rank[x] > rank[y], x, y)[ok]
-    reach_l[later], reach_r[later] = el[ok], r[ok]
-    hot_two = hot[later]
-    found.append((later[hot_two], el[ok][hot_two], r[ok][hot_two]))
-
-    for s, n in zip(starts[size > 2].tolist(), size[size > 2].tolist()):
-        members = own[s:s + n]
-        for depth, first, last in intervals(lcp[s:s + n - 1].tolist()):
-            if depth < K:
+        back = backwards(own)
+        most[back] = greatest(neighbours(lb, ls, back))
+        own = own[(most[own] >= 0) & (most[own] + greatest(neighbours(rb, rs, own)) >= LENGTH)]
+    if len(own):
+        back, early = backwards(own), own[np.argsort(rank[own])]
+        lcp_r, lcp_l = neighbours(rb, rs, own), neighbours(lb, ls, back)
+        at_r, at_l, most_r, most_l = (np.empty(len(h), np.int64) for _ in range(4))
+        at_r[own] = at_l[back] = np.arange(len(own))
+        most_r[own], most_l[back] = greatest(lcp_r), greatest(lcp_l)
+        at_r, at_l, most_r, most_l = (x[early] for x in (at_r, at_l, most_r, most_l))
+        bits = len(own).bit_length()                   # groups are bounded: three numbers fit 64 bits
+        if 3 * bits > 63:
+            raise ValueError(f"{len(own)} contexts in one group")
+        for el in range(LEFT + 1):
+            # contexts with a string from el bytes before the anchor in common: one interval of the
+            # suffixes from the anchor, cut at the rest of LENGTH, and one of those backwards, cut at el
+            i = np.flatnonzero((most_r >= LENGTH - el) & (most_l >= el))
+            if len(i) < 2:
                 continue
-            node = members[first:last + 1]
-            node = node[np.argsort(left_rank[node])]
-            common = _common(lb[node[:-1]], lb[node[1:]], ls[node[:-1]], ls[node[1:]])
-            for el, lo, hi in intervals(common.tolist()):
-                if el + depth >= LENGTH:
-                    mark(node[lo:hi + 1], el, depth)
-            if depth >= LENGTH and not common.all():   # nothing common to the left
-                mark(node, 0, depth)
-    return reach_l, reach_r, every, tuple(np.concatenate([m[j] for m in found]) for j in range(3))
+            key = np.sort((cut_tree(lcp_r, LENGTH - el)[at_r[i]] << 2 * bits) | (cut_tree(lcp_l, el)[at_l[i]] << bits) | i)
+            i = early[key[1:][key[1:] >> bits == key[:-1] >> bits] & ((1 << bits) - 1)]   # all but the earliest
+            reach_l[i], reach_r[i] = el, np.maximum(reach_r[i], LENGTH - el)
+            free[place[i[hot[i]]], el] = False
+    k, el = np.nonzero(free)
+    return reach_l, reach_r, seek[k], el
 
 
 MARKS = pa.schema([("doc", pa.int64()), ("tag", pa.int64()), ("start", pa.int64()), ("end", pa.int64()),
                    ("w1", pa.int64()), ("w2", pa.int64())])
 
 
-def _open_windows(own, ranges, pos, left, right):
-    """(index, start, two hashes) of windows over the anchors ``own`` that no
-    single range covers."""
-    (lb, ls), (rb, rs) = left, right
-    covered = {}
-    for k, el, r in zip(*(x.tolist() for x in ranges)):
-        covered.setdefault(k, []).append((pos[k] - el, pos[k] + r))
-    out = []
-    for k in own.tolist():
-        data = np.concatenate((lb[k, :ls[k]][::-1], rb[k, :rs[k]]))
-        n = len(data) - LENGTH + 1
-        if n <= 0:
-            continue
-        free = np.ones(n, bool)
-        base = pos[k] - ls[k]
-        for a, b in covered.get(k, ()):
-            free[max(0, a - base):max(0, b - LENGTH + 1 - base)] = False
-        at = np.flatnonzero(free)
-        w = [C.range_hash(C.prefix_hash(data, t), at, at + LENGTH).view(np.int64) for t in (C.BYTE, TABLE2)]
-        out.append((np.full(len(at), k), at + base, *w))
-    if not out:
-        z = np.zeros(0, np.int64)
-        return z, z, z, z
-    return tuple(np.concatenate([o[j] for o in out]) for j in range(4))
-
-
 def group_rows(contexts: DataFrame) -> DataFrame:
     """(doc, tag, start, end, w1, w2): marked ranges, and, with hashes, windows
     of hot anchors still to be compared across their groups."""
     rows = contexts.repartition("h", "salt").sortWithinPartitions("h", "salt")
 
-    def work(tables):
-        t = pa.concat_tables(tables).combine_chunks()
+    def work(t):
+        t = t.combine_chunks()
         col = lambda n: t.column(n).to_numpy()
         h, salt, hot, doc, tag, pos = (col(n) for n in ("h", "salt", "hot", "doc", "tag", "pos"))
         left, right = _padded(t.column("left").combine_chunks(), LEFT, True), _padded(
             t.column("right").combine_chunks(), RIGHT, False)
-        reach_l, reach_r, own, ranges = mark_groups(h, salt, hot, doc, tag, pos, left, right)
+        reach_l, reach_r, index, el = mark_groups(h, salt, hot, doc, tag, pos, left, right)
         i = np.flatnonzero(reach_r)
         none = pa.nulls(len(i), pa.int64())
         yield pa.RecordBatch.from_arrays(
             [pa.array(x) for x in (doc[i], tag[i], pos[i] - reach_l[i], pos[i] + reach_r[i])] + [none, none], schema=MARKS)
-        if hot.any():
-            k, at, w1, w2 = _open_windows(own[hot[own]], ranges, pos, left, right)
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (
-                doc[k], tag[k], at, at + LENGTH, w1, w2)], schema=MARKS)
+        yield from window_rows(doc, tag, pos, left[0], right[0], index, el)
 
     def run(batches):
-        held, n = [], 0
-        for g in C.runs(batches, "h", "salt"):
-            if g.num_rows > 1 or g.column("hot")[0].as_py():
-                held.append(g)
-                n += g.num_rows
-            if n >= CHUNK:
-                yield from work(held)
-                held, n = [], 0
-        if held:
-            yield from work(held)
+        for t in C.whole_groups(batches, CHUNK, "h", "salt"):
+            yield from work(t)
     return rows.mapInArrow(run, "doc long, tag long, start long, `end` long, w1 long, w2 long")
 
 

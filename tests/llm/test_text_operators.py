@@ -8,6 +8,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tests.llm.conftest import DOCS, SF
@@ -238,6 +239,82 @@ def test_intervals():
     assert sorted(substrings.intervals([1, 3, 0, 0, 2])) == [(1, 0, 2), (2, 4, 5), (3, 1, 2)]
 
 
+def test_cut_tree_takes_the_last_intervals_above():
+    rng = random.Random(3)
+    for _ in range(50):
+        lcp = [rng.choice([-1, 0, 1, 2, 3, 5]) for _ in range(rng.randint(0, 12))]
+        for depth in range(1, 6):
+            got = substrings.cut_tree(np.array(lcp, np.int64), depth).tolist()
+            tree = [(f, e) for d, f, e in substrings.intervals([max(0, x) for x in lcp]) if d >= depth]
+            for i in range(len(lcp) + 1):
+                first, last = min([(f, e) for f, e in tree if f <= i <= e], key=lambda x: x[0] - x[1], default=(i, i))
+                assert [j for j, x in enumerate(got) if x == got[i]] == list(range(first, last + 1))
+
+
+def test_anchors_of_texts_end_to_end(monkeypatch):
+    rng = np.random.default_rng(4)
+    parts = [rng.integers(0, 3, n).astype(np.uint8) for n in (100, 99, 700, 0, 101, 300, 1)]
+    bounds = np.concatenate(([0], np.cumsum([len(x) for x in parts])))
+    one = [substrings.anchors(x, np.array([0, len(x)])) for x in parts]
+    want = [(p + b, h) for (at, hs), b in zip(one, bounds.tolist()) for p, h in zip(at.tolist(), hs.tolist())]
+    for segment in (1, 64, 500, 1 << 15):
+        monkeypatch.setattr(substrings, "SEGMENT", segment)
+        at, hs = substrings.anchors(np.concatenate(parts), bounds)
+        assert list(zip(at.tolist(), hs.tolist())) == want
+
+
+def test_contexts_of_a_frequent_anchor_are_compared_without_window_rows(docs, monkeypatch):
+    # 1,500 texts share 40 bytes, pairs of them 120: one group, no strings to compare by hash
+    rng = random.Random(5)
+    text = lambda n: "".join(rng.choices("abcdefgh", k=n))
+    shared, pairs, sizes, settle = text(40), [text(40) for _ in range(750)], {}, common.settle
+    items = [text(90) + pairs[i // 2] + shared + pairs[i // 2][::-1] + text(90) for i in range(1500)]
+
+    def counted(df, name):
+        out = settle(df, name)
+        if name in ("substring-marks", "substring-edges"):
+            sizes[name] = out.where("w1 is not null").count()
+        return out
+    monkeypatch.setattr(common, "settle", counted)
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in substrings.dedup_substrings(docs(items)).collect()}
+    assert got == cut_brute(list(enumerate(items)))
+    assert sum(n > 0 for _, n, _, _ in got.values()) == 750
+    assert sizes == {"substring-marks": 0, "substring-edges": 0}
+
+
+def test_whole_groups_end_where_a_group_does():
+    rng = random.Random(6)
+    for rows in (1, 3, 10, 1000):
+        keys = sorted((rng.randint(0, 9), rng.randint(0, 2)) for _ in range(200))
+        t = pa.table({"a": [k[0] for k in keys], "b": [k[1] for k in keys], "n": list(range(200))})
+        got = list(common.whole_groups(t.to_batches(max_chunksize=rng.randint(1, 40)), rows, "a", "b"))
+        assert [n for g in got for n in g["n"].to_pylist()] == list(range(200))
+        ends = [tuple(g.select(["a", "b"]).slice(i, 1).to_pylist()[0].values()) for g in got for i in (0, g.num_rows - 1)]
+        assert all(x != y for x, y in zip(ends[1::2], ends[2::2]))
+        assert len(got) == 1 if rows == 1000 else len(got) > 1
+
+
+def test_cut_out_of_overlapping_and_touching_ranges(spark, frame):
+    rng = random.Random(7)
+    src, want, ranges = [], {}, []
+    for i in range(1300):
+        t = rng.choice([None, "", "é🙂", "a" * 30, "".join(rng.choices("xyzé🙂", k=rng.randint(1, 60)))])
+        b = (t or "").encode()
+        cuts = [(a, a + rng.randint(1, 20)) for a in (rng.randrange(len(b)) for _ in range(rng.randint(0, 5)))] if b else []
+        gone = np.zeros(len(b), bool)
+        for a, e in cuts:
+            gone[a:e] = True
+        src.append((i, 0, i, t))
+        if cuts:
+            ranges.append((i, 0, cuts))
+        kept = bytes(np.frombuffer(b, np.uint8)[~gone])
+        want[i] = (len(b), int(gone.sum()), int((np.diff(np.concatenate(([0], gone.astype(int)))) == 1).sum()),
+                   hashlib.sha256(kept).hexdigest(), kept)
+    rows = common.cut_out(frame(src, "doc long, tag long, doc_id long, text string"),
+                          frame(ranges, "doc long, tag long, ranges array<struct<start: long, `end`: long>>"), keep_bytes=True)
+    assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256, bytes(r.kept)) for r in rows.collect()} == want
+
+
 # ---- chunks ----
 
 def test_gear_is_the_rolling_hash():
