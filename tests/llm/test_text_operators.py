@@ -264,11 +264,11 @@ def test_anchors_of_texts_end_to_end(monkeypatch):
 
 
 def test_contexts_of_a_frequent_anchor_are_compared_without_window_rows(docs, monkeypatch):
-    # 1,500 texts share 40 bytes, pairs of them 120: one group, no strings to compare by hash
+    # 2,000 texts share 80 bytes, pairs of them 160: one group, no strings to compare by hash
     rng = random.Random(5)
     text = lambda n: "".join(rng.choices("abcdefgh", k=n))
-    shared, pairs, sizes, settle = text(40), [text(40) for _ in range(750)], {}, common.settle
-    items = [text(90) + pairs[i // 2] + shared + pairs[i // 2][::-1] + text(90) for i in range(1500)]
+    shared, pairs, sizes, settle = text(80), [text(40) for _ in range(1000)], {}, common.settle
+    items = [text(90) + pairs[i // 2] + shared + pairs[i // 2] + text(90) for i in range(2000)]
 
     def counted(df, name):
         out = settle(df, name)
@@ -278,7 +278,7 @@ def test_contexts_of_a_frequent_anchor_are_compared_without_window_rows(docs, mo
     monkeypatch.setattr(common, "settle", counted)
     got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in substrings.dedup_substrings(docs(items)).collect()}
     assert got == cut_brute(list(enumerate(items)))
-    assert sum(n > 0 for _, n, _, _ in got.values()) == 750
+    assert sum(n > 0 for _, n, _, _ in got.values()) == 1000
     assert sizes == {"substring-marks": 0, "substring-edges": 0}
 
 
