@@ -2,7 +2,9 @@
 
 A model file gives the pieces with their scores.  Texts are split where no
 piece can cross (before a run of spaces, and around line breaks when no piece
-holds one); each distinct word is encoded once per worker.  Words of equal
+holds one); a worker remembers the ids of the words it met last, within
+``KEPT_BYTES``, and works on blocks of ``BLOCK`` characters, so what it holds
+does not grow with the rows it has seen.  Words of equal
 length advance together, one position at a time: hashes of all substrings up to
 the longest piece probe the sorted piece keys, the maximum over the pieces that
 end at a position is taken for all words at once, and its piece is stored as
@@ -35,10 +37,13 @@ from __future__ import annotations
 
 import hashlib
 import re
+from collections.abc import Iterator
 from functools import lru_cache
+from sys import getsizeof
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -47,10 +52,13 @@ from tessera.llm import common as C
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MAX_PIECES = 1 << 20
 MARK = "▁"
-KEPT_WORDS = 1 << 20           # words remembered per worker
-KEPT_PAIRS = 1 << 22
+KEPT_BYTES = 1 << 25           # of words remembered per worker, twice: those met last and those before
+KEPT_PAIRS = 1 << 21
+BLOCK = 1 << 22                # characters of texts encoded at once, or one longer text
 CELLS = 1 << 21                # substrings probed at once
+FILTER = 1 << 22
 UNIGRAM, BPE = 1, 2
+ENTRY = 100                    # bytes of a dictionary for an entry
 NONE = -np.inf
 
 
@@ -107,6 +115,9 @@ class Pieces:
         self.keys, self.ids = keys[order], normal[order].astype(np.int32)
         if (self.keys[1:] == self.keys[:-1]).any():
             raise ValueError("two pieces share a hash")
+        # the low bits that some key has: most substrings are no piece and need no search
+        self.filter = np.zeros(min(FILTER, 32 << len(normal).bit_length()), bool)
+        self.filter[self.keys & C.U64(len(self.filter) - 1)] = True
         crossing = any(MARK in self.pieces[i].lstrip(MARK) for i in normal)
         lines = any("\n" in self.pieces[i] for i in normal)
         self.pattern = ("(?s).+" if crossing else f"{MARK}+[^{MARK}]*|[^{MARK}]+" if lines
@@ -148,8 +159,12 @@ class Pieces:
 
     def probe(self, keys: np.ndarray) -> np.ndarray:
         """Ids of the pieces with these keys, -1 where there is none."""
+        out = np.full(keys.shape, -1, np.int32)
+        may = self.filter[keys & C.U64(len(self.filter) - 1)]
+        keys = keys[may]
         at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
-        return np.where(self.keys[at] == keys, self.ids[at], np.int32(-1))
+        out[may] = np.where(self.keys[at] == keys, self.ids[at], np.int32(-1))
+        return out
 
     def admissible(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Whether merging the characters of a and b gives back (a, b)."""
@@ -180,6 +195,8 @@ class Encoder:
         self.m = model
         self.split = re.compile(model.pattern).findall
         self.words: dict[str, bytes] = {}    # ids as int32 bytes, which join fast
+        self.before: dict[str, bytes] = {}   # words remembered until they are met again
+        self.held = 0                        # bytes of the words met last
         self.pair_keys, self.pair_ok = np.zeros(0, np.int64), np.zeros(0, bool)
         self.plain = [x.replace(MARK, " ").encode() for x in model.pieces]
         for b, i in enumerate(model.bytes.tolist()):
@@ -265,30 +282,45 @@ class Encoder:
                 at += 1
         return np.array(out, np.int32)
 
+    def _keep(self, word: str, ids: bytes) -> None:
+        self.words[word] = ids
+        self.held += getsizeof(word) + getsizeof(ids) + ENTRY
+
+    def recall(self, word: str) -> bytes | None:
+        """The remembered ids of a word."""
+        ids = self.words.get(word)
+        if ids is None:
+            ids = self.before.get(word)
+            if ids is not None:
+                self._keep(word, ids)
+        return ids
+
     def learn(self, words) -> None:
-        """Encode the words that are not remembered, equal lengths together."""
+        """Encode words that are not remembered, equal lengths together."""
         by: dict[int, list[str]] = {}
         for w in words:
-            if w not in self.words:
-                by.setdefault(len(w), []).append(w)
+            by.setdefault(len(w), []).append(w)
         for length, group in by.items():
             step = max(1, CELLS // (length * min(self.m.longest, length)))
             for i in range(0, len(group), step):
                 part = group[i:i + step]
                 points = _points("".join(part)).reshape(len(part), length)
                 for w, (ids, unknown) in zip(part, self.viterbi(points)):
-                    self.words[w] = (self._finish(w, ids) if unknown else ids).tobytes()
+                    self._keep(w, (self._finish(w, ids) if unknown else ids).tobytes())
 
     def encode(self, texts: list) -> list[np.ndarray]:
         """Ids of each text."""
-        texts = [(t or "").encode("utf-8", "replace").decode().replace(" ", MARK) for t in texts]
-        words = [self.split(MARK + t if self.m.prefix else t) if t else [] for t in texts]
-        new = set().union(*words)
-        if len(self.words) > KEPT_WORDS:
-            self.words = {}
+        if self.held > KEPT_BYTES:
+            self.before, self.words, self.held = self.words, {}, 0
+        known, recall, new, rows = self.words.get, self.recall, {}, []
+        for t in texts:
+            t = (t or "").encode("utf-8", "replace").decode().replace(" ", MARK)
+            # of each word the remembered ids, or the one copy of the word itself until it is learnt
+            rows.append([known(w) or recall(w) or new.setdefault(w, w)
+                         for w in (self.split(MARK + t if self.m.prefix else t) if t else [])])
         self.learn(new)
         at = self.words.__getitem__
-        return [np.frombuffer(b"".join(map(at, ws)), np.int32) for ws in words]
+        return [np.frombuffer(b"".join([x if type(x) is bytes else at(x) for x in ws]), np.int32) for ws in rows]
 
     def decode(self, ids) -> str:
         plain = self.plain
@@ -311,6 +343,19 @@ def _encoder(shared) -> Encoder:
     return _ENCODERS[0]
 
 
+def blocks(batch: pa.RecordBatch, rows: int = 1024) -> Iterator[pa.RecordBatch]:
+    """Slices of up to ``rows`` rows and ``BLOCK`` characters (in UTF-8 bytes)
+    of text, or of one row with a longer text."""
+    size = pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False)
+    end = np.cumsum(size, dtype=np.int64)
+    at = 0
+    while at < batch.num_rows:
+        full = int(np.searchsorted(end, end[at] - size[at] + BLOCK, side="right"))
+        to = min(max(full, at + 1), at + rows, batch.num_rows)
+        yield batch.slice(at, to - at)
+        at = to
+
+
 def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: str = MODEL) -> DataFrame:
     """(doc_id, n_tokens, ids, decoded_sha256, round_trip) for each row:
     round_trip tells whether decoding the ids gives the text."""
@@ -322,16 +367,22 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mode
 
     def run(batches):
         enc = _encoder(shared)
-        for rows in C.rows_of(batches, "doc_id", "text", chunk=1024):
-            ids = enc.encode([t for _, t in rows])
-            back = [enc.decode(x.tolist()) for x in ids]
-            off = np.zeros(len(ids) + 1, np.int32)
-            np.cumsum([len(x) for x in ids], out=off[1:])
-            yield pa.RecordBatch.from_arrays([
-                pa.array([d for d, _ in rows], pa.int64()), pa.array(np.diff(off).astype(np.int64)),
-                pa.ListArray.from_arrays(pa.array(off), pa.array(np.concatenate(ids))),
-                pa.array([hashlib.sha256(t.encode()).hexdigest() for t in back]),
-                pa.array([a == (t or "") for a, (_, t) in zip(back, rows)])], schema=schema)
+        for b in batches:
+            for rows in blocks(b):
+                texts = rows.column("text").to_pylist()
+                ids = enc.encode(texts)
+                off = np.zeros(len(ids) + 1, np.int32)
+                np.cumsum([len(x) for x in ids], out=off[1:])
+                digest, same = [], []
+                for x, t in zip(ids, texts):
+                    back = enc.decode(x.tolist())
+                    digest.append(hashlib.sha256(back.encode()).hexdigest())
+                    same.append(back == (t or ""))
+                yield pa.RecordBatch.from_arrays([
+                    rows.column("doc_id"), pa.array(np.diff(off).astype(np.int64)),
+                    pa.ListArray.from_arrays(pa.array(off), pa.array(np.concatenate(ids))),
+                    pa.array(digest), pa.array(same)], schema=schema)
+        pa.default_memory_pool().release_unused()
     return src.mapInArrow(run, "doc_id long, n_tokens long, ids array<int>, decoded_sha256 string, round_trip boolean")
 
 

@@ -414,6 +414,28 @@ def test_pieces_equal_the_library(spark, tmp_path):
         assert [enc.decode(x.tolist()) for x in ids] == items
 
 
+def test_remembered_words_stay_within_bytes(monkeypatch):
+    monkeypatch.setattr(pieces, "KEPT_BYTES", 1 << 14, raising=False)
+    model = pieces.pieces(pieces.MODEL)
+    enc = pieces.Encoder(model)
+    lists = [[f"the w{i}x{j} of" for j in range(40)] for i in range(60)]
+    got = [[x.tolist() for x in enc.encode(t)] for t in lists]
+    assert len(enc.words) + len(getattr(enc, "before", {})) < 300      # of 2,400 met
+    assert got == [[x.tolist() for x in pieces.Encoder(model).encode(t)] for t in lists]
+    assert [x.tolist() for x in enc.encode(lists[0])] == got[0]        # forgotten words are encoded again
+
+
+def test_blocks_hold_all_rows_and_few_characters(monkeypatch):
+    import pyarrow as pa
+    monkeypatch.setattr(pieces, "BLOCK", 100)
+    texts = ["x" * 30, None, "é" * 40, "y" * 500, "", "z" * 60, "a", None] * 5
+    batch = pa.RecordBatch.from_pydict({"text": pa.array(texts, pa.string())})
+    parts = [b.column("text").to_pylist() for b in pieces.blocks(batch, 4)]
+    assert sum(parts, []) == texts and max(map(len, parts)) <= 4
+    assert all(len(x) == 1 or sum(len((t or "").encode()) for t in x) <= 100 for x in parts)
+    assert list(pieces.blocks(batch.slice(0, 0))) == []
+
+
 def test_encode_and_decode_frames(docs):
     src = docs([(1, "hello world"), (2, None), (3, ""), (None, "a\nb")])
     enc = pieces.encode(src)
